@@ -1,12 +1,30 @@
-"""The cleaning pipeline over ``documents``; each stage is written as Parquet and read again."""
+"""The cleaning pipeline over ``documents``; each stage is written as Parquet and read again.
+
+Every stage but the last returns the columns of its input. Rows without an identifier cannot be
+named by a decision that is keyed by identifier, so such decisions leave them in.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import exact_dedup, packing
-from tidewave.llm._shared import materialise
+from tidewave.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
+from tidewave.llm._shared import materialise, table
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column doc_id); columns stay as they are."""
+    gone = materialise(ids.where(F.col("doc_id").isNotNull()).distinct(), "gone")
+    # the list of rejected identifiers is broadcast only where it is known to be small
+    small = gone.count() <= jaccard_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1").select("doc_id"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,13 +33,27 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return found.where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least identifier stays."""
+    groups = jaccard_join.jaccard_groups(docs)
+    return _without(docs, groups.where("doc_id <> class_id").select("doc_id"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences; one row per piece."""
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 
 STAGES = [
+    ("toxicity", toxic_documents),
     ("exact_dedup", exact_duplicates),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_leaks),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -15,7 +15,6 @@ sequences partly filled out of thousands.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import materialise, table
+from ._text import steps
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 CACHE_WORDS = 300_000
-TEXT_BYTES_A_STEP = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -83,20 +82,6 @@ def word_ids(path: str):
     return encode
 
 
-def _steps(batches) -> Iterator[tuple[list, list[str]]]:
-    """Rows of Arrow batches in steps of bounded text; null texts come as empty ones."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        at, size = 0, 0
-        held: list[str] = []
-        for i in range(len(ids)):
-            held.append(texts[i].as_py() or "")
-            size += len(held[-1])
-            if size >= TEXT_BYTES_A_STEP:
-                yield ids[at : i + 1], held
-                at, size, held = i + 1, 0, []
-        if held:
-            yield ids[at:], held
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer_path: str, limits: PackingLimits, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
@@ -111,7 +96,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, limits: PackingLimits,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = word_ids(tokenizer_path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for ids, texts in _steps(batches):
+        for ids, texts in steps(batches):
             out: list[tuple] = []
             for doc, raw in zip(ids, encode(texts)):
                 raw += end

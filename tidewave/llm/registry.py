@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import decontamination, exact_dedup, jaccard_join, packing, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
+    "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {

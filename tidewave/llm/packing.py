@@ -26,7 +26,7 @@ from ._text import steps
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -53,35 +53,96 @@ class PackingLimits:
             raise ValueError("the attention capacity must admit one full piece")
 
 
-def word_ids(path: str):
-    """A function from texts to their token ids as little-endian unsigned 32-bit bytes.
+class _Kept(dict):
+    """What is kept, and beside it the rest of one step."""
 
-    The tokenizer never joins characters across ASCII white space, so ids are kept by the
-    white-space-separated chunk; chunks not seen yet are encoded together. The cache is emptied
-    when it is full, which bounds its memory and changes no result.
-    """
-    from tokenizers import Tokenizer
+    rest: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        return self.rest[key]
+
+
+class WordIds:
+    """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    tok = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    The tokenizer lower-cases, drops white space and never joins characters across it, so ids are
+    kept by the white-space-separated chunk. A new chunk is lower-cased (A-Z only) and parted from
+    the ASCII marks that follow an ASCII letter, since the tokenizer parts them there itself; what is
+    left is encoded. Words of Latin letters are single pieces for the tokenizer, each ending in the
+    one id with an end-of-word mark, and are encoded many to a line. The caches stop growing at
+    their bounds, which changes no result.
+    """
 
-    def encode(texts: list[str]) -> list[bytes]:
+    _TAIL = b".,;:!?|#$%&*()[]{}<>\"~_+=/\\@^-"
+    _ASCII = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks = _Kept()
+        self.stems: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0250"]
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
+            ids = np.asarray(self.tok.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) == len(part):
+                raw, start = ids.tobytes(), 0
+                for i, end in zip(part, cuts.tolist()):
+                    out[words[i]] = raw[start:end]
+                    start = end
+        rest = [i for i in range(len(words)) if words[i] not in out]
+        for i, e in zip(rest, self.tok.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+            out[words[i]] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return out
+
+    def _parts(self, chunk: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in chunk:  # may hold a special token, which is found before anything is parted
+            return chunk, b""
+        low = chunk.lower()
+        stem = low.rstrip(self._TAIL)
+        if stem and stem[-1] in self._ASCII:
+            return stem, low[len(stem) :]
+        return low, b""
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*chunks).difference(known)
+        new = {c: self._parts(c) for c in set().union(*chunks).difference(self.chunks)}
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set().union(*chunks)
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                encoded = tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, encoded))
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+            wanted = {p for pair in new.values() for p in pair if p}
+            known = self.stems
+            fresh = self._encode([w for w in wanted if w not in known])
+            if len(known) + len(fresh) <= CACHE_WORDS:
+                known.update(fresh)
+            else:
+                fresh |= {w: known[w] for w in wanted if w in known}
+                known = fresh
+            found = {c: known[stem] + (known[tail] if tail else b"") for c, (stem, tail) in new.items()}
+            if len(self.chunks) + len(found) <= CACHE_WORDS:
+                self.chunks.update(found)
+            else:
+                self.chunks.rest = found
+        look = self.chunks.__getitem__
+        return [b"".join(map(look, c)) for c in chunks]
+
 
-    return encode
+_ENCODERS: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker's encoder, which later tasks of the same worker use again."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer_path: str, limits: PackingLimits, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:

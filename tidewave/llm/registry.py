@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, packing, toxicity
+from . import chat, decontamination, exact_dedup, jaccard_join, packing, secrets, toxicity, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
+    "op1_url_filters": url_filters.OP1_SQL,
+    "op3_secret_scans": secrets.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_chat_formatting": chat.OP7_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, jaccard_join, packing, secrets, toxicity, url_filters
+from . import chat, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, secrets, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_formatting": chat.op7_chat_formatting,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, secrets, toxicity, url_filters
+from . import chat, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, pii, secrets, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
+    "op9_pii": pii.op9_pii,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 

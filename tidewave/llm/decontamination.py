@@ -24,7 +24,8 @@ from ._shared import table
 from ._text import steps
 
 HITS = "doc_id long, item_id long, edits int, start long, end long"
-BITMAP_BITS = 24
+BITMAP_BITS = 22
+MAX_CELLS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -53,15 +54,28 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """64-bit rolling hashes of all q-grams."""
+    """64-bit hashes of all q-grams, put together from those of 1, 2, 4, ... characters."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(q):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += codes[j : j + n]
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    base = 0x9E3779B97F4A7C15
+    part, size, done, h = codes, 1, 0, None
+    while True:
+        if q & size:
+            piece = part[done : done + n]
+            if h is None:
+                h = piece.copy()
+            else:
+                h *= np.uint64(pow(base, size, 1 << 64))
+                h += piece
+            done += size
+        if done == q:
+            break
+        step = part[:-size] * np.uint64(pow(base, size, 1 << 64))
+        step += part[size:]
+        part, size = step, 2 * size
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
 
 
 def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, free_start: bool) -> tuple[int, int]:
@@ -71,23 +85,28 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
     ``free_start`` the stretch may begin anywhere, else at the start of the text.
     """
     width, far = high - low + 1, len(pattern) + len(text) + 1
-    at = np.arange(width)
+    at = np.arange(width, dtype=np.int64)
     diagonal = at + low
-    row = np.where((diagonal >= 0) & (diagonal <= len(text)), 0 if free_start else diagonal, far)
-    for i in range(1, len(pattern) + 1):
-        column = diagonal + i
-        inside = (column >= 0) & (column <= len(text))
-        char = text[np.clip(column - 1, 0, len(text) - 1)] if len(text) else np.zeros(width, dtype=text.dtype)
-        same = np.where((column >= 1) & inside, row + (char != pattern[i - 1]), far)
-        down = np.append(row[1:], far) + 1
-        best = np.where(inside, np.minimum(same, down), far)
-        row = np.where(inside, np.minimum.accumulate(best - at) + at, far)
+    # beyond the text stand characters that match nothing, which cost what leaving out the pattern's costs
+    before, behind = max(0, -low), max(0, len(pattern) + high - len(text))
+    padded = np.concatenate([np.full(before, -1), text.astype(np.int64), np.full(behind, -1)])
+    codes = pattern.astype(np.int64).tolist()
+    row = np.zeros(width, dtype=np.int64) if free_start else np.where(diagonal >= 0, diagonal, far)
+    for i, code in enumerate(codes):
+        best = row + (padded[i + low + before : i + low + before + width] != code)
+        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])
+        best -= at
+        np.minimum.accumulate(best, out=best)
+        best += at
+        row = best
     k = int(np.argmin(row))
-    return int(row[k]), len(pattern) + low + k
+    return int(row[k]), min(len(text), len(pattern) + low + k)
 
 
 def verify(item: np.ndarray, doc: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """Edits, start and end of the item's best occurrence on the diagonals, or None beyond the budget."""
+    if len(item) <= len(doc) and (at := doc.tobytes().find(item.tobytes())) >= 0 and at % doc.itemsize == 0:
+        return 0, at // doc.itemsize, at // doc.itemsize + len(item)
     edits, end = banded_distance(item, doc, low - budget, high + budget, True)
     if edits > budget:
         return None
@@ -130,11 +149,15 @@ class _Index:
         """(document, item, edits, start, end) over documents laid end to end at ``starts``."""
         at, item, place = self.hits(codes)
         doc = np.searchsorted(starts, at, side="right") - 1
+        group = doc * len(self.items) + item
+        if len(starts) * len(self.items) <= MAX_CELLS:
+            # all bands of a document and item together must reach the bound as well
+            enough = np.bincount(group)[group] >= self.least[item]
+            at, item, place, doc, group = at[enough], item[enough], place[enough], doc[enough], group[enough]
         step = self.budget[item] + 1
         diagonal = at - starts[doc] - place
         cell = np.floor_divide(diagonal, step)
         span = np.int64(1) << 32
-        group = doc * len(self.items) + item
         # a place of the item counts once in a band, and each hit lies in two bands
         keys = np.concatenate([(group * span) + cell + (span >> 1), (group * span) + cell - 1 + (span >> 1)])
         order = np.lexsort((np.concatenate([place, place]), keys))

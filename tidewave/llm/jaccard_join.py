@@ -1,12 +1,18 @@
 """Similarity join of documents on word n-grams: MinHash LSH forest, then exact verification.
 
 A document is the set of its five-word shingles. Documents with equal sets are folded into one
-class first, whatever their number, so copies never meet each other as pairs. Each class has a MinHash label in
-every tree of the forest. Labels are sorted into prefix tries, and the prefix on which two labels
-must agree is shortened step by step from its full length until the chance to find a pair at the threshold reaches
-the target recall; since the buckets of a shorter prefix contain those of every longer one, only the
-last step's buckets are enumerated. Candidate pairs are screened by the number of equal MinHash values,
-six standard deviations below the threshold, and then verified on the whole shingle sets.
+class first, whatever their number, so copies never meet each other as pairs. Each class has a MinHash
+label in every tree of the forest. Labels are sorted into prefix tries, and the prefix on which two
+labels must agree is shortened step by step from its full length until the chance to find a pair at the
+threshold reaches the target recall; since the buckets of a shorter prefix contain those of every
+longer one, only the last step's buckets are visited.
+
+Pairs are never written out, as a group of near copies has a square number of them. Inside a bucket, sketches of
+the MinHash values tell which members may reach the threshold (six standard deviations below it),
+and only a spanning forest of these pairs leaves the bucket. Every pair at the threshold lies in one component of
+the forests; components are cut into blocks, each pair of blocks compares its whole shingle sets
+exactly, and only link counts and a spanning forest of the links leave it. Buckets and components of any size
+are spread over tasks by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +30,10 @@ from ._text import WordHashes, mix, steps
 
 #: A candidate list up to this many rows (16 bytes each) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Members of a block; buckets up to SMALL_BUCKET members are compared many at a time.
+BUCKET_BLOCK, SET_BLOCK, SMALL_BUCKET = 1024, 256, 16
+#: Shingles that stand side by side in one dense matrix.
+COLUMNS = 16_384
 
 
 @dataclass(frozen=True)
@@ -104,8 +114,8 @@ def _sign(p: ForestParameters):
             signed = signatures(sets, n)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signed], pa.binary())],
-                names=["doc_id", "set_key", "size", "signature"],
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signed], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in signed], pa.binary())],
+                names=["doc_id", "set_key", "size", "signature", "sketch"],
             )
 
     return run
@@ -121,35 +131,146 @@ def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, p: ForestParameters, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, set_key) and classes (rep, copies, set_key, size, signature), both materialised."""
-    signed = materialise(_rows(docs, id_col, text_col).mapInArrow(_sign(p), "doc_id long, set_key binary, size long, signature binary"), "signatures")
-    kinds = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("signature").alias("signature"))
+    """Members (doc_id, set_key) and classes (rep, copies, set_key, size, signature, sketch: one byte of
+    each MinHash value), both materialised."""
+    signed = materialise(_rows(docs, id_col, text_col).mapInArrow(_sign(p), "doc_id long, set_key binary, size long, signature binary, sketch binary"), "signatures")
+    kinds = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"))
     return signed.select("doc_id", "set_key"), materialise(kinds, "classes")
 
 
-def links(docs: DataFrame, kinds: DataFrame, p: ForestParameters, id_col: str, text_col: str) -> DataFrame:
-    """All pairs (``a`` < ``b``) of class representatives whose sets have at least the threshold, with
-    ``shared`` and ``jaccard``."""
+def _groups(batches, keys: int):
+    """Runs of rows with equal leading ``keys`` columns, across the borders of sorted Arrow batches."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if not held.num_rows:
+            continue
+        key = [held.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        if len(new):
+            yield held.slice(0, int(new[-1])), np.concatenate([[0], new]).astype(np.int64)
+            held = held.slice(int(new[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows], dtype=np.int64)
+
+
+def _forest(near, n: int) -> np.ndarray:
+    """The least member of each member's component, by breadth-first search over ``near(i, others)``."""
+    root = np.full(n, -1)
+    for first in range(n):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        queue = [first]
+        left = np.flatnonzero(root < 0)
+        while queue and len(left):
+            found = near(queue.pop(), left)
+            root[left[found]] = first
+            queue += left[found].tolist()
+            left = left[~found]
+    return root
+
+
+def _blocks(frame: DataFrame, size: str, block: int, key: list[str], carried: list[str]) -> DataFrame:
+    """Deals each group (``key``, of ``size`` members) to its pairs of blocks; a row goes to each pair that its block is in."""
+    n = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), n).cast("int")
+    ready = frame.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    pair = ready.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", *carried)
+    return pair.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "rep")
+
+
+def _alike(p: ForestParameters):
+    """Spanning forests of the pairs in a bucket whose sketches reach the screen."""
+    n = p.trees * p.depth
+    least = int(np.ceil(p.screen * n))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows, cuts in _groups(batches, 3):
+            reps = rows.column("rep").to_numpy()
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, n)
+            ends = np.append(cuts[cuts < len(reps)], len(reps))
+            sizes = np.diff(ends)
+            us, vs = [], []
+            # small buckets, by their number of members, all at once
+            for size in np.unique(sizes[sizes <= SMALL_BUCKET]):
+                first = ends[:-1][sizes == size]
+                for x in range(size):
+                    for y in range(x + 1, size):
+                        good = (sketch[first + x] == sketch[first + y]).sum(axis=1) >= least
+                        us.append(reps[first[good] + y])
+                        vs.append(reps[first[good] + x])
+            for at, size in zip(ends[:-1][sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET]):
+                own = sketch[at : at + size]
+                root = _forest(lambda i, others, own=own: (own[others] == own[i]).sum(axis=1) >= least, size)
+                moved = np.flatnonzero(root != np.arange(size))
+                us.append(reps[at + moved])
+                vs.append(reps[at + root[moved]])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for low in range(0, len(values), COLUMNS):
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        dense = np.zeros((len(sets), min(COLUMNS, len(values) - low)), dtype=np.float32)
+        dense[owner[a:b], place[a:b] - low] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _verify(p: ForestParameters):
+    """Exact link counts between the members of a pair of blocks, and a spanning forest of the links."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows, cuts in _groups(batches, 3):
+            ends = np.append(cuts[cuts < rows.num_rows], rows.num_rows)
+            out = []
+            for at, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                part = rows.slice(at, end - at)
+                reps, own, copies = (part.column(c).to_numpy() for c in ("rep", "own", "copies"))
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("shingles").to_pylist()]
+                sizes = np.array([len(x) for x in sets])
+                shared = _shared_counts(sets)
+                link = shared >= p.threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+                np.fill_diagonal(link, False)
+                if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+                    link &= own[:, None] != own[None, :]
+                root = _forest(lambda i, others, link=link: link[i, others], len(reps))
+                out.append((reps, link @ copies, link.sum(axis=1), reps[root]))
+            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "near", "classes", "root"])
+
+    return run
+
+
+def link_counts(docs: DataFrame, kinds: DataFrame, p: ForestParameters, id_col: str, text_col: str) -> DataFrame:
+    """Materialised rows (``rep``, ``near``, ``classes``, ``root``), several per class: partial counts of
+    linked rows and classes, and a class that it is connected to by links."""
     label = 4 * p.depth
     own = kinds.where((F.col("size") > 0) & F.col("rep").isNotNull())
     tree = F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1)))
     trie = own.select("rep", "signature", tree.alias("tree")).select("rep", F.xxhash64("tree", F.expr(f"substring(signature, tree * {label} + 1, {label})")).alias("prefix"))
-    pairs = trie.alias("x").join(trie.alias("y"), "prefix").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    signed = own.select("rep", "signature", "size")
-    both = pairs.join(signed.toDF("a", "sig_a", "size_a"), "a").join(signed.toDF("b", "sig_b", "size_b"), "b")
-    # sets of too different sizes cannot reach the threshold
-    sized = both.where(F.least("size_a", "size_b") >= p.threshold * F.greatest("size_a", "size_b"))
-    n, screen = p.trees * p.depth, p.screen
-
-    def alike(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u4").reshape(-1, n) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= screen))
-
-    likely = materialise(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long"), "candidates")
-    ids = materialise(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    full = trie.groupBy("prefix").agg(F.count("*").alias("m")).where("m > 1")
+    shared = trie.join(full, "prefix").join(own.select("rep", "sketch"), "rep")
+    edges = _blocks(shared, "m", BUCKET_BLOCK, ["prefix"], ["sketch"]).mapInArrow(_alike(p), "u long, v long")
+    parts = materialise(connected_components(edges), "parts")
+    sized = parts.join(parts.groupBy("root").agg(F.count("*").alias("m")), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("part"), "m")
 
     def to_sets(batches):
         import pyarrow as pa
@@ -159,26 +280,10 @@ def links(docs: DataFrame, kinds: DataFrame, p: ForestParameters, id_col: str, t
             sets = shingles(hashes, texts, p.words)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
-    # documents that share an identifier but not the text: the class's own set is looked up by its key
-    found = _near(_rows(docs, id_col, text_col), ids).mapInArrow(to_sets, "doc_id long, shingles binary")
+    found = _near(_rows(docs, id_col, text_col), parts.select(F.col("node").alias("doc_id"))).mapInArrow(to_sets, "doc_id long, shingles binary")
     sets = materialise(found.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
-
-    def exact(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            shared, total = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(both)
-                total.append(len(x) + len(y) - both)
-            jaccard = np.array(shared, dtype=float) / np.maximum(1, np.array(total))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(jaccard, pa.float64())], names=["a", "b", "shared", "jaccard"])
-            yield out.filter(pa.array(jaccard >= p.threshold))
-
-    joined = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(exact, "a long, b long, shared long, jaccard double")
+    ready = sized.join(sets, "doc_id").withColumnRenamed("doc_id", "rep").join(own.select("rep", "copies"), "rep")
+    return materialise(_blocks(ready, "m", SET_BLOCK, ["part"], ["copies", "shingles"]).mapInArrow(_verify(p), "rep long, near long, classes long, root long"), "links")
 
 
 def jaccard_groups(docs: DataFrame, p: ForestParameters = ForestParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,11 +298,10 @@ def jaccard_groups(docs: DataFrame, p: ForestParameters = ForestParameters(), id
     text is the one that is compared; an empty table gives an empty result.
     """
     members, kinds = classes(docs, p, id_col, text_col)
-    pairs = materialise(links(docs, kinds, p, id_col, text_col), "links")
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = ends.join(kinds.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"), F.count("*").alias("classes"))
-    roots = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = kinds.select("set_key", "rep", "copies").join(counted.withColumnRenamed("a", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    found = link_counts(docs, kinds, p, id_col, text_col)
+    counted = found.groupBy("rep").agg(F.sum("near").alias("near"), F.sum("classes").alias("classes"))
+    roots = connected_components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    known = kinds.select("set_key", "rep", "copies").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     full = members.join(known, "set_key")
     return full.select(
         "doc_id",

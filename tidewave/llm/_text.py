@@ -9,7 +9,7 @@ import xxhash
 
 TEXT_CHARS_A_STEP = 4_000_000
 #: Words that a worker remembers; beyond that they are hashed anew, with the same results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def steps(batches) -> Iterator[tuple[list, list[str]]]:

@@ -86,6 +86,12 @@ class WordIds:
         self.chunks = _Kept()
         self.stems: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the caches, which would otherwise stay in the worker beside those of other operators."""
+        self.chunks.clear()
+        self.chunks.rest = {}
+        self.stems.clear()
+
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
         plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0250"]
@@ -138,7 +144,7 @@ _ENCODERS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's encoder, which later tasks of the same worker use again."""
+    """The worker's encoder, so that later tasks needn't load the tokenizer again."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = WordIds(path)
@@ -157,18 +163,21 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, limits: PackingLimits,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = word_ids(tokenizer_path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for ids, texts in steps(batches):
-            out: list[tuple] = []
-            for doc, raw in zip(ids, encode(texts)):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * cap)):
-                    cut = raw[at : at + 4 * cap]
-                    out.append((doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            doc, k, start, length, crc = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        try:
+            for ids, texts in steps(batches):
+                out: list[tuple] = []
+                for doc, raw in zip(ids, encode(texts)):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), 4 * cap)):
+                        cut = raw[at : at + 4 * cap]
+                        out.append((doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                doc, k, start, length, crc = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            encode.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pieces, PIECE_SCHEMA)
 

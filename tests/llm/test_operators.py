@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,68 @@ def test_lm_bits_sum_to_one():
     assert np.exp(total).sum() == pytest.approx(1)
 
 
+def test_lm_context_crosses_words(spark):
+    """A learnt order of words scores above the same words in any other order."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    phrase = " ".join(words)
+    mixed = [" ".join(rng.sample(words, len(words))) for _ in range(4)]
+    docs = [(i, phrase, True) for i in range(30)] + [(100, phrase, False)] + [(200 + i, x, False) for i, x in enumerate(mixed)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string, train boolean"), "train").collect()}
+    assert all(got[100] > got[200 + i] + 20 for i in range(len(mixed)))
+
+
+def _lm_chunks(parts: list[list[tuple[str, bool]]], width: int, shares: int) -> list[tuple]:
+    """(rows, answers) of each chunk, by the kernels that run on the executors."""
+    import pyarrow as pa
+
+    rows = [pa.RecordBatch.from_pylist([{"row": 1000 * c + i, "doc_id": i, "train": t, "text": x} for i, (x, t) in enumerate(part)]) for c, part in enumerate(parts)]
+    chunks = [next(lm_scoring._chunks([r])) for r in rows]
+    sent = pa.Table.from_batches([b for c in chunks for b in lm_scoring._tally(width, shares)([c.select(["chunk", "data"])])])
+    back = []
+    for j in range(len(lm_scoring.ORDERS)):
+        for share in range(shares):
+            own = sent.filter((pc.field("j") == j) & (pc.field("share") == share))
+            if own.num_rows:
+                back.append(lm_scoring._answer(own))
+    answers = pa.concat_tables(back)
+    ready = [lm_scoring._ready(pa.Table.from_batches([c]), answers.filter(pc.field("chunk") == c.column("chunk")[0])) for c in chunks]
+    return [b for r in ready for b in r.to_batches()]
+
+
+def test_lm_table_is_whole_however_it_is_dealt():
+    """Counts of every context and bit equal those of one exact table, without meetings of unrelated contexts."""
+    rng = random.Random(10)
+    say = lambda: " ".join(rng.choice(["ab", "abc", "b", "ca", "\u00e9t"]) for _ in range(30))
+    parts = [[(say(), rng.random() < 0.7) for _ in range(4)] for _ in range(3)]
+    exact = collections.Counter()
+    spelled_all = lm_scoring.Spelling([lm_scoring.lowered(x) for part in parts for x, t in part if t])
+    for j, order in enumerate(lm_scoring.ORDERS):
+        context = spelled_all.context(order)
+        for at, bit, node in spelled_all.nodes():
+            exact.update((j, c, d, b) for c, d, b in zip(context[at].tolist(), node.tolist(), bit.tolist()))
+    for shares in (1, 5):
+        for (rows, others), part in zip(lm_scoring._held(_lm_chunks(parts, 30, shares)), parts):
+            spelled = lm_scoring.Spelling([lm_scoring.lowered(x) for x, _ in part])
+            counts = lm_scoring.Counts(spelled, np.array([t for _, t in part], dtype=float), others, 30, 0.4, False)
+            for k, (at, bit, node) in enumerate(spelled.nodes()):
+                x = counts.inputs(k, at, node)[0]
+                for j, order in enumerate(lm_scoring.ORDERS):
+                    keys = list(zip(spelled.context(order)[at].tolist(), node.tolist()))
+                    want = [math.log((exact[j, c, d, 1] + 0.4) / (exact[j, c, d, 0] + 0.4)) for c, d in keys]
+                    assert np.allclose(x[j], want, atol=1e-5)
+
+
+def test_lm_learns_from_every_occurrence(monkeypatch):
+    """Weights and map see each training position once, however often its word occurs."""
+    seen = []
+    monkeypatch.setattr(lm_scoring.Mixer, "learn", lambda self, x, gate, node, bit, weight, rate: seen.append(weight[node == 0].sum()))
+    text = "ab " * 500
+    batches = _lm_chunks([[(text, True), ("never learnt", False)]], 30, 1)
+    assert list(lm_scoring._learn(lm_scoring.MixingParameters(), 30)(batches))
+    assert sum(seen) >= len(text) + 1
+
+
 # --- personal data ---
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -1,70 +1,67 @@
 """Language-model scores by online logistic context mixing.
 
-A text, lower-cased in A-Z, is a sequence of words and of the stretches of white space between
-them, closed by an end mark. Each of these symbols is spelled bit by bit: before every byte one bit
-says whether the symbol stops, then follow the eight bits of the byte. Several predictors, each with counts hashed
-by the preceding bytes of the symbol (one, two, three, five, all), give a probability for a bit.
+A text, lower-cased in A-Z, is coded byte by byte in its order and closed by an end mark: before every
+byte one bit says whether the text stops, then follow the eight bits of the byte. Several predictors give a
+probability for a bit, each by counts of the bits that followed a context of the running text: the last one to six
+bytes, across the borders of words, and the previous word with what is written of the current one.
 A gate picks a set of weights by how much the predictors have seen; the weighted sum in the logistic
 domain is refined by an adaptive probability map. The sum of the bits' logarithms is the score.
 
-All training documents are counted, whole. Since contexts lie within a symbol, everything is learnt
-from the table of symbols and their counts: the hashed counts are sums, so shards of that table are
-counted apart and added; weights and map are learnt online in each shard, an occurrence's own
-count taken out beforehand, and averaged. Each distinct symbol is scored once. Documents take the scores of the most
-frequent symbols from a broadcast of bounded size and those of all others by a join.
+All training documents are counted, whole. The counts are a distributed table of hashed context, next symbol and
+number, whose hashes are as wide as the corpus asks for. It is dealt by context and never held in one place: texts lie
+in chunks, a chunk sends its contexts to their shares of the table, and gets back what other chunks
+counted after them. Rows travel packed, sorted and as differences. Weights and map are learnt online
+over every training position of a chunk, its own count taken out beforehand, and averaged by positions; then
+each text is scored with them.
 """
 
 from __future__ import annotations
 
-import re
+import gc
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import crc32_of_id, materialise, table
+from ._shared import crc32_of_id, drop_materialised, materialise, table
 from ._text import mix, steps
 
-_SPACE = re.compile(rb"[\x09-\x0d\x20]+")
-ORDERS = (1, 2, 3, 5, 0)  # 0: all preceding bytes of the symbol
+ORDERS = (1, 2, 3, 4, 5, 6, 0)  # 0: the previous word and the bytes of the current one
 GATES = 64
 BUCKETS = 33
 COUNTER_ENTRIES = 400_000
-POSITIONS_A_STEP = 200_000
-BLOCK = 1 << 14
+#: Characters of a chunk, positions of one order in a share of the table (about), and positions mixed at once.
+CHUNK, SHARE, BLOCK = 2_000_000, 8_000_000, 1 << 16
+#: Bits of a hashed context beyond the number of positions: one in 2**CHECK contexts, at most, meets another one's counts.
+CHECK = 10
 
 
 @dataclass(frozen=True)
 class MixingParameters:
-    """``bits`` of a predictor's table; ``shard`` symbols are counted in one task at most (about);
-    ``frequent`` symbols are broadcast to the scoring tasks."""
+    """``bits`` of a hashed context at least; the corpus may ask for more (see ``CHECK``). ``frequent`` words are
+    broadcast to the tasks."""
 
     bits: int = 20
-    shard: int = 1_000_000
     frequent: int = 50_000
     prior: float = 0.4
     rate: float = 0.002
     batch: int = 2_048
 
 
-def symbols(text: str) -> list[bytes]:
-    """Words, white-space stretches and the end mark (empty) of a text, each kind in order."""
-    raw = text.encode("utf-8", "surrogatepass").lower()
-    return [*raw.split(), *_SPACE.findall(raw), b""]
+def lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
-def is_word(symbol: bytes) -> bool:
-    """Words and the end mark count as tokens, white space does not."""
-    return symbol[:1] not in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
-
-
-_WORD = "(length(symbol) = 0 or hex(substring(symbol, 1, 1)) not in ('20', '09', '0A', '0B', '0C', '0D'))"
+def words(text: str) -> list[bytes]:
+    """Words of a text in order, and the end mark (empty)."""
+    return [*lowered(text).split(), b""]
 
 
 def _count(batches):
-    """Partial counts of symbols in training documents; 0 for those of other documents."""
+    """Partial counts of words in training documents; 0 for those of other documents."""
     import pyarrow as pa
 
     held: Counter = Counter()
@@ -79,9 +76,9 @@ def _count(batches):
         other: set[bytes] = set()
         for trained, text in zip(flags, texts):
             if trained:
-                held.update(symbols(text))
+                held.update(words(text))
             else:
-                other.update(symbols(text))
+                other.update(words(text))
         for s in other:
             held.setdefault(s, 0)
         if len(held) > COUNTER_ENTRIES:
@@ -91,67 +88,138 @@ def _count(batches):
 
 
 class Spelling:
-    """Positions of a list of symbols laid end to end, with the contexts of each."""
-
-    def __init__(self, symbols: list[bytes]):
-        sizes = np.array([len(s) for s in symbols], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(symbols)), sizes + 1)
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        place = np.arange(len(self.owner)) - starts[self.owner]
-        self.last = place == sizes[self.owner]
-        flat = np.frombuffer(b"\0".join(symbols) + b"\0", dtype=np.uint8)
-        self.byte = flat.astype(np.uint64)
-        one = np.uint64(1)
-        self.context = []
-        for order in ORDERS:
-            if order:
-                h = np.full(len(flat), order, dtype=np.uint64)
-                for back in range(order, 0, -1):
-                    seen = np.zeros(len(flat), dtype=np.uint64)
-                    seen[back:] = self.byte[:-back] + one
-                    seen[place < back] = 0
-                    h = h * np.uint64(0x100000001B3) + seen
-            else:
-                # a polynomial of all bytes before the place, by differences of running sums
-                base = np.uint64(0x9E3779B97F4A7C15)
-                power = np.cumprod(np.concatenate([[one], np.full(len(flat), base)]))
-                run = np.concatenate([[np.uint64(0)], np.cumsum((self.byte + one) * power[:-1])])
-                inverse = np.uint64(pow(int(base), -1, 1 << 64))
-                undo = np.cumprod(np.concatenate([[one], np.full(len(flat), inverse)]))
-                first = starts[self.owner]
-                h = (run[np.arange(len(flat))] - run[first]) * undo[first] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            self.context.append(mix(h + np.uint64(order << 56)))
-
-    def bits(self, table_bits: int):
-        """For each of the nine bits: the positions, the table slots by order, the bit, and its node."""
-        shift = np.uint64(64 - table_bits)
+    """Positions of a list of texts laid end to end; contexts run over a text and end at its begin."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(s) for s in texts], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), sizes + 1)
+        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
+        self.place = np.arange(len(self.owner)) - self.starts[self.owner]
+        self.last = self.place == sizes[self.owner]
+        self.byte = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)[: len(self.owner)].astype(np.uint64)
+
+    @property
+    def symbol(self) -> np.ndarray:
+        """The nine bits of each position as a number, the stop bit first."""
+        return np.where(self.last, np.uint64(256), self.byte)
+
+    def context(self, order: int) -> np.ndarray:
+        one, prime = np.uint64(1), np.uint64(0x100000001B3)
+        n = len(self.owner)
+        if order:
+            h = np.full(n, order, dtype=np.uint64)
+            for back in range(order, 0, -1):
+                seen = np.zeros(n, dtype=np.uint64)
+                seen[back:] = self.byte[:-back] + one
+                seen[self.place < back] = 0
+                h = h * prime + seen
+        else:
+            # a polynomial of the bytes from the begin of the previous word on, by differences of running sums
+            every = np.arange(n)
+            space = (self.byte == 32) | ((self.byte >= 9) & (self.byte <= 13))
+            begin = self.place == 0
+            begin[1:] |= space[:-1] & ~space[1:]
+            word = np.maximum.accumulate(np.where(begin, every, 0))
+            first = np.maximum(word[np.maximum(word - 1, 0)], self.starts[self.owner])
+            base = np.uint64(0x9E3779B97F4A7C15)
+            power = np.cumprod(np.concatenate([[one], np.full(n, base)]))
+            run = np.concatenate([[np.uint64(0)], np.cumsum((self.byte + one) * power[:-1])])
+            undo = np.cumprod(np.concatenate([[one], np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))]))
+            h = (run[every] - run[first]) * undo[first] + (every - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix(h + np.uint64(order << 56))
+
+    def codes(self, order: int, width: int) -> np.ndarray:
+        """The leading ``width`` bits of the hashed context, then the nine bits of the symbol."""
+        return (self.context(order) >> np.uint64(64 - width)) << np.uint64(9) | self.symbol
+
+    def nodes(self):
+        """For each of the nine bits: the positions, the bit, and its node."""
         every = np.arange(len(self.owner))
         inner = every[~self.last]
-        node = np.zeros(len(every), dtype=np.uint64)
+        node = np.zeros(len(every), dtype=np.int64)
         for k in range(9):
             at = every if k == 0 else inner
             bit = self.last.astype(np.int8) if k == 0 else ((self.byte[at] >> np.uint64(8 - k)) & np.uint64(1)).astype(np.int8)
             if k == 1:
                 node[inner] = 1
             here = node[at]
-            spread = (here + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            yield at, [(((c[at] ^ spread) * np.uint64(0xFF51AFD7ED558CCD)) >> shift).astype(np.int64) for c in self.context], bit, here.astype(np.int64)
+            yield at, bit, here
             if k:
-                node[at] = here * np.uint64(2) + bit.astype(np.uint64)
+                node[at] = here * 2 + bit
 
+    def bits(self, table_bits: int):
+        """As ``nodes``, with slots of the contexts and nodes in tables of 2**table_bits, by order."""
+        shift = np.uint64(64 - table_bits)
+        contexts = [self.context(order) for order in ORDERS]
+        for at, bit, node in self.nodes():
+            spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            yield at, [(((c[at] ^ spread) * np.uint64(0xFF51AFD7ED558CCD)) >> shift).astype(np.int64) for c in contexts], bit, node
 
-def _steps_of(batches):
-    """Symbols and counts in steps of a bounded number of positions; a longer symbol is a step of its own."""
-    for batch in batches:
-        names, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at, size = 0, 0
-        for i, s in enumerate(names):
-            size += len(s) + 1
-            if size >= POSITIONS_A_STEP:
-                yield names[at : i + 1], np.array(counts[at : i + 1], dtype=float)
-                at, size = i + 1, 0
-        if at < len(names):
-            yield names[at:], np.array(counts[at:], dtype=float)
+
+def _pack(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes as differences and their numbers, in planes of bytes."""
+    import pyarrow as pa
+
+    step = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.compress(step + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(m: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=12 * m, codec="zstd", asbytes=True), dtype=np.uint8)
+    step = np.ascontiguousarray(raw[: 8 * m].reshape(8, m).T).view(np.uint64).ravel()
+    return np.cumsum(step), np.ascontiguousarray(raw[8 * m :].reshape(4, m).T).view("<u4").ravel().astype(np.int64)
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their numbers."""
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n[order], first)
+
+
+class Counts:
+    """What the predictors say at each position of the texts of a chunk: the table is the sum of the chunk's own training
+    texts and of what other chunks counted. ``without``: an occurrence's own count is taken out."""
+
+    def __init__(self, spelled: Spelling, trained: np.ndarray, others: dict[int, tuple[np.ndarray, np.ndarray]], width: int, prior: float, without: bool):
+        none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+        self.pair, self.stretch, self.level = [], [], []
+        for j, order in enumerate(ORDERS):
+            kinds, pair = np.unique(spelled.codes(order, width), return_inverse=True)
+            own = np.bincount(pair, weights=trained[spelled.owner], minlength=len(kinds)).astype(np.int64)
+            codes, n = others.get(j, none)
+            keys, n = _summed(np.concatenate([kinds[own > 0], codes]), np.concatenate([own[own > 0], n]))
+            below = np.concatenate([[0], np.cumsum(n)])
+            context = kinds >> np.uint64(9)
+            low = np.searchsorted(keys, context << np.uint64(9))
+            high = np.searchsorted(keys, (context + np.uint64(1)) << np.uint64(9))
+            stretch, level = np.empty((9, len(kinds)), dtype=np.float32), np.empty((9, len(kinds)), dtype=np.int8)
+            for k in range(9):
+                part = np.uint64(1 << (8 - k))
+                bit = (kinds & part) > 0
+                middle = np.searchsorted(keys, (kinds >> np.uint64(9 - k) << np.uint64(9 - k)) | part)
+                zeros, ones = below[middle] - below[low], below[high] - below[middle]
+                if without:
+                    zeros, ones = np.maximum(0, zeros - ~bit), np.maximum(0, ones - bit)
+                stretch[k] = Mixer.stretch(zeros, ones, prior)
+                level[k] = Mixer.level(zeros + ones)
+                low, high = np.where(bit, middle, low), np.where(bit, high, middle)
+            self.pair.append(pair.astype(np.int32))
+            self.stretch.append(stretch)
+            self.level.append(level)
+
+    def inputs(self, k: int, at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = [p[at] for p in self.pair]
+        x = np.empty((len(ORDERS) + 1, len(at)))
+        for j, pair in enumerate(pairs):
+            x[j] = self.stretch[j][k][pair]
+        x[-1] = 1.0
+        return x, Mixer.gate(*[self.level[j][k][pairs[j]] for j in Mixer.GATED], node)
 
 
 class Mixer:
@@ -170,16 +238,27 @@ class Mixer:
     def values(self) -> np.ndarray:
         return np.concatenate([self.weights.ravel(), self.map.ravel()])
 
+    GATED = (-1, 3, 2)  # the predictors whose counts choose the gate
+
+    @staticmethod
+    def stretch(zeros: np.ndarray, ones: np.ndarray, prior: float) -> np.ndarray:
+        return np.log((ones + prior) / (zeros + prior))
+
+    @staticmethod
+    def level(n: np.ndarray) -> np.ndarray:
+        return np.minimum(3, np.log2(n + 1).astype(np.int64) // 2)
+
+    @staticmethod
+    def gate(longest: np.ndarray, middle: np.ndarray, short: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return longest.astype(np.int64) * 16 + middle * 4 + np.where(node == 0, 0, 1 + np.minimum(2, short))
+
     @staticmethod
     def inputs(zeros: list[np.ndarray], ones: list[np.ndarray], node: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((len(ORDERS) + 1, len(node)))
         for j, (n0, n1) in enumerate(zip(zeros, ones)):
-            x[j] = np.log((n1 + prior) / (n0 + prior))
+            x[j] = Mixer.stretch(n0, n1, prior)
         x[-1] = 1.0
-        level = lambda n: np.minimum(3, np.log2(n + 1).astype(np.int64) // 2)
-        total = [a + b for a, b in zip(zeros, ones)]
-        gate = level(total[-1]) * 16 + level(total[3]) * 4 + np.where(node == 0, 0, 1 + np.minimum(2, level(total[2])))
-        return x, gate
+        return x, Mixer.gate(*[Mixer.level(zeros[j] + ones[j]) for j in Mixer.GATED], node)
 
     def predict(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray):
         t = np.clip(np.einsum("jn,nj->n", x, self.weights[gate]), -8, 8)
@@ -206,57 +285,130 @@ class Mixer:
             flat += np.where(w > 0, (y / np.maximum(w, 1e-9) - flat) * np.minimum(0.5, w / (w + 200.0)), 0.0)
 
 
-def _tally(p: MixingParameters):
-    size = 1 << p.bits
+_ROW = "row long, doc_id long, train boolean, text string"
+
+
+def _chunks(batches):
+    """One row (``chunk``, ``size``, ``data``: its rows as a compressed Arrow stream) per chunk of rows; a longer text is a chunk of its own."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def packed(rows):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows)
+        size = sum(len(lowered(x or "")) + 1 for x in rows.column("text").to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([rows.column("row")[0].as_py()], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "size", "data"])
+
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        lengths = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_pylist()
+        for i, n in enumerate(lengths):
+            if size and size + n > CHUNK:
+                yield packed(pa.Table.from_batches([*held, batch.slice(at, i - at)]))
+                at, size, held = i, 0, []
+            size += n + 1
+        if at < len(lengths):
+            held.append(batch.slice(at))
+    if held:
+        yield packed(pa.Table.from_batches(held))
+
+
+def _rows_of(data: bytes) -> list[tuple]:
+    """(row, doc_id, train, text) of a chunk; a null text counts as empty."""
+    import pyarrow as pa
+
+    columns = pa.ipc.open_stream(data).read_all().to_pydict()
+    return [(r, d, bool(t), x or "") for r, d, t, x in zip(*(columns[c.split()[0]] for c in _ROW.split(", ")))]
+
+
+def _tally(width: int, shares: int, orders=range(len(ORDERS))):
+    """The codes of each chunk with their numbers in its training texts (0: only in others), by share of the table."""
+    cuts = np.array([(i << width) // shares << 9 for i in range(shares)], dtype=np.uint64)
 
     def run(batches):
         import pyarrow as pa
 
-        counts = np.zeros((len(ORDERS), 2 * size), dtype=np.float32)
-        seen = False
-        for names, n in _steps_of(batches):
-            seen = True
-            spelled = Spelling(names)
-            weight = n.astype(np.float32)[spelled.owner]
-            for at, slots, bit, _ in spelled.bits(p.bits):
-                w = weight[at]
-                for j, slot in enumerate(slots):
-                    np.add.at(counts[j], slot + size * bit.astype(np.int64), w)
-        if seen:
-            for j in range(len(ORDERS)):
-                for at in range(0, 2 * size, BLOCK):
-                    part = counts[j, at : at + BLOCK]
-                    if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["j", "at", "data"])
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = _rows_of(data.as_py())
+                spelled = Spelling([lowered(r[3]) for r in rows])
+                weight = np.array([r[2] for r in rows], dtype=np.int64)[spelled.owner]
+                for j in orders:
+                    codes, n = _summed(spelled.codes(ORDERS[j], width), weight)
+                    ends = np.append(np.searchsorted(codes, cuts), len(codes))
+                    full = [i for i in range(shares) if ends[i + 1] > ends[i]]
+                    packed = [_pack(codes[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]) for i in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([j] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([int(ends[i + 1] - ends[i]) for i in full], pa.int64()), pa.array(packed, pa.binary())],
+                        names=["j", "share", "chunk", "m", "codes"],
+                    )
 
     return run
 
 
-def _add(key, pdf):
-    total = np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf["data"]], axis=0, dtype=np.float64)
-    return pdf.iloc[:1].assign(data=[total.astype(np.float32).tobytes()])
+def _answer(rows):
+    """One share of the table: to each chunk, what the others counted after the contexts that it holds."""
+    import pyarrow as pa
+
+    nine, one = np.uint64(9), np.uint64(1)
+    held = [_unpack(m, data.as_py()) for m, data in zip(rows.column("m").to_pylist(), rows.column("codes"))]
+    keys, total = _summed(np.concatenate([c[n > 0] for c, n in held]), np.concatenate([n[n > 0] for _, n in held]))
+    out = []
+    for j, chunk, (codes, n) in zip(rows.column("j").to_pylist(), rows.column("chunk").to_pylist(), held):
+        context = np.unique(codes >> nine)
+        low, high = np.searchsorted(keys, context << nine), np.searchsorted(keys, (context + one) << nine)
+        size = high - low
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        others = total[at]
+        others[np.searchsorted(keys[at], codes[n > 0])] -= n[n > 0]
+        good = others > 0
+        if good.any():
+            out.append((chunk, j, int(good.sum()), _pack(keys[at][good], others[good])))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["chunk", "j", "m", "codes"])
+
+
+def _ready(chunk, answers):
+    """A chunk's rows beside all its answers."""
+    import pyarrow as pa
 
+    found = [{"j": j, "m": m, "codes": c} for j, m, c in zip(*(answers.column(c).to_pylist() for c in ("j", "m", "codes")))]
+    kind = pa.list_(pa.struct([("j", pa.int32()), ("m", pa.int64()), ("codes", pa.binary())]))
+    return pa.Table.from_arrays([chunk.column("data").combine_chunks(), pa.array([found], kind)], names=["data", "answers"])
 
-def _learn(p: MixingParameters, shared):
-    size = 1 << p.bits
 
+def _held(batches):
+    """Rows of each chunk, and by order what other chunks counted."""
+    for batch in batches:
+        for data, answers in zip(batch.column(0), batch.column(1)):
+            by: dict[int, list] = {}
+            for a in answers.as_py():
+                by.setdefault(a["j"], []).append(_unpack(a["m"], a["codes"]))
+            yield _rows_of(data.as_py()), {j: tuple(np.concatenate(c) for c in zip(*parts)) for j, parts in by.items()}
+
+
+def _learn(p: MixingParameters, width: int):
     def run(batches):
         import pyarrow as pa
 
-        counts, mixer, total = shared.value, Mixer(), 0.0
-        for names, n in _steps_of(batches):
-            spelled = Spelling(names)
-            weight = np.minimum(n, 64.0)[spelled.owner]
-            for at, slots, bit, node in spelled.bits(p.bits):
-                y = bit.astype(float)
-                # without the occurrence itself
-                zeros = [np.maximum(0, counts[j, s] - (1 - y)) for j, s in enumerate(slots)]
-                ones = [np.maximum(0, counts[j, s + size] - y) for j, s in enumerate(slots)]
-                x, gate = mixer.inputs(zeros, ones, node, p.prior)
-                for k in range(0, len(at), p.batch):
-                    cut = slice(k, k + p.batch)
-                    mixer.learn(x[:, cut], gate[cut], node[cut], y[cut], weight[at[cut]], p.rate)
-            total += float(n.sum())
+        mixer, total = Mixer(), 0.0
+        for rows, others in _held(batches):
+            texts = [lowered(r[3]) for r in rows if r[2]]
+            if not texts:
+                continue
+            spelled = Spelling(texts)
+            counts = Counts(spelled, np.ones(len(texts)), others, width, p.prior, True)
+            for k, (at, bit, node) in enumerate(spelled.nodes()):
+                for a in range(0, len(at), BLOCK):
+                    block = slice(a, a + BLOCK)
+                    here, y = node[block], bit[block].astype(float)
+                    x, gate = counts.inputs(k, at[block], here)
+                    for b in range(0, len(here), p.batch):
+                        cut = slice(b, b + p.batch)
+                        mixer.learn(x[:, cut], gate[cut], here[cut], y[cut], np.ones(len(y[cut])), p.rate)
+            total += len(spelled.owner)
         if total:
             values = mixer.values()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values), pa.array([total] * len(values))], names=["k", "value", "mass"])
@@ -264,76 +416,78 @@ def _learn(p: MixingParameters, shared):
     return run
 
 
-def _score(p: MixingParameters, shared, mixed):
-    size = 1 << p.bits
-
+def _score(p: MixingParameters, width: int, mixed: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        counts, mixer = shared.value, Mixer(mixed)
-        for names, n in _steps_of(batches):
-            spelled = Spelling(names)
-            total = np.zeros(len(names))
-            for at, slots, bit, node in spelled.bits(p.bits):
-                x, gate = mixer.inputs([counts[j, s] for j, s in enumerate(slots)], [counts[j, s + size] for j, s in enumerate(slots)], node, p.prior)
-                _, q, _, _ = mixer.predict(x, gate, node)
-                total += np.bincount(spelled.owner[at], weights=np.log10(np.where(bit == 1, q, 1 - q)), minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n.astype(np.int64)), pa.array(total)], names=["symbol", "n", "score"])
+        mixer = Mixer(mixed)
+        for rows, others in _held(batches):
+            spelled = Spelling([lowered(r[3]) for r in rows])
+            counts = Counts(spelled, np.array([r[2] for r in rows], dtype=float), others, width, p.prior, False)
+            total = np.zeros(len(rows))
+            for k, (at, bit, node) in enumerate(spelled.nodes()):
+                for a in range(0, len(at), BLOCK):
+                    block = slice(a, a + BLOCK)
+                    x, gate = counts.inputs(k, at[block], node[block])
+                    q = mixer.predict(x, gate, node[block])[1]
+                    total += np.bincount(spelled.owner[at[block]], weights=np.log10(np.where(bit[block] == 1, q, 1 - q)), minlength=len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(total)], names=["row", "score"])
 
     return run
 
 
-def symbol_scores(docs: DataFrame, p: MixingParameters, train: str, text_col: str) -> DataFrame:
-    """(``symbol``, ``n``, ``score``): every symbol of the documents, how often the training documents
-    hold it, and its log10 probability. ``train`` is the name of a Boolean column."""
-    spark = docs.sparkSession
-    counted = docs.select(F.coalesce(F.col(train), F.lit(False)), F.col(text_col).cast("string")).mapInArrow(_count, "symbol binary, n long")
-    vocabulary = materialise(counted.groupBy("symbol").agg(F.sum("n").alias("n")), "symbols")
-    shards = max(1, -(-vocabulary.count() // p.shard))
-    dealt = vocabulary.repartition(shards)  # any deal will do, as counts are added and weights averaged
-    tallied = dealt.where("n > 0").mapInArrow(_tally(p), "j int, at int, data binary")
-    merged = tallied.groupBy("j", "at").applyInPandas(_add, "j int, at int, data binary")
-    counts = np.zeros((len(ORDERS), 2 << p.bits), dtype=np.float32)
-    for j, at, data in merged.toLocalIterator():  # the tables' size is fixed by the parameters
-        counts[j, at : at + BLOCK] = np.frombuffer(data, dtype=np.float32)
-    shared = spark.sparkContext.broadcast(counts)
-    learnt = dealt.where("n > 0").mapInArrow(_learn(p, shared), "k int, value double, mass double")
+def text_scores(chunks: DataFrame, p: MixingParameters) -> DataFrame:
+    """(``row``, ``score``): the log10 probability of every text of the chunks."""
+    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # there are no more contexts of an order than positions
+    width = min(55, max(p.bits, int(size).bit_length() + CHECK))
+    shares = max(1, -(-size // SHARE))
+    answered = []
+    for j in range(len(ORDERS)):  # one by one, so that the disk holds the shuffle of one order only
+        tallied = chunks.select("chunk", "data").mapInArrow(_tally(width, shares, [j]), "j int, share int, chunk long, m long, codes binary")
+        answered.append(materialise(tallied.groupBy("j", "share").applyInArrow(_answer, "chunk long, j int, m long, codes binary"), "lm-answers"))
+        del tallied
+        gc.collect()
+        chunks.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes shuffles whose frames are gone
+    answers = reduce(DataFrame.unionByName, answered)
+    ready = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ready, "data binary, answers array<struct<j:int,m:bigint,codes:binary>>")
+    held = materialise(ready, "lm-ready")
+    for frame in answered:
+        drop_materialised(frame)
+    learnt = held.mapInArrow(_learn(p, width), "k int, value double, mass double")
     means = learnt.groupBy("k").agg((F.sum(F.col("value") * F.col("mass")) / F.sum("mass")).alias("value")).orderBy("k").collect()
     mixed = np.array([r["value"] for r in means]) if means else Mixer().values()
-    return materialise(vocabulary.mapInArrow(_score(p, shared, mixed), "symbol binary, n long, score double"), "symbol-scores")
+    return materialise(held.mapInArrow(_score(p, width, mixed), "row long, score double"), "lm-scores")
 
 
-_PARTS = "row long, doc_id long, symbol binary, n long, tokens long, bytes long, known long, base double, score double"
+_PARTS = "row long, doc_id long, symbol binary, n long, tokens long, bytes long, known long, base double"
 
 
 def _documents(frequent):
-    """Per document the sums over frequent symbols in one row, and a row for each other symbol."""
+    """Per document the sums over frequent words in one row, and a row for each other word."""
 
     def run(batches):
         import math
 
         import pyarrow as pa
 
-        look = {bytes(s): (n, math.log10(n + 1), score) for s, n, score in frequent.value}
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        for pairs, texts in steps(batches):
-            out: list[tuple] = []
-            for pair, text in zip(pairs, texts):
-                row, doc = pair["row"], pair["doc_id"]
-                tokens, known, base, score = 0, 0, 0.0, 0.0
-                for s, n in Counter(symbols(text)).items():
-                    word = is_word(s)
-                    tokens += n * word
-                    hit = look.get(s)
-                    if hit is None:
-                        out.append((row, None, s, n, None, None, None, None, None))
-                        continue
-                    if word:
+        look = {bytes(s): (n, math.log10(n + 1)) for s, n in frequent.value}
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        for batch in batches:
+            for data in batch.column(0):
+                out: list[tuple] = []
+                for row, doc, _, text in _rows_of(data.as_py()):
+                    tokens, known, base = 0, 0, 0.0
+                    for s, n in Counter(words(text)).items():
+                        tokens += n
+                        hit = look.get(s)
+                        if hit is None:
+                            out.append((row, None, s, n, None, None, None, None))
+                            continue
                         known += n * (hit[0] > 0)
                         base += n * hit[1]
-                    score += n * hit[2]
-                out.append((row, doc, None, None, tokens, len(text.encode("utf-8", "surrogatepass")), known, base, score))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _PARTS.split(", ")])
+                    out.append((row, doc, None, None, tokens, len(text.encode("utf-8", "surrogatepass")), known, base))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
     return run
 
@@ -350,25 +504,28 @@ def score_documents(docs: DataFrame, train: str, p: MixingParameters = MixingPar
     table gives an empty result; texts are read whole.
     """
     spark = docs.sparkSession
-    scored = symbol_scores(docs, p, train, text_col)
-    token = scored.where(_WORD)
-    n_all, distinct = token.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    top = scored.orderBy(F.col("n").desc(), "symbol").limit(p.frequent)  # bounded by the parameter
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
+    chunks = materialise(rows.mapInArrow(_chunks, "chunk long, size long, data binary"), "lm-chunks")
+    scores = text_scores(chunks, p)
+    counted = rows.select("train", "text").mapInArrow(_count, "symbol binary, n long")
+    vocabulary = materialise(counted.groupBy("symbol").agg(F.sum("n").alias("n")), "words")
+    n_all, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    top = vocabulary.orderBy(F.col("n").desc(), "symbol").limit(p.frequent)  # bounded by the parameter
     frequent = spark.sparkContext.broadcast([tuple(r) for r in top.collect()])
-    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id")).alias("pair"), F.col(text_col).cast("string").alias("text"))
-    parts = materialise(rows.mapInArrow(_documents(frequent), _PARTS), "lm-parts")
+    parts = materialise(chunks.select("data").mapInArrow(_documents(frequent), _PARTS), "lm-parts")
     rare = parts.where("symbol is not null").select("row", "symbol", F.col("n").alias("times"))
-    joined = rare.join(scored, "symbol").withColumn("word", F.expr(_WORD))
+    joined = rare.join(vocabulary, "symbol")
     times, n = F.col("times"), F.col("n")
     none = F.lit(None)
     sums = joined.select(
         "row", none.cast("long").alias("doc_id"), none.cast("long").alias("tokens"), none.cast("long").alias("bytes"),
-        F.when(F.col("word") & (n > 0), times).otherwise(0).alias("known"),
-        F.when(F.col("word"), times * F.log10(n + 1.0)).otherwise(0.0).alias("base"),
-        (times * F.col("score")).alias("score"),
+        F.when(n > 0, times).otherwise(0).alias("known"),
+        (times * F.log10(n + 1.0)).alias("base"),
+        F.lit(0.0).alias("score"),
     )
-    own = parts.where("symbol is null").select("row", "doc_id", "tokens", "bytes", "known", "base", "score")
-    every = own.unionByName(sums).groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "tokens", "bytes")], *[F.sum(c).alias(c) for c in ("known", "base", "score")])
+    own = parts.where("symbol is null").select("row", "doc_id", "tokens", "bytes", "known", "base", F.lit(0.0).alias("score"))
+    coded = scores.select("row", none.cast("long").alias("doc_id"), none.cast("long").alias("tokens"), none.cast("long").alias("bytes"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
+    every = own.unionByName(sums).unionByName(coded).groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "tokens", "bytes")], *[F.sum(c).alias(c) for c in ("known", "base", "score")])
     return every.select(
         "doc_id",
         F.col("tokens").alias("n_tokens"),

@@ -70,6 +70,37 @@ def test_project(spark, tmp_path):
         Transform("x", Output.WELCH)
 
 
+def test_project_outputs_are_per_window(spark, tmp_path):
+    """Windows are cut, joined and zero-filled; recordings overlap (1, 2), leave a gap (2, 3) and a window without any."""
+    second = 1_000_000
+    spans = [(1, 0, 2), (2, 1, 3), (3, 5, 6), (4, 11, 12)]
+    rows = [(1, i, a * second, z * second, [float(i)] * (8 * (z - a))) for i, a, z in spans]
+    project = Project(spark, f"file://{tmp_path}/p")
+    project.build(spark.createDataFrame(rows, "key long, id long, begin_us long, end_us long, x array<double>"))
+    fft = {"win": spectral.hamming(8).tolist(), "hop": 4, "fs": 8.0}
+    project.run(Transform("total", Output.AUDIO | Output.WELCH | Output.SPECTRUM, mode="timedelta_total", duration_us=4 * second, overlap=0.5, fft=fft))
+    begins = {r["id"]: r["begin_us"] // second for r in project.load("total_windows").collect()}
+    got = {begins[r["id"]]: r["x"] for r in project.load("total_audio").collect()}
+    timeline = [1.0] * 8 + [2.0] * 16 + [0.0] * 16 + [3.0] * 8 + [0.0] * 40 + [4.0] * 8 + [0.0] * 32
+    assert got == {b: timeline[8 * b : 8 * b + 32] for b in range(0, 12, 2)}
+    assert project.load("total_welch").count() == 6 * 5 and project.load("total_spectrum").select("id").distinct().count() == 6
+    project.run(Transform("chunk", Output.AUDIO, mode="timedelta_file", duration_us=2 * second))
+    begins = {r["id"]: r["begin_us"] // second for r in project.load("chunk_windows").collect()}
+    got = {begins[r["id"]]: r["x"] for r in project.load("chunk_audio").collect()}
+    assert begins and got == {b: timeline[8 * b : 8 * b + 16] for b in begins.values()}
+
+
+def test_project_rates_in_one_window(spark, tmp_path):
+    rows = [(1, 1, 0, 1_000_000, 8.0, [1.0] * 8), (1, 2, 1_000_000, 2_000_000, 4.0, [2.0] * 4)]
+    project = Project(spark, f"file://{tmp_path}/p")
+    project.build(spark.createDataFrame(rows, "key long, id long, begin_us long, end_us long, rate double, x array<double>"))
+    project.run(Transform("t", Output.AUDIO, mode="timedelta_total", duration_us=2_000_000, sample_rate=8.0))
+    x = project.load("t_audio").first()["x"]
+    assert len(x) == 16 and x[2] == pytest.approx(1, abs=0.3) and x[13] == pytest.approx(2, abs=0.5)
+    with pytest.raises(ValueError):
+        project.prepare(Transform("u", Output.AUDIO, mode="timedelta_total", duration_us=2_000_000))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(source)

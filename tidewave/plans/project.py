@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import signal, spectral
 from ..operators import segments
+from ..operators.timeline import clip, interval_join
+from ..sources.wav import gap_filled
 
 
 class Output(IntFlag):
@@ -95,21 +97,61 @@ class Project:
         recordings.write.mode("errorifexists").parquet(self._within("original"))
         self._save({"outputs": {"original": {"transform": None, "kind": "recordings"}}})
 
-    def prepare(self, t: Transform) -> dict[str, DataFrame]:
-        """Lazy frames by kind of output; nothing runs. Windows are those of whole files in mode files."""
-        own = self.spark.read.parquet(self._within("original"))
+    def _windows(self, own: DataFrame, t: Transform) -> DataFrame:
+        """(key, id, begin_us, end_us, ...): in mode files the id is the file's, else a hash of key and bounds."""
         if t.mode == "files":
-            windows = segments.windows_files(own, "key")
-        elif t.mode == "timedelta_total":
+            return segments.windows_files(own, "key")
+        if t.mode == "timedelta_total":
             windows = segments.windows_total(segments.total_bounds(own, "key"), t.duration_us, t.overlap)
         else:
             windows = segments.windows_file_anchored(own, "key", t.duration_us, t.overlap)
+        return windows.withColumn("id", F.xxhash64("key", "begin_us", "end_us"))
+
+    def _signals(self, own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
+        """(id, x): one array per window, joined from the recordings without their overlaps; what none covers is 0.
+
+        Recordings of each rate fill arrays of their own, which are resampled whole and added up.
+        """
+        derived = F.round(F.size("x") * 1_000_000 / (F.col("end_us") - F.col("begin_us")), 6)
+        own = own.withColumn("rate", F.coalesce(F.col("rate").cast("double"), derived) if "rate" in own.columns else derived)
+        rates = [r[0] for r in own.where("rate > 0").select("rate").distinct().collect()]  # a handful of sampling rates
+        if not t.sample_rate and len(rates) > 1:
+            raise ValueError("recordings of several sampling rates need a sample_rate")
+        target = t.sample_rate or (rates[0] if rates else 1.0)
+        kept = windows if t.mode == "files" else segments.windows_files(own, "key")
+        whole = own.select("key", "id", F.col("begin_us").alias("file_us"), "rate", "x")
+        spans = kept.select("key", "begin_us", "end_us", F.col("id").alias("file"))
+        if t.mode == "files":
+            met = spans.select("key", F.col("file").alias("id"), "file", "begin_us", F.col("begin_us").alias("at"), F.col("end_us").alias("to"))
+        else:
+            pairs = interval_join(windows.select("key", "id", "begin_us", "end_us"), spans, ["key"], t.duration_us)
+            at, to = clip(F.col("r_begin_us"), F.col("r_end_us"), F.col("l_begin_us"), F.col("l_end_us"))
+            met = pairs.select(F.col("l_key").alias("key"), F.col("l_id").alias("id"), F.col("r_file").alias("file"), F.col("l_begin_us").alias("begin_us"), at.alias("at"), to.alias("to"))
+        items = met.join(whole.withColumnRenamed("id", "file"), ["key", "file"])
+        first, stop = segments.frame_bounds(F.col("file_us"), F.col("at"), F.col("to"), F.col("rate"))
+        frame = lambda us: F.bround((us - F.col("begin_us")) * F.col("rate") / 1_000_000).cast("int")
+        offset = frame(F.col("at"))
+        n = F.greatest(F.least(stop - first, frame(F.col("to")) - offset), F.lit(0)).cast("int")
+        cut = items.select("id", "rate", offset.alias("offset"), F.slice("x", (first + 1).cast("int"), n).alias("x"))
+        parts = []
+        for rate in rates or [target]:
+            span = windows.select("id", F.bround((F.col("end_us") - F.col("begin_us")) * rate / 1_000_000).cast("int").alias("n"))
+            # each window once, so that one without recordings is there as well
+            mine = cut.where(F.col("rate") == rate).drop("rate").unionByName(span.select("id", F.lit(0).alias("offset"), F.array().cast("array<double>").alias("x")))
+            filled = gap_filled(mine.join(span, "id"), F.col("n"), ["id"])
+            parts.append(filled if rate == target else signal.resample(filled, rate, target))
+        if len(parts) == 1:
+            return parts[0]
+        add = lambda s, v: F.zip_with(s, v, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+        return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.aggregate(F.collect_list("x"), F.array().cast("array<double>"), add).alias("x"))
+
+    def prepare(self, t: Transform) -> dict[str, DataFrame]:
+        """Lazy frames by kind of output; only the sampling rates are read. ``windows`` says what the ``id`` of the other
+        outputs stands for; in mode files they are whole files without their overlaps."""
+        own = self.spark.read.parquet(self._within("original"))
+        windows = self._windows(own, t)
+        signals = signal.normalize(self._signals(own, windows, t), t.normalization)
         out = {}
-        signals = signal.normalize(own.select("id", "x"), t.normalization)
-        if t.sample_rate and own.columns.count("rate"):
-            rates = [r[0] for r in own.select("rate").distinct().collect()]  # a handful of sampling rates
-            parts = [signal.resample(signals.join(own.where(F.col("rate") == r).select("id"), "id", "left_semi"), r, t.sample_rate) for r in rates]
-            signals = reduce(DataFrame.unionByName, parts)
         out["windows"] = windows
         if t.outputs & Output.AUDIO:
             out["audio"] = signals

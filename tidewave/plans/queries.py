@@ -405,6 +405,14 @@ def scale_rescale(spark, sf_dir):
     return scaled.select("id", F.posexplode("power").alias("i", "power")).withColumn("power", F.round("power", 6))
 
 
+@query(f"""WITH {stft_sql(16, 8, *FFT16.slices(64))}, points(i, f) AS (VALUES {_POINTS}),
+near AS (SELECT i, arg_min(k, (abs(k * 4.0 - f), k)) AS k FROM points, range(0, 9) t(k) GROUP BY i)
+SELECT id, p, i::INTEGER AS i, round(power, 6) AS power FROM near JOIN power USING (k)""")
+def scale_rescale_slices(spark, sf_dir):
+    scaled = spectral.stft_power(views.waveforms(spark, sf_dir), FFT16).select("id", "p", SCALE.rescale(F.col("power"), FFT16.frequencies).alias("power"))
+    return scaled.select("id", "p", F.posexplode("power").alias("i", "power")).withColumn("power", F.round("power", 6))
+
+
 # --- text, time, annotations ------------------------------------------------------------------------
 
 

@@ -386,3 +386,14 @@ def test_empty_tables(spark, nothing, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filters.url_verdicts(pages).count() == 0
     assert chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_long_turn_stays_alone(spark):
+    """A turn beyond the budget is a window of its own; the ordinary turns around it share theirs."""
+    said = [(1, i, "user" if i % 2 == 0 else "assistant", "word " * (2000 if i == 10 else 20)) for i in range(20)]
+    w = sorted(chat.format_windows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), chat.WindowBudget(600, 120)).collect(), key=lambda r: r["window"])
+    assert [r["n_new"] for r in w] == [10, 1, 9]
+    assert sorted(r["tokens"] > 600 for r in w) == [False, False, True]
+    said = [(None, i, "system" if i == 0 else "user", "word " * 40) for i in range(40)]
+    w = chat.format_windows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), chat.WindowBudget(600, 120)).collect()
+    assert sum(r["n_new"] for r in w) == 40 and all(600 - 54 < r["tokens"] <= 600 for r in w if r["window"] < len(w) - 1)

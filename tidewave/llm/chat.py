@@ -55,9 +55,9 @@ def format_windows(turns: DataFrame, budget: WindowBudget = WindowBudget(), conv
     end in code points of ``formatted``, end exclusive), ``n_context`` (turns repeated from earlier
     windows, which come first), ``n_new`` and ``tokens``.
 
-    The new turns of a window are those whose prefix sum falls into the same stretch of
-    ``tokens - history - system - longest turn`` units, so a window never exceeds the budget unless
-    a single turn leaves no room for such a stretch; then each turn is its own window, in full.
+    A window ends where the next turn would take it beyond the budget, by the prefix sums and what the
+    window repeats; so it exceeds the budget only where its one new turn does not fit beside
+    the system turn and the history, and such a turn stands in full and leaves other windows as they are.
 
     Defined results: a null text or role counts as empty; turns are ordered by turn (nulls first),
     then role and text, so ties and repeated rows have a fixed order and all stay; rows with a null
@@ -75,15 +75,35 @@ def format_windows(turns: DataFrame, budget: WindowBudget = WindowBudget(), conv
         rows.withColumn("at", F.row_number().over(order))
         .withColumn("end", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("is_system", (F.col("at") == 1) & (F.col("role") == "system"))
-        .withColumn("system", F.max(F.when(F.col("is_system"), F.col("n")).otherwise(0)).over(whole))
-        .withColumn("longest", F.max("n").over(whole))
-        .withColumn("total", F.sum("n").over(whole))
     )
-    room = F.lit(budget.tokens - budget.history) - F.col("system") - F.col("longest")
-    stretch = F.when(room > 0, F.floor((F.col("end") - 1) / room)).otherwise(F.col("at"))
-    one = F.col("total") <= budget.tokens
-    rows = rows.withColumn("key", F.when(one, 0).otherwise(stretch).cast("long"))
-    rows = rows.withColumn("window", F.dense_rank().over(whole.orderBy("key")) - 1)
+    packed = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("at", "n", "end", "is_system"))).alias("turns"),
+        F.max(F.when(F.col("is_system"), F.col("n")).otherwise(0)).alias("system"),
+        F.sum("n").alias("total"),
+    )
+    # what the window in hand holds: its repeated turns and, by the prefix sums, its new ones
+    empty = F.struct(F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("again"), F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        fresh = (s["last"] > s["start"]) & (F.col("total") > budget.tokens) & (s["again"] + t["end"] - s["start"] > budget.tokens)
+        window = F.when(fresh, s["window"] + 1).otherwise(s["window"])
+        # the turns just before the border, as many as fit into the history, without the system turn
+        history = F.aggregate(
+            F.filter("turns", lambda u: (u["end"] <= s["last"]) & (u["end"] > s["start"]) & (s["last"] - u["end"] + u["n"] <= budget.history) & ~u["is_system"]),
+            F.lit(0).cast("long"),
+            lambda a, u: a + u["n"],
+        )
+        return F.struct(
+            window.alias("window"),
+            F.when(fresh, s["last"]).otherwise(s["start"]).alias("start"),
+            F.when(fresh, F.col("system") + history).otherwise(s["again"]).alias("again"),
+            t["end"].alias("last"),
+            F.concat(s["out"], F.array(window)).alias("out"),
+        )
+
+    windows = packed.select("conv_id", F.posexplode(F.aggregate("turns", empty, step, lambda s: s["out"])).alias("place", "window"))
+    windows = windows.select(F.col("conv_id").alias("conv"), (F.col("place") + 1).alias("place"), "window")
+    rows = rows.join(windows, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("at") == F.col("place"))).drop("conv", "place")
     rows = rows.withColumn("windows", F.max("window").over(whole) + 1)
     # where the window of a turn ends, and where the next one begins
     rows = rows.withColumn("border", F.max("end").over(W.partitionBy("conv_id", "window")))

@@ -8,7 +8,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,7 +213,7 @@ def test_components(spark):
 
 def test_lm_base_equals_brute_force(odd, odd_documents, nothing):
     rows = odd.withColumn("train", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)))
-    got = lm_scoring.score_documents(rows, "train", lm_scoring.MixingParameters(bits=14, frequent=20)).collect()
+    got = lm_scoring.score_documents(rows, "train").collect()
     assert len(got) == len(odd_documents)
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [""]
     counts = collections.Counter(w for i, t in odd_documents if i is not None and i % 3 for w in tokens(t))
@@ -222,32 +221,39 @@ def test_lm_base_equals_brute_force(odd, odd_documents, nothing):
     want = sorted((i if i is not None else -1, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens(t)), 5)) for i, t in odd_documents)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["score"] < 0 and r["train_tokens"] == total for r in got)
-    assert lm_scoring.score_documents(nothing.withColumn("train", F.lit(True)), "train", lm_scoring.MixingParameters(bits=12)).count() == 0
+    assert lm_scoring.score_documents(nothing.withColumn("train", F.lit(True)), "train").count() == 0
 
 
 def test_lm_learns(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
     docs = [(i, " ".join(rng.choice(words) for _ in range(60)), i % 5 != 0) for i in range(150)] + [(999, " ".join("zqxjv" for _ in range(60)), False)]
-    got = {r["doc_id"]: r["bits_per_byte"] for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string, train boolean"), "train", lm_scoring.MixingParameters(bits=16)).collect()}
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string, train boolean"), "train").collect()}
     known = np.mean([got[i] for i in range(0, 150, 5)])
     assert known < 2.0 < got[999]
 
 
-def test_lm_bits_sum_to_one():
-    """The probabilities of all bytes and of the stop after a context sum to one."""
-    p = lm_scoring.MixingParameters(bits=12)
-    counts = np.random.default_rng(0).integers(0, 50, (len(lm_scoring.ORDERS), 2 << p.bits)).astype(np.float32)
-    mixer, size = lm_scoring.Mixer(), 1 << p.bits
-    names = [b"ab" + bytes([x]) for x in range(256)] + [b"ab"]
-    spelled, total = lm_scoring.Spelling(names), np.zeros(257)
-    place = np.arange(len(spelled.owner)) - np.searchsorted(spelled.owner, spelled.owner)
-    for at, slots, bit, node in spelled.bits(p.bits):
-        x, gate = mixer.inputs([counts[j, s] for j, s in enumerate(slots)], [counts[j, s + size] for j, s in enumerate(slots)], node, p.prior)
-        q = mixer.predict(x, gate, node)[1]
-        use = place[at] == 2
-        total += np.bincount(spelled.owner[at][use], weights=np.log(np.where(bit == 1, q, 1 - q))[use], minlength=257)
-    assert np.exp(total).sum() == pytest.approx(1)
+def _lm_table(texts: list[bytes]):
+    laid = lm_scoring.Laid(texts)
+    keys, n = lm_scoring.tally(laid.keys(), np.ones(len(laid.owner), dtype=bool))
+    low = lm_scoring._summed(keys >> np.uint64(45) << np.uint64(9) | keys & np.uint64(511), n)
+    return keys, n, low, lm_scoring.Code(np.bincount((low[0] & np.uint64(511)).astype(int), weights=low[1], minlength=257))
+
+
+def test_lm_symbols_sum_to_one():
+    """The probabilities of all bytes and of the end after a context sum to one, learnt or not."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ab", "abc", "ca", "\u00e9t"]) for _ in range(30)).encode() for _ in range(20)]
+    keys, n, low, code = _lm_table(texts)
+    own = np.unique(keys >> np.uint64(9))[::7]
+    whole = np.concatenate([keys, (own[:, None] << np.uint64(9) | np.arange(257, dtype=np.uint64)).ravel()])
+    whole, n = lm_scoring._summed(whole, np.concatenate([n, np.zeros(len(own) * 257, dtype=np.int64)]))
+    low = lm_scoring._summed(np.concatenate([low[0], np.unique(whole >> np.uint64(45) << np.uint64(9) | whole & np.uint64(511))]), np.concatenate([low[1], np.zeros(len(np.unique(whole >> np.uint64(45) << np.uint64(9) | whole & np.uint64(511))), dtype=np.int64)]))
+    p = lm_scoring.MixingParameters()
+    for mixer in (lm_scoring.Mixer(), lm_scoring.learnt(whole, n, low, code, p)):
+        said = 10 ** lm_scoring.scored(whole, n, low, code, p, mixer)
+        for c in own:
+            assert said[whole >> np.uint64(9) == c].sum() == pytest.approx(1)
 
 
 def test_lm_context_crosses_words(spark):
@@ -261,55 +267,79 @@ def test_lm_context_crosses_words(spark):
     assert all(got[100] > got[200 + i] + 20 for i in range(len(mixed)))
 
 
-def _lm_chunks(parts: list[list[tuple[str, bool]]], width: int, shares: int) -> list[tuple]:
-    """(rows, answers) of each chunk, by the kernels that run on the executors."""
-    import pyarrow as pa
-
-    rows = [pa.RecordBatch.from_pylist([{"row": 1000 * c + i, "doc_id": i, "train": t, "text": x} for i, (x, t) in enumerate(part)]) for c, part in enumerate(parts)]
-    chunks = [next(lm_scoring._chunks([r])) for r in rows]
-    sent = pa.Table.from_batches([b for c in chunks for b in lm_scoring._tally(width, shares)([c.select(["chunk", "data"])])])
-    back = []
-    for j in range(len(lm_scoring.ORDERS)):
-        for share in range(shares):
-            own = sent.filter((pc.field("j") == j) & (pc.field("share") == share))
-            if own.num_rows:
-                back.append(lm_scoring._answer(own))
-    answers = pa.concat_tables(back)
-    ready = [lm_scoring._ready(pa.Table.from_batches([c]), answers.filter(pc.field("chunk") == c.column("chunk")[0])) for c in chunks]
-    return [b for r in ready for b in r.to_batches()]
-
-
-def test_lm_table_is_whole_however_it_is_dealt():
-    """Counts of every context and bit equal those of one exact table, without meetings of unrelated contexts."""
-    rng = random.Random(10)
-    say = lambda: " ".join(rng.choice(["ab", "abc", "b", "ca", "\u00e9t"]) for _ in range(30))
-    parts = [[(say(), rng.random() < 0.7) for _ in range(4)] for _ in range(3)]
-    exact = collections.Counter()
-    spelled_all = lm_scoring.Spelling([lm_scoring.lowered(x) for part in parts for x, t in part if t])
-    for j, order in enumerate(lm_scoring.ORDERS):
-        context = spelled_all.context(order)
-        for at, bit, node in spelled_all.nodes():
-            exact.update((j, c, d, b) for c, d, b in zip(context[at].tolist(), node.tolist(), bit.tolist()))
-    for shares in (1, 5):
-        for (rows, others), part in zip(lm_scoring._held(_lm_chunks(parts, 30, shares)), parts):
-            spelled = lm_scoring.Spelling([lm_scoring.lowered(x) for x, _ in part])
-            counts = lm_scoring.Counts(spelled, np.array([t for _, t in part], dtype=float), others, 30, 0.4, False)
-            for k, (at, bit, node) in enumerate(spelled.nodes()):
-                x = counts.inputs(k, at, node)[0]
-                for j, order in enumerate(lm_scoring.ORDERS):
-                    keys = list(zip(spelled.context(order)[at].tolist(), node.tolist()))
-                    want = [math.log((exact[j, c, d, 1] + 0.4) / (exact[j, c, d, 0] + 0.4)) for c, d in keys]
-                    assert np.allclose(x[j], want, atol=1e-5)
+def _brute(code, texts: list[bytes], p, mixer, without: bool):
+    """(text, depth, inputs, gate, bit, node) of every bit, one by one, from dictionaries of counts."""
+    counts = collections.Counter()
+    symbols = [[257] * 6 + list(t) + [256] for t in texts]
+    for s in symbols:
+        for i in range(6, len(s)):
+            for order in range(1, 7):
+                for d in range(code.length[s[i]] + 1):
+                    counts[order, tuple(s[i - order : i]), tuple(code.bit[s[i], :d])] += 1
+    for k, s in enumerate(symbols):
+        for i in range(6, len(s)):
+            for d in range(code.length[s[i]]):
+                path, x, seen = tuple(code.bit[s[i], : d + 1]), [], {}
+                for order in range(1, 7):
+                    here, on = counts[order, tuple(s[i - order : i]), path[:-1]], counts[order, tuple(s[i - order : i]), path]
+                    x.append(math.log((max(0, on - without) + p.prior) / (here - on + p.prior)))
+                    seen[order] = int(math.log2(max(0, on - without) + here - on + 1))
+                gate = min(d, lm_scoring.DEPTHS - 1) * lm_scoring.LEVELS + min(4, seen[6]) * 4 + min(3, seen[4] // 3)
+                yield k, d, x, gate, path[-1], code.node[s[i], d]
+
+
+def test_lm_equals_a_mixer_bit_by_bit():
+    """Scores of whole texts equal those of a plain mixer that goes through them bit by bit."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["ab", "abc", "b", "ca", "\u00e9t"]) for _ in range(rng.randint(0, 40))).encode() for _ in range(12)]
+    keys, n, low, code = _lm_table(texts)
+    p = lm_scoring.MixingParameters()
+    mixer = lm_scoring.learnt(keys, n, low, code, p)
+    assert np.abs(mixer.weights - 0.25).max() > 0.05
+    laid = lm_scoring.Laid(texts)
+    got = np.bincount(laid.owner, weights=lm_scoring.scored(keys, n, low, code, p, mixer)[np.searchsorted(keys, laid.keys())])
+    want = np.zeros(len(texts))
+    for k, _, x, gate, bit, node in _brute(code, texts, p, mixer, False):
+        t = min(7.999, max(-7.999, float(mixer.weights[gate] @ np.array(x))))
+        place = ((t if bit else -t) + 8) * (lm_scoring.BUCKETS - 1) / 16
+        low_cell = int(place)
+        one = mixer.map[node, low_cell] * (1 - place + low_cell) + mixer.map[node, low_cell + 1] * (place - low_cell)
+        want[k] += math.log10(min(1 - 1e-6, max(1e-6, (1 / (1 + math.exp(-t)) + (one if bit else 1 - one)) / 2)))
+    assert np.allclose(got, want, atol=1e-3)
 
 
 def test_lm_learns_from_every_occurrence(monkeypatch):
-    """Weights and map see each training position once, however often its word occurs."""
-    seen = []
-    monkeypatch.setattr(lm_scoring.Mixer, "learn", lambda self, x, gate, node, bit, weight, rate: seen.append(weight[node == 0].sum()))
-    text = "ab " * 500
-    batches = _lm_chunks([[(text, True), ("never learnt", False)]], 30, 1)
-    assert list(lm_scoring._learn(lm_scoring.MixingParameters(), 30)(batches))
-    assert sum(seen) >= len(text) + 1
+    """Weights and map see each bit of the training texts as often as it occurs, with its own occurrence taken out."""
+    texts = [b"ab " * 300, b"abba", b""]
+    keys, n, low, code = _lm_table(texts)
+    p, got, want = lm_scoring.MixingParameters(), collections.Counter(), collections.Counter()
+
+    def seen(self, x, gate, bit, node, weight, rate):
+        for v, g, b, m, w in zip(x, gate, bit, node, weight):
+            got[tuple(np.round(v, 4)), int(g), int(b), int(m)] += w
+
+    monkeypatch.setattr(lm_scoring.Mixer, "learn", seen)
+    lm_scoring.learnt(keys, n, low, code, p)
+    for _, _, x, gate, bit, node in _brute(code, texts, p, None, True):
+        want[tuple(np.round(np.array(x, dtype=np.float32), 4)), gate, int(bit), int(node)] += 1
+    assert got == want
+
+
+def test_lm_same_scores_however_it_is_dealt(spark, monkeypatch):
+    """Words, counts and base scores are equal for any chunks and shares; scores differ by the averaging of weights only."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 200))), i % 6 != 0) for i in range(300)], "doc_id long, text string, train boolean")
+    p = lm_scoring.MixingParameters(batch=256)
+    one = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, "train", p).collect()}
+    for name, value in (("CHUNK", 9_000), ("SHARE", 40_000), ("MERGED", 3)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    many = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, "train", p).collect()}
+    assert set(one) == set(many)
+    for k, r in one.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (many[k]["n_tokens"], many[k]["n_known"], many[k]["train_tokens"])
+        assert many[k]["base_score"] == pytest.approx(r["base_score"]) and many[k]["score"] == pytest.approx(r["score"], rel=0.05, abs=1)
+    assert sum(r["score"] for r in many.values()) == pytest.approx(sum(r["score"] for r in one.values()), rel=0.01)
 
 
 # --- personal data ---

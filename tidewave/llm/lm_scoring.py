@@ -1,288 +1,212 @@
 """Language-model scores by online logistic context mixing.
 
-A text, lower-cased in A-Z, is coded byte by byte in its order and closed by an end mark: before every
-byte one bit says whether the text stops, then follow the eight bits of the byte. Several predictors give a
-probability for a bit, each by counts of the bits that followed a context of the running text: the last one to six
-bytes, across the borders of words, and the previous word with what is written of the current one.
-A gate picks a set of weights by how much the predictors have seen; the weighted sum in the logistic
-domain is refined by an adaptive probability map. The sum of the bits' logarithms is the score.
-
-All training documents are counted, whole. The counts are a distributed table of hashed context, next symbol and
-number, whose hashes are as wide as the corpus asks for. It is dealt by context and never held in one place: texts lie
-in chunks, a chunk sends its contexts to their shares of the table, and gets back what other chunks
-counted after them. Rows travel packed, sorted and as differences. Weights and map are learnt online
-over every training position of a chunk, its own count taken out beforehand, and averaged by positions; then
-each text is scored with them.
+A text, lower-cased in A-Z, is coded byte by byte in its order and closed by an end mark. A byte (or the end
+mark) is a path of bits in a binary code whose frequent symbols have short paths. Six predictors give a probability
+for every bit, each by counts of the bits that followed a context of the running text: the last one to six
+bytes, across the borders of words. A gate picks a set of weights by how much the predictors have seen and
+how far the path has come; the weighted sum in the logistic domain is refined by an adaptive probability map.
+The sum of the bits' logarithms is the score.
+
+All predictions of a position follow from its last six symbols and its own, seven symbols of nine bits: a key of
+63 bits, which is a hash of the contexts without collisions. So counting, learning and scoring go by the
+distinct keys and not by positions. Texts lie in chunks. A chunk sends its distinct keys with their numbers in training
+texts to shares of the table, dealt by the hash of the last three symbols, so that a share holds all
+counts of the contexts from three symbols on; those of one and two symbols have at most 258 * 258 * 257
+entries and are broadcast. Each share learns weights and map online over its keys in a fixed order, each as often as it
+occurs and without its own occurrence; they are averaged over the shares, every share scores its keys with them, and each
+chunk gets the scores of its keys back. Counts of words for the base score travel the same way. The table
+grows with the corpus and is never held in one place. Keys travel packed, sorted and as differences.
 """
 
 from __future__ import annotations
 
 import gc
-from collections import Counter
+import heapq
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import crc32_of_id, drop_materialised, materialise, table
-from ._text import mix, steps
+from ._text import mix
 
-ORDERS = (1, 2, 3, 4, 5, 6, 0)  # 0: the previous word and the bytes of the current one
-GATES = 64
-BUCKETS = 33
-COUNTER_ENTRIES = 400_000
-#: Characters of a chunk, positions of one order in a share of the table (about), and positions mixed at once.
-CHUNK, SHARE, BLOCK = 2_000_000, 8_000_000, 1 << 16
-#: Bits of a hashed context beyond the number of positions: one in 2**CHECK contexts, at most, meets another one's counts.
-CHECK = 10
+ORDERS = 6
+#: The end mark and what stands before a text; symbols below are bytes.
+END, BEFORE = 256, 257
+WORDS, KEYS = 0, 1
+#: The orders of which a share has all counts begin here; lower ones are broadcast.
+OWN = 3
+#: Bytes of a chunk, positions for each share of the table, most shares, and chunks whose keys are merged at once.
+CHUNK, SHARE, MOST_SHARES, MERGED = 6_000_000, 16_000_000, 4_096, 512
+DEPTHS, LEVELS, BUCKETS, BLOCK = 12, 20, 33, 1 << 14
+
+U = np.uint64
 
 
 @dataclass(frozen=True)
 class MixingParameters:
-    """``bits`` of a hashed context at least; the corpus may ask for more (see ``CHECK``). ``frequent`` words are
-    broadcast to the tasks."""
+    """``prior`` is added to both counts of a bit; ``rate`` is the first step of the weights, whose steps shrink with the
+    gradients seen; ``batch`` keys are learnt from at once."""
 
-    bits: int = 20
-    frequent: int = 50_000
     prior: float = 0.4
-    rate: float = 0.002
-    batch: int = 2_048
+    rate: float = 0.1
+    batch: int = 4_096
 
 
 def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def words(text: str) -> list[bytes]:
-    """Words of a text in order, and the end mark (empty)."""
-    return [*lowered(text).split(), b""]
-
+class Code:
+    """A binary code of the symbols from how often they occur: frequent ones have short paths.
 
-def _count(batches):
-    """Partial counts of words in training documents; 0 for those of other documents."""
-    import pyarrow as pa
+    By symbol and depth: ``bit`` and ``node`` (the inner node where the bit is decided); ``length`` and ``rank``
+    (the place among all symbols from left to right); ``common``, by two ranks, is the length of the shared path.
+    """
 
-    held: Counter = Counter()
+    def __init__(self, counts: np.ndarray):
+        size = END + 1
+        heap = [(int(n) + 1, s) for s, n in enumerate(counts)]
+        heapq.heapify(heap)
+        parent: dict[int, tuple[int, int]] = {}
+        for inner in range(size, 2 * size - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x], parent[y] = (inner, 0), (inner, 1)
+            heapq.heappush(heap, (a + b, inner))
+        paths = []
+        for s in range(size):
+            path, at = [], s
+            while at in parent:
+                up, bit = parent[at]
+                path.append((up - size, bit))
+                at = up
+            paths.append(path[::-1])
+        self.length = np.array([len(p) for p in paths])
+        depth = int(self.length.max())
+        self.bit, self.node = np.zeros((size, depth), dtype=np.int8), np.zeros((size, depth), dtype=np.int64)
+        for s, p in enumerate(paths):
+            self.node[s, : len(p)], self.bit[s, : len(p)] = zip(*p)
+        bits = [tuple(b for _, b in p) for p in paths]
+        self.symbol = np.array(sorted(range(size), key=bits.__getitem__))
+        self.rank = np.argsort(self.symbol)
+        padded = np.where(np.arange(depth) < self.length[:, None], self.bit, -1)[self.symbol]
+        self.common = np.argmin(np.concatenate([padded[:, None] == padded[None], np.zeros((size, size, 1), bool)], axis=2), axis=2).astype(np.int16)
+
+
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BASE, _STEP = 0x9E3779B97F4A7C15, 1 << 12
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number, modulo 2**64."""
+    low = np.cumprod(np.concatenate([[U(1)], np.full(_STEP - 1, U(base))]))
+    high = np.cumprod(np.concatenate([[U(1)], np.full(n // _STEP, U(pow(base, _STEP, 1 << 64)))]))
+    return (high[:, None] * low).ravel()[:n]
+
+
+class Laid:
+    """Texts laid end to end: the key of each position and the text that it belongs to; the same for hashes of the words."""
 
-    def rows():
-        keys = list(held)
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([held[k] for k in keys], pa.int64())], names=["symbol", "n"])
-        held.clear()
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        ends = np.cumsum(sizes + ORDERS + 1)
+        self.raw = np.frombuffer(b"".join([x for t in texts for x in (b"\0" * ORDERS, t, b"\0")]), dtype=np.uint8)
+        flat = self.raw.astype(np.uint16)
+        flat[ends - 1] = END
+        for k in range(ORDERS):
+            flat[ends - 2 - sizes - k] = BEFORE
+        self.flat, self.sizes = flat, sizes
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+
+    def keys(self) -> np.ndarray:
+        """Seven symbols: the latest before the position stands highest, the position's own lowest."""
+        out, at = np.empty(len(self.owner), dtype=np.uint64), 0
+        for a in range(0, len(self.flat) - ORDERS, 1 << 16):
+            flat = self.flat[a : a + (1 << 16) + ORDERS].astype(np.uint64)
+            two = flat[1:] << U(9)
+            two |= flat[:-1]
+            four = two[2:] << U(18)
+            four |= two[:-2]
+            six = four[2:] << U(18)
+            six |= two[:-4]
+            every = six[:-1] << U(9)
+            every |= flat[ORDERS:]
+            every = every[self.flat[a + ORDERS : a + ORDERS + len(every)] != BEFORE]
+            out[at : at + len(every)] = every
+            at += len(every)
         return out
 
-    for flags, texts in steps(batches):
-        other: set[bytes] = set()
-        for trained, text in zip(flags, texts):
-            if trained:
-                held.update(words(text))
-            else:
-                other.update(words(text))
-        for s in other:
-            held.setdefault(s, 0)
-        if len(held) > COUNTER_ENTRIES:
-            yield rows()
-    if held:
-        yield rows()
-
-
-class Spelling:
-    """Positions of a list of texts laid end to end; contexts run over a text and end at its begin."""
-
-    def __init__(self, texts: list[bytes]):
-        sizes = np.array([len(s) for s in texts], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), sizes + 1)
-        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
-        self.place = np.arange(len(self.owner)) - self.starts[self.owner]
-        self.last = self.place == sizes[self.owner]
-        self.byte = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)[: len(self.owner)].astype(np.uint64)
-
-    @property
-    def symbol(self) -> np.ndarray:
-        """The nine bits of each position as a number, the stop bit first."""
-        return np.where(self.last, np.uint64(256), self.byte)
-
-    def context(self, order: int) -> np.ndarray:
-        one, prime = np.uint64(1), np.uint64(0x100000001B3)
-        n = len(self.owner)
-        if order:
-            h = np.full(n, order, dtype=np.uint64)
-            for back in range(order, 0, -1):
-                seen = np.zeros(n, dtype=np.uint64)
-                seen[back:] = self.byte[:-back] + one
-                seen[self.place < back] = 0
-                h = h * prime + seen
-        else:
-            # a polynomial of the bytes from the begin of the previous word on, by differences of running sums
-            every = np.arange(n)
-            space = (self.byte == 32) | ((self.byte >= 9) & (self.byte <= 13))
-            begin = self.place == 0
-            begin[1:] |= space[:-1] & ~space[1:]
-            word = np.maximum.accumulate(np.where(begin, every, 0))
-            first = np.maximum(word[np.maximum(word - 1, 0)], self.starts[self.owner])
-            base = np.uint64(0x9E3779B97F4A7C15)
-            power = np.cumprod(np.concatenate([[one], np.full(n, base)]))
-            run = np.concatenate([[np.uint64(0)], np.cumsum((self.byte + one) * power[:-1])])
-            undo = np.cumprod(np.concatenate([[one], np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))]))
-            h = (run[every] - run[first]) * undo[first] + (every - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mix(h + np.uint64(order << 56))
-
-    def codes(self, order: int, width: int) -> np.ndarray:
-        """The leading ``width`` bits of the hashed context, then the nine bits of the symbol."""
-        return (self.context(order) >> np.uint64(64 - width)) << np.uint64(9) | self.symbol
-
-    def nodes(self):
-        """For each of the nine bits: the positions, the bit, and its node."""
-        every = np.arange(len(self.owner))
-        inner = every[~self.last]
-        node = np.zeros(len(every), dtype=np.int64)
-        for k in range(9):
-            at = every if k == 0 else inner
-            bit = self.last.astype(np.int8) if k == 0 else ((self.byte[at] >> np.uint64(8 - k)) & np.uint64(1)).astype(np.int8)
-            if k == 1:
-                node[inner] = 1
-            here = node[at]
-            yield at, bit, here
-            if k:
-                node[at] = here * 2 + bit
-
-    def bits(self, table_bits: int):
-        """As ``nodes``, with slots of the contexts and nodes in tables of 2**table_bits, by order."""
-        shift = np.uint64(64 - table_bits)
-        contexts = [self.context(order) for order in ORDERS]
-        for at, bit, node in self.nodes():
-            spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            yield at, [(((c[at] ^ spread) * np.uint64(0xFF51AFD7ED558CCD)) >> shift).astype(np.int64) for c in contexts], bit, node
-
-
-def _pack(codes: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted codes as differences and their numbers, in planes of bytes."""
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words and of the ends, which are 0, and the text that each is from."""
+        space = _SPACE[self.raw]
+        space[self.flat > 255] = True
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # a text begins after spaces and ends with one
+        begin, end = edge[::2], edge[1::2]
+        run = np.zeros(len(self.raw) + 1, dtype=np.uint64)
+        value = self.raw.astype(np.uint64)
+        value += U(1)
+        value *= _powers(_BASE, len(self.raw))
+        np.cumsum(value, out=run[1:])
+        back = pow(_BASE, -1, 1 << 64)
+        undo = _powers(back, _STEP)[begin % _STEP] * _powers(pow(back, _STEP, 1 << 64), len(self.raw) // _STEP + 1)[begin // _STEP]
+        flat = mix((run[end] - run[begin]) * undo + (end - begin).astype(np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
+        texts = len(self.sizes)
+        stops = np.cumsum(self.sizes + ORDERS + 1)
+        owner = np.searchsorted(stops, begin, side="right")
+        return np.concatenate([flat, np.zeros(texts, dtype=np.uint64)]), np.concatenate([owner, np.arange(texts)])
+
+
+def _planes(data: np.ndarray) -> bytes:
+    """Compressed, all first bytes before all second bytes, and so on."""
     import pyarrow as pa
 
-    step = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return pa.compress(step + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    width = data.dtype.itemsize
+    return pa.compress(np.ascontiguousarray(data).view(np.uint8).reshape(-1, width).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(m: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unplaned(m: int, data: bytes, kind) -> np.ndarray:
     import pyarrow as pa
 
-    raw = np.frombuffer(pa.decompress(data, decompressed_size=12 * m, codec="zstd", asbytes=True), dtype=np.uint8)
-    step = np.ascontiguousarray(raw[: 8 * m].reshape(8, m).T).view(np.uint64).ravel()
-    return np.cumsum(step), np.ascontiguousarray(raw[8 * m :].reshape(4, m).T).view("<u4").ravel().astype(np.int64)
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=width * m, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, m).T).view(kind).ravel()
 
 
-def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and the sums of their numbers."""
-    if not len(codes):
-        return codes, n
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(n[order], first)
-
-
-class Counts:
-    """What the predictors say at each position of the texts of a chunk: the table is the sum of the chunk's own training
-    texts and of what other chunks counted. ``without``: an occurrence's own count is taken out."""
-
-    def __init__(self, spelled: Spelling, trained: np.ndarray, others: dict[int, tuple[np.ndarray, np.ndarray]], width: int, prior: float, without: bool):
-        none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-        self.pair, self.stretch, self.level = [], [], []
-        for j, order in enumerate(ORDERS):
-            kinds, pair = np.unique(spelled.codes(order, width), return_inverse=True)
-            own = np.bincount(pair, weights=trained[spelled.owner], minlength=len(kinds)).astype(np.int64)
-            codes, n = others.get(j, none)
-            keys, n = _summed(np.concatenate([kinds[own > 0], codes]), np.concatenate([own[own > 0], n]))
-            below = np.concatenate([[0], np.cumsum(n)])
-            context = kinds >> np.uint64(9)
-            low = np.searchsorted(keys, context << np.uint64(9))
-            high = np.searchsorted(keys, (context + np.uint64(1)) << np.uint64(9))
-            stretch, level = np.empty((9, len(kinds)), dtype=np.float32), np.empty((9, len(kinds)), dtype=np.int8)
-            for k in range(9):
-                part = np.uint64(1 << (8 - k))
-                bit = (kinds & part) > 0
-                middle = np.searchsorted(keys, (kinds >> np.uint64(9 - k) << np.uint64(9 - k)) | part)
-                zeros, ones = below[middle] - below[low], below[high] - below[middle]
-                if without:
-                    zeros, ones = np.maximum(0, zeros - ~bit), np.maximum(0, ones - bit)
-                stretch[k] = Mixer.stretch(zeros, ones, prior)
-                level[k] = Mixer.level(zeros + ones)
-                low, high = np.where(bit, middle, low), np.where(bit, high, middle)
-            self.pair.append(pair.astype(np.int32))
-            self.stretch.append(stretch)
-            self.level.append(level)
+def _pack(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=keys.dtype.type(0)))
 
-    def inputs(self, k: int, at: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [p[at] for p in self.pair]
-        x = np.empty((len(ORDERS) + 1, len(at)))
-        for j, pair in enumerate(pairs):
-            x[j] = self.stretch[j][k][pair]
-        x[-1] = 1.0
-        return x, Mixer.gate(*[self.level[j][k][pairs[j]] for j in Mixer.GATED], node)
 
+def _unpack(m: int, data: bytes, kind="<u8") -> np.ndarray:
+    return np.cumsum(_unplaned(m, data, kind), dtype=kind)
 
-class Mixer:
-    """Weights by gate, and the adaptive probability map by node."""
 
-    def __init__(self, values: np.ndarray | None = None):
-        if values is None:
-            weights = np.full((GATES, len(ORDERS) + 1), 0.3)
-            weights[:, -1] = 0.0
-            grid = np.tile(np.linspace(-8, 8, BUCKETS), (256, 1))
-            values = np.concatenate([weights.ravel(), 1 / (1 + np.exp(-grid)).ravel()])
-        cut = GATES * (len(ORDERS) + 1)
-        self.weights = values[:cut].reshape(GATES, -1).copy()
-        self.map = values[cut:].reshape(256, BUCKETS).copy()
-
-    def values(self) -> np.ndarray:
-        return np.concatenate([self.weights.ravel(), self.map.ravel()])
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
 
-    GATED = (-1, 3, 2)  # the predictors whose counts choose the gate
 
-    @staticmethod
-    def stretch(zeros: np.ndarray, ones: np.ndarray, prior: float) -> np.ndarray:
-        return np.log((ones + prior) / (zeros + prior))
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
-    @staticmethod
-    def level(n: np.ndarray) -> np.ndarray:
-        return np.minimum(3, np.log2(n + 1).astype(np.int64) // 2)
 
-    @staticmethod
-    def gate(longest: np.ndarray, middle: np.ndarray, short: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return longest.astype(np.int64) * 16 + middle * 4 + np.where(node == 0, 0, 1 + np.minimum(2, short))
+def tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs in training texts (0: only in others)."""
+    own, n = _counted(keys[trained])
+    other, _ = _counted(keys[~trained])
+    return _summed(np.concatenate([own, other]), np.concatenate([n, np.zeros(len(other), dtype=np.int64)]))
 
-    @staticmethod
-    def inputs(zeros: list[np.ndarray], ones: list[np.ndarray], node: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((len(ORDERS) + 1, len(node)))
-        for j, (n0, n1) in enumerate(zip(zeros, ones)):
-            x[j] = Mixer.stretch(n0, n1, prior)
-        x[-1] = 1.0
-        return x, Mixer.gate(*[Mixer.level(zeros[j] + ones[j]) for j in Mixer.GATED], node)
 
-    def predict(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray):
-        t = np.clip(np.einsum("jn,nj->n", x, self.weights[gate]), -8, 8)
-        p = 1 / (1 + np.exp(-t))
-        place = (t + 8) * ((BUCKETS - 1) / 16)
-        low = np.minimum(place.astype(np.int64), BUCKETS - 2)
-        part = place - low
-        refined = self.map[node, low] * (1 - part) + self.map[node, low + 1] * part
-        return p, np.clip((p + refined) / 2, 1e-6, 1 - 1e-6), low, part
-
-    def learn(self, x, gate, node, bit, weight, rate: float) -> None:
-        p, _, low, part = self.predict(x, gate, node)
-        error = (bit - p) * weight
-        mass = np.bincount(gate, weights=weight, minlength=GATES) + 1e-9
-        # one step for the batch: the mean gradient, longer the more of it the gate has seen
-        step = rate * np.minimum(mass, 256.0) / mass
-        for j in range(len(x)):
-            self.weights[:, j] += step * np.bincount(gate, weights=error * x[j], minlength=GATES)
-        for shift, share in ((0, 1 - part), (1, part)):
-            cell = node * BUCKETS + low + shift
-            w = np.bincount(cell, weights=weight * share, minlength=256 * BUCKETS)
-            y = np.bincount(cell, weights=weight * share * bit, minlength=256 * BUCKETS)
-            flat = self.map.reshape(-1)
-            flat += np.where(w > 0, (y / np.maximum(w, 1e-9) - flat) * np.minimum(0.5, w / (w + 200.0)), 0.0)
+def share_of(kind: int, keys: np.ndarray, shares: int) -> np.ndarray:
+    part = keys >> U(9 * (ORDERS + 1 - OWN)) if kind == KEYS else keys
+    return ((mix(part) >> U(32)) * U(shares) >> U(32)).astype(np.uint16)
 
 
 _ROW = "row long, doc_id long, train boolean, text string"
@@ -297,7 +221,7 @@ def _chunks(batches):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(rows)
-        size = sum(len(lowered(x or "")) + 1 for x in rows.column("text").to_pylist())
+        size = rows.num_rows + (pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0)
         return pa.RecordBatch.from_arrays([pa.array([rows.column("row")[0].as_py()], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "size", "data"])
 
     held, size = [], 0
@@ -315,179 +239,329 @@ def _chunks(batches):
         yield packed(pa.Table.from_batches(held))
 
 
-def _rows_of(data: bytes) -> list[tuple]:
-    """(row, doc_id, train, text) of a chunk; a null text counts as empty."""
+def _rows_of(data: bytes) -> tuple[list[int], list[int], np.ndarray, list[bytes]]:
+    """Rows, identifiers, training flags and lower-cased texts of a chunk; a null text counts as empty."""
     import pyarrow as pa
 
     columns = pa.ipc.open_stream(data).read_all().to_pydict()
-    return [(r, d, bool(t), x or "") for r, d, t, x in zip(*(columns[c.split()[0]] for c in _ROW.split(", ")))]
+    return columns["row"], columns["doc_id"], np.array(columns["train"], dtype=bool), [lowered(x or "") for x in columns["text"]]
+
 
+_SENT = "kind int, share int, chunk long, m long, codes binary, n binary"
 
-def _tally(width: int, shares: int, orders=range(len(ORDERS))):
-    """The codes of each chunk with their numbers in its training texts (0: only in others), by share of the table."""
-    cuts = np.array([(i << width) // shares << 9 for i in range(shares)], dtype=np.uint64)
+
+def _tally(shares: int):
+    """The distinct keys and words of each chunk with their numbers in its training texts, by share of the table."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = _rows_of(data.as_py())
-                spelled = Spelling([lowered(r[3]) for r in rows])
-                weight = np.array([r[2] for r in rows], dtype=np.int64)[spelled.owner]
-                for j in orders:
-                    codes, n = _summed(spelled.codes(ORDERS[j], width), weight)
-                    ends = np.append(np.searchsorted(codes, cuts), len(codes))
+                _, _, train, texts = _rows_of(data.as_py())
+                laid = Laid(texts)
+                for kind in (WORDS, KEYS):
+                    keys, owner = laid.words() if kind == WORDS else (laid.keys(), laid.owner)
+                    codes, n = tally(keys, train[owner])
+                    share = share_of(kind, codes, shares)
+                    order = np.argsort(share, kind="stable")
+                    codes, n, ends = codes[order], n[order], np.searchsorted(share[order], np.arange(shares + 1))
                     full = [i for i in range(shares) if ends[i + 1] > ends[i]]
-                    packed = [_pack(codes[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]) for i in full]
+                    cuts = [slice(ends[i], ends[i + 1]) for i in full]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([j] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([int(ends[i + 1] - ends[i]) for i in full], pa.int64()), pa.array(packed, pa.binary())],
-                        names=["j", "share", "chunk", "m", "codes"],
+                        [pa.array([kind] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([c.stop - c.start for c in cuts], pa.int64()), pa.array([_pack(codes[c]) for c in cuts], pa.binary()), pa.array([_planes(n[c].astype("<u4")) for c in cuts], pa.binary())],
+                        names=[x.split()[0] for x in _SENT.split(", ")],
                     )
 
     return run
 
 
-def _answer(rows):
-    """One share of the table: to each chunk, what the others counted after the contexts that it holds."""
+_MERGED = "kind int, share int, part int, m long, codes binary, n binary, chunks array<struct<chunk:bigint,m:bigint,places:binary>>"
+
+
+def _merge(key, rows):
+    """The keys that some chunks sent to a share, once, and the place of each chunk's keys among them."""
     import pyarrow as pa
 
-    nine, one = np.uint64(9), np.uint64(1)
-    held = [_unpack(m, data.as_py()) for m, data in zip(rows.column("m").to_pylist(), rows.column("codes"))]
-    keys, total = _summed(np.concatenate([c[n > 0] for c, n in held]), np.concatenate([n[n > 0] for _, n in held]))
-    out = []
-    for j, chunk, (codes, n) in zip(rows.column("j").to_pylist(), rows.column("chunk").to_pylist(), held):
-        context = np.unique(codes >> nine)
-        low, high = np.searchsorted(keys, context << nine), np.searchsorted(keys, (context + one) << nine)
-        size = high - low
-        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        others = total[at]
-        others[np.searchsorted(keys[at], codes[n > 0])] -= n[n > 0]
-        good = others > 0
-        if good.any():
-            out.append((chunk, j, int(good.sum()), _pack(keys[at][good], others[good])))
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["chunk", "j", "m", "codes"])
-
-
-def _ready(chunk, answers):
-    """A chunk's rows beside all its answers."""
+    sizes, chunks = rows.column("m").to_pylist(), rows.column("chunk").to_pylist()
+    codes = np.concatenate([_unpack(m, d.as_py()) for m, d in zip(sizes, rows.column("codes"))])
+    n = np.concatenate([_unplaned(m, d.as_py(), "<u4") for m, d in zip(sizes, rows.column("n"))]).astype(np.int64)
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])
+    place = np.empty(len(codes), dtype=np.uint32)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    codes, n = codes[first], np.add.reduceat(n[order], first)
+    ends = np.cumsum([0, *sizes])
+    sent = [{"chunk": c, "m": m, "places": _pack(place[a:b])} for c, m, a, b in zip(chunks, sizes, ends, ends[1:])]
+    kind, share, part = (k.as_py() for k in key)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("chunk", pa.int64()), ("m", pa.int64()), ("places", pa.binary())])))
+    names = ["kind", "share", "part", "m", "codes", "n", "chunks"]
+    return pa.Table.from_arrays([pa.array([v], t) for v, t in zip((kind, share, part, len(codes), _pack(codes), _planes(n), sent), kinds)], names=names)
+
+
+_TABLE = "kind int, share int, m long, codes binary, n binary, total long, distinct long"
+
+
+def _table(key, rows):
+    """One share of the table: every key of the corpus, and its number in training texts."""
+    import pyarrow as pa
+
+    sizes = rows.column("m").to_pylist()
+    codes, n = _summed(np.concatenate([_unpack(m, d.as_py()) for m, d in zip(sizes, rows.column("codes"))]), np.concatenate([_unplaned(m, d.as_py(), "<i8") for m, d in zip(sizes, rows.column("n"))]))
+    row = (key[0].as_py(), key[1].as_py(), len(codes), _pack(codes), _planes(n), int(n.sum()), int((n > 0).sum()))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split()[0] for x in _TABLE.split(", ")])
+
+
+def _low(batches):
+    """Numbers of the last two symbols with the next one (as ``code``), by share."""
     import pyarrow as pa
 
-    found = [{"j": j, "m": m, "codes": c} for j, m, c in zip(*(answers.column(c).to_pylist() for c in ("j", "m", "codes")))]
-    kind = pa.list_(pa.struct([("j", pa.int32()), ("m", pa.int64()), ("codes", pa.binary())]))
-    return pa.Table.from_arrays([chunk.column("data").combine_chunks(), pa.array([found], kind)], names=["data", "answers"])
+    for batch in batches:
+        for m, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            keys, n = _unpack(m, codes.as_py()), _unplaned(m, n.as_py(), "<i8")
+            code, n = _summed((keys >> U(45)) << U(9) | keys & U(511), n)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+
+class Predictors:
+    """Counts of all contexts of the given keys, read path by path: ``at(depth)``."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], code: Code, prior: float):
+        self.code, self.prior = code, prior
+        self.symbol = (keys & U(511)).astype(np.int64)
+        rank = code.rank[self.symbol].astype(np.uint64)
+        self.pairs, self.counts, self.pair = [], [], []
+        low_keys, low_n = low
+        low_ranked = (low_keys >> U(9)) << U(9) | code.rank[(low_keys & U(511)).astype(np.int64)].astype(np.uint64)
+        for order in range(1, ORDERS + 1):
+            own = (keys >> U(9 * (ORDERS + 1 - order))) << U(9) | rank
+            if order < OWN:
+                shown = low_ranked if order == 2 else (low_ranked >> U(18)) << U(9) | low_ranked & U(511)
+                pairs, count = _summed(shown, low_n)
+                pair = np.searchsorted(pairs, own)
+            else:
+                at = np.argsort(own)
+                ordered = own[at]
+                new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(at) else np.empty(0, dtype=bool)
+                first = np.flatnonzero(new)
+                pairs, count = ordered[first], np.add.reduceat(n[at], first) if len(at) else n
+                pair = np.empty(len(at), dtype=np.int64)
+                pair[at] = np.cumsum(new) - 1
+            self.pairs.append(pairs)
+            self.counts.append(count)
+            self.pair.append(pair.astype(np.int32))
+
+    def _paths(self, order: int):
+        """For each depth, by pair: how often its context went on along its path so far, and one bit further."""
+        pairs, n = self.pairs[order], self.counts[order]
+        context, rank = pairs >> U(9), (pairs & U(511)).astype(np.int64)
+        length = self.code.length[self.code.symbol][rank]
+        alive = np.arange(len(pairs))
+
+        def total(depth: int) -> np.ndarray:
+            """Sums over the pairs of a context whose paths agree so far; they are neighbours."""
+            r, c = rank[alive], context[alive]
+            new = np.ones(len(alive), dtype=bool)
+            new[1:] = (c[1:] != c[:-1]) | (self.code.common[r[:-1], r[1:]] < depth)
+            first = np.flatnonzero(new)
+            return np.repeat(np.add.reduceat(n[alive], first), np.diff(np.append(first, len(alive)))) if len(alive) else n[alive]
+
+        before, depth = total(0), 0
+        while len(alive):
+            after = total(depth + 1)
+            here, further = np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)
+            here[alive], further[alive] = before, after
+            yield here, further
+            kept = length[alive] > depth + 1
+            alive, before, depth = alive[kept], after[kept], depth + 1
+
+    def depths(self, without: int = 0):
+        """For each depth: the positions of keys whose path is that long, their inputs, gates, bits and nodes.
+
+        Inputs are in favour of the bit that came. ``without``: how many of a key's own occurrences are taken out.
+        """
+        walks = [self._paths(order) for order in range(ORDERS)]
+        depth, length = 0, self.code.length[self.symbol]
+        alive = np.arange(len(self.symbol))
+        while len(alive):
+            x = np.empty((len(alive), ORDERS), dtype=np.float32)
+            level = []
+            for order, walk in enumerate(walks):
+                here, further = next(walk)
+                own = np.maximum(further - without, 0)
+                value = np.log((own + self.prior) / (here - further + self.prior)).astype(np.float32)
+                pair = self.pair[order][alive]
+                x[:, order] = value[pair]
+                if order in (3, 5):
+                    seen = np.log2(own + (here - further) + 1).astype(np.int8)
+                    level.append((np.minimum(4, seen) if order == 5 else np.minimum(3, seen // 3))[pair])
+            symbol = self.symbol[alive]
+            gate = min(depth, DEPTHS - 1) * LEVELS + level[1].astype(np.int64) * 4 + level[0]
+            yield alive, x, gate, self.code.bit[symbol, depth], self.code.node[symbol, depth]
+            depth += 1
+            alive = alive[length[alive] > depth]
+
+
+class Mixer:
+    """Weights by gate, and the adaptive probability map by node."""
+
+    def __init__(self, values: np.ndarray | None = None):
+        if values is None:
+            grid = np.tile(np.linspace(-8, 8, BUCKETS), (END, 1))
+            values = np.concatenate([np.full(DEPTHS * LEVELS * ORDERS, 0.25), 1 / (1 + np.exp(-grid)).ravel()])
+        cut = DEPTHS * LEVELS * ORDERS
+        self.weights = values[:cut].reshape(-1, ORDERS).copy()
+        self.map = values[cut:].reshape(END, BUCKETS).copy()
+        self.seen = np.full_like(self.weights, 1e-4)
 
+    def values(self) -> np.ndarray:
+        return np.concatenate([self.weights.ravel(), self.map.ravel()])
 
-def _held(batches):
-    """Rows of each chunk, and by order what other chunks counted."""
+    def predict(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray):
+        """The mixed probability of the bits that came, the refined one, and where the map was read."""
+        t = np.einsum("nj,nj->n", self.weights[gate], x)
+        np.clip(t, -7.999, 7.999, out=t)
+        p = 1 / (1 + np.exp(-t))
+        # the map speaks of bits that are one
+        place = (np.where(bit == 1, t, -t) + 8) * ((BUCKETS - 1) / 16)
+        low = place.astype(np.int64)
+        part = place - low
+        cell = node * BUCKETS + low
+        flat = self.map.reshape(-1)
+        one = flat[cell] * (1 - part) + flat[cell + 1] * part
+        return p, np.clip((p + np.where(bit == 1, one, 1 - one)) / 2, 1e-6, 1 - 1e-6), cell, part
+
+    def learn(self, x, gate, bit, node, weight, rate: float) -> None:
+        p, _, cell, part = self.predict(x, gate, bit, node)
+        pull = (1 - p) * weight
+        mass = np.bincount(gate, weights=weight, minlength=len(self.weights))
+        hit = mass > 0
+        for j in range(ORDERS):
+            slope = np.bincount(gate, weights=pull * x[:, j], minlength=len(self.weights))[hit] / mass[hit]
+            self.seen[hit, j] += slope * slope
+            self.weights[hit, j] += rate * slope / np.sqrt(self.seen[hit, j])
+        flat = self.map.reshape(-1)
+        for shift, share in ((0, 1 - part), (1, part)):
+            w = np.bincount(cell + shift, weights=weight * share, minlength=len(flat))
+            y = np.bincount(cell + shift, weights=weight * share * bit, minlength=len(flat))
+            at = np.flatnonzero(w)
+            flat[at] += (y[at] / w[at] - flat[at]) * np.minimum(0.5, w[at] / (w[at] + 200.0))
+
+
+def learnt(keys: np.ndarray, n: np.ndarray, low, code: Code, p: MixingParameters) -> Mixer:
+    """Weights and map after one pass over the keys, in the order of their hashes, each as often as it occurred."""
+    mixer = Mixer()
+    # the counts are those of all keys; only the keys that occurred are learnt from
+    said = Predictors(keys, n, low, code, p.prior)
+    turn = np.empty(len(keys), dtype=np.int64)
+    turn[np.argsort(mix(keys + U(1)))] = np.arange(len(keys))
+    for alive, x, gate, bit, node in said.depths(1):
+        own = np.flatnonzero(n[alive] > 0)
+        own = own[np.argsort(turn[alive[own]])]
+        for at in range(0, len(own), p.batch):
+            cut = own[at : at + p.batch]
+            mixer.learn(x[cut], gate[cut], bit[cut], node[cut], n[alive[cut]].astype(float), p.rate)
+    return mixer
+
+
+def scored(keys: np.ndarray, n: np.ndarray, low, code: Code, p: MixingParameters, mixer: Mixer) -> np.ndarray:
+    """The log10 probability of each key's symbol after its context."""
+    out = np.zeros(len(keys))
+    for alive, x, gate, bit, node in Predictors(keys, n, low, code, p.prior).depths():
+        for at in range(0, len(alive), BLOCK):
+            cut = slice(at, at + BLOCK)
+            out[alive[cut]] += np.log10(mixer.predict(x[cut], gate[cut], bit[cut], node[cut])[1])
+    return out
+
+
+def _shares(batches):
     for batch in batches:
-        for data, answers in zip(batch.column(0), batch.column(1)):
-            by: dict[int, list] = {}
-            for a in answers.as_py():
-                by.setdefault(a["j"], []).append(_unpack(a["m"], a["codes"]))
-            yield _rows_of(data.as_py()), {j: tuple(np.concatenate(c) for c in zip(*parts)) for j, parts in by.items()}
+        for m, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            yield m, codes.as_py(), _unpack(m, codes.as_py()), _unplaned(m, n.as_py(), "<i8")
 
 
-def _learn(p: MixingParameters, width: int):
+def _learn(shared, p: MixingParameters):
     def run(batches):
         import pyarrow as pa
 
-        mixer, total = Mixer(), 0.0
-        for rows, others in _held(batches):
-            texts = [lowered(r[3]) for r in rows if r[2]]
-            if not texts:
-                continue
-            spelled = Spelling(texts)
-            counts = Counts(spelled, np.ones(len(texts)), others, width, p.prior, True)
-            for k, (at, bit, node) in enumerate(spelled.nodes()):
-                for a in range(0, len(at), BLOCK):
-                    block = slice(a, a + BLOCK)
-                    here, y = node[block], bit[block].astype(float)
-                    x, gate = counts.inputs(k, at[block], here)
-                    for b in range(0, len(here), p.batch):
-                        cut = slice(b, b + p.batch)
-                        mixer.learn(x[:, cut], gate[cut], here[cut], y[cut], np.ones(len(y[cut])), p.rate)
-            total += len(spelled.owner)
-        if total:
-            values = mixer.values()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values), pa.array([total] * len(values))], names=["k", "value", "mass"])
+        for _, _, keys, n in _shares(batches):
+            if n.any():
+                values = learnt(keys, n, *shared.value, p).values()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values), pa.array([float(n.sum())] * len(values))], names=["k", "value", "mass"])
 
     return run
 
 
-def _score(p: MixingParameters, width: int, mixed: np.ndarray):
+def _score(shared, mixed: np.ndarray, p: MixingParameters):
     def run(batches):
         import pyarrow as pa
 
         mixer = Mixer(mixed)
-        for rows, others in _held(batches):
-            spelled = Spelling([lowered(r[3]) for r in rows])
-            counts = Counts(spelled, np.array([r[2] for r in rows], dtype=float), others, width, p.prior, False)
-            total = np.zeros(len(rows))
-            for k, (at, bit, node) in enumerate(spelled.nodes()):
-                for a in range(0, len(at), BLOCK):
-                    block = slice(a, a + BLOCK)
-                    x, gate = counts.inputs(k, at[block], node[block])
-                    q = mixer.predict(x, gate, node[block])[1]
-                    total += np.bincount(spelled.owner[at[block]], weights=np.log10(np.where(bit[block] == 1, q, 1 - q)), minlength=len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(total)], names=["row", "score"])
+        for batch in batches:
+            for i, (m, codes, keys, n) in enumerate(_shares([batch.select([0, 1, 2])])):
+                said = _planes(scored(keys, n, *shared.value, p, mixer).astype("<f4"))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(3)[i].as_py()], pa.int32()), pa.array([m], pa.int64()), pa.array([codes], pa.binary()), pa.array([said], pa.binary())], names=["share", "size", "known", "said"])
 
     return run
 
 
-def text_scores(chunks: DataFrame, p: MixingParameters) -> DataFrame:
-    """(``row``, ``score``): the log10 probability of every text of the chunks."""
-    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    # there are no more contexts of an order than positions
-    width = min(55, max(p.bits, int(size).bit_length() + CHECK))
-    shares = max(1, -(-size // SHARE))
-    answered = []
-    for j in range(len(ORDERS)):  # one by one, so that the disk holds the shuffle of one order only
-        tallied = chunks.select("chunk", "data").mapInArrow(_tally(width, shares, [j]), "j int, share int, chunk long, m long, codes binary")
-        answered.append(materialise(tallied.groupBy("j", "share").applyInArrow(_answer, "chunk long, j int, m long, codes binary"), "lm-answers"))
-        del tallied
-        gc.collect()
-        chunks.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes shuffles whose frames are gone
-    answers = reduce(DataFrame.unionByName, answered)
-    ready = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ready, "data binary, answers array<struct<j:int,m:bigint,codes:binary>>")
-    held = materialise(ready, "lm-ready")
-    for frame in answered:
-        drop_materialised(frame)
-    learnt = held.mapInArrow(_learn(p, width), "k int, value double, mass double")
-    means = learnt.groupBy("k").agg((F.sum(F.col("value") * F.col("mass")) / F.sum("mass")).alias("value")).orderBy("k").collect()
-    mixed = np.array([r["value"] for r in means]) if means else Mixer().values()
-    return materialise(held.mapInArrow(_score(p, width, mixed), "row long, score double"), "lm-scores")
+_ANSWER = "chunk long, kind int, share int, m long, said binary"
 
 
-_PARTS = "row long, doc_id long, symbol binary, n long, tokens long, bytes long, known long, base double"
+def _answer(batches):
+    """To each chunk, what a share says of the keys that the chunk sent, in their order."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in _ANSWER.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    for batch in batches:
+        for kind, share, m, codes, chunks, size, known, said in zip(*(batch.column(c) for c in ("kind", "share", "m", "codes", "chunks", "size", "known", "said"))):
+            own, size = _unpack(m.as_py(), codes.as_py()), size.as_py()
+            at = np.searchsorted(_unpack(size, known.as_py()), own)
+            value = _unplaned(size, said.as_py(), "<i8" if kind.as_py() == WORDS else "<f4")[at]
+            out = [(c["chunk"], kind.as_py(), share.as_py(), c["m"], _planes(value[_unpack(c["m"], c["places"], "<u4")])) for c in chunks.as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=names)
 
 
-def _documents(frequent):
-    """Per document the sums over frequent words in one row, and a row for each other word."""
+_SCORED = "doc_id long, n_tokens long, n_known long, base double, score double, bytes long"
 
-    def run(batches):
-        import math
 
+def _finish(shares: int):
+    """Sums over each text of a chunk, by the answers of all shares."""
+
+    def run(chunk, answers):
         import pyarrow as pa
 
-        look = {bytes(s): (n, math.log10(n + 1)) for s, n in frequent.value}
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        for batch in batches:
-            for data in batch.column(0):
-                out: list[tuple] = []
-                for row, doc, _, text in _rows_of(data.as_py()):
-                    tokens, known, base = 0, 0, 0.0
-                    for s, n in Counter(words(text)).items():
-                        tokens += n
-                        hit = look.get(s)
-                        if hit is None:
-                            out.append((row, None, s, n, None, None, None, None))
-                            continue
-                        known += n * (hit[0] > 0)
-                        base += n * hit[1]
-                    out.append((row, doc, None, None, tokens, len(text.encode("utf-8", "surrogatepass")), known, base))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _PARTS.split(", ")])
+        parts: dict[tuple[int, int], np.ndarray] = {}
+        for kind, share, m, said in zip(answers.column("kind").to_pylist(), answers.column("share").to_pylist(), answers.column("m").to_pylist(), answers.column("said")):
+            parts[kind, share] = _unplaned(m, said.as_py(), "<i8" if kind == WORDS else "<f4")
+
+        def values(kind: int, keys: np.ndarray) -> np.ndarray:
+            order = np.argsort(keys)
+            ordered = keys[order]
+            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            codes = ordered[new]
+            by_share = np.argsort(share_of(kind, codes, shares), kind="stable")
+            value = np.empty(len(codes))
+            value[by_share] = np.concatenate([parts[kind, i] for i in range(shares) if (kind, i) in parts])
+            out = np.empty(len(keys))
+            out[order] = np.repeat(value, np.diff(np.append(np.flatnonzero(new), len(keys))))
+            return out
+
+        out = []
+        for data in chunk.column("data"):
+            _, docs, _, texts = _rows_of(data.as_py())
+            laid = Laid(texts)
+            flat, owner = laid.words()
+            n = values(WORDS, flat)
+            said = values(KEYS, laid.keys())
+            sums = lambda o, w=None: np.bincount(o, weights=w, minlength=len(texts))
+            columns = [pa.array(docs, pa.int64()), pa.array(sums(owner)), pa.array(sums(owner, n > 0).astype(np.int64)), pa.array(sums(owner, np.log10(n + 1))), pa.array(sums(laid.owner, said)), pa.array([len(t) for t in texts], pa.int64())]
+            out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORED.split(", ")]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -497,41 +571,48 @@ def score_documents(docs: DataFrame, train: str, p: MixingParameters = MixingPar
     probability by counts of tokens with one added), ``score`` (log10 probability of the whole
     lower-cased text by the mixed model) and ``bits_per_byte`` (null for empty texts).
 
-    Learns from the documents whose Boolean column ``train`` is true (null counts as false).
+    Learns from the documents whose Boolean column ``train`` is true (null counts as false); a training document
+    is scored with its own counts in the table, as in the base score. Words are told apart by hashes of 64 bits.
 
     Defined results: a null text counts as empty and is scored as an end mark; rows are scored each,
     whatever their identifiers; without training documents the untrained model scores all; an empty
-    table gives an empty result; texts are read whole.
+    table gives an empty result; texts are read whole; other columns, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     chunks = materialise(rows.mapInArrow(_chunks, "chunk long, size long, data binary"), "lm-chunks")
-    scores = text_scores(chunks, p)
-    counted = rows.select("train", "text").mapInArrow(_count, "symbol binary, n long")
-    vocabulary = materialise(counted.groupBy("symbol").agg(F.sum("n").alias("n")), "words")
-    n_all, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    top = vocabulary.orderBy(F.col("n").desc(), "symbol").limit(p.frequent)  # bounded by the parameter
-    frequent = spark.sparkContext.broadcast([tuple(r) for r in top.collect()])
-    parts = materialise(chunks.select("data").mapInArrow(_documents(frequent), _PARTS), "lm-parts")
-    rare = parts.where("symbol is not null").select("row", "symbol", F.col("n").alias("times"))
-    joined = rare.join(vocabulary, "symbol")
-    times, n = F.col("times"), F.col("n")
-    none = F.lit(None)
-    sums = joined.select(
-        "row", none.cast("long").alias("doc_id"), none.cast("long").alias("tokens"), none.cast("long").alias("bytes"),
-        F.when(n > 0, times).otherwise(0).alias("known"),
-        (times * F.log10(n + 1.0)).alias("base"),
-        F.lit(0.0).alias("score"),
-    )
-    own = parts.where("symbol is null").select("row", "doc_id", "tokens", "bytes", "known", "base", F.lit(0.0).alias("score"))
-    coded = scores.select("row", none.cast("long").alias("doc_id"), none.cast("long").alias("tokens"), none.cast("long").alias("bytes"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
-    every = own.unionByName(sums).unionByName(coded).groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "tokens", "bytes")], *[F.sum(c).alias(c) for c in ("known", "base", "score")])
-    return every.select(
+    size, n_chunks = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    shares, parts = min(MOST_SHARES, max(1, -(-size // SHARE))), max(1, -(-n_chunks // MERGED))
+    sent = chunks.select("chunk", "data").mapInArrow(_tally(shares), _SENT).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+    merged = materialise(sent.groupBy("kind", "share", "part").applyInArrow(_merge, _MERGED), "lm-merged")
+    del sent
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffles whose frames are gone
+    whole = materialise(merged.select("kind", "share", "m", "codes", "n").groupBy("kind", "share").applyInArrow(_table, _TABLE), "lm-table")
+    words, keys = whole.where(F.col("kind") == WORDS), whole.where(F.col("kind") == KEYS).select("m", "codes", "n", "share")
+    n_all, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+
+    # at most 258 * 258 * 257 rows, whatever the corpus
+    low = keys.select("m", "codes", "n").mapInArrow(_low, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    low_keys, low_n = low["code"].to_numpy().astype(np.uint64), low["n"].to_numpy().astype(np.int64)
+    code = Code(np.bincount((low_keys & U(511)).astype(np.int64), weights=low_n, minlength=END + 1))
+    shared = spark.sparkContext.broadcast(((low_keys, low_n), code))
+    learning = keys.select("m", "codes", "n").mapInArrow(_learn(shared, p), "k int, value double, mass double")
+    means = learning.groupBy("k").agg((F.sum(F.col("value") * F.col("mass")) / F.sum("mass")).alias("value")).orderBy("k").collect()
+    mixed = np.array([r["value"] for r in means]) if means else Mixer().values()
+    said = keys.mapInArrow(_score(shared, mixed, p), "share int, size long, known binary, said binary").select(F.lit(KEYS).alias("kind"), "share", "size", "known", "said")
+    counted = words.select("kind", "share", F.col("m").alias("size"), F.col("codes").alias("known"), F.col("n").alias("said"))
+    spoken_of = materialise(said.unionByName(counted), "lm-said")
+    drop_materialised(whole)
+    asked = merged.select("kind", "share", "m", "codes", "chunks").join(spoken_of, ["kind", "share"])
+    answers = asked.mapInArrow(_answer, _ANSWER)
+    done = chunks.select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(shares), _SCORED)
+    return done.select(
         "doc_id",
-        F.col("tokens").alias("n_tokens"),
-        F.col("known").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("tokens") * F.log10(F.lit(float(n_all + distinct + 1)))).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n_all + distinct + 1)))).alias("base_score"),
         "score",
         F.when(F.col("bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("bytes")).alias("bits_per_byte"),
     )
@@ -540,5 +621,5 @@ def score_documents(docs: DataFrame, train: str, p: MixingParameters = MixingPar
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(crc32_of_id("doc_id"), F.lit(7)) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
-    scored = score_documents(docs, "train")
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    scored_rows = score_documents(docs, "train")
+    return scored_rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -427,3 +427,48 @@ def test_chat_long_turn_stays_alone(spark):
     said = [(None, i, "system" if i == 0 else "user", "word " * 40) for i in range(40)]
     w = chat.format_windows(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), chat.WindowBudget(600, 120)).collect()
     assert sum(r["n_new"] for r in w) == 40 and all(600 - 54 < r["tokens"] <= 600 for r in w if r["window"] < len(w) - 1)
+
+
+def _greedy(turns, budget, segment):
+    """(context, new) turns of each window, turn by turn; ``turns`` are (role, text) in order."""
+    size = lambda t: -(-len(t[1].encode()) // 4) + 4
+    ends, total = [], 0
+    for t in turns:
+        total += size(t)
+        ends.append(total)
+    begin = [e - size(t) for e, t in zip(ends, turns)]
+    system = [0] if turns[0][0] == "system" else []
+    cells = [b // segment if total > budget.tokens else 0 for b in begin]
+    out, context, new = [], [], []
+    for i in range(len(turns)):
+        used = sum(size(turns[k]) for k in context + new) + size(turns[i])
+        if i and ((total > budget.tokens and used > budget.tokens and new) or cells[i] != cells[i - 1]):
+            out.append((context, new))
+            earlier = max((c for c in cells[:i] if c < cells[i]), default=None)
+            context = system + [k for k in range(i) if begin[i] - begin[k] <= budget.history and k not in system and cells[k] in (cells[i], earlier)]
+            new = []
+        new.append(i)
+    return [*out, (context, new)]
+
+
+def test_chat_windows_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for c in range(40):
+        longest = rng.choice([30, 200, 1500, 6000])
+        for i in range(rng.choice([1, 4, 60, 300])):
+            rows.append((c if c else None, i, "system" if i == 0 and c % 3 else rng.choice(["user", "assistant"]), "wé" * rng.randrange(longest)))
+    budget = chat.WindowBudget(600, 120)
+    got = collections.defaultdict(list)
+    for r in chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), budget).collect():
+        got[r["conv_id"]].append(r)
+    by = collections.defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append((role, text))
+    for c, turns in by.items():
+        own, want = sorted(got[c], key=lambda r: r["window"]), _greedy(turns, budget, chat.SEGMENT * budget.tokens)
+        assert [r["window"] for r in own] == list(range(len(want)))
+        assert [(r["n_context"], r["n_new"]) for r in own] == [(len(a), len(b)) for a, b in want]
+        for r, (a, b) in zip(own, want):
+            assert r["formatted"] == "".join(f"<|im_start|>{turns[k][0]}\n{turns[k][1]}<|im_end|>\n" for k in a + b)
+            assert [r["formatted"][s["start"] : s["end"]] for s in r["loss"]] == [turns[k][1] for k in b if turns[k][0] == "assistant"]

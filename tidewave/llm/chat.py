@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import materialise, table
 
 # The turn marks of the ChatML template.
 START, END = "<|im_start|>", "<|im_end|>"
 
+#: A list of conversations up to this many rows (an identifier each) is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class WindowBudget:
@@ -50,6 +53,93 @@ def count_tokens(text: Column) -> Column:
     return (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
 
 
+#: Budgets of tokens after which a window ends in any case, so that a conversation of any length is dealt over tasks.
+SEGMENT = 16
+
+
+def _short(rows: DataFrame) -> DataFrame:
+    """Conversations that fit into one window, each as one: at most budget / 4 turns."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "n")))
+    part = lambda t: F.struct(F.lit(True).alias("new"), t["role"].alias("role"), t["text"].alias("text"), t["n"].alias("n"))
+    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.lit(0).cast("long").alias("window"), F.transform("turns", part).alias("parts"))
+
+
+def _same(a: str, b: str, *more: str):
+    """Equal conversations (null equals null) and equal further columns."""
+    on = F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    for c in more:
+        on = on & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return on
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Turns with ``end``, the running sum of tokens in their conversation: inside ranges of the sorted turns, and carried
+    from range to range by the ranges' sums."""
+    head = F.substring("text", 1, 48)
+    key = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role")]
+    ranged = rows.repartitionByRange(*key, head).sortWithinPartitions(*key, "text")
+    held = materialise(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "turns")
+    sums = held.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
+    carry = sums.select("conv_id", "part", F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("n").over(W.partitionBy("conv_id", "part").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = held.withColumn("end", inside)
+    joined = own.alias("a").join(carry.alias("b"), _same("a", "b", "part"))
+    end = F.col("a.end") + F.col("b.before")
+    return joined.select("a.conv_id", F.col("a.at").alias("at"), "a.role", "a.text", "a.n", end.alias("end"), ((end == F.col("a.n")) & (F.col("a.role") == "system")).alias("is_system"))
+
+
+def _long(rows: DataFrame, budget: WindowBudget) -> DataFrame:
+    """Windows of the conversations beyond the budget, segment by segment."""
+    turn = F.struct("at", "end", "n", "is_system", "role", "text")
+    placed = _placed(rows).withColumn("segment", F.floor((F.col("end") - F.col("n")) / (SEGMENT * budget.tokens)))
+    grouped = materialise(placed.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(turn)).alias("turns")), "segments")
+    border = F.element_at("turns", -1)["end"]
+    tail = F.filter("turns", lambda u: (border - u["end"] + u["n"] <= budget.history) & ~u["is_system"])
+    following = F.lead("segment").over(W.partitionBy("conv_id").orderBy("segment"))
+    after = grouped.select("conv_id", "segment").withColumn("next", following).where("next is not null")
+    tails = grouped.select("conv_id", "segment", tail.alias("tail")).alias("a").join(after.alias("b"), _same("a", "b", "segment")).select("a.conv_id", F.col("b.next").alias("segment"), "a.tail")
+    first = F.get("turns", F.lit(0))
+    openers = grouped.where((F.col("segment") == 0) & first["is_system"]).select("conv_id", first.alias("system"))
+    named = after.select("conv_id", F.col("next").alias("segment")).unionByName(grouped.where("segment = 0").select("conv_id", "segment"))
+    openers = named.alias("a").join(openers.alias("b"), _same("a", "b")).select("a.conv_id", "a.segment", "b.system")
+    whole = grouped.alias("a").join(tails.alias("b"), _same("a", "b", "segment"), "left").select("a.conv_id", "a.segment", "a.turns", F.coalesce("b.tail", F.array().cast(grouped.schema["turns"].dataType)).alias("tail"))
+    whole = whole.alias("a").join(openers.alias("b"), _same("a", "b", "segment"), "left").select("a.*", "b.system")
+
+    def history(border: Column) -> Column:
+        """The turns just before a border, as many as fit, without the system turn."""
+        fits = lambda u: (u["end"] <= border) & (border - u["end"] + u["n"] <= budget.history) & ~u["is_system"]
+        return F.filter(F.concat("tail", "turns"), fits)
+
+    def again(border: Column) -> Column:
+        return F.coalesce(F.col("system")["n"], F.lit(0)) + F.aggregate(history(border), F.lit(0).cast("long"), lambda a, u: a + u["n"])
+
+    begin = first["end"] - first["n"]
+    state = F.struct(begin.alias("start"), F.when(begin > 0, again(begin)).otherwise(F.lit(0)).cast("long").alias("again"), F.array(begin).alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        at = t["end"] - t["n"]
+        fresh = (at > s["start"]) & (s["again"] + t["end"] - s["start"] > budget.tokens)
+        return F.struct(F.when(fresh, at).otherwise(s["start"]).alias("start"), F.when(fresh, again(at)).otherwise(s["again"]).cast("long").alias("again"), F.when(fresh, F.concat(s["out"], F.array(at))).otherwise(s["out"]).alias("out"))
+
+    cut = materialise(whole.withColumn("borders", F.aggregate("turns", state, step, lambda s: s["out"])), "windows")
+    before = F.coalesce(F.sum(F.size("borders")).over(W.partitionBy("conv_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbers = cut.select("conv_id", "segment", before.alias("before"))
+
+    def part(new: bool):
+        return lambda t: F.struct(F.lit(new).alias("new"), t["role"].alias("role"), t["text"].alias("text"), t["n"].alias("n"))
+
+    def window(b: Column, i: Column) -> Column:
+        last = F.coalesce(F.get("borders", i + 1), F.lit((1 << 63) - 1))
+        own = F.filter("turns", lambda t: (t["end"] - t["n"] >= b) & (t["end"] - t["n"] < last))
+        system = F.when((b > 0) & F.col("system").isNotNull(), F.transform(F.array("system"), part(False))).otherwise(F.array())
+        repeated = F.when(b > 0, F.transform(history(b), part(False))).otherwise(F.array())
+        return F.struct(i.alias("i"), F.concat(system, repeated, F.transform(own, part(True))).alias("parts"))
+
+    numbered = cut.alias("a").join(numbers.alias("b"), _same("a", "b", "segment")).select("a.*", "b.before")
+    each = numbered.select("conv_id", "before", F.explode(F.transform("borders", window)).alias("w"))
+    return each.select("conv_id", (F.col("before") + F.col("w.i")).cast("long").alias("window"), F.col("w.parts").alias("parts"))
+
+
 def format_windows(turns: DataFrame, budget: WindowBudget = WindowBudget(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per window: ``conv_id``, ``window`` (from 0), ``formatted``, ``loss`` (array of start and
     end in code points of ``formatted``, end exclusive), ``n_context`` (turns repeated from earlier
@@ -57,11 +147,14 @@ def format_windows(turns: DataFrame, budget: WindowBudget = WindowBudget(), conv
 
     A window ends where the next turn would take it beyond the budget, by the prefix sums and what the
     window repeats; so it exceeds the budget only where its one new turn does not fit beside
-    the system turn and the history, and such a turn stands in full and leaves other windows as they are.
+    the system turn and the history, and such a turn stands in full and leaves other windows as they are. Beyond ``SEGMENT``
+    budgets of tokens a conversation is cut into segments of about so many, where a window ends in any case; the repeated
+    history reaches at most into the segment before.
 
     Defined results: a null text or role counts as empty; turns are ordered by turn (nulls first),
     then role and text, so ties and repeated rows have a fixed order and all stay; rows with a null
-    conv_id are one conversation; an empty table gives an empty result; texts are formatted whole.
+    conv_id are one conversation; an empty table gives an empty result; texts are formatted whole; other columns,
+    whatever their names, are not looked at.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -69,57 +162,20 @@ def format_windows(turns: DataFrame, budget: WindowBudget = WindowBudget(), conv
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("n", count_tokens("text"))
-    whole = W.partitionBy("conv_id")
-    order = whole.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = (
-        rows.withColumn("at", F.row_number().over(order))
-        .withColumn("end", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .withColumn("is_system", (F.col("at") == 1) & (F.col("role") == "system"))
-    )
-    packed = rows.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("at", "n", "end", "is_system"))).alias("turns"),
-        F.max(F.when(F.col("is_system"), F.col("n")).otherwise(0)).alias("system"),
-        F.sum("n").alias("total"),
-    )
-    # what the window in hand holds: its repeated turns and, by the prefix sums, its new ones
-    empty = F.struct(F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("again"), F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        fresh = (s["last"] > s["start"]) & (F.col("total") > budget.tokens) & (s["again"] + t["end"] - s["start"] > budget.tokens)
-        window = F.when(fresh, s["window"] + 1).otherwise(s["window"])
-        # the turns just before the border, as many as fit into the history, without the system turn
-        history = F.aggregate(
-            F.filter("turns", lambda u: (u["end"] <= s["last"]) & (u["end"] > s["start"]) & (s["last"] - u["end"] + u["n"] <= budget.history) & ~u["is_system"]),
-            F.lit(0).cast("long"),
-            lambda a, u: a + u["n"],
-        )
-        return F.struct(
-            window.alias("window"),
-            F.when(fresh, s["last"]).otherwise(s["start"]).alias("start"),
-            F.when(fresh, F.col("system") + history).otherwise(s["again"]).alias("again"),
-            t["end"].alias("last"),
-            F.concat(s["out"], F.array(window)).alias("out"),
-        )
-
-    windows = packed.select("conv_id", F.posexplode(F.aggregate("turns", empty, step, lambda s: s["out"])).alias("place", "window"))
-    windows = windows.select(F.col("conv_id").alias("conv"), (F.col("place") + 1).alias("place"), "window")
-    rows = rows.join(windows, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("at") == F.col("place"))).drop("conv", "place")
-    rows = rows.withColumn("windows", F.max("window").over(whole) + 1)
-    # where the window of a turn ends, and where the next one begins
-    rows = rows.withColumn("border", F.max("end").over(W.partitionBy("conv_id", "window")))
-    new = rows.select("conv_id", "window", "at", "role", "text", "n", F.lit(True).alias("new"))
-    late = (F.col("border") - F.col("end") + F.col("n") <= budget.history) & (F.col("window") + 1 < F.col("windows")) & ~F.col("is_system")
-    again = rows.where(late).select("conv_id", (F.col("window") + 1).alias("window"), "at", "role", "text", "n", F.lit(False).alias("new"))
-    system = rows.where(F.col("is_system") & (F.col("windows") > 1)).select("conv_id", F.explode(F.expr("sequence(1, windows - 1)")).alias("window"), "at", "role", "text", "n", F.lit(False).alias("new"))
-    every = new.unionByName(again).unionByName(system)
-
-    turn = F.struct("at", "new", "role", "text", "n")
-    packed = every.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # numbers only; conversations within the budget, most of them, then take one shuffle
+    beyond = materialise(rows.groupBy("conv_id").agg(F.sum("n").alias("total")).where(F.col("total") > budget.tokens).select("conv_id"), "beyond")
+    n_beyond = beyond.count()
+    if n_beyond:
+        beyond = F.broadcast(beyond) if n_beyond <= BROADCAST_ROWS else beyond
+        own = lambda how: rows.alias("a").join(beyond.alias("b"), _same("a", "b"), how)
+        packed = _short(own("left_anti")).unionByName(_long(own("left_semi"), budget))
+    else:
+        packed = _short(rows)
     head = lambda t: F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n"))
     parts = packed.select(
         "conv_id",
         "window",
-        F.transform("turns", lambda t: F.struct(t["new"].alias("new"), (t["role"] == "assistant").alias("own"), head(t).alias("head"), escape(t["text"]).alias("body"), t["n"].alias("n"))).alias("parts"),
+        F.transform("parts", lambda t: F.struct(t["new"].alias("new"), (t["role"] == "assistant").alias("own"), head(t).alias("head"), escape(t["text"]).alias("body"), t["n"].alias("n"))).alias("parts"),
     )
     tail = END + "\n"
 
@@ -133,7 +189,7 @@ def format_windows(turns: DataFrame, budget: WindowBudget = WindowBudget(), conv
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     return parts.select(
         "conv_id",
-        F.col("window").cast("long").alias("window"),
+        "window",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("formatted"),
         F.aggregate("parts", nothing, place, lambda s: s["out"]).alias("loss"),
         F.size(F.filter("parts", lambda p: ~p["new"])).alias("n_context"),

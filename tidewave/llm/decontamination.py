@@ -30,7 +30,8 @@ MAX_CELLS = 20_000_000
 
 @dataclass(frozen=True)
 class LemmaParameters:
-    """``q`` is lowered for items so short that the lemma would ask for no shared q-gram."""
+    """``q`` is lowered for items so short that the lemma would ask for no shared q-gram; the budget of edits is
+    ``error_rate`` of the length for every item."""
 
     q: int = 8
     error_rate: float = 0.1
@@ -40,9 +41,13 @@ class LemmaParameters:
         if self.q < 2 or not 0 <= self.error_rate < 1:
             raise ValueError("q must be at least 2 and error_rate in [0, 1)")
 
-    def budget(self, m: int, q: int) -> int:
-        """Edits allowed in an item of ``m`` characters so that at least one shared q-gram is asked for."""
-        return max(0, min(int(self.error_rate * m), m // q - 1))
+    def budget(self, m: int, q: int | None = None) -> int:
+        """Edits allowed in an item of ``m`` characters."""
+        return int(self.error_rate * m)
+
+    def gram(self, m: int) -> int:
+        """The q-gram length for an item of ``m`` characters: with it the lemma asks for one shared q-gram at least."""
+        return min(self.q, m // (self.budget(m) + 1))
 
 
 def normalise(text: str) -> str:
@@ -121,7 +126,7 @@ class _Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], q: int, p: LemmaParameters):
         self.q, self.items = q, items
         self.size = np.array([len(c) for _, c in items])
-        self.budget = np.array([p.budget(len(c), q) for _, c in items])
+        self.budget = np.array([p.budget(len(c)) for _, c in items])
         self.least = self.size + 1 - q * (self.budget + 1)
         grams = [_grams(c, q) for _, c in items]
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
@@ -191,7 +196,7 @@ def _search(p: LemmaParameters, block):
         by_q: dict[int, list] = {}
         for item, text in block.value:
             codes = _codes(text)
-            q = min(p.q, len(codes))
+            q = p.gram(len(codes))
             by_q.setdefault(q, []).append((item, codes))
         indexes = [_Index(items, q, p) for q, items in sorted(by_q.items())]
         for ids, texts in steps(batches):

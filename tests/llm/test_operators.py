@@ -148,6 +148,33 @@ def test_decontamination_equals_brute_force(spark, odd, nothing):
     assert decontamination.contaminated(odd, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [6, 10, 19, 20, 25, 30, 39, 60])
+def test_decontamination_keeps_the_budget_of_short_items(spark, size):
+    """A tenth of the characters may differ, rounded down, whatever the length of the item."""
+    rng = random.Random(size)
+    item = "".join(rng.choice("abcdefghij") for _ in range(size))
+    docs = []
+    for changes in (size // 10, size // 10 + 1):
+        chars = list(item)
+        for k in range(changes):
+            chars[(k * size) // changes + size // (2 * changes)] = "z"
+        docs.append((changes, "y" * 40 + "".join(chars) + "y" * 40))
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["edits"], r["start"], r["end"]) for r in found] == [(size // 10, size // 10, 40, 40 + size)]
+
+
+def test_decontamination_odd_rows(spark, odd, odd_documents):
+    """Null, repeated and very long rows, ties, and clashing names: each row that holds an item is named."""
+    by = collections.Counter()
+    items = [(1, odd_documents[0][1][:200]), (1, odd_documents[0][1][:200]), (None, "x" * 300), (2, odd_documents[12][1][-90:])]
+    for i, t in odd_documents:
+        for item, x in items:
+            by[i, item] += _edits(x, decontamination.normalise(t or ""), True) <= len(x) // 10 if len(t or "") < 5000 else x in t
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("other"))
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(odd, bench).collect())
+    assert got == collections.Counter({k: n for k, n in by.items() if n})
+
+
 # --- Jaccard join ---
 
 
@@ -186,6 +213,33 @@ def test_jaccard_groups_equal_brute_force(spark, nothing):
     assert jaccard_join.jaccard_groups(nothing).count() == 0
 
 
+def _links(rows):
+    """Links of each row by position, copies included, by comparing all rows."""
+    sets = [_sets([(0, t)])[0] for _, t in rows]
+    return [sum(j != k and (x == y or len(x & y) >= 0.8 * len(x | y) > 0) for k, y in enumerate(sets)) for j, x in enumerate(sets)]
+
+
+def test_jaccard_texts_under_one_identifier(spark, odd, odd_documents):
+    """Rows are told by their texts: two texts under one identifier, and rows without one, lose and gain no links."""
+    rng = random.Random(16)
+    a, b = ([f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(2))
+    rows = [(6, " ".join(a)), (6, " ".join(b)), (7, " ".join(a[:-1] + ["x"])), (8, " ".join(b[:-1] + ["y"])), (None, " ".join(a[:-2])), (9, " ".join(b + ["z"]))]
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(6, 2, 6), (6, 2, 6), (7, 2, 6), (8, 2, 6), (9, 2, 6), (None, 2, 6)]
+    assert sorted(((r["doc_id"], r["n_links"], r["class_id"]) for r in got), key=str) == sorted(want, key=str)
+    got = jaccard_join.jaccard_groups(odd).collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=str) == sorted(((i, n) for (i, _), n in zip(odd_documents, _links(odd_documents))), key=str)
+
+
+def test_prefix_follows_the_similarities():
+    """Close copies are met by whole labels; the nearer the links are to the threshold, the shorter the prefix."""
+    p = jaccard_join.ForestParameters()
+    n = p.trees * p.label
+    close, near = p.measured({n - 1: 100}), p.measured({int(0.8 * n) + 1: 100, n - 1: 100})
+    assert close == (p.label, pytest.approx(1)) and near[0] < p.label and near[1] >= p.target_recall
+    assert p.measured({}) == (p.depth, p.recall(p.depth)) and p.depth <= near[0]
+
+
 def test_jaccard_odd_rows(odd, odd_documents):
     assert jaccard_join.jaccard_groups(odd).count() == len(odd_documents)
 

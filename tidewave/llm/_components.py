@@ -13,10 +13,16 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+#: Parts into which the edges of a node are dealt where they are joined with its minimum.
+SALTS = 8
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and its neighbours; a hub costs one partial minimum per task."""
+    """Each (u, v) with the least of u and its neighbours; a hub costs one partial minimum per task, and its edges
+    meet the minimum in several tasks."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return pairs.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

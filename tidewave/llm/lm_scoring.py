@@ -14,7 +14,8 @@ texts to shares of the table, dealt by the hash of the last three symbols, so th
 counts of the contexts from three symbols on; those of one and two symbols have at most 258 * 258 * 257
 entries and are broadcast. Each share learns weights and map online over its keys in a fixed order, each as often as it
 occurs and without its own occurrence; they are averaged over the shares, every share scores its keys with them, and each
-chunk gets the scores of its keys back. Counts of words for the base score travel the same way. The table
+chunk gets the scores of its keys back, as 16-bit floats (a key's logarithm is off by 1/2048 of itself at most, up or
+down alike). Counts of words for the base score travel the same way. The table
 grows with the corpus and is never held in one place. Keys travel packed, sorted and as differences.
 """
 
@@ -38,7 +39,7 @@ WORDS, KEYS = 0, 1
 #: The orders of which a share has all counts begin here; lower ones are broadcast.
 OWN = 3
 #: Bytes of a chunk, positions for each share of the table, most shares, and chunks whose keys are merged at once.
-CHUNK, SHARE, MOST_SHARES, MERGED = 6_000_000, 16_000_000, 4_096, 512
+CHUNK, SHARE, MOST_SHARES, MERGED = 4_500_000, 16_000_000, 4_096, 512
 DEPTHS, LEVELS, BUCKETS, BLOCK = 12, 20, 33, 1 << 14
 
 U = np.uint64
@@ -502,7 +503,7 @@ def _score(shared, mixed: np.ndarray, p: MixingParameters):
         mixer = Mixer(mixed)
         for batch in batches:
             for i, (m, codes, keys, n) in enumerate(_shares([batch.select([0, 1, 2])])):
-                said = _planes(scored(keys, n, *shared.value, p, mixer).astype("<f4"))
+                said = _planes(scored(keys, n, *shared.value, p, mixer).astype("<f2"))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(3)[i].as_py()], pa.int32()), pa.array([m], pa.int64()), pa.array([codes], pa.binary()), pa.array([said], pa.binary())], names=["share", "size", "known", "said"])
 
     return run
@@ -521,7 +522,7 @@ def _answer(batches):
         for kind, share, m, codes, chunks, size, known, said in zip(*(batch.column(c) for c in ("kind", "share", "m", "codes", "chunks", "size", "known", "said"))):
             own, size = _unpack(m.as_py(), codes.as_py()), size.as_py()
             at = np.searchsorted(_unpack(size, known.as_py()), own)
-            value = _unplaned(size, said.as_py(), "<i8" if kind.as_py() == WORDS else "<f4")[at]
+            value = _unplaned(size, said.as_py(), "<i8" if kind.as_py() == WORDS else "<f2")[at]
             out = [(c["chunk"], kind.as_py(), share.as_py(), c["m"], _planes(value[_unpack(c["m"], c["places"], "<u4")])) for c in chunks.as_py()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=names)
 
@@ -537,18 +538,20 @@ def _finish(shares: int):
 
         parts: dict[tuple[int, int], np.ndarray] = {}
         for kind, share, m, said in zip(answers.column("kind").to_pylist(), answers.column("share").to_pylist(), answers.column("m").to_pylist(), answers.column("said")):
-            parts[kind, share] = _unplaned(m, said.as_py(), "<i8" if kind == WORDS else "<f4")
+            parts[kind, share] = _unplaned(m, said.as_py(), "<i8" if kind == WORDS else "<f2")
 
         def values(kind: int, keys: np.ndarray) -> np.ndarray:
             order = np.argsort(keys)
-            ordered = keys[order]
-            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            codes = ordered[new]
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            codes, n = keys[first], np.diff(np.append(first, len(keys)))
+            del keys, first
             by_share = np.argsort(share_of(kind, codes, shares), kind="stable")
-            value = np.empty(len(codes))
-            value[by_share] = np.concatenate([parts[kind, i] for i in range(shares) if (kind, i) in parts])
-            out = np.empty(len(keys))
-            out[order] = np.repeat(value, np.diff(np.append(np.flatnonzero(new), len(keys))))
+            said = np.concatenate([parts[kind, i] for i in range(shares) if (kind, i) in parts])
+            value = np.empty(len(codes), dtype=said.dtype)
+            value[by_share] = said
+            out = np.empty(len(order), dtype=said.dtype)
+            out[order] = np.repeat(value, n)
             return out
 
         out = []
@@ -566,6 +569,12 @@ def _finish(shares: int):
     return run
 
 
+def _forget_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffles of frames that are gone once the JVM has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_documents(docs: DataFrame, train: str, p: MixingParameters = MixingParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (log10
     probability by counts of tokens with one added), ``score`` (log10 probability of the whole
@@ -586,8 +595,7 @@ def score_documents(docs: DataFrame, train: str, p: MixingParameters = MixingPar
     sent = chunks.select("chunk", "data").mapInArrow(_tally(shares), _SENT).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
     merged = materialise(sent.groupBy("kind", "share", "part").applyInArrow(_merge, _MERGED), "lm-merged")
     del sent
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffles whose frames are gone
+    _forget_shuffles(spark)
     whole = materialise(merged.select("kind", "share", "m", "codes", "n").groupBy("kind", "share").applyInArrow(_table, _TABLE), "lm-table")
     words, keys = whole.where(F.col("kind") == WORDS), whole.where(F.col("kind") == KEYS).select("m", "codes", "n", "share")
     n_all, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
@@ -604,6 +612,7 @@ def score_documents(docs: DataFrame, train: str, p: MixingParameters = MixingPar
     counted = words.select("kind", "share", F.col("m").alias("size"), F.col("codes").alias("known"), F.col("n").alias("said"))
     spoken_of = materialise(said.unionByName(counted), "lm-said")
     drop_materialised(whole)
+    _forget_shuffles(spark)
     asked = merged.select("kind", "share", "m", "codes", "chunks").join(spoken_of, ["kind", "share"])
     answers = asked.mapInArrow(_answer, _ANSWER)
     done = chunks.select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(shares), _SCORED)

@@ -63,7 +63,7 @@ def test_project(spark, tmp_path):
         project.run(t)
     assert project.load("day_windows").count() == 2 and project.transforms() == {"day"}
     project.rename("day", "night")
-    assert project.load("night_welch").count() == 4 * 9
+    assert project.load("night_welch").count() == 2 * 9
     project.reset()
     assert project.outputs() == ["original"]
     with pytest.raises(ValueError):

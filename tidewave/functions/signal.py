@@ -97,6 +97,18 @@ def reference_level(explicit: Column, instrument: Column) -> tuple[Column, Colum
     return ref, kind
 
 
+def default_limits(kind: str) -> tuple[float, float]:
+    """The range of levels that is shown by default: below full scale, or above the pressure reference."""
+    return (-120.0, 0.0) if kind == "FS" else (0.0, 170.0)
+
+
+def limits(kind: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """(low, high): those given, else the default ones of the kind of reference."""
+    full = kind == "FS"
+    lowest, highest = F.when(full, F.lit(default_limits("FS")[0])).otherwise(F.lit(default_limits("SPL")[0])), F.when(full, F.lit(default_limits("FS")[1])).otherwise(F.lit(default_limits("SPL")[1]))
+    return F.struct(F.coalesce(low, lowest).alias("low") if low is not None else lowest.alias("low"), F.coalesce(high, highest).alias("high") if high is not None else highest.alias("high"))
+
+
 def butterworth_sections(order: int, cut: float | tuple[float, float], kind: str, rate: float) -> list[tuple[float, ...]]:
     """Second-order sections (b0, b1, b2, a1, a2) of a Butterworth filter.
 
@@ -147,22 +159,82 @@ def butterworth_sections(order: int, cut: float | tuple[float, float], kind: str
     return [tuple(float(v) for v in s) for s in sections]
 
 
-def _section(b0: float, b1: float, b2: float, a1: float, a2: float):
-    def step(s: Column, v: Column) -> Column:
-        y = F.lit(b0) * v + s["p"]
-        return F.struct(F.concat(s["out"], F.array(y)).alias("out"), (F.lit(b1) * v - F.lit(a1) * y + s["q"]).alias("p"), (F.lit(b2) * v - F.lit(a2) * y).alias("q"))
+def _section_array(x: np.ndarray, section: tuple[float, ...]) -> np.ndarray:
+    """One section (transposed direct form, zero start), in time linear in the length.
 
-    return step
+    The signal is cut into about sqrt(n) blocks. All blocks are filtered side by side from a zero state; then the state
+    is carried from block to block, and what it adds to each block is its free response.
+    """
+    b0, b1, b2, a1, a2 = section
+    n = len(x)
+    size = max(1, int(np.sqrt(n)))
+    blocks = -(-n // size)
+    cut = np.zeros(size * blocks)
+    cut[:n] = x
+    cut = cut.reshape(blocks, size).T.copy()
+    out = np.empty_like(cut)
+    p, q = np.zeros(blocks), np.zeros(blocks)
+    for t in range(size):
+        v = cut[t]
+        y = b0 * v + p
+        p, q = b1 * v - a1 * y + q, b2 * v - a2 * y
+        out[t] = y
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])
+    free, power = np.empty((size, 2)), np.eye(2)
+    for t in range(size):
+        free[t] = power[0]
+        power = step @ power
+    state, states = np.zeros(2), np.empty((2, blocks))
+    for k in range(blocks):
+        states[:, k] = state
+        state = power @ state + (p[k], q[k])
+    out += free @ states
+    return out.T.ravel()[:n]
+
+
+def filter_array(x: np.ndarray, sections) -> np.ndarray:
+    """Causal filtering by second-order sections from a zero start."""
+    for section in sections:
+        x = _section_array(np.asarray(x, dtype=float), section) if len(x) else x
+    return x
 
 
-def filter_sections(x: Column, sections: list[tuple[float, ...]]) -> Column:
-    """Causal filtering of an array by second-order sections, transposed direct form, zero start."""
-    for section in sections:
-        start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-        x = F.aggregate(x, start, _section(*section), lambda s: s["out"])
+def _each(df: DataFrame, kernel, id_col: str, column: str) -> DataFrame:
+    """(id, x) with ``kernel`` applied to the samples of each row; null samples count as none."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [kernel(np.asarray(v or [], dtype=float)) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).mapInArrow(run, "id long, x array<double>")
+
+
+def filter_sections(df: DataFrame, sections: list[tuple[float, ...]], id_col: str = "id", column: str = "x") -> DataFrame:
+    """(id, x) filtered row by row, each from a zero start."""
+    return _each(df, lambda x: filter_array(x, sections), id_col, column)
+
+
+def normalize_array(x: np.ndarray, flags: int) -> np.ndarray:
+    """As ``normalize``, of one array."""
+    check_normalization(flags)
+    if not len(x):
+        return x
+    if flags & (DC_REJECT | ZSCORE):
+        x = x - x.mean()
+    if flags & PEAK:
+        x = x / (np.abs(x).max() or 1.0)
+    if flags & ZSCORE:
+        x = x / (x.std() or 1.0)
     return x
 
 
+#: Cells of the weights that resampling holds at once.
+RESAMPLE_CELLS = 4_000_000
+
+
 def resample_array(x: np.ndarray, origin: float, target: float) -> np.ndarray:
     """Band-limited interpolation with a Hann-windowed sinc; round(n * target / origin) samples."""
     n = int(round(len(x) * target / origin))
@@ -173,23 +245,16 @@ def resample_array(x: np.ndarray, origin: float, target: float) -> np.ndarray:
     band = min(1.0, target / origin)
     half = int(np.ceil(16 / band))
     out = np.empty(n)
-    for low in range(0, n, 65_536):
-        at = np.arange(low, min(n, low + 65_536)) * (origin / target)
+    block = max(1, RESAMPLE_CELLS // (2 * half))
+    for low in range(0, n, block):
+        at = np.arange(low, min(n, low + block)) * (origin / target)
         near = np.floor(at).astype(int)[:, None] + np.arange(-half + 1, half + 1)
         away = at[:, None] - near
         weight = band * np.sinc(band * away) * (0.5 + 0.5 * np.cos(np.pi * np.clip(away / half, -1, 1)))
-        out[low : low + 65_536] = (np.where((near >= 0) & (near < len(x)), x[np.clip(near, 0, len(x) - 1)], 0) * weight).sum(axis=1)
+        out[low : low + block] = (np.where((near >= 0) & (near < len(x)), x[np.clip(near, 0, len(x) - 1)], 0) * weight).sum(axis=1)
     return out
 
 
 def resample(df: DataFrame, origin: float, target: float, id_col: str = "id", column: str = "x") -> DataFrame:
     """(id, x) at the target rate; each row is one stretch, resampled whole."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [resample_array(np.asarray(v or [], dtype=float), origin, target) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).mapInArrow(run, "id long, x array<double>")
+    return _each(df, lambda x: resample_array(x, origin, target), id_col, column)

@@ -84,8 +84,8 @@ def stft_array(x: np.ndarray, fft: Fft) -> np.ndarray:
     return np.fft.rfft(frames * fft.scaled, fft.nfft)
 
 
-def _map(df: DataFrame, kernel, schema: str, id_col: str, column: str) -> DataFrame:
-    """Runs ``kernel(samples)``, which yields (p, *values), on each row; null samples count as none."""
+def map_rows(df: DataFrame, kernel, schema: str, id_col: str, column: str) -> DataFrame:
+    """Runs ``kernel(samples)``, which yields (p, *arrays) in the order of the schema after id, on each row; null samples count as none."""
 
     def run(batches):
         import pyarrow as pa
@@ -108,7 +108,7 @@ def stft(df: DataFrame, fft: Fft, id_col: str = "id", column: str = "x") -> Data
         for p, row in enumerate(stft_array(x, fft), low):
             yield p, row.real, row.imag
 
-    return _map(df, kernel, STFT_SCHEMA, id_col, column)
+    return map_rows(df, kernel, STFT_SCHEMA, id_col, column)
 
 
 def stft_power(df: DataFrame, fft: Fft, id_col: str = "id", column: str = "x") -> DataFrame:
@@ -119,7 +119,7 @@ def stft_power(df: DataFrame, fft: Fft, id_col: str = "id", column: str = "x") -
         for p, row in enumerate(np.abs(stft_array(x, fft)) ** 2, low):
             yield p, row
 
-    return _map(df, kernel, POWER_SCHEMA, id_col, column)
+    return map_rows(df, kernel, POWER_SCHEMA, id_col, column)
 
 
 def long_form(df: DataFrame, value: str = "power") -> DataFrame:
@@ -128,11 +128,16 @@ def long_form(df: DataFrame, value: str = "power") -> DataFrame:
     return df.select(*rest, F.posexplode(value).alias("k", value))
 
 
-def welch_segments(df: DataFrame, fft: Fft, noverlap: int | None = None, detrend: bool = True, scaling: str = "density", id_col: str = "id", column: str = "x") -> DataFrame:
+def welch_segments(df: DataFrame, fft: Fft, noverlap: int | None = None, detrend=True, scaling: str = "density", id_col: str = "id", column: str = "x") -> DataFrame:
     """One-sided periodograms (id, p, power) of the overlapping segments.
 
-    ``noverlap`` defaults to the hop, halved where that is the whole window.
+    ``noverlap`` defaults to the hop, halved where that is the whole window. ``detrend``: whether the mean of a segment
+    is subtracted, ``"constant"`` or ``"linear"``, or a function of the segments (rows of an array).
     """
+    kinds = {True: "constant", False: None}
+    trend = detrend if callable(detrend) else kinds.get(detrend, detrend)
+    if not callable(trend) and trend not in (None, "constant", "linear"):
+        raise ValueError("detrend must be a truth value, constant, linear or a function")
     if scaling not in ("density", "spectrum"):
         raise ValueError("scaling must be density or spectrum")
     w = np.asarray(fft.win, dtype=float)
@@ -148,11 +153,16 @@ def welch_segments(df: DataFrame, fft: Fft, noverlap: int | None = None, detrend
         if len(x) < fft.m:
             return
         frames = np.lib.stride_tricks.sliding_window_view(x, fft.m)[:: fft.m - lap]
-        if detrend:
+        if callable(trend):
+            frames = trend(frames)
+        elif trend:
             frames = frames - frames.mean(axis=1, keepdims=True)
+            if trend == "linear":
+                slope = np.arange(fft.m) - (fft.m - 1) / 2
+                frames = frames - np.outer(frames @ slope / max((slope**2).sum(), 1e-300), slope)
         yield from enumerate(np.abs(np.fft.rfft(frames * w, fft.nfft)) ** 2 * norm * double)
 
-    return _map(df, kernel, POWER_SCHEMA, id_col, column)
+    return map_rows(df, kernel, POWER_SCHEMA, id_col, column)
 
 
 def median_bias(n: int) -> float:
@@ -189,7 +199,7 @@ def ltas(df: DataFrame, fft: Fft, bins: int = 1920, id_col: str = "id", column:
     def kernel(x):
         yield from enumerate(_ltas(x, whole, bins))
 
-    return _map(df, kernel, POWER_SCHEMA, id_col, column)
+    return map_rows(df, kernel, POWER_SCHEMA, id_col, column)
 
 
 def split_stft(df: DataFrame, fft: Fft, parts: int, id_col: str = "id", column: str = "x") -> DataFrame:
@@ -203,7 +213,7 @@ def split_stft(df: DataFrame, fft: Fft, parts: int, id_col: str = "id", column:
             for p, row in enumerate(stft_array(x[a:b], fft), low + a // fft.hop):
                 yield p, row.real, row.imag
 
-    return _map(df, kernel, STFT_SCHEMA, id_col, column)
+    return map_rows(df, kernel, STFT_SCHEMA, id_col, column)
 
 
 def merge_stft(parts: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import re
+import zoneinfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,9 +72,40 @@ def convert(stamp: Column, origin: str, zone: str) -> Column:
     return F.convert_timezone(F.lit(origin), F.lit(zone), stamp)
 
 
-def format_millis(stamp: Column) -> Column:
-    """yyyy-MM-ddTHH:mm:ss.SSS+0000 of a UTC time."""
-    return F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+0000"))
+def format_millis(stamp: Column, zone: str = "UTC") -> Column:
+    """yyyy-MM-ddTHH:mm:ss.SSS and the offset of ``zone``, of a UTC time."""
+    local = convert(stamp, "UTC", zone)
+    minutes = F.floor((F.unix_micros(local.cast("timestamp")) - F.unix_micros(stamp.cast("timestamp"))) / 60_000_000).cast("int")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS"), offset)
+
+
+def reformat(text: Column, templates: list[str], zone: str = "UTC") -> Column:
+    """A time stamp in a text, read by the first template that fits and written with its offset; null where none fits."""
+    return format_millis(parse(text, templates), zone)
+
+
+def parse_one(text: str, templates: list[str]) -> datetime.datetime:
+    """As ``parse``, of one text on the driver; where no template fits, each one's reason is told."""
+    reasons = []
+    for template in templates:
+        if not is_valid_template(template):
+            reasons.append(f"{template!r} isn't a valid template")
+            continue
+        pattern, found = template_pieces(template)
+        match = re.search(pattern, text)
+        if not match:
+            reasons.append(f"{template!r} does not fit {text!r}")
+            continue
+        values = [v.zfill(2) if d.startswith("%-") else v for v, d in zip(match.groups(), found)]
+        zones = [v for v, d in zip(values, found) if d == "%Z"]
+        pairs = [(v, d.replace("-", "")) for v, d in zip(values, found) if d != "%Z"]
+        try:
+            stamp = datetime.datetime.strptime(" ".join(v for v, _ in pairs), " ".join(d for _, d in pairs))
+            return stamp.replace(tzinfo=zoneinfo.ZoneInfo(zones[0])) if zones else stamp
+        except (ValueError, zoneinfo.ZoneInfoNotFoundError) as e:
+            reasons.append(f"{template!r}: {e}")
+    raise ValueError("; ".join(reasons) or "no template")
 
 
 def format_name(stamp: Column) -> Column:

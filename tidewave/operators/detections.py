@@ -81,6 +81,14 @@ def invalid(detections: DataFrame) -> DataFrame:
     return detections.where(F.coalesce(wrong, F.lit(False)))
 
 
+def select(detections: DataFrame, label: str | None = None, kind: str | None = None, confident: bool = False) -> DataFrame:
+    """Detections with a label, of a type (WEAK, POINT, BOX), and, if wanted, of the highest confidence that their level allows."""
+    kept = detections if label is None else detections.where(F.col("label") == label)
+    kept = kept if kind is None else kept.where(F.col("type") == kind)
+    level = F.col("confidence.level")
+    return kept.where(level["level"] == level["maximum"]) if confident else kept
+
+
 def describe(detection_id: Column, begin: Column, end: Column, low: Column, high: Column) -> Column:
     text = F.concat(begin.cast("string"), F.lit(" - "), end.cast("string"), F.lit(" ["), low.cast("string"), F.lit(" Hz - "), high.cast("string"), F.lit(" Hz]"))
     return F.coalesce(detection_id.cast("string"), text)

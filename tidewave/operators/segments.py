@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .timeline import remove_overlaps, with_islands
+from .ranges import numbered, running_sum_before
+from .timeline import by_island, remove_overlaps
 
 
 def hop_us(duration_us: int, overlap: float = 0.0) -> int:
@@ -42,35 +42,24 @@ def windows_files(df: DataFrame, key: str) -> DataFrame:
     return remove_overlaps(df, key)
 
 
-_SPAN = "struct<a:bigint,z:bigint>"
-
-
 def windows_file_anchored(df: DataFrame, key: str, duration_us: int, overlap: float = 0.0) -> DataFrame:
     """Windows from the begin of the first file of each chunk; a file joins the chunk if it begins
     no later than the chunk's last window ends, else it anchors a new chunk."""
     hop = hop_us(duration_us, overlap)
-    event = F.struct(F.col("begin_us"), F.col("end_us"), F.col("id"))
-    # files further apart than a window can't share a chunk, so the fold runs island by island
-    ready = with_islands(df, key, slack_us=duration_us).groupBy(key, "island").agg(F.sort_array(F.collect_list(event)).alias("v"))
-    null = F.lit(None).cast(_SPAN)
 
-    def pair(a: Column, z: Column) -> Column:
-        return F.struct(a.alias("a"), z.alias("z"))
+    def fold(events):
+        out: list[tuple[int, int]] = []
+        chunk = None
+        for b, e, _ in sorted(events):
+            if chunk and chunk[0] + hop * (-(-(chunk[1] - chunk[0]) // hop) - 1) + duration_us >= b:
+                chunk = (chunk[0], e)
+            else:
+                out += [chunk] if chunk else []
+                chunk = (b, e)
+        return [*out, chunk]
 
-    def step(s: Column, x: Column) -> Column:
-        out, c = s["out"], s["c"]
-        joins = last_window_end(c["a"], c["z"], hop, duration_us) >= x["begin_us"]
-        fresh = pair(x["begin_us"], x["end_us"])
-        return (
-            F.when(c.isNull(), F.struct(out.alias("out"), fresh.alias("c")))
-            .when(joins, F.struct(out.alias("out"), pair(c["a"], x["end_us"]).alias("c")))
-            .otherwise(F.struct(F.concat(out, F.array(c)).alias("out"), fresh.alias("c")))
-        )
-
-    start = F.struct(F.array().cast(f"array<{_SPAN}>").alias("out"), null.alias("c"))
-    chunks = F.aggregate("v", start, step, lambda s: F.concat(s["out"], F.array(s["c"])))
-    rows = ready.select(key, F.explode(chunks).alias("c")).select(key, F.col("c.a").alias("begin_us"), F.col("c.z").alias("end_us"))
-    return windows_total(rows, duration_us, overlap)
+    # files further apart than a window can't share a chunk, so the fold runs island by island
+    return windows_total(by_island(df, key, duration_us, fold, "_key, begin_us long, end_us long"), duration_us, overlap)
 
 
 def split_equal(df: DataFrame, parts: int) -> DataFrame:
@@ -90,23 +79,19 @@ def frame_bounds(begin_us: Column, at_begin: Column, at_end: Column, rate: int)
 def batches(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Adds ``batch``: ``n`` runs of rows in order, the remainder spread over the first ones.
 
-    The place of a row comes from counts per range partition, not from one global window.
+    The place of a row comes from counts per range of sorted rows, not from one global window.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = W.partitionBy("_part").orderBy(*order)
-    placed = ranged.withColumn("_place", F.row_number().over(inside) - 1)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    # one row per partition, and one row
-    rows = placed.join(F.broadcast(before.drop("_n")), "_part").join(F.broadcast(total))
-    at, each, rest = F.col("_place") + F.col("_before"), F.floor(F.col("_total") / n), F.col("_total") % n
-    big = rest * (each + 1)
-    batch = F.when(at < big, F.floor(at / (each + 1))).otherwise(rest + F.floor((at - big) / F.greatest(each, F.lit(1))))
-    return rows.withColumn("batch", batch).drop("_part", "_place", "_before", "_total")
+    if n < 1:
+        raise ValueError("there must be a batch")
+    rows = numbered(df, list(order), "_place")
+    total = rows.count()
+    each, rest = divmod(total, n)
+    at, big = F.col("_place"), rest * (each + 1)
+    batch = F.when(at < big, F.floor(at / (each + 1))).otherwise(rest + F.floor((at - big) / max(each, 1)))
+    return rows.withColumn("batch", batch).drop("_place")
 
 
 def cumulative_begin(df: DataFrame, key: str, order: str, first_us: int) -> DataFrame:
     """For files without a time stamp: each begins where the ones before it end."""
-    before = F.sum("duration_us").over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("begin_us", F.lit(first_us) + F.coalesce(before, F.lit(0)))
+    before = running_sum_before(df, key, [order], "duration_us", "begin_us")
+    return before.withColumn("begin_us", F.col("begin_us") + F.lit(first_us))

@@ -29,7 +29,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width_us:
     Both sides are dealt into buckets of ``width_us`` (about the 95th percentile of the durations), so
     the join is an equi-join that Spark can hash, sort or split by skew; a pair that shares
     several buckets counts in the later of the two first ones. ``how``: inner, left_semi or left_anti.
-    The semi and anti forms need a column ``id`` on the left.
+    The semi and anti forms need a column ``id`` on the left, which with the keys names its rows.
     """
     lhs = _buckets(left.select([F.col(c).alias(c) for c in left.columns]), width_us, "l")
     rhs = _buckets(right, width_us, "r")
@@ -43,8 +43,9 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width_us:
     if how == "inner":
         on = on & (F.col("x.bucket") == F.greatest("l_first", "r_first"))
         return lhs.alias("x").join(rhs.alias("y"), on).drop("bucket", "l_first", "r_first")
-    hit = lhs.alias("x").join(rhs.alias("y"), on, "left_semi").select(F.col("l_id").alias("id")).distinct()
-    return left.join(hit, "id", how)
+    names = [*keys, *([] if "id" in keys else ["id"])]
+    hit = lhs.alias("x").join(rhs.alias("y"), on, "left_semi").select(*[F.col(f"l_{c}").alias(c) for c in names]).distinct()
+    return left.join(hit, names, how)
 
 
 def clip(begin: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -81,56 +82,81 @@ def coverage_islands(df: DataFrame, key: str) -> DataFrame:
     ).drop("island")
 
 
-_EVENT = "struct<b:bigint,e:bigint,id:bigint>"
+def greedy_chain(events: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The furthest-reaching chain over events (begin, end, id) sorted by (begin, longer first, id).
 
-
-def _resolve(events: Column) -> Column:
-    """The greedy furthest-reaching chain over events sorted by (begin, longer first, id).
-
-    State: the event in hand ``c`` and the furthest-reaching later one that overlaps it, ``k``.
+    ``c`` is the event in hand, ``k`` the furthest-reaching later one that overlaps it.
     """
-    null = F.lit(None).cast(_EVENT)
-
-    def cut(c: Column, k: Column) -> Column:
-        return F.struct(c["b"].alias("b"), k["b"].alias("e"), c["id"].alias("id"))
-
-    def state(out: Column, c: Column, k: Column) -> Column:
-        return F.struct(out.alias("out"), c.alias("c"), k.alias("k"))
-
-    def step(s: Column, x: Column) -> Column:
-        out, c, k = s["out"], s["c"], s["k"]
-        return (
-            F.when(c.isNull(), state(out, x, null))
-            .when(x["b"] < c["e"], state(out, c, F.when(x["e"] > F.greatest(c["e"], k["e"]), x).otherwise(k)))
-            .when(k.isNull(), state(F.concat(out, F.array(c)), x, null))
-            .when(x["b"] < k["e"], state(F.concat(out, F.array(cut(c, k))), k, F.when(x["e"] > k["e"], x).otherwise(null)))
-            .otherwise(state(F.concat(out, F.array(cut(c, k), k)), x, null))
-        )
-
-    def finish(s: Column) -> Column:
-        return F.when(s["k"].isNull(), F.concat(s["out"], F.array(s["c"]))).otherwise(F.concat(s["out"], F.array(cut(s["c"], s["k"]), s["k"])))
-
-    start = state(F.array().cast(f"array<{_EVENT}>"), null, null)
-    return F.aggregate(events, start, step, finish)
+    out: list[tuple[int, int, int]] = []
+    c = k = None
+    for x in events:
+        if c is None:
+            c = x
+        elif x[0] < c[1]:
+            if x[1] > max(c[1], k[1] if k else c[1]):
+                k = x
+        elif k is None:
+            out.append(c)
+            c = x
+        elif x[0] < k[1]:
+            out.append((c[0], k[0], c[2]))
+            c, k = k, x if x[1] > k[1] else None
+        else:
+            out += [(c[0], k[0], c[2]), k]
+            c, k = x, None
+    if c is not None:
+        out += [c] if k is None else [(c[0], k[0], c[2]), k]
+    return out
+
+
+def by_island(df: DataFrame, key: str, slack_us: int, fold, schema: str, width_us: int = DAY_US) -> DataFrame:
+    """Runs ``fold(events)`` on the sorted (begin_us, end_us, id) of each island, in time linear in its rows. A task takes the islands
+    of a key that begin in one stretch of ``width_us``, so that short islands share its cost; only a single island stays whole."""
+    ready = with_islands(df, key, slack_us).withColumn("_cell", F.floor(F.col("island") / width_us)).select(F.col(key).alias("_key"), "_cell", "island", "begin_us", "end_us", "id")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        island, begin, end, ids = (rows.column(c).to_numpy() for c in ("island", "begin_us", "end_us", "id"))
+        order = np.lexsort((ids, -end, begin, island))
+        island = island[order]
+        cuts = [0, *(np.flatnonzero(island[1:] != island[:-1]) + 1).tolist(), len(island)]
+        events = list(zip(begin[order].tolist(), end[order].tolist(), ids[order].tolist()))
+        out = [x for a, b in zip(cuts, cuts[1:]) for x in fold(events[a:b])]
+        columns = list(zip(*out)) if out else [()] * (len(names) - 1)
+        own = pa.array([rows.column("_key")[0].as_py()] * len(out), rows.schema.field("_key").type)
+        return pa.Table.from_arrays([own, *[pa.array(c, pa.int64()) for c in columns]], names=names)
+
+    kind = df.schema[key].dataType.simpleString()
+    return ready.groupBy("_key", "_cell").applyInArrow(run, schema.replace("_key", f"_key {kind}", 1)).withColumnRenamed("_key", key)
 
 
 def remove_overlaps(df: DataFrame, key: str) -> DataFrame:
     """(key, id, begin_us, end_us) without overlaps: of intervals that overlap the one in hand the one
     that reaches furthest is kept and the one in hand ends where it begins; intervals that end no later are
     dropped. Folded island by island, as islands do not touch each other."""
-    ready = with_islands(df, key)
-    event = F.struct(F.col("begin_us").alias("b"), F.col("end_us").alias("e"), F.col("id").alias("id"))
-    sort = F.struct(F.col("begin_us"), (-F.col("end_us")).alias("s"), F.col("id"), event.alias("v"))
-    folded = ready.groupBy(key, "island").agg(F.transform(F.sort_array(F.collect_list(sort)), lambda s: s["v"]).alias("v"))
-    kept = folded.select(key, F.explode(_resolve(F.col("v"))).alias("v"))
-    return kept.select(key, F.col("v.id").alias("id"), F.col("v.b").alias("begin_us"), F.col("v.e").alias("end_us"))
+    fold = lambda events: [(i, b, e) for b, e, i in greedy_chain(events)]
+    return by_island(df, key, 0, fold, "_key, id long, begin_us long, end_us long")
+
+
+def next_after(df: DataFrame, key: str, value: str, name: str, width_us: int = DAY_US) -> DataFrame:
+    """Adds the ``value`` of the key's next row by (begin, end): inside a stretch of time by the row that follows, and at its end by
+    the first row of the next stretch, so that a key with very many rows is spread over its stretches."""
+    by = df.withColumn("_bucket", F.floor(F.col("begin_us") / width_us))
+    first = by.groupBy(key, "_bucket").agg(F.min(F.struct("begin_us", "end_us", F.col(value).alias("_v")))["_v"].alias("_first"))
+    carried = first.select(key, "_bucket", F.lead("_first").over(W.partitionBy(key).orderBy("_bucket")).alias("_carry"))
+    order = W.partitionBy(key, "_bucket").orderBy("begin_us", "end_us")
+    return by.withColumn(name, F.lead(value).over(order)).join(carried, [key, "_bucket"]).withColumn(name, F.coalesce(name, "_carry")).drop("_bucket", "_carry")
 
 
-def fill_gaps(df: DataFrame, key: str) -> DataFrame:
-    """The gaps between neighbours of overlap-free intervals: (key, begin_us, end_us) with id null."""
-    following = F.lead("begin_us").over(W.partitionBy(key).orderBy("begin_us", "end_us"))
-    gaps = df.withColumn("next_us", following).where("next_us > end_us")
-    return gaps.select(key, F.lit(None).cast("long").alias("id"), F.col("end_us").alias("begin_us"), F.col("next_us").alias("end_us"))
+def fill_gaps(df: DataFrame, key: str, **values) -> DataFrame:
+    """The gaps between neighbours of overlap-free intervals: (key, id, begin_us, end_us) with id null; ``values`` are
+    further columns of the gaps."""
+    gaps = next_after(df, key, "begin_us", "next_us").where("next_us > end_us")
+    more = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()]
+    return gaps.select(key, F.lit(None).cast("long").alias("id"), F.col("end_us").alias("begin_us"), F.col("next_us").alias("end_us"), *more)
 
 
 def trim(df: DataFrame, begin_us: int, end_us: int) -> DataFrame:
@@ -142,23 +168,33 @@ def trim(df: DataFrame, begin_us: int, end_us: int) -> DataFrame:
 def populated(windows: DataFrame, items: DataFrame, keys: list[str], width_us: int) -> DataFrame:
     """Each window with the duration that overlap-free items cover in it and the covered share.
 
-    Windows without an item keep a share of 0 (the gap side of the join).
+    Windows without an item keep a share of 0: the outer side of the bucketed join keeps them, and one
+    aggregation puts the buckets of a window together.
     """
-    pairs = interval_join(windows, items, keys, width_us)
-    begin, end = clip(F.col("r_begin_us"), F.col("r_end_us"), F.col("l_begin_us"), F.col("l_end_us"))
     names = [*keys, "begin_us", "end_us"]
-    covered = pairs.groupBy([F.col(f"l_{c}").alias(c) for c in names]).agg(F.sum(end - begin).alias("populated_us"), F.count("*").alias("n_items"))
-    full = windows.select(names).join(covered, names, "left")
-    ratio = F.coalesce(F.col("populated_us"), F.lit(0)) / (F.col("end_us") - F.col("begin_us"))
-    return full.select(*names, F.coalesce("populated_us", F.lit(0)).alias("populated_us"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.round(ratio, 6).alias("ratio"))
-
-
-def asof_backward(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    lhs = _buckets(windows.select(names), width_us, "l").alias("x")
+    rhs = _buckets(items.select(names), width_us, "r").alias("y")
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.bucket") == F.greatest("l_first", "r_first"))
+    for k in keys:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    on = on & overlaps(F.col("x.begin_us"), F.col("x.end_us"), F.col("y.begin_us"), F.col("y.end_us"))
+    begin, end = clip(F.col("y.begin_us"), F.col("y.end_us"), F.col("x.begin_us"), F.col("x.end_us"))
+    covered = lhs.join(rhs, on, "left").groupBy([F.col(f"x.{c}").alias(c) for c in names]).agg(F.coalesce(F.sum(F.when(F.col("y.begin_us").isNotNull(), end - begin)), F.lit(0)).alias("populated_us"), F.count("y.begin_us").alias("n_items"))
+    return covered.withColumn("ratio", F.round(F.col("populated_us") / (F.col("end_us") - F.col("begin_us")), 6))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, value: str, width_us: int = DAY_US) -> DataFrame:
     """For each left row (id, at_us) the ``value`` of the last right row (at_us) of the key at or before it.
 
-    A union and a running last value: one shuffle, no inequality join.
+    A union and a running last value, without an inequality join: inside stretches of time, and carried from
+    stretch to stretch, so that a key with very many rows is spread over its stretches.
     """
     a = left.select(key, F.col("at_us"), F.col("id"), F.lit(1).alias("side"), F.lit(None).cast("long").alias(value))
     b = right.select(key, F.col("at_us"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("side"), F.col(value))
-    order = W.partitionBy(key).orderBy("at_us", "side", value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return a.unionByName(b).withColumn(value, F.last(value, ignorenulls=True).over(order)).where("side = 1").select(key, "id", "at_us", value)
+    every = a.unionByName(b).withColumn("_bucket", F.floor(F.col("at_us") / width_us))
+    last = every.groupBy(key, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("at_us", value))).alias("_last"))
+    before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(key, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    order = W.partitionBy(key, "_bucket").orderBy("at_us", "side", value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = every.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("side = 1").join(carried, [key, "_bucket"])
+    return seen.select(key, "id", "at_us", F.coalesce(value, "_carry").alias(value))

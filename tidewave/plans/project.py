@@ -1,13 +1,16 @@
 """Named transforms of a set of recordings, materialised as tables in one folder.
 
 A project is a folder with a catalogue (JSON) and one Parquet table per output. Preparing a
-transform returns lazy frames; running it writes them. All paths go through Spark's file systems.
+transform returns lazy frames; running it writes them. All paths go through Spark's file systems. The recordings are a table of
+samples, or of files that are read by seeking where a window asks for them.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+import time
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 from enum import IntFlag
 from functools import reduce
 from operator import or_
@@ -16,20 +19,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal, spectral
-from ..operators import segments
-from ..operators.timeline import clip, interval_join
-from ..sources.wav import gap_filled
+from ..functions.text import within
+from ..operators import datasets, segments
+from ..operators.signals import Chain, signals_of_files, signals_of_tables
+from ..sources import spectra, wav
+from .describe import spectrum_of
 
 
 class Output(IntFlag):
     AUDIO = 1
     SPECTRUM = 2
     WELCH = 4
+    SPECTROGRAM = 8
+
+
+SPECTRAL = Output.SPECTRUM | Output.WELCH | Output.SPECTROGRAM
+MODES = ("files", "timedelta_total", "timedelta_file", "whole")
 
 
 @dataclass(frozen=True)
 class Transform:
-    """What to make: outputs, windows (mode files, timedelta_total or timedelta_file), and signal steps."""
+    """What to make: outputs, windows (mode files, timedelta_total, timedelta_file, or whole: one window over all), and
+    signal steps. ``butterworth``: order, cut and kind; ``instrument``: the fields of an ``Instrument``; spectra are made of
+    ``channel``, the first one by default. A sampling rate and that of the fft must be one."""
 
     name: str
     outputs: Output
@@ -40,25 +52,90 @@ class Transform:
     normalization: int = signal.RAW
     fft: dict | None = None
     nb_ltas_time_bins: int | None = None
+    channels: tuple[int, ...] | None = None
+    channel: int = 0
+    butterworth: dict | None = None
+    instrument: dict | None = None
+    db_ref: float | None = None
+    detrend: bool = True
     tags: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if not self.name or "/" in self.name or self.name.startswith((".", "_")):
             raise ValueError("a name must be a plain folder name")
-        if self.mode not in ("files", "timedelta_total", "timedelta_file"):
+        if self.mode not in MODES:
             raise ValueError("unknown mode")
-        if self.mode != "files":
+        if self.mode.startswith("timedelta"):
             segments.hop_us(self.duration_us or 0, self.overlap)
         signal.check_normalization(self.normalization)
-        if self.outputs & (Output.SPECTRUM | Output.WELCH):
-            if not self.fft:
-                raise ValueError("spectral outputs need an fft")
-            if self.sample_rate and self.sample_rate != self.fft["fs"]:
-                raise ValueError("the sampling rates of transform and fft differ")
+        if self.outputs & SPECTRAL and not self.fft:
+            raise ValueError("spectral outputs need an fft")
+        if self.fft and self.sample_rate and self.sample_rate != self.fft["fs"]:
+            raise ValueError("the sampling rates of transform and fft differ")
+
+    def at_rate(self, rate: float) -> Transform:
+        """The same at another rate; the fft follows."""
+        return replace(self, sample_rate=rate, fft=self.fft and self.fft | {"fs": rate})
 
     def spec(self) -> spectral.Fft:
-        f = self.fft or {}
-        return spectral.Fft(tuple(f["win"]), f["hop"], f["fs"], f.get("mfft"), f.get("scale_to"))
+        return spectrum_of({"fft": self.fft})[1]
+
+    def chain(self) -> Chain:
+        """The read chain; the rate of the fft is that of the samples."""
+        rate = self.sample_rate or (self.fft or {}).get("fs")
+        b = self.butterworth
+        if b and not rate:
+            raise ValueError("a filter needs a sample_rate")
+        sections = signal.butterworth_sections(b["order"], tuple(b["cut"]) if isinstance(b["cut"], (list, tuple)) else b["cut"], b["kind"], rate) if b else []
+        return Chain(rate, self.channels, tuple(sections), self.normalization, signal.Instrument(**self.instrument) if self.instrument else None)
+
+
+def windows_of(own: DataFrame, t: Transform) -> DataFrame:
+    """(key, id, begin_us, end_us, ...): in mode files the id is the file's, else a hash of key and bounds."""
+    own = own.select("key", "id", "begin_us", "end_us")
+    if t.mode == "files":
+        return segments.windows_files(own, "key")
+    if t.mode == "whole":
+        windows = datasets.single_window(segments.total_bounds(own, "key"))
+    elif t.mode == "timedelta_total":
+        windows = segments.windows_total(segments.total_bounds(own, "key"), t.duration_us, t.overlap)
+    else:
+        windows = segments.windows_file_anchored(own, "key", t.duration_us, t.overlap)
+    return windows.withColumn("id", F.xxhash64("key", "begin_us", "end_us"))
+
+
+def signals_of(own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
+    """(id, channel, rate, x): the samples of each window, joined from the recordings without their overlaps through the
+    read chain; what none covers is 0. ``own``: key, id, begin_us, end_us, and x (samples) or path, rate and frames."""
+    chain = t.chain()
+    derived = F.round((F.col("frames") if "path" in own.columns else F.size("x")) * 1_000_000 / (F.col("end_us") - F.col("begin_us")), 6)
+    own = own.where(F.col("end_us") > F.col("begin_us")).withColumn("rate", F.coalesce(F.col("rate").cast("double"), derived) if "rate" in own.columns else derived)
+    if chain.rate is None:
+        datasets.require_one(own, "rate")
+    kept = windows if t.mode == "files" else segments.windows_files(own.select("key", "id", "begin_us", "end_us"), "key")
+    width = own.agg(F.coalesce(F.max(F.col("end_us") - F.col("begin_us")), F.lit(1))).first()[0] if t.mode in ("files", "whole") else t.duration_us
+    if "path" in own.columns:
+        spans = kept.select("key", "id", "begin_us", "end_us").join(own.select("key", "id", F.col("begin_us").alias("whole_us"), "path", "rate", "frames"), ["key", "id"])
+        return signals_of_files(windows, spans, chain, ["key"], width)
+    return signals_of_tables(windows, own, chain, ["key"], width, kept)
+
+
+def outputs_of(own: DataFrame, t: Transform) -> dict[str, DataFrame]:
+    """Lazy frames by kind of output; nothing is read but the sampling rates and the longest duration."""
+    windows = windows_of(own, t)
+    out = {"windows": windows}
+    signals = signals_of(own, windows, t)
+    if t.outputs & Output.AUDIO:
+        out["audio"] = signals
+    if t.outputs & SPECTRAL:
+        single = spectra.choose_channel(signals, t.channel) if t.channel else signals.where("channel = 0")
+        bounds = windows.select("id", "begin_us", "end_us")
+        if t.outputs & (Output.SPECTRUM | Output.SPECTROGRAM):
+            kind, fft, bins = spectrum_of({"fft": t.fft, "nb_ltas_time_bins": t.nb_ltas_time_bins})
+            out["spectrum"] = spectra.with_axes(spectral.ltas(single, fft, bins) if kind == "ltas" else spectral.stft_power(single, fft), bounds)
+        if t.outputs & Output.WELCH:
+            out["welch"] = spectral.welch(single, t.spec(), detrend=t.detrend).join(bounds, "id")
+    return out
 
 
 class Project:
@@ -75,6 +152,7 @@ class Project:
     def _within(self, name: str) -> str:
         if not name or "/" in name or "\\" in name or name in (".", ".."):
             raise ValueError(f"{name!r} isn't a name inside the project")
+        within(self.folder, name)
         return f"{self.folder}/{name}"
 
     def catalogue(self) -> dict:
@@ -84,99 +162,131 @@ class Project:
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/project.json", wholetext=True).collect()))
 
     def _save(self, catalogue: dict) -> None:
-        """Written beside and renamed, so that no reader sees half of it."""
+        """Written beside and renamed over the old one in one step, so that a reader sees either, whatever breaks."""
+        jvm = self.spark.sparkContext._jvm
         fs, temporary = self._fs(f"{self.folder}/.project.json.tmp")
         _, final = self._fs(f"{self.folder}/project.json")
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(catalogue, indent=4, sort_keys=True).encode()))
         out.close()
-        fs.delete(final, False)
-        fs.rename(temporary, final)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        own = fs.makeQualified(temporary)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(own, fs.makeQualified(final), how)
+
+    @contextmanager
+    def locked(self, wait_s: float = 30.0):
+        """Holds the catalogue against other writers; the lock goes when the block ends, however it ends."""
+        fs, path = self._fs(f"{self.folder}/.lock")
+        until = time.monotonic() + wait_s
+        while True:
+            try:
+                fs.create(path, False).close()
+                break
+            except Exception as e:
+                if not fs.exists(path) and "FileAlreadyExists" not in str(e):
+                    raise
+                if time.monotonic() > until:
+                    raise TimeoutError(f"{self.folder} is locked by another writer") from e
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    def update(self, entries: dict, gone: tuple[str, ...] = ()) -> None:
+        """Merges entries into the stored catalogue under the lock; entries that are stored already stay as they are."""
+        with self.locked():
+            held = self.catalogue()
+            outputs = {k: v for k, v in held["outputs"].items() if k not in gone}
+            self._save(held | {"outputs": entries | outputs})
 
     def build(self, recordings: DataFrame) -> None:
+        """From a table (key, id, begin_us, end_us, x, rate), or of files (path, rate, frames in place of x)."""
         recordings.write.mode("errorifexists").parquet(self._within("original"))
-        self._save({"outputs": {"original": {"transform": None, "kind": "recordings"}}})
-
-    def _windows(self, own: DataFrame, t: Transform) -> DataFrame:
-        """(key, id, begin_us, end_us, ...): in mode files the id is the file's, else a hash of key and bounds."""
-        if t.mode == "files":
-            return segments.windows_files(own, "key")
-        if t.mode == "timedelta_total":
-            windows = segments.windows_total(segments.total_bounds(own, "key"), t.duration_us, t.overlap)
-        else:
-            windows = segments.windows_file_anchored(own, "key", t.duration_us, t.overlap)
-        return windows.withColumn("id", F.xxhash64("key", "begin_us", "end_us"))
-
-    def _signals(self, own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
-        """(id, x): one array per window, joined from the recordings without their overlaps; what none covers is 0.
-
-        Recordings of each rate fill arrays of their own, which are resampled whole and added up.
-        """
-        derived = F.round(F.size("x") * 1_000_000 / (F.col("end_us") - F.col("begin_us")), 6)
-        own = own.withColumn("rate", F.coalesce(F.col("rate").cast("double"), derived) if "rate" in own.columns else derived)
-        rates = [r[0] for r in own.where("rate > 0").select("rate").distinct().collect()]  # a handful of sampling rates
-        if not t.sample_rate and len(rates) > 1:
-            raise ValueError("recordings of several sampling rates need a sample_rate")
-        target = t.sample_rate or (rates[0] if rates else 1.0)
-        kept = windows if t.mode == "files" else segments.windows_files(own, "key")
-        whole = own.select("key", "id", F.col("begin_us").alias("file_us"), "rate", "x")
-        spans = kept.select("key", "begin_us", "end_us", F.col("id").alias("file"))
-        if t.mode == "files":
-            met = spans.select("key", F.col("file").alias("id"), "file", "begin_us", F.col("begin_us").alias("at"), F.col("end_us").alias("to"))
-        else:
-            pairs = interval_join(windows.select("key", "id", "begin_us", "end_us"), spans, ["key"], t.duration_us)
-            at, to = clip(F.col("r_begin_us"), F.col("r_end_us"), F.col("l_begin_us"), F.col("l_end_us"))
-            met = pairs.select(F.col("l_key").alias("key"), F.col("l_id").alias("id"), F.col("r_file").alias("file"), F.col("l_begin_us").alias("begin_us"), at.alias("at"), to.alias("to"))
-        items = met.join(whole.withColumnRenamed("id", "file"), ["key", "file"])
-        first, stop = segments.frame_bounds(F.col("file_us"), F.col("at"), F.col("to"), F.col("rate"))
-        frame = lambda us: F.bround((us - F.col("begin_us")) * F.col("rate") / 1_000_000).cast("int")
-        offset = frame(F.col("at"))
-        n = F.greatest(F.least(stop - first, frame(F.col("to")) - offset), F.lit(0)).cast("int")
-        cut = items.select("id", "rate", offset.alias("offset"), F.slice("x", (first + 1).cast("int"), n).alias("x"))
-        parts = []
-        for rate in rates or [target]:
-            span = windows.select("id", F.bround((F.col("end_us") - F.col("begin_us")) * rate / 1_000_000).cast("int").alias("n"))
-            # each window once, so that one without recordings is there as well
-            mine = cut.where(F.col("rate") == rate).drop("rate").unionByName(span.select("id", F.lit(0).alias("offset"), F.array().cast("array<double>").alias("x")))
-            filled = gap_filled(mine.join(span, "id"), F.col("n"), ["id"])
-            parts.append(filled if rate == target else signal.resample(filled, rate, target))
-        if len(parts) == 1:
-            return parts[0]
-        add = lambda s, v: F.zip_with(s, v, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-        return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.aggregate(F.collect_list("x"), F.array().cast("array<double>"), add).alias("x"))
-
-    def prepare(self, t: Transform) -> dict[str, DataFrame]:
-        """Lazy frames by kind of output; only the sampling rates are read. ``windows`` says what the ``id`` of the other
-        outputs stands for; in mode files they are whole files without their overlaps."""
-        own = self.spark.read.parquet(self._within("original"))
-        windows = self._windows(own, t)
-        signals = signal.normalize(self._signals(own, windows, t), t.normalization)
-        out = {}
-        out["windows"] = windows
-        if t.outputs & Output.AUDIO:
-            out["audio"] = signals
-        if t.outputs & Output.SPECTRUM:
-            out["spectrum"] = spectral.ltas(signals, t.spec(), t.nb_ltas_time_bins) if t.nb_ltas_time_bins else spectral.stft_power(signals, t.spec())
-        if t.outputs & Output.WELCH:
-            out["welch"] = spectral.welch(signals, t.spec())
-        return out
-
-    def run(self, t: Transform) -> list[str]:
-        """Writes the outputs; a name that exists is refused before anything is written."""
+        self.update({"original": {"transform": None, "kind": "recordings"}})
+
+    def build_from_folder(self, folder: str, templates: list[str] | None, **options) -> DataFrame:
+        """Scans a folder, stores what describes its files (not their samples), and returns the files that were rejected."""
+        good, bad = wav.recordings(self.spark, folder, templates, **options)
+        if good.isEmpty():
+            raise ValueError(f"no valid file in {folder!r}")
+        rows = good.select(F.lit(0).cast("long").alias("key"), F.xxhash64("path").alias("id"), "begin_us", "end_us", "path", F.col("sample_rate").cast("double").alias("rate"), "frames", "channels")
+        self.build(rows)
+        return bad
+
+    def build_from_files(self, paths: list[str], templates: list[str] | None, move: bool = False, **options) -> DataFrame:
+        """Copies or moves files into the project's folder ``files`` and builds from it."""
+        names = [p.rstrip("/").rpartition("/")[2] for p in paths]
+        if len(set(names)) != len(names):
+            raise ValueError("two files have one name")
+        target = self._within("files")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path, name in zip(paths, names):
+            (from_fs, source), (to_fs, goal) = self._fs(path), self._fs(f"{target}/{name}")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, source, to_fs, goal, move, False, conf)
+        return self.build_from_folder(target, templates, **options)
+
+    def prepare(self, t: Transform, source: str = "original") -> dict[str, DataFrame]:
+        """Lazy frames by kind of output; ``windows`` says what the ``id`` of the other outputs stands for; in mode files
+        they are whole files without their overlaps. ``source``: the recordings, or an audio output."""
+        return outputs_of(self.recordings(source), t)
+
+    def recordings(self, name: str = "original") -> DataFrame:
+        """The recordings, or an audio output as such (its first channel), so that a transform can start from it."""
+        entry = self.catalogue()["outputs"].get(name)
+        if entry is None:
+            raise KeyError(name)
+        own = self.spark.read.parquet(self._within(name))
+        if entry["kind"] == "recordings":
+            return own
+        if entry["kind"] != "audio":
+            raise ValueError(f"{name!r} holds no samples")
+        windows = self.spark.read.parquet(self._within(f"{entry['transform']}_windows"))
+        return own.where("channel = 0").select("id", "rate", "x").join(windows.select("key", "id", "begin_us", "end_us"), "id")
+
+    def run(self, t: Transform, source: str = "original", partitions: int | None = None) -> list[str]:
+        """Writes the outputs; a name that exists is refused before anything is written. A spectrum is computed once for
+        itself and its spectrogram. ``partitions``: files of an output."""
         held = self.catalogue()
-        frames = self.prepare(t)
-        names = {kind: f"{t.name}_{kind}" for kind in frames}
+        frames = self.prepare(t, source)
+        kinds = [k for k in frames if k != "spectrum" or t.outputs & Output.SPECTRUM] + (["spectrogram"] if t.outputs & Output.SPECTROGRAM else [])
+        names = {kind: f"{t.name}_{kind}" for kind in kinds}
         taken = [n for n in names.values() if n in held["outputs"]]
         if taken:
             raise ValueError(f"already there: {taken}")
+
+        def write(frame: DataFrame, kind: str) -> None:
+            (frame.repartition(partitions) if partitions else frame).write.mode("errorifexists").parquet(self._within(names[kind]))
+
         for kind, frame in frames.items():
-            frame.write.mode("errorifexists").parquet(self._within(names[kind]))
+            if kind in names:
+                write(frame, kind)
+        if "spectrogram" in names:
+            own = self.spark.read.parquet(self._within(names["spectrum"])) if "spectrum" in names else frames["spectrum"]
+            write(spectra.decibel_grid(own, t.db_ref, bool(t.instrument)), "spectrogram")
         described = {k: (int(v) if isinstance(v, Output) else v) for k, v in asdict(t).items()}
-        held = self.catalogue()
-        held["outputs"] |= {n: {"transform": t.name, "kind": kind, "spec": described} for kind, n in names.items()}
-        self._save(held)
+        self.update({n: {"transform": t.name, "kind": kind, "spec": described} for kind, n in names.items()})
         return list(names.values())
 
+    def transform(self, name: str) -> Transform:
+        """The transform that an output was made by."""
+        spec = dict(self.catalogue()["outputs"][name]["spec"])
+        spec["outputs"] = Output(spec["outputs"])
+        spec["channels"] = tuple(spec["channels"]) if spec.get("channels") else None
+        return Transform(**spec)
+
+    def fft(self, name: str) -> spectral.Fft:
+        """The transform of a stored spectrum."""
+        return self.transform(name).spec()
+
+    def export_audio(self, name: str, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
+        """Writes [first, last) of an audio output, by time, as WAV files named by their begins; returns what was written."""
+        windows = self.spark.read.parquet(self._within(f"{self.catalogue()['outputs'][name]['transform']}_windows"))
+        own = datasets.take(windows.select("id", "begin_us"), ["begin_us", "id"], first, last)
+        return wav.write(self.load(name).join(own, "id"), folder)
+
     def outputs(self, transform: str | None = None) -> list[str]:
         return [n for n, v in sorted(self.catalogue()["outputs"].items()) if transform in (None, v["transform"])]
 
@@ -189,27 +299,30 @@ class Project:
         return self.spark.read.parquet(self._within(name))
 
     def delete(self, transform: str) -> None:
-        held = self.catalogue()
-        for n in self.outputs(transform):
+        gone = self.outputs(transform)
+        for n in gone:
             fs, path = self._fs(self._within(n))
             fs.delete(path, True)
-            del held["outputs"][n]
-        self._save(held)
+        self.update({}, tuple(gone))
 
     def rename(self, old: str, new: str) -> None:
-        held = self.catalogue()
+        held = self.catalogue()["outputs"]
         if new in self.transforms():
             raise ValueError(f"already there: {new}")
+        entries = {}
         for n in self.outputs(old):
-            entry = held["outputs"].pop(n)
-            target = f"{new}_{entry['kind']}"
+            target = f"{new}_{held[n]['kind']}"
             fs, source = self._fs(self._within(n))
             fs.rename(source, self._fs(self._within(target))[1])
-            held["outputs"][target] = entry | {"transform": new}
-        self._save(held)
+            entries[target] = held[n] | {"transform": new}
+        self.update(entries, tuple(self.outputs(old)))
 
     def reset(self) -> None:
-        """Deletes every output but the recordings."""
+        """Deletes every output but the recordings; a folder with files that aren't the project's is left alone."""
+        fs, path = self._fs(self.folder)
+        strange = [n for n in (str(f.getPath().getName()) for f in fs.listStatus(path)) if n not in self.outputs() and n not in ("project.json", "files") and not n.startswith(".")]
+        if strange:
+            raise ValueError(f"not the project's: {strange}")
         for t in self.transforms():
             self.delete(t)
 

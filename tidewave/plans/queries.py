@@ -325,7 +325,7 @@ f AS (SELECT id, n, {_B0}::DOUBLE * v AS y, {_B1}::DOUBLE * v - {_A1}::DOUBLE *
 UNION ALL SELECT s.id, s.n, {_B0}::DOUBLE * s.v + f.p, {_B1}::DOUBLE * s.v - {_A1}::DOUBLE * ({_B0}::DOUBLE * s.v + f.p) + f.q, {_B2}::DOUBLE * s.v - {_A2}::DOUBLE * ({_B0}::DOUBLE * s.v + f.p) FROM f JOIN s ON s.id = f.id AND s.n = f.n + 1)
 SELECT id, n, round(y, 6) AS v FROM f""")
 def butterworth_lowpass(spark, sf_dir):
-    return _rounded(views.waveforms(spark, sf_dir).select("id", signal.filter_sections(F.col("x"), SECTIONS).alias("x")))
+    return _rounded(signal.filter_sections(views.waveforms(spark, sf_dir), SECTIONS))
 
 
 @query("SELECT vec_id AS id, 48 AS n FROM embeddings")
@@ -489,3 +489,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _populated(spark, sf_dir).where("ratio > 0")
 
 
+
+
+from . import dataset_queries  # noqa: E402, F401  registers its queries

@@ -1,67 +1,38 @@
-"""WAV files as tables: metadata and samples through Spark's binary file source, and a writer.
+"""Audio files as tables: metadata, samples by frame range, and a WAV writer.
 
-Reading through ``binaryFile`` keeps to Spark's file systems, so any store that Spark reads will do.
-Uncompressed PCM (8, 16, 24 and 32 bit) and IEEE float (32, 64 bit) are decoded here.
+Spark lists the files; headers and frames are read by seeking, through the backend of the file's suffix (WAV here:
+uncompressed PCM of 8, 16, 24 and 32 bit, IEEE float of 32 and 64 bit; ``backends.register`` adds others).
 """
 
 from __future__ import annotations
 
+import datetime
+import io
+import re
 import struct
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import parse
+from ..functions.text import is_absolute
+from ..functions.timestamps import localize, parse
+from ..operators.ranges import running_sum_before, written
+from . import backends
 
 META = "path string, sample_rate int, channels int, frames long, error string"
 SAMPLES = "path string, channel int, start long, x array<double>"
 
 
-def chunks(data: bytes) -> dict[bytes, tuple[int, int]]:
-    """Offset and size of each RIFF chunk."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise ValueError("no RIFF WAVE header")
-    found, at = {}, 12
-    while at + 8 <= len(data):
-        name, size = struct.unpack_from("<4sI", data, at)
-        found.setdefault(name, (at + 8, min(size, len(data) - at - 8)))
-        at += 8 + size + size % 2
-    if b"fmt " not in found or b"data" not in found:
-        raise ValueError("no format or data chunk")
-    return found
-
-
-def header(data: bytes) -> tuple[int, int, int, int, int]:
-    """Kind (1 PCM, 3 float), channels, rate, bytes of a sample, frames."""
-    found = chunks(data)
-    kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, found[b"fmt "][0])
-    if kind == 0xFFFE:
-        kind = struct.unpack_from("<H", data, found[b"fmt "][0] + 24)[0]
-    width = bits // 8
-    if kind not in (1, 3) or (kind, width) not in ((1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)) or not channels or not rate:
-        raise ValueError("unsupported sample format")
-    return kind, channels, rate, width, found[b"data"][1] // (channels * width)
-
-
 def frames(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Frames by channels as float64 in [-1, 1); bounds are checked as in a seek."""
-    kind, channels, _, width, total = header(data)
+    """Frames by channels of a WAV in memory, as float64 in [-1, 1); bounds are checked as in a seek."""
+    file, own = io.BytesIO(data), backends.Wav()
+    total = own.info(file).frames
     stop = total if stop is None else stop
     if not (0 <= start <= stop <= total):
         raise ValueError("frames out of bounds")
-    at = chunks(data)[b"data"][0] + start * channels * width
-    raw = data[at : at + (stop - start) * channels * width]
-    if kind == 3:
-        x = np.frombuffer(raw, dtype=f"<f{width}").astype(float)
-    elif width == 1:
-        x = (np.frombuffer(raw, dtype=np.uint8).astype(float) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
-    else:
-        x = np.frombuffer(raw, dtype=f"<i{width}") / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels)
+    return own.read(file, start, stop)
 
 
 def encode(x: np.ndarray, rate: int) -> bytes:
@@ -73,62 +44,69 @@ def encode(x: np.ndarray, rate: int) -> bytes:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(folder)
+    """Paths of the files of a folder that some backend reads, in any case of the suffix; their contents are not read."""
+    known = "|".join(re.escape(x) for x in backends.suffixes())
+    return spark.read.format("binaryFile").load(folder).select("path").where(F.col("path").rlike(f"(?i)(?:{known})$"))
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Header fields of each WAV file of a folder; files that can't be read have ``error`` set."""
+    """Header fields of each audio file of a folder; files that can't be read have ``error`` set."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for path in batch.column(0).to_pylist():
                 try:
-                    _, channels, rate, _, n = header(data.as_py())
-                    out.append((path, rate, channels, n, None if n else "no frames"))
-                except (ValueError, struct.error) as e:
+                    own = backends.info(path)
+                    out.append((path, own.rate, own.channels, own.frames, None if own.frames else "no frames"))
+                except (ValueError, OSError, struct.error) as e:
                     out.append((path, None, None, None, str(e)))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["path", "sample_rate", "channels", "frames", "error"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["path", "sample_rate", "channels", "frames", "error"])
 
-    return _files(spark, folder).select("path", "content").mapInArrow(run, META)
+    return _files(spark, folder).mapInArrow(run, META)
 
 
-def recordings(spark: SparkSession, folder: str, templates: list[str] | None, first_us: int = 1_577_836_800_000_000) -> tuple[DataFrame, DataFrame]:
-    """(recordings, rejects). A file begins at the time in its name; without templates each begins
-    where the one before it (by path) ends, the first at ``first_us``."""
+def recordings(spark: SparkSession, folder: str, templates: list[str] | None, first_us: int = 1_577_836_800_000_000, zone: str | None = None, begin_us: int | None = None, end_us: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(recordings, rejects). A file begins at the time in its name, a local time of ``zone`` where one is given; without
+    templates each begins where the one before it (by path) ends, the first at ``first_us``. Only files that
+    reach into [begin_us, end_us) are returned."""
     meta = scan(spark, folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     duration = F.bround(F.col("frames") * 1_000_000 / F.col("sample_rate")).cast("long")
     good = meta.where("error is null").withColumn("duration_us", duration)
     if templates:
-        stamped = good.withColumn("begin_us", F.unix_micros(parse(name, templates).cast("timestamp")))
+        stamp = parse(name, templates)
+        stamp = localize(stamp, zone) if zone else stamp
+        stamped = good.withColumn("begin_us", F.unix_micros(stamp.cast("timestamp")))
         late = stamped.where("begin_us is null").select("path", F.lit("no time stamp in the name").alias("error"))
         ready, bad = stamped.where("begin_us is not null"), meta.where("error is not null").select("path", "error").unionByName(late)
     else:
-        from ..operators.segments import cumulative_begin
-
-        ready = cumulative_begin(good.withColumn("folder", F.lit(0)), "folder", "path", first_us).drop("folder")
+        ready = running_sum_before(good.withColumn("_all", F.lit(0)), "_all", ["path"], "duration_us", "begin_us").withColumn("begin_us", F.col("begin_us") + F.lit(first_us)).drop("_all")
         bad = meta.where("error is not null").select("path", "error")
-    return ready.withColumn("end_us", F.col("begin_us") + F.col("duration_us")).drop("error"), bad
+    ready = ready.withColumn("end_us", F.col("begin_us") + F.col("duration_us")).drop("error")
+    if begin_us is not None:
+        ready = ready.where(F.col("end_us") > begin_us)
+    return (ready if end_us is None else ready.where(F.col("begin_us") < end_us)), bad
 
 
 def read_windows(spark: SparkSession, folder: str, windows: DataFrame) -> DataFrame:
-    """Samples (path, channel, start, x) of frames [start, stop) of files; ``windows`` has path, start, stop."""
+    """Samples (path, channel, start, x) of frames [start, stop) of files; ``windows`` has path (whole, or relative to the
+    folder), start, stop. Only these frames are read."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for path, data, start, stop in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x = frames(data.as_py(), start, stop)
+            for path, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                x = backends.read(path if is_absolute(path) else f"{folder.rstrip('/')}/{path}", start, stop)
                 n = x.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array([start] * n, pa.int64()), pa.array(list(x.T), pa.list_(pa.float64()))], names=["path", "channel", "start", "x"])
 
-    files = _files(spark, folder).select("path", "content")
-    return files.join(windows.select("path", "start", "stop"), "path").select("path", "content", "start", "stop").mapInArrow(run, SAMPLES)
+    return windows.select("path", "start", "stop").mapInArrow(run, SAMPLES)
 
 
 def gap_filled(items: DataFrame, length: Column, key: list[str]) -> DataFrame:
@@ -145,23 +123,29 @@ def gap_filled(items: DataFrame, length: Column, key: list[str]) -> DataFrame:
     return parts.withColumn("x", filled).select(*key, F.slice(F.concat("x", rest), F.lit(1), F.col("n").cast("int")).alias("x"))
 
 
-def write(samples: DataFrame, folder: str, rate: int) -> DataFrame:
-    """Writes each row (name, x) as ``folder/name.wav`` through Spark's file systems; returns the paths.
+def write(samples: DataFrame, folder: str) -> DataFrame:
+    """Writes each window of ``samples`` (id, channel, rate, x, begin_us) as a WAV file of 64-bit floats, named by its begin
+    (UTC) and, where several begin alike, its id; returns (path, frames). Tasks write beside and rename, so a
+    task that runs twice leaves one whole file."""
 
-    The bytes are made on the executors and leave them through Spark's own writer, one text-free
-    binary table; ``export`` turns its rows into single files on the driver's demand.
-    """
-
-    def run(batches):
+    def run(key, rows):
         import pyarrow as pa
 
-        for batch in batches:
-            data = [encode(np.asarray(v, dtype=float)[:, None], rate) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["name", "content"])
-
-    encoded = samples.select(F.col("name").cast("string"), F.col("x").cast("array<double>")).mapInArrow(run, "name string, content binary")
-    encoded.write.mode("errorifexists").parquet(f"{folder}/_wav")
-    return samples.sparkSession.read.parquet(f"{folder}/_wav")
+        held = sorted(rows.to_pylist(), key=lambda r: r["channel"])
+        x = np.array([r["x"] for r in held], dtype=float).T
+        begin = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=held[0]["begin_us"])
+        system, inner = backends.location(folder)
+        system.create_dir(inner, recursive=True)
+        path = f"{inner}/{begin:%Y_%m_%d_%H_%M_%S_%f}" + (f"_{held[0]['id']}" if held[0]["alike"] > 1 else "") + ".wav"
+        beside = f"{path}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(beside) as out:
+            out.write(encode(x, round(held[0]["rate"])))
+        system.move(beside, path)
+        return pa.Table.from_arrays([pa.array([path]), pa.array([len(x)], pa.int64())], names=["path", "frames"])
+
+    alike = samples.select("id", "begin_us").distinct().groupBy("begin_us").agg(F.count("*").alias("alike"))
+    named = samples.select("id", "channel", "rate", "x", "begin_us").join(alike, "begin_us")
+    return written(named.groupBy("id").applyInArrow(run, "path string, frames long"), "wav")
 
 
 def synthetic(spark: SparkSession, files: int, samples: int, kind: str = "sine", frequency: float = 1000.0, rate: int = 48_000, magnitude: float = 1.0) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.llm import chat, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, pii, secrets, toxicity, url_filters
+from tidewave.llm import _spans, chat, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, pii, secrets, toxicity, url_filters
 from tidewave.llm._components import connected_components
 
 
@@ -432,6 +432,32 @@ def test_pii_selection_is_calibrated(spark):
     assert len(trees) == 15 and all(math.isfinite(cuts[k]) for k in ("email", "phone"))
 
 
+def test_pii_trees_as_columns(spark):
+    """A CASE expression of a tree gives what the tree gives; margins that tie are let in together."""
+    p = pii.BoostingParameters(sentences=2000, rounds=6)
+    start, trees, cuts = pii.train(spark, p)
+    found = pii.candidates(pii.synthetic_sentences(spark, 2000), ["says", "held"]).select("says", "held", F.explode("spans").alias("s")).select((F.col("says") == F.col("s.kind")).cast("int").alias("label"), "held", "s.kind", pii.features_of(F.col("s")).alias("x"))
+    rows = found.select("*", *[pii._case(t, F.col("x")).alias(f"t{k}") for k, t in enumerate(trees)]).collect()
+    assert len(rows) > 500
+    margins = collections.defaultdict(list)
+    for r in rows:
+        leaves = [pii._leaf(t, tuple(r["x"])) for t in trees]
+        assert [r[f"t{k}"] for k in range(len(trees))] == leaves
+        margins[r["kind"], r["held"]].append((start + sum(leaves), r["label"]))
+    for kind in pii.KINDS:
+        chosen = [y for m, y in margins[kind, True] if m >= cuts[kind]]
+        assert not chosen or np.mean(chosen) >= p.precision
+
+
+def test_pii_beyond_the_base(spark):
+    """Written-out and local forms in a context are found, things that are counted are not."""
+    texts = ["please mail kim(at)example.com today", "call (555) 010-2345 now", "the ip 10[.]0[.]3[.]7 is down", "order 555-010-2345 was sent", "version 400(.)1(.)2(.)3", "tel 0044 7911 123 457"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["all"]] for r in pii.pii_spans(docs).collect()}
+    assert got[0] == [("email", "kim(at)example.com")] and got[1] == [("phone", "(555) 010-2345")] and got[2] == [("ip", "10[.]0[.]3[.]7")]
+    assert got[3] == [] and got[4] == [] and got[5] == [("phone", "0044 7911 123 457")]
+
+
 # --- pieces of the native operators ---
 
 
@@ -443,6 +469,39 @@ def test_trigram_queries():
     assert q("abc(def)*ghi") == ("and", ("abc", "ghi")) and q("(?:abc)+") == "abc"
 
 
+def _fulfils(query, text: str) -> bool:
+    if query is True or isinstance(query, str):
+        return query is True or query in text.lower()
+    return (all if query[0] == "and" else any)(_fulfils(q, text) for q in query[1])
+
+
+def test_trigram_queries_admit_every_match():
+    """Whatever a rule matches fulfils its query, and expressions outside the parser's reach are refused."""
+    hits = ["password = 'abcdef", "apikey:abcdef", "API_KEY=ab", "AKIA" + "Z9" * 8, "ghp_" + "a" * 36, "xoxb-1234567890", "AIza" + "x" * 35, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 10, "token\"=x", "0" * 24]
+    for rule in secrets.RULES:
+        query, own = secrets.trigram_query(rule.pattern), [h for h in hits if re.search(rule.pattern, h)]
+        assert own and all(_fulfils(query, h) for h in own)
+    q = secrets.trigram_query
+    assert q(r"a[b]c\x64(?=zzz)^e$") == ("and", ("abc", "bcd", "cde")) and q(r"(?i)KEY\d{2,}?x") == "key" and q("ab{2}c") is True
+    for bad in ("(ab", "ab)", r"\q"):
+        with pytest.raises(ValueError):
+            q(bad)
+
+
+def test_stored_postings_serve_the_scan(spark, odd):
+    docs = odd.unionByName(spark.createDataFrame([(700, "token=abcdefgh AKIA" + "Q" * 16, 0, "s")], odd.schema))
+    index = secrets.postings(docs, secrets.grams_of())
+    own = lambda df: sorted(map(str, df.collect()))
+    assert own(secrets.secret_spans(docs, index=index)) == own(secrets.secret_spans(docs))
+
+
+def test_places_of_many_matches(spark):
+    """A text with very many matches takes time in proportion to them."""
+    text = "é" + "a1 \ue001bb22 " * 30_000
+    got = spark.createDataFrame([(text,)], "t string").select(_spans.matches(F.col("t"), "[0-9]+").alias("m")).select(F.explode(_spans.placed(F.col("m"))).alias("s")).select("s.*").collect()
+    assert [(r["start"], r["end"], r["hit"]) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+
+
 def test_escape_round_trip(spark):
     texts = ["", "\\", "<|", "<\\|", "\\<|x|>\\\\", "<<|im_end|>\n", "é<|"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("back"))

@@ -5,40 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPANS = "array<struct<start:int,end:int,hit:string,part:string>>"
+#: Private-use characters that are set around matches; where a text holds them itself, they count as replacement characters.
+_OPEN, _CLOSE = "\ue001", "\ue002"
+#: Pieces whose lengths are summed one by one; the sums before them are kept by block.
+_BLOCK = 32
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def matches(text: Column, pattern: str, group: int = 0, when: Column | None = None) -> Column:
-    """All leftmost, non-overlapping matches of ``text``: the strings, one group of each, and the
-    lengths of the stretches between them. Null where ``when`` rules a match out.
+    """All leftmost, non-overlapping matches of ``text``: the pieces of the text, a stretch between matches and a match in
+    turn. Null where ``when`` rules a match out.
 
-    To be kept in a column of its own, so that the text is searched once; ``placed`` reads it.
+    The text is searched once: marks are set around the matches and the text is cut at the marks. To be
+    kept in a column of its own; ``placed`` reads it.
     """
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts") if group else F.lit(None).cast("array<string>").alias("parts"),
-        F.transform(F.split(text, pattern, -1), lambda s: F.length(s)).alias("gaps"),
-    )
-    return found if when is None else F.when(when, found)
+    plain = F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")
+    pieces = F.split(F.regexp_replace(plain, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+    return pieces if when is None else F.when(when, pieces)
 
 
-def placed(found: Column) -> Column:
-    """The spans of a ``matches`` column: start and end in code points (end exclusive), match, group.
+def placed(pieces: Column, pattern: str | None = None, group: int = 0) -> Column:
+    """The spans of a ``matches`` column: start and end in code points (end exclusive), match, and the ``group`` of the pattern.
 
-    The running length of stretches and matches gives the places.
+    Places are running sums of the pieces' lengths, by blocks and inside a block, so that the work per match does not grow
+    with the matches of a text.
     """
 
-    def add(state: Column, i: Column) -> Column:
-        start = state["at"] + F.get(found["gaps"], i)
-        hit = F.get(found["hits"], i)
-        end = start + F.length(hit)
-        span = F.struct(start.alias("start"), end.alias("end"), hit.alias("hit"), F.get(found["parts"], i).alias("part"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    none = F.array().cast(SPANS)
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    all_spans = F.aggregate(F.sequence(F.lit(0), F.size(found["hits"]) - 1), first, add, lambda s: s["out"])
-    return F.when(F.size(found["hits"]) > 0, all_spans).otherwise(none)
+    def blocks(sizes: Column) -> Column:
+        n = F.ceil(F.size(sizes) / _BLOCK).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.aggregate(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, v: s + v))
+        return let(sums, lambda own: F.transform(own, lambda _, b: F.aggregate(F.slice(own, F.lit(1), b), F.lit(0), lambda s, v: s + v)))
+
+    def spans(own: Column, sizes: Column, before: Column) -> Column:
+        def one(k: Column) -> Column:
+            i = k * 2 + 1
+            inside = F.aggregate(F.slice(sizes, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK), F.lit(0), lambda s, v: s + v)
+            start, hit = F.get(before, F.floor(i / _BLOCK).cast("int")) + inside, F.get(own, i)
+            part = F.regexp_extract(hit, pattern, group) if group else F.lit(None).cast("string")
+            return F.struct(start.alias("start"), (start + F.get(sizes, i)).alias("end"), hit.alias("hit"), part.alias("part"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / 2).cast("int") - 1), one)
+
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,part:string>>")
+    found = let(F.transform(pieces, lambda p: F.length(p)), lambda sizes: let(blocks(sizes), lambda before: spans(pieces, sizes, before)))
+    return F.when(F.size(pieces) > 1, found).otherwise(none)
 
 
 def ranked(kind: str, rank: int, found: Column) -> Column:

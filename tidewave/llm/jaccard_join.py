@@ -333,9 +333,11 @@ def link_counts(docs: DataFrame, kinds: DataFrame, p: ForestParameters, id_col:
     # rows with the identifier of a class in hand; of several texts under one identifier the key tells which is meant
     wanted = materialise(own.join(sized, "node").select("node", "part", "m", "rep", "copies", "set_key"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    ids = wanted.select(F.col("rep").alias("wanted_id")).distinct()
-    rows = _rows(docs, id_col, text_col)
-    found = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(to_sets, "set_key binary, shingles binary")
+    # a null identifier shares its place with the least number there is; the keys part them
+    place = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("place")
+    ids = wanted.select(place("rep")).distinct()
+    rows = _rows(docs, id_col, text_col).select(place("doc_id"), "text")
+    found = rows.join(F.broadcast(ids) if few else ids, "place", "left_semi").mapInArrow(to_sets, "set_key binary, shingles binary")
     sets = materialise(found.groupBy("set_key").agg(F.min("shingles").alias("shingles")), "sets")
     ready = wanted.select("node", "part", "m", "copies", "set_key").join(sets, "set_key").drop("set_key")
     return materialise(_blocks(ready, "m", SET_BLOCK, ["part"], ["copies", "shingles"]).mapInArrow(_verify(p), "node long, near long, classes long, root long"), "links")

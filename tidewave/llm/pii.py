@@ -3,8 +3,8 @@
 Generators with high recall propose overlapping spans per kind. Each candidate is described by
 small integer features of its format (length, digits, separators, checksums) and of its context
 (neighbouring characters, words before it). Boosted trees, trained on labelled synthetic sentences,
-turn them into a probability; a threshold per kind, calibrated on sentences held out from training,
-selects what is redacted. Candidates of the base formats stay whatever their score.
+turn them into a probability; a threshold per kind, calibrated on sentences of other forms and other words than those of
+training, selects what is redacted. Candidates of the base formats stay whatever their score.
 
 Candidates, features and scores are DataFrame expressions; a trained tree is a CASE expression. Only
 the counts of distinct feature vectors of the bounded synthetic set reach the driver, which grows the
@@ -36,14 +36,17 @@ _CARD = rf"[0-9][0-9{_JOINT}]{{12,}}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Further generators, without a base format: written-out addresses and numbers without a plus.
+#: Further generators, without a base format: written-out addresses, dots in brackets, cards in groups, numbers without a plus.
 _SPELLED = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,4}"
+_DEFANGED = r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\[(]\.[\])]\x20?[0-9]{1,3}){3}(?![0-9])"
+_GROUPED = r"(?<![0-9])[0-9]{4}(?:[._/]|\x20{2}|\x20-\x20)[0-9]{4}(?:[._/]|\x20{2}|\x20-\x20)[0-9]{4}(?:[._/]|\x20{2}|\x20-\x20)[0-9]{4}(?![0-9])"
+_ABROAD = r"(?<![0-9A-Za-z.+-])00[1-9][0-9]{0,2}[\x20.-](?:\(?[0-9]{1,4}\)?[\x20.-]?){2,5}(?<=[0-9])(?![0-9])"
 _LOCAL_NUMBER = r"(?<![0-9A-Za-z.+-])(?<![0-9+][\x20().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
 
 @dataclass(frozen=True)
 class BoostingParameters:
-    """``sentences`` bounds the synthetic training set; a quarter of it calibrates the thresholds."""
+    """``sentences`` bounds the synthetic set; the part of it that is held out calibrates the thresholds."""
 
     sentences: int = 8_000
     rounds: int = 40
@@ -84,6 +87,9 @@ GENERATORS = (
     ("phone", "phone", _PHONE, lambda t: t.contains("+"), lambda h: _between(h, 9, 15)),
     ("spelled", "email", _SPELLED, lambda t: F.lower(t).rlike(r"\(at\)|\[at\]"), None),
     ("local", "phone", _LOCAL_NUMBER, lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), None),
+    ("abroad", "phone", _ABROAD, lambda t: t.rlike(r"00[1-9][0-9]{0,2}[\x20.-]"), None),
+    ("defanged", "ip", _DEFANGED, lambda t: t.rlike(r"[0-9]\x20?[\[(]\."), None),
+    ("grouped", "card", _GROUPED, lambda t: t.rlike(r"[0-9]{4}[._/\x20][-\x20]?"), None),
 )
 
 _CONTEXT = {
@@ -91,7 +97,7 @@ _CONTEXT = {
     "phone_word": r"(?i)(?:phone|tel|call|mobile|fax|cell)[^\n]{0,12}$",
     "card_word": r"(?i)(?:card|visa|credit|payment|account)[^\n]{0,12}$",
     "net_word": r"(?i)(?:\bip|host|server|address|login)[^\n]{0,12}$",
-    "count_word": r"(?i)(?:order|version|isbn|id|number|no|ref|page|part|model)\.?[^\n]{0,4}$",
+    "count_word": r"(?i)(?:order|version|isbn|id|number|no|ref|page|part|model|invoice|ticket|serial|item|tracking|batch)\.?[^\n]{0,6}$",
 }
 
 
@@ -99,6 +105,7 @@ def features_of(s: Column) -> Column:
     """Small integers that describe a candidate (generator, base, hit, before, after)."""
     hit, before, after = s["hit"], s["before"], s["after"]
     n = F.length(_digits(hit))
+    groups = F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))
     columns = [F.when(s["generator"] == g[0], 1).otherwise(0).alias(f"is_{g[0]}") for g in GENERATORS]
     columns += [
         s["base"].cast("int").alias("base"),
@@ -107,6 +114,10 @@ def features_of(s: Column) -> Column:
         F.least(F.length(F.regexp_replace(hit, r"[^\x20().\-]", "")), F.lit(8)).alias("marks"),
         hit.rlike(r"^[0-9]*$").cast("int").alias("bare"),
         F.when(n.between(12, 20), luhn(hit)).otherwise(False).cast("int").alias("checksum"),
+        hit.rlike(r"[A-Za-z]{2}$").cast("int").alias("word_end"),
+        F.least(F.size(groups), F.lit(8)).alias("groups"),
+        F.exists(groups, lambda g: F.length(g) > 4).cast("int").alias("long_group"),
+        F.exists(groups, lambda g: (F.length(g) <= 4) & (g.try_cast("int") > 255)).cast("int").alias("over_octet"),
         before.rlike(r"[A-Za-z0-9_]$").cast("int").alias("glued_before"),
         after.rlike(r"^[A-Za-z0-9_]").cast("int").alias("glued_after"),
     ]
@@ -114,7 +125,7 @@ def features_of(s: Column) -> Column:
     return F.struct(*columns)
 
 
-FEATURES = tuple([f"is_{g[0]}" for g in GENERATORS] + ["base", "length", "digits", "marks", "bare", "checksum", "glued_before", "glued_after", *_CONTEXT])
+FEATURES = tuple([f"is_{g[0]}" for g in GENERATORS] + ["base", "length", "digits", "marks", "bare", "checksum", "word_end", "groups", "long_group", "over_octet", "glued_before", "glued_after", *_CONTEXT])
 
 
 def candidates(rows: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -138,32 +149,71 @@ def candidates(rows: DataFrame, id_cols: list[str], text_col: str = "text") -> D
     return searched.select(*id_cols, F.concat(*[described(g, kind, base) for g, kind, _, _, base in GENERATORS]).alias("spans"))
 
 
-# Templates of the synthetic set: # is a digit, @ a name; label 1 marks personal data.
-_SENTENCES = (
-    (1, "please write to @.@#@mail.example.com soon"), (1, "e-mail @#(at)@.example.org for news"), (1, "contact @ [at] @ [dot] com today"), (1, "the @ of @.##@example.net was"),
-    (1, "call +1 (###) ###-#### now"), (1, "tel: +## ### ######"), (1, "my phone is ###-###-#### at home"), (1, "mobile (###) ###-#### or fax"), (1, "and +1 (###) 555-#### was it"),
-    (1, "pay by card 4111 1111 1111 1111 please"), (1, "visa 5500005555555559 expires"), (1, "the 4012888888881881 of it"), (1, "credit 3782-822463-10005 now"),
-    (1, "login from 1#.2#.##.1## failed"), (1, "server 10.0.#.1# is down"), (1, "it was 1##.#.##.2# there"),
-    (0, "order ###-###-#### was sent"), (0, "ref ### ### #### of page"), (0, "isbn ###-###-#### paper"), (0, "part no ###.###.#### fits"), (0, "count ### ### #### items of it"),
-    (0, "number 1234567890123456 of order"), (0, "id 9999999999999999 was"), (0, "ref 1111222233334444 part"), (0, "sum 31415926535897932384 digits"),
-    (0, "version 300.4#.5##.6 of it"), (0, "model 999.1.2.# fits"), (0, "page 1.2.3.4## of"), (0, "meet (at) @.example place at version # part (at) @.#"), (0, "the + 12 of it and +1 # 2"),
-)
+# The synthetic set: forms in carriers. In a form # is a digit, @ a name, % the name of a domain and & sixteen digits that pass the
+# checksum; in a carrier ~ is the form. Even and odd places are apart: even forms in even carriers train, odd ones in odd carriers calibrate.
+_POSITIVE = {
+    "email": ("@.@#@mail.%.com", "@@%.org", "@_@##@%-%.net", "@+news@%.example.com", "@(at)%.com", "@.@ (at) %.org", "@ [at] % [dot] org", "@.@[at]%(dot)net", "@#(at)%.co.uk", "@_@ [at] %.%.com", "@ (at) % (dot) com", "@(at)% [dot] net"),
+    "phone": ("+1 (###) ###-####", "+## ### ######", "+##.##.##.##.##", "+44 #### ######", "###-###-####", "(###) ###-####", "###.###.####", "### ### ####", "00## ### ### ###", "001 ### ### ####", "0044 #### ### ###", "0033 # ## ## ## ##"),
+    "card": ("&", "&", "4111 1111 1111 1111", "5500-0055-5555-5559", "4111.1111.1111.1111", "5500  0055  5555  5559", "4012_8888_8888_1881", "4012/8888/8888/1881"),
+    "ip": ("1#.2#.##.1##", "10.0.#.1#", "1##.##.#.2#", "192.168.#.##", "10[.]0[.]#[.]1#", "192(.)168(.)#(.)##", "1## [.] 2# [.] # [.] ##", "172[.]16[.]##[.]#"),
+}
+_NEGATIVE = {
+    "email": ("@ (at) %", "@.@ version #(at)#", "% (at) #.##", "@ [at] #.#"),
+    "phone": ("###-###-####", "###.###.####", "### ### ####", "(###) ###-####", "00# ### ###", "00## ##.##.##"),
+    "card": ("9999999999999999", "#111222233334444", "#### #### #### ####", "00## #### ### ###", "3141592653589793238", "1234.5678.9012.345#", "####  ####  ####  ####", "20##/20##/20##/20##", "##-##-####-####-##", "0#########-####"),
+    "ip": ("300.4##.5##.6", "999.1.2.#", "1.2.3.4##", "4##.#.#.#", "9##[.]1[.]2[.]3", "400(.)#(.)#(.)#"),
+}
+_SAID = {
+    "email": ("please write to ~ soon", "e-mail ~ for news", "contact @ at ~ today", "reach me under ~ or not", "mail: ~", "my contact is ~."),
+    "phone": ("call ~ now", "tel: ~", "my phone is ~ at home", "mobile ~ or fax", "fax ~, ask for @", "cell ~ after six"),
+    "card": ("pay by card ~ please", "visa ~ expires soon", "credit card ~", "the payment account ~ of @"),
+    "ip": ("login from ~ failed", "server ~ is down", "host ~ said no", "ip address ~"),
+}
+_COUNTED = ("order ~ was sent", "isbn ~ paper", "ref ~ of page", "part no ~ fits", "version ~ of it", "ticket ~ is open", "serial ~ is worn", "item ~ in the box", "tracking ~ to @", "invoice ~ is due")
+_PLAIN = ("it was ~ there", "and ~ was it", "~", "so ~ it is")
+
+
+def _templates() -> list[tuple[str, bool, str]]:
+    """(kind of personal data or nothing, whether it calibrates, text): forms of personal data where they are spoken of or in plain words, and other
+    forms and counted things. Forms that look like either are personal data only where a carrier says so."""
+    out = []
+    for held in (False, True):
+        own = lambda xs: xs[held::2]  # noqa: E731, B023
+        for kind in KINDS:
+            both = set(_POSITIVE[kind]) & set(_NEGATIVE[kind])
+            for form in own(_POSITIVE[kind]):
+                carriers = own(_SAID[kind]) + (() if form in both else own(_PLAIN))
+                out += [(kind, held, c.replace("~", form)) for c in carriers]
+            for form in own(_NEGATIVE[kind]):
+                out += [("", held, c.replace("~", form)) for c in own(_COUNTED) + (() if form in both else own(_PLAIN))]
+    return out
+
+
+def _check_digit(digits: Column) -> Column:
+    """The digit that, put behind, makes the checksum pass."""
+    backwards = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: c.cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    return ((10 - F.aggregate(backwards, F.lit(0), lambda s, v: s + F.when(v > 9, v - 9).otherwise(v)) % 10) % 10).cast("string")
 
 
 def synthetic_sentences(spark: SparkSession, n: int) -> DataFrame:
-    """(``id``, ``text``, ``label``): ``n`` sentences from the templates, filled by hashes of the id."""
-    templates = F.array(*[F.struct(F.lit(y).alias("label"), F.lit(t).alias("text")) for y, t in _SENTENCES])
-    words = F.array(*[F.lit(w) for w in ("anna", "li", "sam.k", "o-neill", "maria", "dev", "info", "kim")])
-    rows = spark.range(n).withColumn("s", F.get(templates, F.pmod(F.col("id"), F.lit(len(_SENTENCES))).cast("int")))
-    at = F.xxhash64(F.col("id"), F.lit("fill"))
+    """(``id``, ``text``, ``says``, ``held``): ``n`` sentences from the templates, filled by hashes of the id."""
+    templates = F.array(*[F.struct(F.lit(y).alias("says"), F.lit(h).alias("held"), F.lit(t).alias("text")) for y, h, t in _templates()])
+    parts = [F.array(*[F.lit(w) for w in words]) for words in (("an", "li", "sam", "mar", "ol", "ki", "jo", "per", "ed", "tom"), ("na", "a", "uel", "ie", "ga", "m", "sef", "la", "gar", "ek"), ("", "", "son", "s", "-lee", ".k", "sen", "1"))]
+    rows = spark.range(n).withColumn("s", F.get(templates, F.pmod(F.col("id"), F.lit(len(_templates()))).cast("int")))
+    pick = lambda what, i, size: F.pmod(F.xxhash64(F.col("id"), F.lit(what), i), F.lit(size))
     chars = F.split("s.text", "")
+    word = lambda what, i: F.concat(*[F.get(p, pick(what + str(k), i, len_).cast("int")) for k, (p, len_) in enumerate(zip(parts, (10, 10, 8)))])
+    number = lambda i: F.concat(F.lit("4"), F.lpad(pick("card", i, 10**14).cast("string"), 14, "0"))
+    # an @ before the name of a domain is the sign itself
     filled = F.transform(
         chars,
-        lambda c, i: F.when(c == "#", F.pmod(F.xxhash64(at, i), F.lit(10)).cast("string"))
-        .when((c == "@") & ~F.get(chars, i + 1).rlike("^[a-z]$"), F.get(words, F.pmod(F.xxhash64(at, i), F.lit(8)).cast("int")))
+        lambda c, i: F.when(c == "#", pick("digit", i, 10).cast("string"))
+        .when((c == "@") & ~F.coalesce(F.get(chars, i + 1).rlike("^[%m]$") & F.get(chars, i - 1).rlike("^[@#s]$"), F.lit(False)), word("name", i))
+        .when(c == "%", F.regexp_replace(word("domain", i), "[^a-z]", ""))
+        .when(c == "&", F.concat(number(i), _check_digit(number(i))))
         .otherwise(c),
     )
-    return rows.select("id", F.array_join(filled, "").alias("text"), F.col("s.label").alias("label"))
+    return rows.select("id", F.array_join(filled, "").alias("text"), F.col("s.says").alias("says"), F.col("s.held").alias("held"))
 
 
 Tree = list  # [feature, cut, left, right], a leaf is a number
@@ -226,9 +276,10 @@ def _case(tree, features: Column) -> Column:
 
 def train(spark: SparkSession, p: BoostingParameters = BoostingParameters()) -> tuple[float, list, dict[str, float]]:
     """Start, trees, and the margin from which each kind is selected with the wanted precision."""
-    found = candidates(synthetic_sentences(spark, p.sentences), ["id", "label"]).select("id", "label", F.explode("spans").alias("s"))
-    part = (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(4)) == 0).alias("held")
-    vectors = found.select("id", "label", F.col("s.kind").alias("kind"), features_of(F.col("s")).alias("features")).groupBy("kind", "features", part).agg(F.sum("label").alias("y"), F.count("*").alias("n"))
+    found = candidates(synthetic_sentences(spark, p.sentences), ["id", "says", "held"]).select("id", "says", "held", F.explode("spans").alias("s"))
+    # a candidate is right where the sentence says data of its kind
+    label = (F.col("says") == F.col("s.kind")).cast("int").alias("label")
+    vectors = found.select(label, "held", F.col("s.kind").alias("kind"), features_of(F.col("s")).alias("features")).groupBy("kind", "features", "held").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
     fit, held = [], defaultdict(list)
     for r in vectors.orderBy("kind", "features", "held").collect():  # at most one row per synthetic candidate
         row = (tuple(r["features"]), float(r["y"]), float(r["n"]))
@@ -236,10 +287,14 @@ def train(spark: SparkSession, p: BoostingParameters = BoostingParameters()) ->
     start, trees = grow(fit, p)
     cuts = {}
     for kind in KINDS:
-        scored = sorted(((start + sum(_leaf(t, x) for t in trees), y, n) for x, y, n in held[kind]), reverse=True)
+        by: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for x, y, n in held[kind]:
+            cell = by[start + sum(_leaf(t, x) for t in trees)]
+            cell[0] += y
+            cell[1] += n
         cuts[kind], good, every = math.inf, 0.0, 0.0
-        for margin, y, n in scored:
-            good, every = good + y, every + n
+        for margin in sorted(by, reverse=True):  # equal margins are let in together
+            good, every = good + by[margin][0], every + by[margin][1]
             if good / every >= p.precision:
                 cuts[kind] = margin
     return start, trees, cuts

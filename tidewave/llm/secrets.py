@@ -67,6 +67,122 @@ def _of_strings(strings: set[str]) -> object:
     return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
+_SPACE, _DIGIT = " \t\n\r\f\v", "0123456789"
+
+
+class _Parser:
+    """The part of regular expressions that rules are written in, as nodes.
+
+    A node is ("chars", set or None), None for classes that are not spelled out; ("group", nodes); ("either", alternatives); or
+    ("repeat", least, most or None, nodes). Anchors and look-arounds take no characters and leave no node. What is not
+    understood is refused.
+    """
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def parse(self) -> list:
+        nodes = self.either()
+        if self.at < len(self.text):
+            raise ValueError(f"unbalanced expression {self.text!r}")
+        return nodes
+
+    def peek(self, what: str) -> bool:
+        return self.text.startswith(what, self.at)
+
+    def take(self, what: str) -> bool:
+        hit = self.peek(what)
+        self.at += len(what) * hit
+        return hit
+
+    def either(self) -> list:
+        branches = [self.sequence()]
+        while self.take("|"):
+            branches.append(self.sequence())
+        return branches[0] if len(branches) == 1 else [("either", branches)]
+
+    def sequence(self) -> list:
+        nodes = []
+        while self.at < len(self.text) and not self.peek("|") and not self.peek(")"):
+            node = self.atom()
+            nodes += [] if node is None else [self.repeated(node)]
+        return nodes
+
+    def repeated(self, node):
+        m = re.compile(r"([*+?]|\{(\d*)(,?)(\d*)\})[?+]?").match(self.text, self.at)
+        if not m or m[1] in ("{}", "{,}"):
+            return node
+        self.at = m.end()
+        if m[1] in "*+?":
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[m[1]]
+        else:
+            low = int(m[2] or 0)
+            high = int(m[4]) if m[4] else None if m[3] else low
+        return ("repeat", low, high, [node])
+
+    def atom(self):
+        if self.take("("):
+            m = re.compile(r"\?(?:(<?[=!])|(?:P?<\w+>)|(>)|([aimsux-]*)([:)])?)").match(self.text, self.at)
+            looks, bare = m and m[1], m and m[4] == ")"
+            self.at = m.end() if m else self.at
+            if bare:
+                return None  # flags for the rest
+            nodes = self.either()
+            if not self.take(")"):
+                raise ValueError(f"unbalanced expression {self.text!r}")
+            return None if looks else ("group", nodes)
+        if self.take("["):
+            return ("chars", self.klass())
+        if self.take("\\"):
+            return self.escaped()
+        c = self.text[self.at]
+        self.at += 1
+        return None if c in "^$" else ("chars", None if c == "." else {c.lower()})
+
+    def escaped(self):
+        c = self.text[self.at]
+        self.at += 1
+        if c in "bBAZzG":
+            return None
+        return ("chars", self.escape_set(c))
+
+    def escape_set(self, c: str) -> set | None:
+        if c in "xu":
+            n = 2 if c == "x" else 4
+            self.at += n
+            return {chr(int(self.text[self.at - n : self.at], 16)).lower()}
+        if c in "DSWwpPhHRvVX":
+            return None
+        known = {"d": set(_DIGIT), "s": set(_SPACE), "n": {"\n"}, "t": {"\t"}, "r": {"\r"}, "f": {"\f"}}
+        if c.isalnum() and c not in known:
+            raise ValueError(f"unknown escape \\{c}")
+        return known.get(c, {c.lower()})
+
+    def klass(self) -> set | None:
+        chars: set | None = set()
+        if self.take("^"):
+            chars = None
+        first = True
+        while first or not self.peek("]"):
+            first = False
+            if self.take("\\"):
+                self.at += 1
+                own = self.escape_set(self.text[self.at - 1])
+            else:
+                self.at += 1
+                own = {self.text[self.at - 1].lower()}
+            if self.peek("-") and not self.text.startswith("-]", self.at):
+                self.at += 1
+                high = self.text[self.at]
+                self.at += 1
+                if high == "\\":
+                    self.at += 1
+                own = None  # a range
+            chars = None if chars is None or own is None else chars | own
+        self.at += 1
+        return chars
+
+
 def _walk(nodes) -> tuple[set[str] | None, object]:
     """The strings that the nodes match, if these are few, and the query of a match."""
     run, query, exact = {""}, True, True
@@ -75,31 +191,25 @@ def _walk(nodes) -> tuple[set[str] | None, object]:
         nonlocal run, query, exact
         query, run, exact = _join("and", [query, _of_strings(run)]), {""}, False
 
-    for op, arg in nodes:
-        name = str(op)
+    for node in nodes:
         more: set[str] | None = None
-        if name == "LITERAL":
-            more = {chr(arg).lower()}
-        elif name == "IN":
-            chars = [chr(c).lower() for k, c in arg if str(k) == "LITERAL"]
-            more = set(chars) if len(chars) == len(arg) and len(chars) <= _SMALL_CLASS else None
-        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
-            continue  # they take no characters
-        elif name in ("SUBPATTERN", "ATOMIC_GROUP"):
-            more, inner = _walk(arg[-1] if name == "SUBPATTERN" else arg)
+        if node[0] == "chars":
+            more = node[1] if node[1] is not None and len(node[1]) <= _SMALL_CLASS else None
+        elif node[0] == "group":
+            more, inner = _walk(node[1])
             if more is None:
                 flush()
                 query = _join("and", [query, inner])
                 continue
-        elif name == "BRANCH":
-            parts = [_walk(branch) for branch in arg[1]]
+        elif node[0] == "either":
+            parts = [_walk(branch) for branch in node[1]]
             if any(p[0] is None for p in parts):
                 flush()
                 query = _join("and", [query, _join("or", [p[1] if p[0] is None else _of_strings(p[0]) for p in parts])])
                 continue
             more = set().union(*(p[0] for p in parts))
-        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-            low, high, inner_nodes = arg
+        else:
+            _, low, high, inner_nodes = node
             strings, inner = _walk(inner_nodes)
             if low == 0 and high == 1 and strings is not None:
                 more = strings | {""}
@@ -119,8 +229,7 @@ def _walk(nodes) -> tuple[set[str] | None, object]:
 
 def trigram_query(pattern: str) -> object:
     """The Boolean query over lower-case trigrams that every text with a match fulfils."""
-    parser = getattr(re, "_parser")
-    return _walk(parser.parse(pattern))[1]
+    return _walk(_Parser(pattern).parse())[1]
 
 
 def trigrams_of(query: object) -> set[str]:
@@ -135,18 +244,27 @@ def _holds(query: object, has) -> Column:
     return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), [_holds(q, has) for q in query[1]])
 
 
-def postings(docs: DataFrame, grams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The inverted index: (``gram``, ``doc_id``) for each of the trigrams that a document contains."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
+def grams_of(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that some rule asks for."""
+    return sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
+
+
+def postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index: (``gram``, ``doc_id``) for each of the trigrams that a document contains.
+
+    Written once, it serves every set of rules whose trigrams are among ``grams`` (``secret_spans(..., index=...)``).
+    """
+    low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
     return low.select("doc_id", F.explode(present).alias("gram"))
 
 
 def candidates(index: DataFrame, grams: list[str], queries: dict[str, object]) -> DataFrame:
     """``doc_id`` and one flag per rule: does the document fulfil the rule's query?"""
     words = range(0, len(grams), 62)
-    bit = lambda w: F.when((F.col("gram") >= w) & (F.col("gram") < w + 62), F.expr(f"shiftleft(1L, gram - {w})")).otherwise(F.lit(0))
-    held = index.groupBy("doc_id").agg(*[F.bit_or(bit(w)).alias(f"grams_{w}") for w in words])
+    number = F.coalesce(*[F.when(F.col("gram") == g, F.lit(k)) for k, g in enumerate(grams)])
+    bit = lambda w: F.when((F.col("n") >= w) & (F.col("n") < w + 62), F.expr(f"shiftleft(1L, n - {w})")).otherwise(F.lit(0))
+    held = index.withColumn("n", number).where("n is not null").groupBy("doc_id").agg(*[F.bit_or(bit(w)).alias(f"grams_{w}") for w in words])
     place = {g: k for k, g in enumerate(grams)}
 
     def has(gram: str) -> Column:
@@ -157,8 +275,9 @@ def candidates(index: DataFrame, grams: list[str], queries: dict[str, object]) -
     return flags.where(reduce(lambda a, b: a | b, [F.col(f"may_{kind}") for kind in queries]))
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id`` and, per rule, ``found_<kind>``: an array of (start, rank, end, kind).
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """One row per document: ``doc_id`` and, per rule, ``found_<kind>``: an array of (start, rank, end, kind). ``index``: stored
+    postings of the documents with the rules' trigrams; built here otherwise.
 
     Defined results: a null or empty text holds nothing; documents with a null identifier are not
     indexed but searched by every rule; repeated rows and identifiers are searched each (postings of
@@ -169,15 +288,14 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     indexed = {k: q for k, q in queries.items() if q is not True}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if indexed:
-        grams = sorted(set().union(*map(trigrams_of, indexed.values())))
-        named = rows.where(F.col("doc_id").isNotNull())
-        few = materialise(candidates(postings(named, grams, "doc_id", "text"), grams, indexed), "candidates")
+        grams = grams_of(rules)
+        few = materialise(candidates(postings(rows, grams) if index is None else index, grams, indexed), "candidates")
         rows = rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "doc_id", "left")
     may = {k: F.coalesce(F.col(f"may_{k}"), F.lit(False)) | F.col("doc_id").isNull() for k in indexed}
     searched = rows.select("doc_id", *[matches(F.col("text"), r.pattern, r.part, may.get(r.kind)).alias(f"m_{r.kind}") for r in rules])
 
     def good(r: Rule) -> Column:
-        spans = placed(F.col(f"m_{r.kind}"))
+        spans = placed(F.col(f"m_{r.kind}"), r.pattern, r.part)
         return F.filter(spans, lambda s: F.length(s["part"] if r.part else s["hit"]) >= r.least) if r.least else spans
 
     return searched.select("doc_id", *[ranked(r.kind, k, good(r)).alias(f"found_{r.kind}") for k, r in enumerate(rules)])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import signal, spectral, text, timestamps
-from tidewave.operators import datasets, ranges, segments, signals, timeline
+from tidewave.operators import datasets, detections, ranges, segments, signals, timeline
 from tidewave.plans import describe, export
 from tidewave.plans.project import Output, Project, Transform
 from tidewave.sources import backends, datasource, spectra, wav
@@ -199,6 +199,27 @@ def test_sets(spark):
     assert datasets.with_parameters(rows, rate=1.0).agg(F.sum("rate")).first()[0] == 4
 
 
+def test_written_slice_has_its_names_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, name string")
+    datasets.write_slice(rows, f"{tmp_path}/ok", ["id"], last=2)
+    assert spark.read.parquet(f"{tmp_path}/ok").count() == 2
+    with pytest.raises(ValueError, match="'b'"):
+        datasets.write_slice(rows, f"{tmp_path}/no", ["id"])
+
+
+def test_neighbours_cross_ranges(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("key"), "id").repartition(7)
+    got = {r["id"]: (r["previous"], r["next"], r["place"]) for r in ranges.neighbours(rows, "key", ["id"], "id").collect()}
+    assert got == {i: (i - 2 if i > 1 else None, i + 2 if i < 498 else None, i // 2) for i in range(500)}
+
+
+def test_invalid_detections_are_told(spark):
+    raw = spark.createDataFrame([("9", "5", "2024-01-01T00:00:00+00:00", "2024-01-01T00:00:09+00:00")], "min_frequency string, max_frequency string, start_datetime string, end_datetime string")
+    with pytest.raises(ValueError, match="not a valid detection"):
+        detections.require_valid(detections.parse(raw))
+    assert detections.require_valid(detections.parse(raw.withColumn("max_frequency", F.lit("10")))).count() == 1
+
+
 def test_link_refuses_what_has_no_audio(spark):
     data = spark.createDataFrame([(0, 1, 8.0), (1, 2, 8.0)], "begin_us long, end_us long, rate double")
     audio = spark.createDataFrame([(0, 1, 8.0, 5), (1, 2, 8.0, 6)], "begin_us long, end_us long, rate double, id long")

@@ -77,6 +77,15 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return every.groupBy(*a.columns).agg(F.sum("_d").alias("surplus")).where("surplus <> 0")
 
 
+def write_slice(df: DataFrame, path: str, order: list[str], name: str = "name", first: int = 0, last: int | None = None) -> None:
+    """Writes rows [first, last) in order as Parquet; a name that occurs twice among them, or a path that exists, is refused."""
+    rows = take(df, order, first, last).drop("place")
+    twice = rows.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['n']} rows have the name {twice[0][0]!r}")
+    rows.write.mode("errorifexists").parquet(path)
+
+
 def equal(a: DataFrame, b: DataFrame) -> bool:
     return differences(a, b).isEmpty()
 

@@ -12,7 +12,9 @@ WHOLE = ("annotation_id", "is_update_of_id", "is_box", "signal_relative_min_freq
 FLAGS = ("signal_is_intensity_too_low", "signal_does_overlap_other_signals", "signal_has_harmonics", "signal_sidebands", "signal_subharmonics", "signal_deterministic_chaos")
 TIMES = ("start_datetime", "end_datetime")
 REQUIRED = ("min_frequency", "max_frequency", *TIMES)
-KNOWN = (*TEXT, *NUMBERS, *WHOLE, *FLAGS, *TIMES)
+#: The type of each known column.
+KINDS = {c: kind for kind, names in (("string", TEXT), ("double", NUMBERS), ("int", WHOLE), ("boolean", FLAGS), ("timestamp", TIMES)) for c in names} | {"annotation_id": "long", "is_update_of_id": "long"}
+KNOWN = tuple(KINDS)
 
 
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -47,30 +49,30 @@ def parse(raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
 
-    def col(name: str, kind: str) -> Column:
-        return F.col(name).cast(kind) if name in raw.columns else F.lit(None).cast(kind)
+    def col(name: str) -> Column:
+        return F.col(name).cast(KINDS[name]) if name in raw.columns else F.lit(None).cast(KINDS[name])
 
     signal = F.struct(
-        *[col(c, "double").alias(c.removeprefix("signal_")) for c in ("signal_start_frequency", "signal_end_frequency")],
-        *[col(c, "int").alias(c.removeprefix("signal_")) for c in WHOLE if c.startswith("signal_")],
-        *[col(c, "boolean").alias(c.removeprefix("signal_")) for c in FLAGS],
-        col("signal_trend", "string").alias("trend"),
+        *[col(c).alias(c.removeprefix("signal_")) for c in ("signal_start_frequency", "signal_end_frequency")],
+        *[col(c).alias(c.removeprefix("signal_")) for c in WHOLE if c.startswith("signal_")],
+        *[col(c).alias(c.removeprefix("signal_")) for c in FLAGS],
+        col("signal_trend").alias("trend"),
     )
     return raw.select(
-        F.coalesce(col("dataset", "string"), col("project", "string")).alias("dataset"),
-        col("filename", "string").alias("filename"),
-        col("annotation_id", "long").alias("annotation_id"),
+        F.coalesce(col("dataset"), col("project")).alias("dataset"),
+        col("filename").alias("filename"),
+        col("annotation_id").alias("annotation_id"),
         F.to_timestamp("start_datetime").alias("begin"),
         F.to_timestamp("end_datetime").alias("end"),
-        F.struct(col("min_frequency", "double").alias("min_frequency"), col("max_frequency", "double").alias("max_frequency")).alias("bounds"),
-        col("annotation", "string").alias("label"),
-        F.struct(col("annotator", "string").alias("name"), col("annotator_expertise", "string").alias("expertise")).alias("annotator"),
-        F.struct(col("confidence_indicator_label", "string").alias("label"), level(col("confidence_indicator_level", "string")).alias("level")).alias("confidence"),
-        col("type", "string").alias("type"),
-        F.when(col("signal_quantity", "string") == "SINGLE", signal).alias("signal"),
+        F.struct(col("min_frequency").alias("min_frequency"), col("max_frequency").alias("max_frequency")).alias("bounds"),
+        col("annotation").alias("label"),
+        F.struct(col("annotator").alias("name"), col("annotator_expertise").alias("expertise")).alias("annotator"),
+        F.struct(col("confidence_indicator_label").alias("label"), level(col("confidence_indicator_level")).alias("level")).alias("confidence"),
+        col("type").alias("type"),
+        F.when(col("signal_quantity") == "SINGLE", signal).alias("signal"),
         votes(raw).alias("verifications"),
-        col("comments", "string").alias("comments"),
-        col("created_at_phase", "string").alias("phase"),
+        col("comments").alias("comments"),
+        col("created_at_phase").alias("phase"),
     )
 
 
@@ -81,6 +83,14 @@ def invalid(detections: DataFrame) -> DataFrame:
     return detections.where(F.coalesce(wrong, F.lit(False)))
 
 
+def require_valid(detections: DataFrame) -> DataFrame:
+    """The detections, if none breaks a bound; else the first that does is told."""
+    wrong = invalid(detections).limit(1).collect()
+    if wrong:
+        raise ValueError(f"not a valid detection: {wrong[0].asDict(recursive=True)}")
+    return detections
+
+
 def select(detections: DataFrame, label: str | None = None, kind: str | None = None, confident: bool = False) -> DataFrame:
     """Detections with a label, of a type (WEAK, POINT, BOX), and, if wanted, of the highest confidence that their level allows."""
     kept = detections if label is None else detections.where(F.col("label") == label)

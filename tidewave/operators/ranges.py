@@ -49,6 +49,19 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "place") -> D
     return held.withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
 
 
+def neighbours(df: DataFrame, key: str, order: list[Column | str], value: str) -> DataFrame:
+    """Adds ``previous`` and ``next`` (the ``value`` of the key's neighbouring rows in order) and ``place`` (from 0): inside ranges, and
+    at their borders from the ranges before and after."""
+    held = placed(df, [F.col(key), *order])
+    ends = held.groupBy(key, "_part").agg(F.min_by(value, "_at").alias("_first"), F.max_by(value, "_at").alias("_last"), F.count("*").alias("_n"))
+    parts = W.partitionBy(key).orderBy("_part")
+    ends = ends.select(key, "_part", F.lag("_last").over(parts).alias("_p"), F.lead("_first").over(parts).alias("_f"), F.coalesce(F.sum("_n").over(parts.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_c"))
+    inside = W.partitionBy(key, "_part").orderBy("_at")
+    found = held.withColumns({"previous": F.lag(value).over(inside), "next": F.lead(value).over(inside), "place": F.row_number().over(inside) - 1})
+    joined = found.join(ends, [key, "_part"])
+    return joined.withColumns({"previous": F.coalesce("previous", "_p"), "next": F.coalesce("next", "_f"), "place": F.col("place") + F.col("_c")}).drop("_part", "_at", "_p", "_f", "_c")
+
+
 def running_sum_before(df: DataFrame, key: str, order: list[Column | str], value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over the earlier rows of the key: inside ranges, and carried from range to range, so that
     a key with very many rows is spread over ranges."""

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signal, spectral, timestamps
 from ..operators import detections as det
-from ..operators import segments, timeline
+from ..operators import ranges, segments, timeline
 from ..streaming import windows as live
 from . import views
 from .views import with_views
@@ -250,8 +249,8 @@ def fft_groups(spark, sf_dir):
 
 @query(with_views("SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, (row_number() OVER w - 1)::INTEGER AS place FROM rec WINDOW w AS (PARTITION BY station ORDER BY begin_us, id)", "rec"))
 def neighbour_links(spark, sf_dir):
-    order = W.partitionBy("station").orderBy("begin_us", "id")
-    return views.recordings(spark, sf_dir).select("id", F.lag("id").over(order).alias("previous_id"), F.lead("id").over(order).alias("next_id"), (F.row_number().over(order) - 1).alias("place"))
+    found = ranges.neighbours(views.recordings(spark, sf_dir), "station", ["begin_us", "id"], "id")
+    return found.select("id", F.col("previous").alias("previous_id"), F.col("next").alias("next_id"), F.col("place").cast("int").alias("place"))
 
 
 # --- signals -------------------------------------------------------------------------------------

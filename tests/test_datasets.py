@@ -121,6 +121,36 @@ def test_stream_is_resampled_across_items():
     assert not got[48:96].any() and np.allclose(got[96:], signal.resample_array(x[64:], 64, 48))
 
 
+@pytest.mark.parametrize("origin, target, piece", [(64, 48, 10), (64, 48, 1), (48_000, 480, 777), (480, 48_000, 50), (64, 64, 7)])
+def test_pieces_give_what_the_whole_gives(origin, target, piece):
+    x = np.random.default_rng(5).normal(size=3_001)
+    stream = signal.StreamResampler(origin, target)
+    got = np.concatenate([*[stream.push(x[a : a + piece]) for a in range(0, len(x), piece)], stream.finish()])
+    assert len(stream.held) <= 2 * stream.half + piece + 2
+    assert np.allclose(got, signal.resample_array(x, origin, target))
+
+
+def test_windows_as_streams(spark, folder):
+    """A stream of a window gives what the window gives, in pieces."""
+    files = wav.recordings(spark, folder, ["%Y_%m_%d_%H_%M_%S"])[0]
+    files = files.select(F.lit(0).alias("key"), F.xxhash64("path").alias("id"), "begin_us", "end_us", "path", F.col("sample_rate").alias("rate"), "frames")
+    t0 = files.agg(F.min("begin_us")).first()[0]
+    windows = spark.createDataFrame([(0, 1, t0 + SECOND // 2, t0 + 5 * SECOND + SECOND // 2), (0, 2, t0 + 90 * SECOND, t0 + 91 * SECOND)], "key int, id long, begin_us long, end_us long")
+    chain = signals.Chain(300.0, (0, 1))
+    whole = {(r["id"], r["channel"]): r["x"] for r in signals.signals_of_files(windows, files, chain, ["key"], SECOND).collect()}
+    rows = signals.stream_of_files(windows, files, chain, ["key"], SECOND, 100).collect()
+    assert max(len(r["x"]) for r in rows) <= 160
+    for (i, c), x in whole.items():
+        own = sorted((r["start"], r["x"]) for r in rows if (r["id"], r["channel"]) == (i, c))
+        got = np.concatenate([p for _, p in own]) if own else np.zeros(0)
+        if i == 2:
+            assert c == 0 or not len(x) or not np.any(x)
+        assert [s for s, _ in own] == [0, *np.cumsum([len(p) for _, p in own])[:-1]] and np.allclose(got, x if i == 1 else np.zeros(len(got)))
+    assert {len(x) for (i, _), x in whole.items() if i == 1} == {1500}
+    with pytest.raises(ValueError):
+        signals.stream_of_files(windows, files, signals.Chain(300.0, normalization=signal.PEAK), ["key"], SECOND)
+
+
 def test_written_files_read_back(spark, tmp_path):
     rows = [(1, 0, 8.0, [0.1, 0.2], 0), (1, 1, 8.0, [0.3, 0.4], 0), (2, 0, 8.0, [0.5], 0), (3, 0, 8.0, [0.6], 7)]
     done = wav.write(spark.createDataFrame(rows, "id long, channel int, rate double, x array<double>, begin_us long"), f"{tmp_path}/out").collect()

@@ -235,24 +235,62 @@ def normalize_array(x: np.ndarray, flags: int) -> np.ndarray:
 RESAMPLE_CELLS = 4_000_000
 
 
+class StreamResampler:
+    """Band-limited interpolation with a Hann-windowed sinc, piece by piece: ``push`` gives the samples that the pieces so
+    far decide, ``finish`` the rest, round(n * target / origin) in all. What is held does not grow with the stream."""
+
+    def __init__(self, origin: float, target: float):
+        if origin <= 0 or target <= 0:
+            raise ValueError("rates must be positive")
+        self.origin, self.target = origin, target
+        self.band = min(1.0, target / origin)
+        self.half = int(np.ceil(16 / self.band))
+        self.held, self.base, self.total, self.done = np.empty(0), 0, 0, 0
+
+    def _at(self, stop: int) -> np.ndarray:
+        """Samples up to ``stop``; beyond the pieces so far the signal is 0."""
+        out = np.empty(max(0, stop - self.done))
+        block = max(1, RESAMPLE_CELLS // (2 * self.half))
+        for low in range(self.done, stop, block):
+            at = np.arange(low, min(stop, low + block)) * (self.origin / self.target)
+            near = np.floor(at).astype(int)[:, None] + np.arange(-self.half + 1, self.half + 1)
+            away = at[:, None] - near
+            weight = self.band * np.sinc(self.band * away) * (0.5 + 0.5 * np.cos(np.pi * np.clip(away / self.half, -1, 1)))
+            own = np.clip(near - self.base, 0, max(0, len(self.held) - 1))
+            inside = (near >= self.base) & (near < self.base + len(self.held))
+            out[low - self.done : low - self.done + len(at)] = (np.where(inside, self.held[own], 0) * weight).sum(axis=1) if len(self.held) else 0
+        self.done = max(self.done, stop)
+        return out
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, dtype=float)
+        self.total += len(x)
+        if self.origin == self.target:
+            return x.copy()
+        self.held = np.concatenate([self.held, x])
+        out = self._at(int(np.ceil((self.total - self.half) * self.target / self.origin)))
+        kept = max(self.base, int(self.done * (self.origin / self.target)) - self.half)
+        self.held, self.base = self.held[kept - self.base :], kept
+        return out
+
+    def finish(self) -> np.ndarray:
+        return np.empty(0) if self.origin == self.target else self._at(int(round(self.total * self.target / self.origin)))
+
+
 def resample_array(x: np.ndarray, origin: float, target: float) -> np.ndarray:
-    """Band-limited interpolation with a Hann-windowed sinc; round(n * target / origin) samples."""
-    n = int(round(len(x) * target / origin))
-    if n == 0 or len(x) == 0:
-        return np.zeros(n)
-    if origin == target:
-        return x.copy()
-    band = min(1.0, target / origin)
-    half = int(np.ceil(16 / band))
-    out = np.empty(n)
-    block = max(1, RESAMPLE_CELLS // (2 * half))
-    for low in range(0, n, block):
-        at = np.arange(low, min(n, low + block)) * (origin / target)
-        near = np.floor(at).astype(int)[:, None] + np.arange(-half + 1, half + 1)
-        away = at[:, None] - near
-        weight = band * np.sinc(band * away) * (0.5 + 0.5 * np.cos(np.pi * np.clip(away / half, -1, 1)))
-        out[low : low + block] = (np.where((near >= 0) & (near < len(x)), x[np.clip(near, 0, len(x) - 1)], 0) * weight).sum(axis=1)
-    return out
+    """A whole signal at another rate: round(n * target / origin) samples."""
+    stream = StreamResampler(origin, target)
+    return np.concatenate([stream.push(x), stream.finish()])
+
+
+def resample_pieces(df: DataFrame, origin: float, target: float, piece: int = 8_192, id_col: str = "id", column: str = "x") -> DataFrame:
+    """(id, x) as ``resample`` gives it, each row streamed in pieces of ``piece`` samples."""
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        stream = StreamResampler(origin, target)
+        return np.concatenate([*[stream.push(x[at : at + piece]) for at in range(0, len(x), piece)], stream.finish()])
+
+    return _each(df, kernel, id_col, column)
 
 
 def resample(df: DataFrame, origin: float, target: float, id_col: str = "id", column: str = "x") -> DataFrame:

@@ -170,6 +170,75 @@ def signals_of_tables(windows: DataFrame, recordings: DataFrame, chain: Chain, k
     return cut.groupBy("id").applyInArrow(_kernel(chain, samples), RENDERED)
 
 
+STREAMED = "id long, start long, channel int, x array<double>"
+
+
+def stream_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: list[str], width_us: int, chunk: int = 8_192) -> DataFrame:
+    """The samples of each window as a stream: rows (id, start, channel, x) of about ``chunk`` frames in the order of ``start``.
+
+    For windows of any length: a task holds one piece at a time. Consecutive items of one rate are resampled as one
+    stream, gaps are zeros, and the stream ends with the window. Steps that need a whole window (filter, normalisation) are refused.
+    """
+    if chain.rate is None or chain.sections or chain.normalization != signal.RAW:
+        raise ValueError("a stream needs a rate, and neither filters nor normalises")
+    items = window_items(windows, files, keys, width_us)
+    known = files.select(*keys, F.col("id").alias("file"), "path", F.col("rate").cast("double").alias("rate"), "frames")
+    fields = ["begin_us", "end_us", "file", "file_us", "path", "rate", "frames"]
+    ready = items.join(known, [*keys, "file"], "left").groupBy("id", "window_begin_us", "window_end_us").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+    gain = chain.instrument.pressure_per_unit if chain.instrument else 1.0
+    wanted = len(chain.channels) if chain.channels else None
+
+    def pieces(begin: int, end: int, rows: list[dict]):
+        """(frames by channels) in order, as many as the window has."""
+        frame = lambda us: bround((us - begin) * chain.rate / 1e6)
+        total, made, streams, reached, rate = frame(end), 0, None, None, None
+
+        def cut(x: np.ndarray, until: int) -> np.ndarray:
+            nonlocal made
+            x = x[: max(0, until - made)]
+            made += len(x)
+            return x
+
+        def closed(until: int):
+            nonlocal streams
+            if streams:
+                yield cut(np.stack([s.finish() for s in streams], axis=1), min(until, total))
+                streams = None
+
+        def zeros(until: int):
+            while made < until:
+                yield cut(np.zeros((min(chunk, until - made), width)), until)
+
+        width = wanted or next((backends.info(r["path"]).channels for r in rows if r["file"] is not None), 1)
+        for r in rows:
+            if r["file"] is None or reached != r["begin_us"] or rate != r["rate"]:
+                yield from closed(frame(r["begin_us"]) + 1)
+                yield from zeros(frame(r["begin_us"]))
+            if r["file"] is None:
+                continue
+            if streams is None:
+                streams, rate = [signal.StreamResampler(r["rate"], chain.rate) for _ in range(width)], r["rate"]
+            for x in backends.stream(r["path"], *_frames(r), chunk):
+                yield cut(np.stack([s.push(c) for s, c in zip(streams, chain.pick(x).T, strict=True)], axis=1), total)
+            reached = r["end_us"]
+        yield from closed(total)
+        yield from zeros(total)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                start = 0
+                for x in pieces(row["window_begin_us"], row["window_end_us"], row["items"]):
+                    n = x.shape[1]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * n, pa.int64()), pa.array([start] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(list(x.T * gain), pa.list_(pa.float64()))], names=["id", "start", "channel", "x"])
+                    start += len(x)
+
+    return ready.mapInArrow(run, STREAMED)
+
+
 def split_chunks(items: DataFrame, chunk: int = 8_192) -> DataFrame:
     """The pieces of at most ``chunk`` frames in which an item (``first``, ``stop``) is streamed: adds ``piece``, ``start`` and ``end``."""
     if chunk < 1:
@@ -179,8 +248,3 @@ def split_chunks(items: DataFrame, chunk: int = 8_192) -> DataFrame:
     start = F.col("first") + F.col("piece") * chunk
     return pieces.withColumn("start", start).withColumn("end", F.least(start + chunk, F.col("stop")))
 
-
-def chunked(x: np.ndarray, chunk: int):
-    """The pieces of a signal; what a stream of it hands out."""
-    for at in range(0, len(x), chunk):
-        yield x[at : at + chunk]

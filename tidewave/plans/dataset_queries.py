@@ -124,14 +124,24 @@ def read_chain(spark, sf_dir):
     return found.select("id", F.posexplode("x").alias("n", "v")).select("id", "n", F.round("v", 6).alias("v"))
 
 
-@query("""WITH s AS (SELECT vec_id AS id, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+RESAMPLED = """WITH s AS (SELECT vec_id AS id, unnest(range(0, 64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 y AS (SELECT id, m, j, v, m * 64.0 / 48.0 - j AS d FROM s, range(0, 48) t(m) WHERE j > floor(m * 64.0 / 48.0) - 22 AND j <= floor(m * 64.0 / 48.0) + 22)
-SELECT id, m::INTEGER AS n, round(sum(v * 0.75 * (CASE WHEN abs(d) < 1e-9 THEN 1.0 ELSE sin(pi() * 0.75 * d) / (pi() * 0.75 * d) END) * (0.5 + 0.5 * cos(pi() * greatest(-1.0, least(1.0, d / 22.0))))), 6) AS v FROM y GROUP BY id, m""")
+SELECT id, m::INTEGER AS n, round(sum(v * 0.75 * (CASE WHEN abs(d) < 1e-9 THEN 1.0 ELSE sin(pi() * 0.75 * d) / (pi() * 0.75 * d) END) * (0.5 + 0.5 * cos(pi() * greatest(-1.0, least(1.0, d / 22.0))))), 6) AS v FROM y GROUP BY id, m"""
+
+
+@query(RESAMPLED)
 def resample_values(spark, sf_dir):
     found = signal.resample(views.waveforms(spark, sf_dir), 64.0, 48.0)
     return found.select("id", F.posexplode("x").alias("n", "v")).select("id", "n", F.round("v", 6).alias("v"))
 
 
+@query(RESAMPLED)
+def resample_stream(spark, sf_dir):
+    """The same, streamed in pieces of ten samples."""
+    found = signal.resample_pieces(views.waveforms(spark, sf_dir), 64.0, 48.0, 10)
+    return found.select("id", F.posexplode("x").alias("n", "v")).select("id", "n", F.round("v", 6).alias("v"))
+
+
 @query("SELECT vec_id AS id, (n // 2)::INTEGER AS n, round(CAST(embedding[n + 1] AS DOUBLE), 6) AS v FROM embeddings, range(0, 64) t(n) WHERE n % 2 = 1")
 def channel_projection(spark, sf_dir):
     """The second of two interleaved channels."""

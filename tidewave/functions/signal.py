@@ -35,6 +35,11 @@ def std_pop(x: Column) -> Column:
     return let(x, lambda a: let(mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(a))))
 
 
+def normalization_values(x: Column) -> Column:
+    """The values that normalisation divides by or subtracts, by name."""
+    return F.create_map(F.lit("mean"), mean(x), F.lit("peak"), peak(x), F.lit("std"), std_pop(x))
+
+
 def _nonzero(d: Column) -> Column:
     return F.when(d == 0, 1.0).otherwise(d)
 

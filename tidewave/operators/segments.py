@@ -62,6 +62,13 @@ def windows_file_anchored(df: DataFrame, key: str, duration_us: int, overlap: fl
     return windows_total(by_island(df, key, duration_us, fold, "_key, begin_us long, end_us long"), duration_us, overlap)
 
 
+def files_in_range(df: DataFrame, key: str, begin_us: int, end_us: int) -> DataFrame:
+    """Files from the last one that begins at or before ``begin_us`` (the first one, if none does) to the last one that begins
+    at or before ``end_us``."""
+    first = df.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("begin_us") <= begin_us, F.col("begin_us"))), F.min("begin_us")).alias("_first"))
+    return df.where(F.col("begin_us") <= end_us).join(first, key).where(F.col("begin_us") >= F.col("_first")).drop("_first")
+
+
 def split_equal(df: DataFrame, parts: int) -> DataFrame:
     """Each interval in ``parts`` equal pieces."""
     span = F.col("end_us") - F.col("begin_us")

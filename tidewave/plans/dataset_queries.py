@@ -199,6 +199,17 @@ def slice_first_last(spark, sf_dir):
     return datasets.take(views.events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts_us"), ["ts_us", "id"], 100, 250).select("id", "place")
 
 
+@query(with_views(f"f AS (SELECT station, coalesce(max(begin_us) FILTER (begin_us <= {queries.T0 + 48 * HOUR}), min(begin_us)) AS b FROM rec GROUP BY station) SELECT r.station, r.id, r.begin_us FROM rec r JOIN f ON r.station = f.station AND r.begin_us >= f.b AND r.begin_us <= {queries.T0 + 60 * HOUR}", "rec"))
+def files_in_range(spark, sf_dir):
+    return segments.files_in_range(views.recordings(spark, sf_dir), "station", queries.T0 + 48 * HOUR, queries.T0 + 60 * HOUR).select("station", "id", "begin_us")
+
+
+@query("WITH s AS (SELECT vec_id AS id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), a AS (SELECT id, avg(v) AS mean, max(abs(v)) AS peak, stddev_pop(v) AS std FROM s GROUP BY id) SELECT id, 'mean' AS name, round(mean, 6) AS value FROM a UNION ALL SELECT id, 'peak', round(peak, 6) FROM a UNION ALL SELECT id, 'std', round(std, 6) FROM a")
+def normalization_values(spark, sf_dir):
+    found = views.waveforms(spark, sf_dir).select("id", F.explode(signal.normalization_values(F.col("x"))).alias("name", "value"))
+    return found.withColumn("value", F.round("value", 6))
+
+
 @query(with_views(f"""k AS (SELECT station, begin_us, end_us, 1 AS d FROM rec UNION ALL SELECT station, greatest(begin_us, {queries.T0 + 48 * HOUR}), least(end_us, {queries.T0 + 96 * HOUR}), -1 FROM rec WHERE end_us >= {queries.T0 + 48 * HOUR} AND begin_us < {queries.T0 + 96 * HOUR})
 SELECT station, begin_us, end_us, sum(d)::BIGINT AS surplus FROM k GROUP BY ALL HAVING sum(d) <> 0""", "rec"))
 def timeline_differences(spark, sf_dir):

@@ -20,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
-from ._spans import as_text, matches, placed
+from ._shared import materialise, table
+from ._spans import as_text, let, matches, placed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a single space or hyphen between two digits while cards are looked for.
@@ -195,25 +195,36 @@ def _check_digit(digits: Column) -> Column:
     return ((10 - F.aggregate(backwards, F.lit(0), lambda s, v: s + F.when(v > 9, v - 9).otherwise(v)) % 10) % 10).cast("string")
 
 
+def _listed(values) -> Column:
+    """An array of strings from one literal, which keeps plans small."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def synthetic_sentences(spark: SparkSession, n: int) -> DataFrame:
-    """(``id``, ``text``, ``says``, ``held``): ``n`` sentences from the templates, filled by hashes of the id."""
-    templates = F.array(*[F.struct(F.lit(y).alias("says"), F.lit(h).alias("held"), F.lit(t).alias("text")) for y, h, t in _templates()])
-    parts = [F.array(*[F.lit(w) for w in words]) for words in (("an", "li", "sam", "mar", "ol", "ki", "jo", "per", "ed", "tom"), ("na", "a", "uel", "ie", "ga", "m", "sef", "la", "gar", "ek"), ("", "", "son", "s", "-lee", ".k", "sen", "1"))]
-    rows = spark.range(n).withColumn("s", F.get(templates, F.pmod(F.col("id"), F.lit(len(_templates()))).cast("int")))
+    """(``id``, ``text``, ``says``, ``held``): ``n`` sentences from the templates, filled by hashes of the id. Written once."""
+    templates = _templates()
+    known = spark.range(1).select(F.posexplode(_listed([f"{kind}\t{int(held)}\t{text}" for kind, held, text in templates])).alias("place", "line"))
+    known = known.select("place", *[F.get(F.split("line", "\t"), F.lit(k)).alias(c) for k, c in enumerate(("says", "held", "text"))])
+    parts = [_listed(words) for words in (("an", "li", "sam", "mar", "ol", "ki", "jo", "per", "ed", "tom"), ("na", "a", "uel", "ie", "ga", "m", "sef", "la", "gar", "ek"), ("", "", "son", "s", "-lee", ".k", "sen", "1"))]
+    # as many rows as there are templates
+    rows = spark.range(n).withColumn("place", F.pmod(F.col("id"), F.lit(len(templates))).cast("int")).join(F.broadcast(known), "place")
     pick = lambda what, i, size: F.pmod(F.xxhash64(F.col("id"), F.lit(what), i), F.lit(size))
-    chars = F.split("s.text", "")
-    word = lambda what, i: F.concat(*[F.get(p, pick(what + str(k), i, len_).cast("int")) for k, (p, len_) in enumerate(zip(parts, (10, 10, 8)))])
+    word = lambda what, i: F.concat(*[F.get(p, pick(what + str(k), i, size).cast("int")) for k, (p, size) in enumerate(zip(parts, (10, 10, 8)))])
     number = lambda i: F.concat(F.lit("4"), F.lpad(pick("card", i, 10**14).cast("string"), 14, "0"))
-    # an @ before the name of a domain is the sign itself
-    filled = F.transform(
-        chars,
-        lambda c, i: F.when(c == "#", pick("digit", i, 10).cast("string"))
-        .when((c == "@") & ~F.coalesce(F.get(chars, i + 1).rlike("^[%m]$") & F.get(chars, i - 1).rlike("^[@#s]$"), F.lit(False)), word("name", i))
-        .when(c == "%", F.regexp_replace(word("domain", i), "[^a-z]", ""))
-        .when(c == "&", F.concat(number(i), _check_digit(number(i))))
-        .otherwise(c),
-    )
-    return rows.select("id", F.array_join(filled, "").alias("text"), F.col("s.says").alias("says"), F.col("s.held").alias("held"))
+
+    def filled(chars: Column) -> Column:
+        # an @ before the name of a domain is the sign itself
+        return F.transform(
+            chars,
+            lambda c, i: F.when(c == "#", pick("digit", i, 10).cast("string"))
+            .when((c == "@") & ~F.coalesce(F.get(chars, i + 1).rlike("^[%m]$") & F.get(chars, i - 1).rlike("^[@#s]$"), F.lit(False)), word("name", i))
+            .when(c == "%", F.regexp_replace(word("domain", i), "[^a-z]", ""))
+            .when(c == "&", let(number(i), lambda d: F.concat(d, _check_digit(d))))
+            .otherwise(c),
+        )
+
+    text = F.array_join(let(F.split("text", ""), filled), "").alias("text")
+    return materialise(rows.select("id", text, "says", (F.col("held") == "1").alias("held")), "sentences")
 
 
 Tree = list  # [feature, cut, left, right], a leaf is a number

@@ -110,27 +110,46 @@ def greedy_chain(events: list[tuple[int, int, int]]) -> list[tuple[int, int, int
 
 
 def by_island(df: DataFrame, key: str, slack_us: int, fold, schema: str, width_us: int = DAY_US) -> DataFrame:
-    """Runs ``fold(events)`` on the sorted (begin_us, end_us, id) of each island, in time linear in its rows. A task takes the islands
-    of a key that begin in one stretch of ``width_us``, so that short islands share its cost; only a single island stays whole."""
-    ready = with_islands(df, key, slack_us).withColumn("_cell", F.floor(F.col("island") / width_us)).select(F.col(key).alias("_key"), "_cell", "island", "begin_us", "end_us", "id")
+    """Runs ``fold(events)`` on the sorted (begin_us, end_us, id) of each island, in time linear in its rows; ``fold`` gives the columns
+    of ``schema`` after the key. Rows are dealt by key and by the stretch of ``width_us`` in which their island begins, sorted, and
+    folded as they stream by, so that a task holds one island at a time."""
+    dealt = with_islands(df, key, slack_us).withColumn("_cell", F.floor(F.col("island") / width_us)).select(F.col(key).alias("_key"), "_cell", "island", "begin_us", "end_us", "id")
+    ready = dealt.repartition("_key", "_cell").sortWithinPartitions("_key", "island", "begin_us", F.desc("end_us"), "id")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(rows):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        island, begin, end, ids = (rows.column(c).to_numpy() for c in ("island", "begin_us", "end_us", "id"))
-        order = np.lexsort((ids, -end, begin, island))
-        island = island[order]
-        cuts = [0, *(np.flatnonzero(island[1:] != island[:-1]) + 1).tolist(), len(island)]
-        events = list(zip(begin[order].tolist(), end[order].tolist(), ids[order].tolist()))
-        out = [x for a, b in zip(cuts, cuts[1:]) for x in fold(events[a:b])]
-        columns = list(zip(*out)) if out else [()] * (len(names) - 1)
-        own = pa.array([rows.column("_key")[0].as_py()] * len(out), rows.schema.field("_key").type)
-        return pa.Table.from_arrays([own, *[pa.array(c, pa.int64()) for c in columns]], names=names)
+        held, events, out, kind = None, [], [], pa.int64()
+
+        def folded():
+            own = pa.array([k for k, _ in out], kind)
+            columns = list(zip(*(x for _, x in out))) if out else [()] * (len(names) - 1)
+            batch = pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int64()) for c in columns]], names=names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            kind = batch.schema.field("_key").type
+            keys, islands = batch.column("_key").to_pylist(), batch.column("island").to_pylist()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("begin_us", "end_us", "id"))))
+            same = np.fromiter((a == b and x == y for a, b, x, y in zip(keys, keys[1:], islands, islands[1:])), dtype=bool, count=max(0, len(rows) - 1))
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(rows)] if rows else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if held is not None and held != (keys[a], islands[a]):
+                    out += [(held[0], x) for x in fold(events)]
+                    events = []
+                held = (keys[a], islands[a])
+                events += rows[a:b]
+            if out:
+                yield folded()
+        if held is not None:
+            out += [(held[0], x) for x in fold(events)]
+            yield folded()
 
     kind = df.schema[key].dataType.simpleString()
-    return ready.groupBy("_key", "_cell").applyInArrow(run, schema.replace("_key", f"_key {kind}", 1)).withColumnRenamed("_key", key)
+    return ready.mapInArrow(run, schema.replace("_key", f"_key {kind}", 1)).withColumnRenamed("_key", key)
 
 
 def remove_overlaps(df: DataFrame, key: str) -> DataFrame:

@@ -108,26 +108,56 @@ def render(begin_us: int, end_us: int, items: list[tuple[int, int, float, np.nda
 RENDERED = "id long, channel int, rate double, x array<double>"
 
 
-def _batches(ids: list[int], rate: float, x: np.ndarray):
-    import pyarrow as pa
+#: Samples of results that a task hands out at once.
+SAMPLES_A_BATCH = 1_000_000
+
+
+def _by_window(batches):
+    """The rows of each window in turn, from batches sorted by ``id``; samples (``x``) become arrays."""
+    held, rows = None, []
+    for batch in batches:
+        names = [c for c in batch.schema.names if c != "x"]
+        columns = [batch.column(c).to_pylist() for c in names]
+        x = batch.column("x") if "x" in batch.schema.names else None
+        for i, values in enumerate(zip(*columns)):
+            r = dict(zip(names, values))
+            if x is not None and x[i].is_valid:
+                r["x"] = x[i].values.to_numpy(zero_copy_only=False)
+            if rows and r["id"] != held:
+                yield rows
+                rows = []
+            held = r["id"]
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _rendered(items: DataFrame, chain: Chain, samples) -> DataFrame:
+    """Runs the chain on the items of each window; ``samples(row)`` gives an item's (rate, frames). Items are dealt by window, sorted,
+    and rendered as they stream by."""
 
-    n = len(x)
-    return pa.Table.from_arrays([pa.array(ids * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([rate] * n, pa.float64()), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "channel", "rate", "x"])
+    def run(batches):
+        import pyarrow as pa
 
+        out, size = [], 0
 
-def _kernel(chain: Chain, samples):
-    """The function for applyInArrow on the items of a window; ``samples(row)`` gives an item's (rate, frames)."""
+        def handed():
+            ids, channels, rates, x = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(channels, pa.int32()), pa.array(rates, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["id", "channel", "rate", "x"])
 
-    def run(rows):
-        held = rows.to_pylist()
-        # gaps last, which are only there to name the window
-        held.sort(key=lambda r: (r["file"] is None, r["begin_us"]))
-        begin, end = held[0]["window_begin_us"], held[0]["window_end_us"]
-        items = [(r["begin_us"], r["end_us"], *samples(r)) for r in held if r["file"] is not None]
-        rate = chain.rate or (items[0][2] if items else 1.0)
-        return _batches([held[0]["id"]], rate, render(begin, end, items, chain))
+        for rows in _by_window(batches):
+            found = [(r["begin_us"], r["end_us"], *samples(r)) for r in rows if r["file"] is not None]
+            rate = chain.rate or (found[0][2] if found else 1.0)
+            for c, x in enumerate(render(rows[0]["window_begin_us"], rows[0]["window_end_us"], found, chain)):
+                out.append((rows[0]["id"], c, rate, x))
+                size += len(x)
+            if size >= SAMPLES_A_BATCH:
+                yield handed()
+                out, size = [], 0
+        if out:
+            yield handed()
 
-    return run
+    return items.repartition("id").sortWithinPartitions("id", "begin_us").mapInArrow(run, RENDERED)
 
 
 def _frames(r: dict) -> tuple[int, int]:
@@ -150,7 +180,7 @@ def signals_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: l
     def samples(r: dict):
         return r["rate"], backends.read(r["path"], *_frames(r))
 
-    return ready.groupBy("id").applyInArrow(_kernel(chain, samples), RENDERED)
+    return _rendered(ready, chain, samples)
 
 
 def signals_of_tables(windows: DataFrame, recordings: DataFrame, chain: Chain, keys: list[str], width_us: int, spans: DataFrame | None = None) -> DataFrame:
@@ -167,7 +197,7 @@ def signals_of_tables(windows: DataFrame, recordings: DataFrame, chain: Chain, k
     def samples(r: dict):
         return r["rate"], np.asarray(r["x"], dtype=float)[:, None]
 
-    return cut.groupBy("id").applyInArrow(_kernel(chain, samples), RENDERED)
+    return _rendered(cut, chain, samples)
 
 
 STREAMED = "id long, start long, channel int, x array<double>"

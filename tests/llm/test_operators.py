@@ -39,9 +39,76 @@ def test_dedup_splits_hot_groups(spark):
     assert len(found) == 301 and min(r["row"]["doc_id"] for r in found) == 0
 
 
+def test_dedup_splits_copies_of_one_identifier(spark):
+    """Copies that share an identifier, or have none, are spread as well, and one of them stays."""
+    rows = [(7 if i % 3 else None, "same text", i) for i in range(600)] + [(7, "same text", 1)] * 3 + [(1000 + i, f"other {i}", i) for i in range(100)]
+    for docs in (rows, [(None, t, x) for _, t, x in rows[:600]]):
+        frame = spark.createDataFrame(docs, "doc_id long, text string, extra int")
+        found = exact_dedup.content_sort_dedup(frame, keep="largest").collect()
+        kept = [r for r in found if r["kept"]]
+        assert len(found) == len(docs) and len(kept) == len({t for _, t, _ in docs})
+        hot = [r for r in kept if r["row"]["text"] == "same text"]
+        assert hot[0]["row"]["doc_id"] == (7 if docs is rows else None) and hot[0]["group_size"] == sum(t == "same text" for _, t, _ in docs)
+
+
 # --- packing ---
 
 
+def _fewest(lengths: tuple, limits) -> int:
+    """The least number of sequences, by trying all."""
+
+    def fits(own):
+        return sum(own) <= limits.tokens and len(own) <= limits.documents and sum(x * x for x in own) <= limits.attention
+
+    best = len(lengths)
+
+    def place(rest, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not rest:
+            best = len(bins)
+            return
+        seen = set()
+        for i, b in enumerate(bins):
+            if tuple(b) not in seen and fits([*b, rest[0]]):
+                seen.add(tuple(b))
+                place(rest[1:], bins[:i] + [[*b, rest[0]]] + bins[i + 1 :])
+        place(rest[1:], [*bins, [rest[0]]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_against_the_optimum(score):
+    """Near the fewest sequences that there can be, with each constraint binding in turn; ties and repeats included."""
+    rng = random.Random(21)
+    for limits in (packing.PackingLimits(20, 20, 400.0, score=score), packing.PackingLimits(20, 2, 400.0, score=score), packing.PackingLimits(20, 20, 401.0, (1.0, 0.1, 1.0), score)):
+        extra = used = 0
+        for _ in range(40):
+            lengths = tuple(rng.choice([1, 2, 3, 5, 5, 7, 9, 12, 20]) for _ in range(rng.randint(1, 9)))
+            seq, _, n = packing.best_fit(np.array(lengths), limits)
+            own = [[x for x, s in zip(lengths, seq) if s == k] for k in range(n)]
+            assert all(sum(o) <= limits.tokens and len(o) <= limits.documents and sum(x * x for x in o) <= limits.attention for o in own)
+            least = _fewest(lengths, limits)
+            assert least <= n <= least + 1
+            extra, used = extra + n - least, used + least
+        assert extra <= 0.05 * used
+
+
+def test_packing_with_binding_limits(spark):
+    """Documents and attention bind as well as tokens, whatever bins the pieces are dealt to; ties and nulls are packed once each."""
+    rows = [(i % 50 if i % 7 else None, 0, 0, 1 + i * i % 60, 5) for i in range(900)]
+    limits = packing.PackingLimits(100, 4, 10_000.0, pieces_a_bin=200)
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE_SCHEMA), limits).toPandas()
+    assert sorted(got["length"]) == sorted(r[3] for r in rows)
+    by = got.groupby("sequence_id")["length"]
+    assert by.sum().max() <= 100 and by.count().max() == 4 and by.apply(lambda x: (x.astype(float) ** 2).sum()).max() <= 10_000
+    with pytest.raises(Exception, match="longer"):
+        packing.pack(spark.createDataFrame([(1, 0, 0, 101, 1)], packing.PIECE_SCHEMA), limits).collect()
+
+
 def test_token_ids_equal_the_tokenizers():
     rng = random.Random(1)
     letters = "abcXYZ éÉßİſK.,;:!?|#'’“…«»0129² çσςΣ\t\n\r\x1c日本𝒳-_@\"<|endoftext|>'s't're"
@@ -105,6 +172,53 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert untrained[0] == pytest.approx(0.01, abs=1e-3) and untrained[0] == untrained[1]
 
 
+def test_ftrl_equals_a_plain_version():
+    """Training gives the weights of the textbook updates, coordinate by coordinate."""
+    rng = random.Random(23)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 12))), dtype=np.int32), rng.randint(0, 1)) for _ in range(60)]
+    p = toxicity.FtrlParameters(bits=6, l1=0.3, epochs=3)
+    at, w, bias = toxicity.train(rows, p)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    ones = sum(y for _, y in rows)
+    b, bn = math.log((ones + 0.1) / (len(rows) - ones + 9.9)), 1.0
+    weight = lambda i: 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+    for _ in range(p.epochs):
+        for index, y in rows:
+            own = {int(i): weight(int(i)) for i in index}
+            g = 1 / (1 + math.exp(-(sum(own.values()) + b))) - y
+            for i, v in own.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * v
+                n[i] += g * g
+            bn += g * g
+            b -= p.alpha / (p.beta + math.sqrt(bn)) * g
+    assert bias == pytest.approx(b) and dict(zip(at.tolist(), w)) == pytest.approx({i: weight(i) for i in sorted(z) if abs(z[i]) > p.l1})
+
+
+def test_toxicity_features_equal_a_plain_version():
+    """Words, neighbours and pairs with a word between, each by its own hash, never across texts."""
+    texts = ["Aa, bb cc dd", "", "bb", "cc bb  aa", None]
+    hashes = toxicity.WordHashes(toxicity._clean)
+    index, doc = toxicity.features(hashes, [t or "" for t in texts], 20)
+    got = {k: collections.Counter(index[doc == k].tolist()) for k in range(len(texts))}
+    sizes = [len((t or "").split()) for t in texts]
+    assert [sum(got[k].values()) for k in range(5)] == [n + max(0, n - 1) + max(0, n - 2) for n in sizes]
+    assert sum((got[0] & got[3]).values()) == 3 and sum((got[2] & got[0]).values()) == sum((got[2] & got[3]).values()) == 1
+
+
+def test_toxicity_odd_rows(spark, odd, odd_documents):
+    """Repeated rows, nulls, very long texts and clashing names: a score for each row, by its text alone; filtering keeps the rest whole."""
+    marks = spark.createDataFrame([(100 + k, k % 2, "x") for k in range(40)], "doc_id long, toxic int, text string")
+    got = toxicity.score_toxicity(odd, marks).collect()
+    by = collections.defaultdict(set)
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((i for i, _ in odd_documents), key=str)
+    for (i, t), r in zip(sorted(odd_documents, key=lambda x: str(x[0])), sorted(got, key=lambda r: str(r["doc_id"]))):
+        by[r["doc_id"]].add(round(r["score"], 9))
+    assert all(len(v) == 1 for k, v in by.items() if k is not None)
+    clean = toxicity.keep_clean(odd, marks)
+    assert clean.columns == odd.columns and clean.count() == sum(r["predicted"] == 0 for r in got)
+
+
 # --- decontamination ---
 
 
@@ -235,9 +349,10 @@ def test_prefix_follows_the_similarities():
     """Close copies are met by whole labels; the nearer the links are to the threshold, the shorter the prefix."""
     p = jaccard_join.ForestParameters()
     n = p.trees * p.label
-    close, near = p.measured({n - 1: 100}), p.measured({int(0.8 * n) + 1: 100, n - 1: 100})
+    close, near = p.measured({n - 1: 100_000}), p.measured({int(0.8 * n) + 1: 100, n - 1: 100})
     assert close == (p.label, pytest.approx(1)) and near[0] < p.label and near[1] >= p.target_recall
-    assert p.measured({}) == (p.depth, p.recall(p.depth)) and p.depth <= near[0]
+    assert p.measured({})[0] == p.depth and p.measured({})[1] == pytest.approx(p.recall(p.depth)) and p.depth <= near[0]
+    assert p.measured({n - 1: 3})[0] == p.depth
 
 
 def test_jaccard_odd_rows(odd, odd_documents):
@@ -521,6 +636,22 @@ def test_url_rules():
         url_filters.UrlRule("deny", "com")
 
 
+def test_url_odd_rows(spark):
+    """Repeated rows, nulls, urls without a scheme, very long ones and clashing names are judged each; edges given from outside count."""
+    long = "http://a.com/en/" + "x" * 50_000
+    rows = [(1, long, "a"), (1, long, "a"), (None, None, None), (2, "nope", "b"), (3, "http://b.net/q", "c"), (4, "http://c.info/", "d")]
+    pages = spark.createDataFrame([(*r, "k", "r") for r in rows], "page_id long, url string, html string, key string, rule string")
+    edges = spark.createDataFrame([("http://c.info", "http://z.org/es/1"), (None, "http://c.info")], "source string, target string")
+    got = sorted(((r["page_id"], r["verdict"], r["rule"]) for r in url_filters.url_verdicts(pages, redirects=edges).collect()), key=str)
+    assert got == sorted([(1, "block", "com/en/")] * 2 + [(None, "allow", None), (2, "allow", None), (3, "allow", None), (4, "block", None)], key=str)
+
+
+def test_chat_clashing_columns(spark):
+    rows = [(1, 0, "user", "a", "x", 5), (1, 1, "assistant", "b", "y", 6)]
+    got = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string, n int")).collect()
+    assert [r["formatted"] for r in got] == ["<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"] and got[0]["tokens"] == 10
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     assert exact_dedup.content_sort_dedup(nothing).count() == 0
     assert packing.pack_documents(nothing, packing.tokenizer_path()).count() == 0

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, local mode takes a
-    temporary folder and any other master a folder in the warehouse, which is shared as well.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, local mode (one process) takes a
+    temporary folder and any other master, local-cluster too, a folder in the warehouse, which is shared as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":
         root = f"file://{tempfile.gettempdir()}/tidewave-scratch"
     else:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewave_scratch"

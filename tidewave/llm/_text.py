@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None
+
 TEXT_CHARS_A_STEP = 4_000_000
 #: Words that a worker remembers; beyond that they are hashed anew, with the same results.
 CACHE_WORDS = 200_000
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system, where its C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def steps(batches) -> Iterator[tuple[list, list[str]]]:
     """Identifiers and texts (columns 0 and 1) in steps of bounded text; a null text counts as empty."""
+    release()
+    yield from _steps(batches)
+    release()
+
+
+def _steps(batches) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         at, size = 0, 0

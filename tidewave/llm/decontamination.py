@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from ._text import steps
+from ._text import _steps, release, steps
 
 HITS = "doc_id long, item_id long, edits int, start long, end long"
 BITMAP_BITS = 22
@@ -187,24 +187,33 @@ class _Index:
         return [(d, self.items[i][0], *v) for (d, i), v in best.items()]
 
 
+def _indexes(items: list[tuple[int, str]], p: LemmaParameters) -> list[_Index]:
+    """One index for each length of q-grams."""
+    by_q: dict[int, list] = {}
+    for item, text in items:
+        codes = _codes(text)
+        by_q.setdefault(p.gram(len(codes)), []).append((item, codes))
+    return [_Index(own, q, p) for q, own in sorted(by_q.items())]
+
+
+def _found(indexes: list[_Index], texts: list[str]) -> list[tuple]:
+    """(place of the text, item, edits, start, end)."""
+    norm = [normalise(t) for t in texts]
+    # a private-use separator keeps q-grams from crossing documents
+    codes = _codes("\U0010fffd".join(norm) + "\U0010fffd")
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in norm])]).astype(np.int64)
+    return [hit for index in indexes for hit in index.occurrences(codes, starts)]
+
+
 def _search(p: LemmaParameters, block):
     """The function for mapInArrow that finds the block's items in documents."""
 
     def run(batches):
         import pyarrow as pa
 
-        by_q: dict[int, list] = {}
-        for item, text in block.value:
-            codes = _codes(text)
-            q = p.gram(len(codes))
-            by_q.setdefault(q, []).append((item, codes))
-        indexes = [_Index(items, q, p) for q, items in sorted(by_q.items())]
+        indexes = _indexes(block.value, p)
         for ids, texts in steps(batches):
-            norm = [normalise(t) for t in texts]
-            # a private-use separator keeps q-grams from crossing documents
-            codes = _codes("\U0010fffd".join(norm) + "\U0010fffd")
-            starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in norm])]).astype(np.int64)
-            out = [(ids[d], *rest) for index in indexes for d, *rest in index.occurrences(codes, starts)]
+            out = [(ids[d], *rest) for d, *rest in _found(indexes, texts)]
             if out:
                 columns = list(zip(*out))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -213,20 +222,11 @@ def _search(p: LemmaParameters, block):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, p: LemmaParameters = LemmaParameters(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item that occurs in it: edits, and the best occurrence's
-    start and end in code points of the normalised document.
-
-    Defined results: null or empty documents hold nothing; null or blank items occur nowhere; an
-    item and a document without identifiers are searched like others and give null identifiers;
-    repeated rows give repeated results; of equal occurrences the first counts; either table may be
-    empty; documents are searched whole.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, p: LemmaParameters, item_col: str, text_col: str) -> list[list]:
+    """The items, normalised, in blocks of bounded size; the benchmark does not grow with the corpus."""
     blocks: list[list] = [[]]
     size = 0
-    own = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).orderBy("i", "t")
+    own = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t")
     for item, text in own.toLocalIterator():
         text = normalise(text or "")
         if not text:
@@ -236,7 +236,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: LemmaParameters = Lem
             size = 0
         blocks[-1].append((item, text))
         size += len(text)
-    parts = [rows.mapInArrow(_search(p, spark.sparkContext.broadcast(b)), HITS) for b in blocks if b]
+    return [b for b in blocks if b]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, p: LemmaParameters = LemmaParameters(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which ``contaminated`` finds no item, with all their columns. Each row is judged by its own
+    text, whatever its identifier."""
+    place, out = docs.columns.index(text_col), docs
+
+    def without(block):
+        def run(batches):
+            import pyarrow as pa
+
+            release()
+            indexes = _indexes(block.value, p)
+            for batch in batches:
+                own = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place).cast(pa.string())], names=["i", "t"])
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for at, texts in _steps([own]):
+                    clean[[at[d] for d, *_ in _found(indexes, texts)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for block in _blocks(benchmark, p, item_col, item_text_col):
+        out = out.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, p: LemmaParameters = LemmaParameters(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document and benchmark item that occurs in it: edits, and the best occurrence's
+    start and end in code points of the normalised document.
+
+    Defined results: null or empty documents hold nothing; null or blank items occur nowhere; an
+    item and a document without identifiers are searched like others and give null identifiers;
+    repeated rows give repeated results; of equal occurrences the first counts; either table may be
+    empty; documents are searched whole; other columns, whatever their names, are not looked at.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    parts = [rows.mapInArrow(_search(p, spark.sparkContext.broadcast(b)), HITS) for b in _blocks(benchmark, p, item_col, item_text_col)]
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], HITS)
 
 

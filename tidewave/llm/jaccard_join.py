@@ -34,6 +34,8 @@ from ._text import WordHashes, mix, steps
 BROADCAST_ROWS = 1_000_000
 #: Members of a block; buckets up to SMALL_BUCKET members are compared many at a time.
 BUCKET_BLOCK, SET_BLOCK, SMALL_BUCKET = 1024, 256, 16
+#: Pairs at the threshold that are taken for granted where the prefix length is chosen.
+DOUBT = 10.0
 #: Shingles that stand side by side in one dense matrix.
 COLUMNS = 16_384
 
@@ -60,11 +62,10 @@ class ForestParameters:
 
     def measured(self, similar: dict[int, int]) -> tuple[int, float]:
         """The longest prefix with the target recall, and that recall, for pairs seen in one trie at full depth:
-        numbers by equal MinHash values of ``trees * label``."""
-        if not similar:
-            return self.depth, self.recall(self.depth)
-        s = np.maximum(self.threshold, np.array(sorted(similar)) / (self.trees * self.label))
-        weight = np.array([similar[k] for k in sorted(similar)]) / s**self.label
+        numbers by equal MinHash values of ``trees * label``. ``DOUBT`` pairs at the threshold are added to them, so that few
+        pairs can't speak for all."""
+        s = np.append(np.maximum(self.threshold, np.array(sorted(similar)) / (self.trees * self.label)), self.threshold)
+        weight = np.append(np.array([similar[k] for k in sorted(similar)]) / s[:-1] ** self.label, DOUBT)
         for depth in range(self.label, 0, -1):
             recall = float((weight * (1 - (1 - s**depth) ** self.trees)).sum() / weight.sum())
             if recall >= self.target_recall or depth == 1:
@@ -123,13 +124,14 @@ def _sign(p: ForestParameters):
         import pyarrow as pa
 
         hashes = WordHashes()
-        for ids, texts in steps(batches):
+        for marks, texts in steps(batches):
+            ids, hashed = zip(*((m["doc_id"], m["text_hash"]) for m in marks))
             sets = shingles(hashes, texts, p.words)
             signed = signatures(sets, n)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signed], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in signed], pa.binary())],
-                names=["doc_id", "set_key", "size", "signature", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array(hashed, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signed], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in signed], pa.binary())],
+                names=["doc_id", "text_hash", "set_key", "size", "signature", "sketch"],
             )
 
     return run
@@ -140,11 +142,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, p: ForestParameters, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, set_key) and classes (node, rep, copies, set_key, size, signature, sketch: one byte of
+    """Members (doc_id, text_hash, set_key) and classes (node, rep, copies, set_key, size, signature, sketch: one byte of
     each MinHash value), both materialised. ``node`` numbers the classes; ``rep`` is the least identifier."""
-    signed = materialise(_rows(docs, id_col, text_col).mapInArrow(_sign(p), "doc_id long, set_key binary, size long, signature binary, sketch binary"), "signatures")
+    marked = _rows(docs, id_col, text_col).select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("mark"), "text")
+    signed = materialise(marked.mapInArrow(_sign(p), "doc_id long, text_hash long, set_key binary, size long, signature binary, sketch binary"), "signatures")
     kinds = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"))
-    return signed.select("doc_id", "set_key"), materialise(kinds.withColumn("node", F.monotonically_increasing_id()), "classes")
+    return signed.select("doc_id", "text_hash", "set_key"), materialise(kinds.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def _groups(batches, keys: int):
@@ -344,8 +347,8 @@ def link_counts(docs: DataFrame, kinds: DataFrame, p: ForestParameters, id_col:
 
 
 def jaccard_groups(docs: DataFrame, p: ForestParameters = ForestParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``class_id`` (least identifier that it is connected to by links),
-    ``copy_id`` (least identifier with the same shingle set), ``n_links`` (other rows at the threshold
+    """One row per document: ``doc_id``, ``text_hash`` (xxhash64 of its text), ``class_no`` (a number of all that it is
+    connected to by links), ``class_id`` (the least identifier among these), ``copy_id`` (least identifier with the same shingle set), ``n_links`` (other rows at the threshold
     or above, copies included) and ``n_class_links`` (other classes of copies at the threshold).
 
     Defined results: null and empty texts have no shingles and form one class of copies without
@@ -361,12 +364,14 @@ def jaccard_groups(docs: DataFrame, p: ForestParameters = ForestParameters(), id
     roots = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = roots.join(kinds.select("node", "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = named.join(least, "root").select("node", F.lit(True).alias("linked"), "class_id")
+    linked = named.join(least, "root").select("node", F.col("root").alias("linked"), "class_id")
     known = kinds.select("node", "set_key", "rep", "copies").join(counted, "node", "left").join(linked, "node", "left")
-    known = known.select("set_key", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"), "rep", "copies", "near", "classes")
+    known = known.select("set_key", F.coalesce("linked", "node").alias("class_no"), F.when(F.col("linked").isNotNull(), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"), "rep", "copies", "near", "classes")
     full = members.join(known, "set_key")
     return full.select(
         "doc_id",
+        "text_hash",
+        "class_no",
         "class_id",
         F.col("rep").alias("copy_id"),
         (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_links"),
@@ -375,4 +380,4 @@ def jaccard_groups(docs: DataFrame, p: ForestParameters = ForestParameters(), id
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("text_hash", "class_no")

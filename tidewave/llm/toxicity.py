@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import crc32_of_id, table
-from ._text import WordHashes, mix, steps
+from ._text import WordHashes, _steps, mix, release, steps
 
 #: Marks around a word that carry no meaning here.
 MARKS = b".,;:!?|#$%&*()[]{}<>\"'`~_+=/\\-"
@@ -102,13 +102,46 @@ def fit(docs: DataFrame, labels: DataFrame, p: FtrlParameters, id_col: str, text
     return model["at"].to_numpy(), model["w"].to_numpy(), float(bias.iloc[0]) if len(bias) else -4.6
 
 
+def _totals(hashes: WordHashes, texts: list[str], dense: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    """Scores of texts by the weights of their distinct features."""
+    index, doc = features(hashes, texts, bits)
+    live = np.flatnonzero(dense[index])
+    pair = np.unique((doc[live] << bits) | index[live])
+    total = bias + np.bincount(pair >> bits, weights=dense[pair & ((1 << bits) - 1)], minlength=len(texts))
+    return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, p: FtrlParameters = FtrlParameters(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that ``score_toxicity`` does not predict to be toxic, with all their columns. Each row is judged by its
+    own text, whatever its identifier."""
+    at, w, bias = fit(docs, labels.select(id_col, label_col), p, id_col, text_col, label_col)
+    model = docs.sparkSession.sparkContext.broadcast((at, w, bias))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, w, bias = model.value
+        dense = np.zeros(1 << p.bits)
+        dense[at] = w
+        hashes = WordHashes(_clean)
+        release()
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place).cast(pa.string())], names=["i", "t"])
+            scores = [_totals(hashes, texts, dense, bias, p.bits) for _, texts in _steps([own])]
+            yield batch.filter(pa.array(np.concatenate(scores) < 0.5)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, p: FtrlParameters = FtrlParameters(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str | None = None) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5) for every row of ``docs``.
 
     Defined results: a null or empty text has the score of the intercept; labels that are null or
     have no identifier are ignored, of several labels of one document the highest counts; documents
-    with a null identifier are scored like others; repeated rows are scored each; without labelled
-    rows all scores are 0.01. Scores depend on the text alone.
+    with a null identifier are scored like others; repeated rows are scored each; very long texts are scored whole; other
+    columns, whatever their names, are not looked at; without labelled rows all scores are 0.01; an empty table gives an
+    empty result. Scores depend on the text alone.
     """
     labels = labels.withColumnRenamed(label_id_col, id_col) if label_id_col else labels
     at, w, bias = fit(docs, labels.select(id_col, label_col), p, id_col, text_col, label_col)
@@ -122,11 +155,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: FtrlParameters = FtrlP
         dense[at] = w
         hashes = WordHashes(_clean)
         for ids, texts in steps(batches):
-            index, doc = features(hashes, texts, p.bits)
-            live = np.flatnonzero(dense[index])
-            pair = np.unique((doc[live] << p.bits) | index[live])
-            total = bias + np.bincount(pair >> p.bits, weights=dense[pair & ((1 << p.bits) - 1)], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_totals(hashes, texts, dense, bias, p.bits))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(score, "doc_id long, score double")

@@ -1,7 +1,7 @@
 """The cleaning pipeline over ``documents``; each stage is written as Parquet and read again.
 
-Every stage but the last returns the columns of its input. Rows without an identifier cannot be
-named by a decision that is keyed by identifier, so such decisions leave them in.
+Every stage but the last returns the columns of its input. A row is judged by its own text: rows without an identifier
+are filtered like others, and a row does not go because another one with its identifier goes.
 """
 
 from __future__ import annotations
@@ -13,18 +13,9 @@ from tidewave.llm import decontamination, exact_dedup, jaccard_join, packing, to
 from tidewave.llm._shared import materialise, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column doc_id); columns stay as they are."""
-    gone = materialise(ids.where(F.col("doc_id").isNotNull()).distinct(), "gone")
-    # the list of rejected identifiers is broadcast only where it is known to be small
-    small = gone.count() <= jaccard_join.BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1").select("doc_id"))
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +25,21 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least identifier stays."""
-    groups = jaccard_join.jaccard_groups(docs)
-    return _without(docs, groups.where("doc_id <> class_id").select("doc_id"))
+    """Of each group of near duplicates the document with the least identifier stays (of several, the one whose text has the least hash)."""
+    groups = materialise(jaccard_join.jaccard_groups(docs).where("n_links > 0").select("doc_id", "text_hash", "class_no"), "groups")
+    # nulls last: a row without an identifier stays only where its whole group has none
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    gone = materialise(groups.join(groups.groupBy("class_no").agg(F.min(own).alias("kept")), "class_no").where(own != F.col("kept")).select("doc_id", "text_hash").distinct(), "gone")
+    # the list of rejected rows is broadcast only where it is known to be small
+    small = gone.count() <= jaccard_join.BROADCAST_ROWS
+    rows, named = docs.alias("rows"), (F.broadcast(gone) if small else gone).alias("gone")
+    same = F.col("rows.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (F.xxhash64(F.col("rows.text").cast("string")) == F.col("gone.text_hash"))
+    return rows.join(named, same, "left_anti").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ the texts are.
 A text with very many copies would fill one range. Such texts are counted beforehand with map-side
 partial sums; there are at most ``4 * partitions`` of them by definition of the bound, so their
 list (digest, count, survivor) is broadcast, and a salt in the sort key spreads their copies over
-several ranges.
+several ranges. Copies in several ranges can't be neighbours, so those of a hot digest are compared in full
+beforehand, each with the least and greatest text of its task and these with each other; a digest with
+two texts is not salted.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import shuffle_partitions, table
+from ._shared import materialise, shuffle_partitions, table
 
 PREFIX_CHARS = 48
 
@@ -45,21 +47,34 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), F.lit(False).alias("no_text"), F.col(id_col).alias("id"), text.alias("t")
     )
     rows = rows.withColumn("sha", F.sha2(F.col("t").cast("binary"), 256))
+    # parts rows with one identifier by what else they hold, alike whenever it is computed
+    whole = F.to_json("rest") if "map<" in rows.schema["rest"].dataType.simpleString() else F.col("rest")
+    rows = rows.withColumn("mark", F.xxhash64(whole))
 
     bound = max(32, docs.count() // (4 * parts))
-    best = F.max if keep == "largest" else F.min
-    hot = rows.groupBy("sha").agg(F.count("*").alias("hot_n"), best("id").alias("hot_id")).where(F.col("hot_n") >= bound)
-    # hot holds at most 4 * parts rows: more groups of that size do not fit into the table
-    rows = rows.join(F.broadcast(hot), "sha", "left")
-    salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("hot_n") / bound))).otherwise(F.lit(0))
+    best, named = (F.max, F.col("id").isNotNull()) if keep == "largest" else (F.min, F.col("id").isNull())
+    survivor = best(F.struct(named.alias("named"), "id", "mark"))
+    often = rows.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") >= bound).select("sha")
+    # both lists hold at most 4 * parts rows: more groups of that size do not fit into the table
+    often = materialise(often, "often")
+    # a salt that is 0 for all would be folded away, and rows dealt by it dealt anew for the windows
+    key = ["prefix", "sha"]
+    if often.isEmpty():
+        rows = rows.withColumns({"hot_n": F.lit(None).cast("long"), "hot_id": F.lit(None).cast(rows.schema["id"].dataType), "hot_mark": F.lit(None).cast("long")})
+    else:
+        hot = rows.join(F.broadcast(often), "sha").groupBy("sha").agg(F.count("*").alias("hot_n"), survivor.alias("s"), (F.min("t") == F.max("t")).alias("same"))
+        hot = hot.where("same").select("sha", "hot_n", F.col("s.id").alias("hot_id"), F.col("s.mark").alias("hot_mark"))
+        rows = rows.join(F.broadcast(materialise(hot, "hot")), "sha", "left")
+        key = [*key, "salt"]
+    salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.xxhash64("id", "mark"), F.ceil(F.col("hot_n") / bound))).otherwise(F.lit(0))
     rows = rows.withColumn("prefix", F.substring("t", 1, PREFIX_CHARS)).withColumn("salt", salt.cast("long"))
 
-    by = W.partitionBy("prefix", "sha", "salt", "t")
-    order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    sorted_rows = rows.repartitionByRange("prefix", "sha", "salt")
+    by = W.partitionBy(*key, "t")
+    order = [F.col("id").desc_nulls_last(), F.col("mark").desc()] if keep == "largest" else [F.col("id").asc_nulls_last(), F.col("mark")]
+    sorted_rows = rows.repartitionByRange(*key)
     found = (
-        sorted_rows.withColumn("rank", F.row_number().over(by.orderBy(order)))
-        .withColumn("run_id", F.first("id").over(by.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+        sorted_rows.withColumn("rank", F.row_number().over(by.orderBy(*order)))
+        .withColumn("run_id", F.first("id").over(by.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("run_n", F.count("*").over(by))
     )
     keep_id = F.when(F.col("hot_n").isNotNull(), F.col("hot_id")).otherwise(F.col("run_id"))
@@ -68,7 +83,8 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("sha").alias("text_sha256"),
         keep_id.alias("keep_id"),
         F.coalesce("hot_n", "run_n").cast("long").alias("group_size"),
-        ((F.col("rank") == 1) & F.col("run_id").eqNullSafe(keep_id)).alias("kept"),
+        # rows equal in all columns share a range; of the survivor's other rows the one with the surviving mark stays
+        ((F.col("rank") == 1) & F.col("run_id").eqNullSafe(keep_id) & (F.col("hot_mark").isNull() | (F.col("mark") == F.col("hot_mark")))).alias("kept"),
     )
 
 

@@ -2,9 +2,9 @@
 
 Each piece is a vector (tokens, one document, attention cost = tokens squared) and each open
 sequence a vector of residual capacities. Pieces go in decreasing length to the feasible sequence
-whose residual vector scores best: the largest weighted dot product of demand and residual, or the
-smallest weighted norm of what would stay free. A sequence takes a piece only if every capacity
-allows it.
+whose residual vector scores best: the smallest weighted norm of what would stay free, or the largest weighted dot
+product of the demand and what would be used (the residual's complement; the product with the residual itself would
+choose the emptiest sequence). A sequence takes a piece only if every capacity allows it.
 
 Tokenising runs where the rows are; only lengths and checksums leave it. Pieces are then dealt to
 bins of bounded size by a hash of their identity, and each bin is packed by itself. The number of
@@ -211,7 +211,7 @@ def best_fit(lengths: np.ndarray, limits: PackingLimits) -> tuple[np.ndarray, np
                     score = (((left - demand) / cap) ** 2) @ weight
                     best = int(fits[np.argmin(score)])
                 else:
-                    # a tight fit has a small residual, so the largest product of demand and used share
+                    # the product of the demand and the used shares, which a small residual makes large
                     score = ((1 - (left - demand) / cap) * (demand / cap)) @ weight
                     best = int(fits[np.argmax(score)])
         if best < 0:

@@ -59,6 +59,9 @@ def _join(op: str, queries) -> object:
     if op == "or" and True in flat:
         return True
     flat = [q for q in dict.fromkeys(flat) if q is not True]
+    if op == "or":  # a text that fulfils a query fulfils one that asks for less
+        asked = {q: frozenset([q] if isinstance(q, str) else q[1]) if isinstance(q, str) or q[0] == "and" else None for q in flat}
+        flat = [q for q in flat if asked[q] is None or not any(a is not None and a < asked[q] for a in asked.values())]
     return True if not flat else flat[0] if len(flat) == 1 else (op, tuple(flat))
 
 

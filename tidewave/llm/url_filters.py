@@ -118,7 +118,8 @@ def url_verdicts(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects
     Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, is
     no node of the graph and is allowed; null html states no links; repeated rows are judged each;
     urls that are linked but not among the pages count as aliases, and a rule that blocks one of them
-    blocks its class; an empty table gives an empty result.
+    blocks its class; very long urls are judged whole; other columns, whatever their names, are not looked at; an empty
+    table gives an empty result.
     """
     named = [F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")]
     rows = pages.select(*named).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
@@ -133,6 +134,8 @@ def url_verdicts(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects
             rule = fitting_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
             roots = classes.where(rule["action"] == "block").select("root").distinct()
             blocked = classes.join(roots, "root", "left_semi").select(F.col("node").alias("key"), F.lit(True).alias("alias_block"))
+    # a url without a key matches nothing; a mark of its page's own keeps such rows from meeting in one task
+    rows = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("\0"), F.xxhash64("page_id", "url").cast("string"))))
     rows = rows.join(blocked, "key", "left") if blocked is not None else rows.withColumn("alias_block", F.lit(False))
     by_alias = F.coalesce("alias_block", F.lit(False))
     return rows.select(

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,15 +54,6 @@ class PackingLimits:
             raise ValueError("the attention capacity must admit one full piece")
 
 
-class _Kept(dict):
-    """What is kept, and beside it the rest of one step."""
-
-    rest: dict[bytes, bytes] = {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        return self.rest[key]
-
-
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
@@ -83,13 +75,12 @@ class WordIds:
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks = _Kept()
+        self.chunks: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
     def forget(self) -> None:
         """Empties the caches, which would otherwise stay in the worker beside those of other operators."""
         self.chunks.clear()
-        self.chunks.rest = {}
         self.stems.clear()
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -98,7 +89,7 @@ class WordIds:
         out: dict[bytes, bytes] = {}
         for at in range(0, len(plain), 200):
             part = plain[at : at + 200]
-            ids = np.asarray(self.tok.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) == len(part):
                 raw, start = ids.tobytes(), 0
@@ -106,7 +97,7 @@ class WordIds:
                     out[words[i]] = raw[start:end]
                     start = end
         rest = [i for i in range(len(words)) if words[i] not in out]
-        for i, e in zip(rest, self.tok.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             out[words[i]] = np.asarray(e.ids, dtype="<u4").tobytes()
         return out
 
@@ -119,25 +110,33 @@ class WordIds:
             return stem, low[len(stem) :]
         return low, b""
 
+    def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that aren't kept yet; they are kept from now on while the bound allows it."""
+        new = {c: self._parts(c) for c in chunks}
+        wanted = {p for pair in new.values() for p in pair if p}
+        known = self.stems
+        fresh = self._encode([w for w in wanted if w not in known])
+        if len(known) + len(fresh) <= CACHE_WORDS:
+            known.update(fresh)
+        else:
+            fresh |= {w: known[w] for w in wanted if w in known}
+            known = fresh
+        found = {c: known[stem] + (known[tail] if tail else b"") for c, (stem, tail) in new.items()}
+        if len(self.chunks) + len(found) <= CACHE_WORDS:
+            self.chunks.update(found)
+        return found
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {c: self._parts(c) for c in set().union(*chunks).difference(self.chunks)}
-        if new:
-            wanted = {p for pair in new.values() for p in pair if p}
-            known = self.stems
-            fresh = self._encode([w for w in wanted if w not in known])
-            if len(known) + len(fresh) <= CACHE_WORDS:
-                known.update(fresh)
-            else:
-                fresh |= {w: known[w] for w in wanted if w in known}
-                known = fresh
-            found = {c: known[stem] + (known[tail] if tail else b"") for c, (stem, tail) in new.items()}
-            if len(self.chunks) + len(found) <= CACHE_WORDS:
-                self.chunks.update(found)
-            else:
-                self.chunks.rest = found
-        look = self.chunks.__getitem__
-        return [b"".join(map(look, c)) for c in chunks]
+        flat = list(chain.from_iterable(chunks))
+        ids = list(map(self.chunks.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            found = self._new({flat[i] for i in missing})
+            for i in missing:
+                ids[i] = found[flat[i]]
+        ends = list(accumulate(map(len, chunks), initial=0))
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[str, WordIds] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, jaccard_join, lm_scoring, packing, pii, secrets, toxicity, url_filters
+from . import chat, decontamination, exact_dedup, filter_audit, jaccard_join, lm_scoring, packing, pii, secrets, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_secret_scans": secrets.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
+    "op11_filter_interaction_audit": filter_audit.OP11_SQL,
 }

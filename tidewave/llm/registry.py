@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, filter_audit, jaccard_join, lm_scoring, packing, pii, secrets, toxicity, url_filters
+from . import chat, decontamination, exact_dedup, filter_audit, jaccard_join, lm_scoring, near_dedup, packing, pii, repair, secrets, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
+    "op12_conversation_structure_repair": repair.op12_conversation_structure_repair,
+    "op13_minhash_near_dedup": near_dedup.op13_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
     "op11_filter_interaction_audit": filter_audit.OP11_SQL,
+    "op12_conversation_structure_repair": repair.OP12_SQL,
+    "op13_minhash_near_dedup": near_dedup.OP13_SQL,
 }

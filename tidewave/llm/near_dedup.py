@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._shared import materialise, table
+from ._shared import drop_materialised, materialise, table
 from ._text import WordHashes, steps
 from .jaccard_join import BROADCAST_ROWS, BUCKET_BLOCK, SET_BLOCK, ForestParameters, _alike, _verify, shingles, signatures
 
@@ -115,7 +115,8 @@ def classes(docs: DataFrame, p: ChosenPathParameters, id_col: str, text_col: str
 
 
 def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
-    """(``path``, ``node``, ``m``): the classes at the ends of all trees, where ``m`` of them, two at least, meet."""
+    """(``group``, ``node``, ``m``): the classes at the ends of all trees, where ``m`` of them, two at least, meet. Ends that hold the
+    same classes are one group."""
     sketches = kinds.select("node", "sketch")
     at = sketches.select("node", "sketch", F.explode(F.array(*[F.lit(k).cast("long") for k in range(p.trees)])).alias("path"), F.lit(None).cast("long").alias("above"))
     ends = []
@@ -124,15 +125,17 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
         grown = at.withColumn("branch", F.explode(F.array(*[F.lit(k) for k in range(p.branches)])))
         token = F.expr("substring(sketch, slot + 1, 1)")
         children = materialise(grown.withColumn("slot", slot).select("node", F.xxhash64("path", "branch", token).alias("path"), "above"), f"level{level}")
-        full = children.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in range(2)]
+        full = children.groupBy("path").agg(F.count("*").alias("m"), F.xxhash64(F.count("*"), *marks).alias("group")).where("m > 1")
         met = materialise(children.join(full, "path"), f"met{level}")
+        drop_materialised(children)
         end = (F.col("m") <= p.small) | F.coalesce(F.col("m") >= F.ceil(p.alike * F.col("above")), F.lit(False)) if level < DEEPEST else F.lit(True)
-        ends.append(met.where(end).select("path", "node", "m"))
+        ends.append(met.where(end).select("group", "node", "m"))
         rest = met.where(~end)
         if rest.isEmpty():
             break
         at = rest.select("node", "path", F.col("m").alias("above")).join(sketches, "node")
-    return reduce(DataFrame.unionByName, ends)
+    return reduce(DataFrame.unionByName, ends).distinct()
 
 
 def _dealt(frame: DataFrame, key: str, carried: list[str], kernel, schema: str) -> DataFrame:
@@ -158,15 +161,15 @@ def links_within(frame: DataFrame, key: str, block: int, carried: list[str], com
     if frame.where(big).isEmpty():
         return edges
     parts = connected_components(edges)
-    known = frame.where(big).join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    known = materialise(known.select(key, "node", "m", "part"), "known")
-    most = known.groupBy(key, "part", "m").agg(F.count("*").alias("n")).groupBy(key, "m").agg(F.max(F.struct("n", "part")).alias("most"))
-    open_groups = most.where(F.col("most.n") < F.col("m")).select(key, F.col("most.part").alias("largest"), F.ceil((F.col("m") - F.col("most.n")) / block).cast("int").alias("left_blocks"))
+    known = frame.where(big).join(parts, "node", "left").withColumn("_comp", F.coalesce("root", "node")).drop("root")
+    known = materialise(known.select(key, "node", "m", "_comp"), "known")
+    most = known.groupBy(key, "_comp", "m").agg(F.count("*").alias("n")).groupBy(key, "m").agg(F.max(F.struct("n", "_comp")).alias("most"))
+    open_groups = most.where(F.col("most.n") < F.col("m")).select(key, F.col("most._comp").alias("largest"), F.ceil((F.col("m") - F.col("most.n")) / block).cast("int").alias("left_blocks"))
     pending = known.join(open_groups, key)
     if pending.isEmpty():
         return edges
     all_rows = pending.select(key, "node", own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"))
-    left = pending.where(F.col("part") != F.col("largest")).withColumn("i", F.pmod(F.xxhash64("node", F.lit("left")), F.col("left_blocks")).cast("int"))
+    left = pending.where(F.col("_comp") != F.col("largest")).withColumn("i", F.pmod(F.xxhash64("node", F.lit("left")), F.col("left_blocks")).cast("int"))
     left_rows = left.select(key, "node", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"), "i")
     # one that stands on both sides of a place comes there once
     pairs = all_rows.unionByName(left_rows).distinct()
@@ -181,8 +184,8 @@ def _links(found: DataFrame) -> DataFrame:
 def _candidates(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
     """(``node``, ``part``, ``m``): groups of classes whose sketches, step by step, may be linked."""
     ends = tree_nodes(kinds, p).join(kinds.select("node", "sketch"), "node")
-    compare = lambda rows: _dealt(rows, "path", ["sketch"], _alike(p.compared), "u long, v long")
-    parts = materialise(connected_components(links_within(ends, "path", BUCKET_BLOCK, ["sketch"], compare)), "parts")
+    compare = lambda rows: _dealt(rows, "group", ["sketch"], _alike(p.compared), "u long, v long")
+    parts = materialise(connected_components(links_within(ends, "group", BUCKET_BLOCK, ["sketch"], compare)), "parts")
     return parts.join(parts.groupBy("root").agg(F.count("*").alias("m")), "root").select("node", F.col("root").alias("part"), "m")
 
 

@@ -51,6 +51,20 @@ def test_dedup_splits_copies_of_one_identifier(spark):
         assert hot[0]["row"]["doc_id"] == (7 if docs is rows else None) and hot[0]["group_size"] == sum(t == "same text" for _, t, _ in docs)
 
 
+def test_dedup_spreads_rows_alike_in_all_columns(spark):
+    rows = [(None, "same text")] * 20_000 + [(i, f"other {i}") for i in range(4_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact_dedup.content_sort_dedup(frame)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("at")).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[1]
+    kept = found.where("kept").select("row.doc_id", "group_size").collect()
+    assert len(kept) == 4_001 and [r["group_size"] for r in kept if r["doc_id"] is None] == [20_000]
+
+
 # --- packing ---
 
 
@@ -277,6 +291,15 @@ def test_decontamination_keeps_the_budget_of_short_items(spark, size):
     assert [(r["doc_id"], r["edits"], r["start"], r["end"]) for r in found] == [(size // 10, size // 10, 40, 40 + size)]
 
 
+def test_decontamination_numbers_of_any_size():
+    """More pairs of documents and items at once than 31 bits number."""
+    rng = random.Random(21)
+    items = [(k, "".join(rng.choices("abcdefghijklmnop", k=12))) for k in range(300_000)]
+    wanted = [(d, rng.randrange(len(items))) for d in range(9_000)]
+    found = decontamination._found(decontamination._indexes(items, decontamination.LemmaParameters()), [items[i][1] for _, i in wanted])
+    assert set(wanted) <= {(d, i) for d, i, *_ in found}
+
+
 def test_decontamination_odd_rows(spark, odd, odd_documents):
     """Null, repeated and very long rows, ties, and clashing names: each row that holds an item is named."""
     by = collections.Counter()

@@ -229,22 +229,28 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(budget: WindowBudget = WindowBudget()) -> str:
-    """The same in DuckDB: the digests from the rows themselves, the length from the template."""
+    """The same in DuckDB: the digests from the rows themselves, the length from the template and the windows, turn by turn."""
     esc = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
     return rf"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{END}{START}assistant ok' UNION ALL SELECT -1, 1, 'assistant', '{END}{START}assistant ok'),
-a AS (SELECT *, ceil(strlen(text) / 4.0)::BIGINT + 4 AS n, row_number() OVER o AS pos FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos)::BIGINT AS stop, max(CASE WHEN pos = 1 AND role = 'system' THEN n ELSE 0 END) OVER w AS sys, max(n) OVER w AS longest, (sum(n) OVER w)::BIGINT AS total FROM a WINDOW w AS (PARTITION BY conv_id)),
-c AS (SELECT *, CASE WHEN total <= {budget.tokens} THEN 0 WHEN {budget.tokens - budget.history} - sys - longest > 0 THEN (stop - 1) // ({budget.tokens - budget.history} - sys - longest) ELSE pos END AS key,
-  length('{START}') + length(replace({esc.format("role")}, chr(10), '\' || chr(10))) + 1 + length({esc.format("text")}) + length('{END}') + 1 AS chars FROM b),
-d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY key) AS win FROM c),
-e AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS wins, max(stop) OVER (PARTITION BY conv_id, win) AS border FROM d),
-f AS (SELECT *, CASE WHEN pos = 1 AND role = 'system' THEN wins WHEN border - stop + n <= {budget.history} AND win < wins THEN 2 ELSE 1 END AS times FROM e)
+a AS (SELECT *, ceil(strlen(text) / 4.0)::BIGINT + 4 AS n, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+  length('{START}') + length(replace({esc.format("role")}, chr(10), '\' || chr(10))) + 1 + length({esc.format("text")}) + length('{END}') + 1 AS chars FROM t),
+b AS (SELECT *, (sum(n) OVER (PARTITION BY c ORDER BY pos))::BIGINT - n AS begun, pos = 1 AND role = 'system' AS opener, (sum(n) OVER (PARTITION BY c))::BIGINT AS total FROM a),
+d AS (SELECT *, coalesce(max(n) FILTER (opener) OVER (PARTITION BY c), 0) + coalesce(sum(n) FILTER (NOT opener) OVER h, 0)::BIGINT AS again,
+  coalesce(max(chars) FILTER (opener) OVER (PARTITION BY c), 0) + coalesce(sum(chars) FILTER (NOT opener) OVER h, 0)::BIGINT AS repeated
+  FROM b WINDOW h AS (PARTITION BY c ORDER BY begun RANGE BETWEEN {budget.history} PRECEDING AND 1 PRECEDING)),
+w(c, pos, begun, start, again, fresh) AS (
+  SELECT c, pos, begun, begun, 0::BIGINT, false FROM d WHERE pos = 1
+  UNION ALL
+  SELECT c, pos, begun, CASE WHEN fresh THEN begun ELSE start END, CASE WHEN fresh THEN again ELSE before END, fresh
+  FROM (SELECT d.c, d.pos, d.begun, w.start, w.again AS before, d.again, d.total > {budget.tokens} AND (d.begun // {SEGMENT * budget.tokens} <> w.begun // {SEGMENT * budget.tokens}
+    OR w.again + d.begun + d.n - w.start > {budget.tokens}) AS fresh FROM w JOIN d ON d.c = w.c AND d.pos = w.pos + 1)),
+f AS (SELECT d.*, CASE WHEN fresh THEN repeated ELSE 0 END AS more FROM d JOIN w ON d.c = w.c AND d.pos = w.pos)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '')) AS loss_sha256,
-  sum(times * chars)::BIGINT AS formatted_chars
+  sum(chars + more)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """
 

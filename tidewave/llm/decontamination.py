@@ -162,21 +162,23 @@ class _Index:
         step = self.budget[item] + 1
         diagonal = at - starts[doc] - place
         cell = np.floor_divide(diagonal, step)
-        span = np.int64(1) << 32
-        # a place of the item counts once in a band, and each hit lies in two bands
-        keys = np.concatenate([(group * span) + cell + (span >> 1), (group * span) + cell - 1 + (span >> 1)])
-        order = np.lexsort((np.concatenate([place, place]), keys))
-        keys, places = keys[order], np.concatenate([place, place])[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
-        band, count = np.unique(keys[new], return_counts=True)
-        owner = band // span
-        kept = count >= self.least[owner % len(self.items)]
+        # a place of the item counts once in a band, and each hit lies in two bands; document and item, the band and the place
+        # stay columns of their own, as their product may not fit into 64 bits
+        groups, bands, places = np.concatenate([group, group]), np.concatenate([cell, cell - 1]), np.concatenate([place, place])
+        order = np.lexsort((places, bands, groups))
+        groups, bands, places = groups[order], bands[order], places[order]
+        other = np.ones(len(groups), dtype=bool)
+        other[1:] = (groups[1:] != groups[:-1]) | (bands[1:] != bands[:-1])
+        new = other.copy()
+        new[1:] |= places[1:] != places[:-1]
+        first = np.flatnonzero(other)
+        count = np.diff(np.append(np.cumsum(new)[first], new.sum() + 1))
+        kept = first[count >= self.least[groups[first] % len(self.items)]]
         best: dict[tuple[int, int], tuple] = {}
-        for key, who in zip(band[kept].tolist(), owner[kept].tolist()):
+        for who, band in zip(groups[kept].tolist(), bands[kept].tolist()):
             d, i = divmod(who, len(self.items))
             k = int(self.budget[i])
-            low = (key % span - (span >> 1)) * (k + 1)
+            low = band * (k + 1)
             text = codes[starts[d] : starts[d + 1] - 1]
             # only the stretch that the band can reach is aligned
             cut = max(0, low - k)

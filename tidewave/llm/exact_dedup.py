@@ -7,8 +7,9 @@ the texts are.
 
 A text with very many copies would fill one range. Such texts are counted beforehand with map-side
 partial sums; there are at most ``4 * partitions`` of them by definition of the bound, so their
-list (digest, count, survivor) is broadcast, and a salt in the sort key spreads their copies over
-several ranges. Copies in several ranges can't be neighbours, so those of a hot digest are compared in full
+list (digest, count, survivor) is broadcast. Their rows are written once with a number each, which as a salt in the sort key
+spreads them over several ranges, rows alike in all columns too, and tells apart which of such rows stays. Copies in
+several ranges can't be neighbours, so those of a hot digest are compared in full
 beforehand, each with the least and greatest text of its task and these with each other; a digest with
 two texts is not salted.
 """
@@ -53,20 +54,25 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     bound = max(32, docs.count() // (4 * parts))
     best, named = (F.max, F.col("id").isNotNull()) if keep == "largest" else (F.min, F.col("id").isNull())
-    survivor = best(F.struct(named.alias("named"), "id", "mark"))
+    survivor = best(F.struct(named.alias("named"), "id", "mark", "num"))
     often = rows.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") >= bound).select("sha")
     # both lists hold at most 4 * parts rows: more groups of that size do not fit into the table
     often = materialise(often, "often")
-    # a salt that is 0 for all would be folded away, and rows dealt by it dealt anew for the windows
     key = ["prefix", "sha"]
+    own = ["hot_n", "hot_id", "hot_num"]
+    rows = rows.withColumn("num", F.lit(None).cast("long"))
+    cold = rows.withColumns({"hot_n": F.lit(None).cast("long"), "hot_id": F.lit(None).cast(rows.schema["id"].dataType), "hot_num": F.lit(None).cast("long")})
+    # a salt that is 0 for all would be folded away, and rows dealt by it dealt anew for the windows
     if often.isEmpty():
-        rows = rows.withColumns({"hot_n": F.lit(None).cast("long"), "hot_id": F.lit(None).cast(rows.schema["id"].dataType), "hot_mark": F.lit(None).cast("long")})
+        rows = cold
     else:
-        hot = rows.join(F.broadcast(often), "sha").groupBy("sha").agg(F.count("*").alias("hot_n"), survivor.alias("s"), (F.min("t") == F.max("t")).alias("same"))
-        hot = hot.where("same").select("sha", "hot_n", F.col("s.id").alias("hot_id"), F.col("s.mark").alias("hot_mark"))
-        rows = rows.join(F.broadcast(materialise(hot, "hot")), "sha", "left")
+        many = materialise(rows.join(F.broadcast(often), "sha").withColumn("num", F.monotonically_increasing_id()), "many")
+        hot = many.groupBy("sha").agg(F.count("*").alias("hot_n"), survivor.alias("s"), (F.min("t") == F.max("t")).alias("same"))
+        hot = hot.where("same").select("sha", "hot_n", F.col("s.id").alias("hot_id"), F.col("s.num").alias("hot_num"))
+        many = many.join(F.broadcast(materialise(hot, "hot")), "sha", "left").select(*rows.columns, *own)
+        rows = cold.join(F.broadcast(often), "sha", "left_anti").select(*rows.columns, *own).unionByName(many)
         key = [*key, "salt"]
-    salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.xxhash64("id", "mark"), F.ceil(F.col("hot_n") / bound))).otherwise(F.lit(0))
+    salt = F.when(F.col("hot_n").isNotNull(), F.pmod(F.col("num"), F.ceil(F.col("hot_n") / bound))).otherwise(F.lit(0))
     rows = rows.withColumn("prefix", F.substring("t", 1, PREFIX_CHARS)).withColumn("salt", salt.cast("long"))
 
     by = W.partitionBy(*key, "t")
@@ -83,8 +89,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("sha").alias("text_sha256"),
         keep_id.alias("keep_id"),
         F.coalesce("hot_n", "run_n").cast("long").alias("group_size"),
-        # rows equal in all columns share a range; of the survivor's other rows the one with the surviving mark stays
-        ((F.col("rank") == 1) & F.col("run_id").eqNullSafe(keep_id) & (F.col("hot_mark").isNull() | (F.col("mark") == F.col("hot_mark")))).alias("kept"),
+        F.when(F.col("hot_n").isNotNull(), F.col("num") == F.col("hot_num")).otherwise(F.col("rank") == 1).alias("kept"),
     )
 
 

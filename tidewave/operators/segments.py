@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import numbered, running_sum_before
-from .timeline import by_island, remove_overlaps
+from .chains import anchored_chunks, furthest_chain
 
 
 def hop_us(duration_us: int, overlap: float = 0.0) -> int:
@@ -39,27 +39,14 @@ def total_bounds(df: DataFrame, key: str) -> DataFrame:
 
 def windows_files(df: DataFrame, key: str) -> DataFrame:
     """One window per file, overlaps removed."""
-    return remove_overlaps(df, key)
+    return furthest_chain(df, key)
 
 
 def windows_file_anchored(df: DataFrame, key: str, duration_us: int, overlap: float = 0.0) -> DataFrame:
     """Windows from the begin of the first file of each chunk; a file joins the chunk if it begins
     no later than the chunk's last window ends, else it anchors a new chunk."""
-    hop = hop_us(duration_us, overlap)
-
-    def fold(events):
-        out: list[tuple[int, int]] = []
-        chunk = None
-        for b, e, _ in sorted(events):
-            if chunk and chunk[0] + hop * (-(-(chunk[1] - chunk[0]) // hop) - 1) + duration_us >= b:
-                chunk = (chunk[0], e)
-            else:
-                out += [chunk] if chunk else []
-                chunk = (b, e)
-        return [*out, chunk]
-
-    # files further apart than a window can't share a chunk, so the fold runs island by island
-    return windows_total(by_island(df, key, duration_us, fold, "_key, begin_us long, end_us long"), duration_us, overlap)
+    chunks = anchored_chunks(df, key, duration_us, hop_us(duration_us, overlap))
+    return windows_total(chunks, duration_us, overlap)
 
 
 def files_in_range(df: DataFrame, key: str, begin_us: int, end_us: int) -> DataFrame:

@@ -157,7 +157,7 @@ def _rendered(items: DataFrame, chain: Chain, samples) -> DataFrame:
         if out:
             yield handed()
 
-    return items.repartition("id").sortWithinPartitions("id", "begin_us").mapInArrow(run, RENDERED)
+    return items.repartition("id").sortWithinPartitions("id", "begin_us").mapInArrow(backends.travelling(run), RENDERED)
 
 
 def _frames(r: dict) -> tuple[int, int]:
@@ -266,7 +266,7 @@ def stream_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: li
                         yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * n, pa.int64()), pa.array([start] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(list(x.T * gain), pa.list_(pa.float64()))], names=["id", "start", "channel", "x"])
                     start += len(x)
 
-    return ready.mapInArrow(run, STREAMED)
+    return ready.mapInArrow(backends.travelling(run), STREAMED)
 
 
 def split_chunks(items: DataFrame, chunk: int = 8_192) -> DataFrame:

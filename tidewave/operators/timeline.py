@@ -82,82 +82,13 @@ def coverage_islands(df: DataFrame, key: str) -> DataFrame:
     ).drop("island")
 
 
-def greedy_chain(events: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The furthest-reaching chain over events (begin, end, id) sorted by (begin, longer first, id).
-
-    ``c`` is the event in hand, ``k`` the furthest-reaching later one that overlaps it.
-    """
-    out: list[tuple[int, int, int]] = []
-    c = k = None
-    for x in events:
-        if c is None:
-            c = x
-        elif x[0] < c[1]:
-            if x[1] > max(c[1], k[1] if k else c[1]):
-                k = x
-        elif k is None:
-            out.append(c)
-            c = x
-        elif x[0] < k[1]:
-            out.append((c[0], k[0], c[2]))
-            c, k = k, x if x[1] > k[1] else None
-        else:
-            out += [(c[0], k[0], c[2]), k]
-            c, k = x, None
-    if c is not None:
-        out += [c] if k is None else [(c[0], k[0], c[2]), k]
-    return out
-
-
-def by_island(df: DataFrame, key: str, slack_us: int, fold, schema: str, width_us: int = DAY_US) -> DataFrame:
-    """Runs ``fold(events)`` on the sorted (begin_us, end_us, id) of each island, in time linear in its rows; ``fold`` gives the columns
-    of ``schema`` after the key. Rows are dealt by key and by the stretch of ``width_us`` in which their island begins, sorted, and
-    folded as they stream by, so that a task holds one island at a time."""
-    dealt = with_islands(df, key, slack_us).withColumn("_cell", F.floor(F.col("island") / width_us)).select(F.col(key).alias("_key"), "_cell", "island", "begin_us", "end_us", "id")
-    ready = dealt.repartition("_key", "_cell").sortWithinPartitions("_key", "island", "begin_us", F.desc("end_us"), "id")
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        held, events, out, kind = None, [], [], pa.int64()
-
-        def folded():
-            own = pa.array([k for k, _ in out], kind)
-            columns = list(zip(*(x for _, x in out))) if out else [()] * (len(names) - 1)
-            batch = pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int64()) for c in columns]], names=names)
-            out.clear()
-            return batch
-
-        for batch in batches:
-            kind = batch.schema.field("_key").type
-            keys, islands = batch.column("_key").to_pylist(), batch.column("island").to_pylist()
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("begin_us", "end_us", "id"))))
-            same = np.fromiter((a == b and x == y for a, b, x, y in zip(keys, keys[1:], islands, islands[1:])), dtype=bool, count=max(0, len(rows) - 1))
-            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(rows)] if rows else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                if held is not None and held != (keys[a], islands[a]):
-                    out += [(held[0], x) for x in fold(events)]
-                    events = []
-                held = (keys[a], islands[a])
-                events += rows[a:b]
-            if out:
-                yield folded()
-        if held is not None:
-            out += [(held[0], x) for x in fold(events)]
-            yield folded()
-
-    kind = df.schema[key].dataType.simpleString()
-    return ready.mapInArrow(run, schema.replace("_key", f"_key {kind}", 1)).withColumnRenamed("_key", key)
-
-
 def remove_overlaps(df: DataFrame, key: str) -> DataFrame:
     """(key, id, begin_us, end_us) without overlaps: of intervals that overlap the one in hand the one
     that reaches furthest is kept and the one in hand ends where it begins; intervals that end no later are
-    dropped. Folded island by island, as islands do not touch each other."""
-    fold = lambda events: [(i, b, e) for b, e, i in greedy_chain(events)]
-    return by_island(df, key, 0, fold, "_key, id long, begin_us long, end_us long")
+    dropped. Blocks of sorted rows are decided side by side, however long a run of overlapping intervals is."""
+    from .chains import furthest_chain
+
+    return furthest_chain(df, key)
 
 
 def next_after(df: DataFrame, key: str, value: str, name: str, width_us: int = DAY_US) -> DataFrame:

@@ -1,7 +1,8 @@
 """Audio file formats behind one protocol, read by seeking: headers without bodies, samples by frame range.
 
 A backend knows the suffixes of its files, reads a header and reads frames from an open file. Further formats
-are added with ``register``. Files are opened through Arrow's file systems, by URI, where the task runs; nothing but
+are added with ``register`` on the driver; what runs on workers takes the registry along (``travelling``), so that
+files are read by the same backends there. Files are opened through Arrow's file systems, by URI, where the task runs; nothing but
 the bytes that are asked for is read.
 """
 
@@ -9,6 +10,9 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable, Iterator
+from functools import wraps
+from importlib import import_module
 from typing import BinaryIO, NamedTuple, Protocol
 
 import numpy as np
@@ -105,6 +109,34 @@ def register(backend: AudioBackend) -> None:
 register(Wav())
 
 
+def known() -> dict[str, AudioBackend]:
+    """All backends by suffix, as they are now."""
+    return dict(_KNOWN)
+
+
+def adopt(others: dict[str, AudioBackend]) -> None:
+    """Registers backends that another process knows."""
+    _KNOWN.update(others)
+
+
+def named(names: str) -> dict[str, AudioBackend]:
+    """Backends given as ``module:class``, comma-separated; modules are imported where this runs."""
+    found = [getattr(import_module(module), name)() for module, _, name in (n.strip().partition(":") for n in names.split(",") if n.strip())]
+    return {suffix.lower(): backend for backend in found for suffix in backend.suffixes}
+
+
+def travelling(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run``, a generator for Arrow batches, with the backends that are registered here and now, wherever it runs."""
+    own = known()
+
+    @wraps(run)
+    def there(*args):
+        adopt(own)
+        yield from run(*args)
+
+    return there
+
+
 def suffixes() -> list[str]:
     return sorted(_KNOWN)
 

@@ -1,8 +1,9 @@
 """Samples of audio files as a Spark data source: ``spark.read.format("recordings").load(folder)``.
 
 Options: ``path`` (a folder or a file), ``chunk`` (frames of a row, 65 536 by default), ``bytes`` (of a file for
-one partition, 32 MB by default) and ``channels`` (comma-separated indexes; all by default). A file larger than ``bytes`` is
-read by several partitions, each of which seeks to its frames.
+one partition, 32 MB by default), ``channels`` (comma-separated indexes; all by default) and ``backends`` (further formats as
+``module:class``, comma-separated). A file larger than ``bytes`` is read by several partitions, each of which seeks to its
+frames. The source reads with the backends that were registered when it was; a folder without readable files gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def files_in(folder: str) -> list[tuple[str, int]]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, known: dict[str, backends.AudioBackend]):
+        self.known = known | backends.named(options.get("backends", ""))
         self.path, self.chunk = options["path"], int(options.get("chunk", 65_536))
         self.bytes = int(options.get("bytes", 32 << 20))
         self.channels = [int(c) for c in options["channels"].split(",")] if options.get("channels") else None
@@ -47,11 +49,15 @@ class _Reader(DataSourceReader):
             raise ValueError("chunk and bytes must be positive")
 
     def partitions(self) -> list[Stretch]:
+        backends.adopt(self.known)
         return [Stretch(p, k, n) for p, size in files_in(self.path) for n in [max(1, -(-size // self.bytes))] for k in range(n)]
 
-    def read(self, partition: Stretch):
+    def read(self, partition: Stretch | None):
         import pyarrow as pa
 
+        if partition is None:  # there are no partitions
+            return
+        backends.adopt(self.known)
         own = backends.info(partition.path)
         at, end = (own.frames * k // partition.parts for k in (partition.part, partition.part + 1))
         wanted = range(own.channels) if self.channels is None else self.channels
@@ -67,6 +73,9 @@ class _Reader(DataSourceReader):
 
 
 class Recordings(DataSource):
+    #: Backends of the process that registered the source.
+    known: dict[str, backends.AudioBackend] = {}
+
     @classmethod
     def name(cls) -> str:
         return "recordings"
@@ -75,8 +84,13 @@ class Recordings(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        return _Reader(self.options, self.known)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Recordings)
+    """Registers the source with the backends known now; to be called again when there are further ones."""
+
+    class Known(Recordings):
+        known = backends.known()
+
+    spark.dataSource.register(Known)

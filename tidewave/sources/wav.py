@@ -67,7 +67,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["path", "sample_rate", "channels", "frames", "error"])
 
-    return _files(spark, folder).mapInArrow(run, META)
+    return _files(spark, folder).mapInArrow(backends.travelling(run), META)
 
 
 def recordings(spark: SparkSession, folder: str, templates: list[str] | None, first_us: int = 1_577_836_800_000_000, zone: str | None = None, begin_us: int | None = None, end_us: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +106,7 @@ def read_windows(spark: SparkSession, folder: str, windows: DataFrame) -> DataFr
                 n = x.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array([start] * n, pa.int64()), pa.array(list(x.T), pa.list_(pa.float64()))], names=["path", "channel", "start", "x"])
 
-    return windows.select("path", "start", "stop").mapInArrow(run, SAMPLES)
+    return windows.select("path", "start", "stop").mapInArrow(backends.travelling(run), SAMPLES)
 
 
 def gap_filled(items: DataFrame, length: Column, key: list[str]) -> DataFrame:

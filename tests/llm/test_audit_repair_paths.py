@@ -221,7 +221,9 @@ def test_near_dedup_finds_links_at_the_threshold(spark):
         rows += [(1000 * g + k, _near(rng, base, rng.choice([0.02, 0.05, 0.08]))) for k in range(8)]
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert collections.Counter(map(tuple, near_dedup.near_duplicates(frame).collect())) == _components(rows)
+    for few in (0, 10**9):
+        found = near_dedup.near_duplicates(frame, near_dedup.ChosenPathParameters(few=few)).collect()
+        assert collections.Counter(map(tuple, found)) == _components(rows)
 
 
 def test_large_groups_are_linked_in_blocks(spark):
@@ -236,8 +238,7 @@ def test_large_groups_are_linked_in_blocks(spark):
         met = a.join(b, ["key", "i", "j"]).where((F.abs(F.col("a.value") - F.col("b.value")) <= 1) & (F.col("a.node") > F.col("b.node")))
         return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    edges = near_dedup.links_within(frame, "key", block, ["value"], compare)
-    roots = {r["node"]: r["root"] for r in near_dedup.connected_components(edges).collect()}
+    roots = {r["node"]: r["root"] for r in near_dedup.linked_within(frame, "key", block, ["value"], compare).collect()}
     wanted = [min(j for j in range(m) if j == k or (k < 100 and j < 100)) for k in range(m)]
     wanted[110] = 109
     assert [roots.get(k, k) for k in range(m)] == wanted

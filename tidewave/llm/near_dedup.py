@@ -4,7 +4,7 @@ Documents with equal sets are folded into one class first. A class is a sketch o
 bytes), and goes down several independent trees. A node of a tree is a path of chosen tokens, which its classes share;
 the path alone chooses the next ``branches`` positions of the sketch, and each class goes to the children
 that its own tokens there name. Only the number of classes at a node is gathered, so nodes are as many rows as classes
-stand in them. A node that has become small is compared exhaustively, and so is one that a
+stand in them. A small node below a small node is compared exhaustively, and so is one that a
 branching does not thin out any more, as its classes are alike. With two branches a link at the threshold stays together
 in a tree with at least the chance ``c = 1 - (1 - t * c) ** 2``, 0.9375 for t = 0.8, however deep the tree gets, so
 the trees that a target recall asks for are a fixed number.
@@ -42,7 +42,9 @@ class ChosenPathParameters:
     words: int = 2
     threshold: float = 0.8
     branches: int = 2
-    small: int = 64
+    first_levels: int = 2
+    small: int = 8
+    few: int = 200_000
     target_recall: float = 0.99999
 
     @property
@@ -118,21 +120,32 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
     """(``group``, ``node``, ``m``): the classes at the ends of all trees, where ``m`` of them, two at least, meet. Ends that hold the
     same classes are one group."""
     sketches = kinds.select("node", "sketch")
-    at = sketches.select("node", "sketch", F.explode(F.array(*[F.lit(k).cast("long") for k in range(p.trees)])).alias("path"), F.lit(None).cast("long").alias("above"))
-    ends = []
-    for level in range(1, DEEPEST + 1):
+
+    def grown(at: DataFrame) -> DataFrame:
+        """The children of each row's node that its tokens name."""
         slot = F.pmod(F.xxhash64("path", "branch"), F.lit(SLOTS)).cast("int")
-        grown = at.withColumn("branch", F.explode(F.array(*[F.lit(k) for k in range(p.branches)])))
-        token = F.expr("substring(sketch, slot + 1, 1)")
-        children = materialise(grown.withColumn("slot", slot).select("node", F.xxhash64("path", "branch", token).alias("path"), "above"), f"level{level}")
+        both = at.withColumn("branch", F.explode(F.array(*[F.lit(k) for k in range(p.branches)]))).withColumn("slot", slot)
+        return both.withColumn("path", F.xxhash64("path", "branch", F.expr("substring(sketch, slot + 1, 1)"))).drop("branch", "slot")
+
+    at = sketches.withColumn("path", F.explode(F.array(*[F.lit(k).cast("long") for k in range(p.trees)]))).withColumn("above", F.lit(None).cast("long"))
+    for _ in range(p.first_levels - 1):
+        at = grown(at)
+    ends: list[DataFrame] = []
+    for level in range(p.first_levels, DEEPEST + 1):
+        children = materialise(grown(at).drop("sketch"), f"level{level}")
         marks = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in range(2)]
         full = children.groupBy("path").agg(F.count("*").alias("m"), F.xxhash64(F.count("*"), *marks).alias("group")).where("m > 1")
         met = materialise(children.join(full, "path"), f"met{level}")
         drop_materialised(children)
-        end = (F.col("m") <= p.small) | F.coalesce(F.col("m") >= F.ceil(p.alike * F.col("above")), F.lit(False)) if level < DEEPEST else F.lit(True)
+        # most small nodes hold classes that met by chance, so those of a small node only are compared
+        small, stays = (F.col("m") <= p.small) & (F.col("above") <= p.small), F.col("m") >= F.ceil(p.alike * F.col("above"))
+        end = F.coalesce(small | stays, F.lit(False)) if level < DEEPEST else F.lit(True)
         ends.append(met.where(end).select("group", "node", "m"))
         rest = met.where(~end)
-        if rest.isEmpty():
+        left = rest.count()
+        if left <= p.few:
+            # further levels would cost more than comparing what is left
+            ends.append(rest.select("group", "node", "m"))
             break
         at = rest.select("node", "path", F.col("m").alias("above")).join(sketches, "node")
     return reduce(DataFrame.unionByName, ends).distinct()
@@ -144,9 +157,9 @@ def _dealt(frame: DataFrame, key: str, carried: list[str], kernel, schema: str)
     return ready.mapInArrow(kernel, schema)
 
 
-def links_within(frame: DataFrame, key: str, block: int, carried: list[str], compare) -> DataFrame:
-    """Edges (u, v) that join the members (``node``) of each group (``key``, of ``m`` members) wherever ``compare`` links any two
-    of them, by a chain of links or at once.
+def linked_within(frame: DataFrame, key: str, block: int, carried: list[str], compare) -> DataFrame:
+    """(``node``, ``root``) of the members (``node``) of groups (``key``, of ``m`` members) that ``compare`` links to others of their group, by
+    a chain of links or at once; the root is the least node that links reach.
 
     A group of up to ``block`` members is compared in one place. A larger one is dealt to blocks, each with the group's pivots; then
     the members outside the group's largest component so far, if any, meet all its blocks. A group whose
@@ -157,24 +170,23 @@ def links_within(frame: DataFrame, key: str, block: int, carried: list[str], com
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     pivot = big & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.ceil(F.col("m") / PIVOTS)) == 0)
     first = frame.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own)))).withColumn("j", F.col("i"))
-    edges = materialise(compare(first), "edges")
+    parts = materialise(connected_components(compare(first)), "linked")
     if frame.where(big).isEmpty():
-        return edges
-    parts = connected_components(edges)
+        return parts
     known = frame.where(big).join(parts, "node", "left").withColumn("_comp", F.coalesce("root", "node")).drop("root")
     known = materialise(known.select(key, "node", "m", "_comp"), "known")
     most = known.groupBy(key, "_comp", "m").agg(F.count("*").alias("n")).groupBy(key, "m").agg(F.max(F.struct("n", "_comp")).alias("most"))
     open_groups = most.where(F.col("most.n") < F.col("m")).select(key, F.col("most._comp").alias("largest"), F.ceil((F.col("m") - F.col("most.n")) / block).cast("int").alias("left_blocks"))
     pending = known.join(open_groups, key)
     if pending.isEmpty():
-        return edges
+        return parts
     all_rows = pending.select(key, "node", own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"))
     left = pending.where(F.col("_comp") != F.col("largest")).withColumn("i", F.pmod(F.xxhash64("node", F.lit("left")), F.col("left_blocks")).cast("int"))
     left_rows = left.select(key, "node", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"), "i")
     # one that stands on both sides of a place comes there once
     pairs = all_rows.unionByName(left_rows).distinct()
     carried_rows = frame.where(big).select(key, "node", *carried)
-    return edges.unionByName(compare(pairs.join(carried_rows, [key, "node"])))
+    return materialise(connected_components(_links(parts).unionByName(compare(pairs.join(carried_rows, [key, "node"])))), "linked")
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -185,7 +197,7 @@ def _candidates(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
     """(``node``, ``part``, ``m``): groups of classes whose sketches, step by step, may be linked."""
     ends = tree_nodes(kinds, p).join(kinds.select("node", "sketch"), "node")
     compare = lambda rows: _dealt(rows, "group", ["sketch"], _alike(p.compared), "u long, v long")
-    parts = materialise(connected_components(links_within(ends, "group", BUCKET_BLOCK, ["sketch"], compare)), "parts")
+    parts = linked_within(ends, "group", BUCKET_BLOCK, ["sketch"], compare)
     return parts.join(parts.groupBy("root").agg(F.count("*").alias("m")), "root").select("node", F.col("root").alias("part"), "m")
 
 
@@ -222,7 +234,7 @@ def near_duplicates(docs: DataFrame, p: ChosenPathParameters = ChosenPathParamet
     wanted = materialise(_candidates(kinds, p).join(kinds.select("node", "set_key", "first"), "node"), "wanted")
     sets = _with_sets(docs, wanted, p, id_col, text_col)
     compare = lambda rows: _links(_dealt(rows, "part", ["copies", "shingles"], _verify(p.compared), "node long, near long, classes long, root long"))
-    roots = connected_components(links_within(sets, "part", SET_BLOCK, ["copies", "shingles"], compare))
+    roots = linked_within(sets, "part", SET_BLOCK, ["copies", "shingles"], compare)
     linked = roots.join(kinds.select("node", "set_key", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     reached = linked.join(least, "root").select("set_key", F.struct("least").alias("reach"))

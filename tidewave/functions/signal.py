@@ -164,19 +164,30 @@ def butterworth_sections(order: int, cut: float | tuple[float, float], kind: str
     return [tuple(float(v) for v in s) for s in sections]
 
 
-def _section_array(x: np.ndarray, section: tuple[float, ...]) -> np.ndarray:
-    """One section (transposed direct form, zero start), in time linear in the length.
+def arrays_of(column) -> list[np.ndarray]:
+    """The samples of each row of an Arrow list column, as views of its values; null samples count as none."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def lists_of(rows: list[np.ndarray]):
+    """An Arrow list column of samples, without a Python number for each."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0), *rows])))
+
+
+def _section_run(x: np.ndarray, section: tuple[float, ...], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section (transposed direct form) from a state on, in time linear in the length: the output and the state behind it.
 
     The signal is cut into about sqrt(n) blocks. All blocks are filtered side by side from a zero state; then the state
-    is carried from block to block, and what it adds to each block is its free response.
+    is carried from block to block, and what it adds to each block is its free response. The rest is less than a block.
     """
     b0, b1, b2, a1, a2 = section
-    n = len(x)
-    size = max(1, int(np.sqrt(n)))
-    blocks = -(-n // size)
-    cut = np.zeros(size * blocks)
-    cut[:n] = x
-    cut = cut.reshape(blocks, size).T.copy()
+    size = max(1, int(np.sqrt(len(x))))
+    blocks = len(x) // size
+    cut = x[: size * blocks].reshape(blocks, size).T.copy()
     out = np.empty_like(cut)
     p, q = np.zeros(blocks), np.zeros(blocks)
     for t in range(size):
@@ -189,19 +200,37 @@ def _section_array(x: np.ndarray, section: tuple[float, ...]) -> np.ndarray:
     for t in range(size):
         free[t] = power[0]
         power = step @ power
-    state, states = np.zeros(2), np.empty((2, blocks))
+    states = np.empty((2, blocks))
     for k in range(blocks):
         states[:, k] = state
         state = power @ state + (p[k], q[k])
     out += free @ states
-    return out.T.ravel()[:n]
+    rest = np.empty(len(x) - size * blocks)
+    p, q = state
+    for t, v in enumerate(x[size * blocks :]):
+        y = rest[t] = b0 * v + p
+        p, q = b1 * v - a1 * y + q, b2 * v - a2 * y
+    return np.concatenate([out.T.ravel(), rest]), np.array([p, q])
+
+
+def filter_run(x: np.ndarray, sections, states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Causal filtering by second-order sections from ``states`` (sections by two, zeros by default): the output, and the states behind it."""
+    states = np.zeros((len(sections), 2)) if states is None else states
+    x, after = np.asarray(x, dtype=float), np.empty((len(sections), 2))
+    for k, section in enumerate(sections):
+        x, after[k] = _section_run(x, section, states[k])
+    return x, after
+
+
+def transition(sections) -> np.ndarray:
+    """The matrix by which one sample of silence moves the states of a filter, laid end to end."""
+    n = 2 * len(sections)
+    return np.stack([filter_run(np.zeros(1), sections, row.reshape(-1, 2))[1].ravel() for row in np.eye(n)], axis=1)
 
 
 def filter_array(x: np.ndarray, sections) -> np.ndarray:
     """Causal filtering by second-order sections from a zero start."""
-    for section in sections:
-        x = _section_array(np.asarray(x, dtype=float), section) if len(x) else x
-    return x
+    return filter_run(x, sections)[0] if len(x) else x
 
 
 def _each(df: DataFrame, kernel, id_col: str, column: str) -> DataFrame:
@@ -211,8 +240,7 @@ def _each(df: DataFrame, kernel, id_col: str, column: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [kernel(np.asarray(v or [], dtype=float)) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of([kernel(x) for x in arrays_of(batch.column(1))])], names=["id", "x"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).mapInArrow(run, "id long, x array<double>")
 
@@ -282,6 +310,13 @@ class StreamResampler:
         return np.empty(0) if self.origin == self.target else self._at(int(round(self.total * self.target / self.origin)))
 
 
+def resample_stretch(x: np.ndarray, base: int, origin: float, target: float, start: int, stop: int) -> np.ndarray:
+    """Samples [start, stop) of a signal at another rate, from its samples ``x``, the first of which is its ``base``-th; beyond ``x`` it is 0."""
+    stream = StreamResampler(origin, target)
+    stream.held, stream.base, stream.done = np.asarray(x, dtype=float), base, start
+    return stream._at(stop)
+
+
 def resample_array(x: np.ndarray, origin: float, target: float) -> np.ndarray:
     """A whole signal at another rate: round(n * target / origin) samples."""
     stream = StreamResampler(origin, target)

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .signal import arrays_of, lists_of
+
 STFT_SCHEMA = "id long, p int, re array<double>, im array<double>"
 POWER_SCHEMA = "id long, p int, power array<double>"
 
@@ -92,10 +94,10 @@ def map_rows(df: DataFrame, kernel, schema: str, id_col: str, column: str) -> Da
 
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            rows = [(i, *r) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in kernel(np.asarray(v or [], dtype=float))]
+            rows = [(i, *r) for i, x in zip(batch.column(0).to_pylist(), arrays_of(batch.column(1))) for r in kernel(x)]
             if rows:
-                kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.float64())] * (len(names) - 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                ids, places, *values = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), *map(lists_of, values)], names=names)
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).mapInArrow(run, schema)
 
@@ -134,6 +136,17 @@ def welch_segments(df: DataFrame, fft: Fft, noverlap: int | None = None, detrend
     ``noverlap`` defaults to the hop, halved where that is the whole window. ``detrend``: whether the mean of a segment
     is subtracted, ``"constant"`` or ``"linear"``, or a function of the segments (rows of an array).
     """
+    step, power = periodograms(fft, noverlap, detrend, scaling)
+
+    def kernel(x):
+        if len(x) >= fft.m:
+            yield from enumerate(power(np.lib.stride_tricks.sliding_window_view(x, fft.m)[::step]))
+
+    return map_rows(df, kernel, POWER_SCHEMA, id_col, column)
+
+
+def periodograms(fft: Fft, noverlap: int | None = None, detrend=True, scaling: str = "density"):
+    """From segment to segment, and the function that gives the one-sided periodogram of each row of segments."""
     kinds = {True: "constant", False: None}
     trend = detrend if callable(detrend) else kinds.get(detrend, detrend)
     if not callable(trend) and trend not in (None, "constant", "linear"):
@@ -149,10 +162,7 @@ def welch_segments(df: DataFrame, fft: Fft, noverlap: int | None = None, detrend
     if fft.nfft % 2 == 0:
         double[-1] = 1
 
-    def kernel(x):
-        if len(x) < fft.m:
-            return
-        frames = np.lib.stride_tricks.sliding_window_view(x, fft.m)[:: fft.m - lap]
+    def power(frames: np.ndarray) -> np.ndarray:
         if callable(trend):
             frames = trend(frames)
         elif trend:
@@ -160,9 +170,9 @@ def welch_segments(df: DataFrame, fft: Fft, noverlap: int | None = None, detrend
             if trend == "linear":
                 slope = np.arange(fft.m) - (fft.m - 1) / 2
                 frames = frames - np.outer(frames @ slope / max((slope**2).sum(), 1e-300), slope)
-        yield from enumerate(np.abs(np.fft.rfft(frames * w, fft.nfft)) ** 2 * norm * double)
+        return np.abs(np.fft.rfft(frames * w, fft.nfft)) ** 2 * norm * double
 
-    return map_rows(df, kernel, POWER_SCHEMA, id_col, column)
+    return fft.m - lap, power
 
 
 def median_bias(n: int) -> float:
@@ -171,6 +181,12 @@ def median_bias(n: int) -> float:
     return float(1 + (1 / (even + 1) - 1 / even).sum())
 
 
+def median_bias_of(n: Column) -> Column:
+    """``median_bias`` of a column."""
+    odd = F.sequence(F.lit(1), F.floor((n - 1) / 2))
+    return 1 + F.when(n > 2, F.aggregate(odd, F.lit(0.0), lambda s, i: s + 1 / (2 * i + 1) - 1 / (2 * i))).otherwise(0.0)
+
+
 def welch(df: DataFrame, fft: Fft, average: str = "mean", **options) -> DataFrame:
     """(id, k, frequency, px): the mean, or bias-corrected median, of the segments."""
     bins = long_form(welch_segments(df, fft, **options))
@@ -179,16 +195,14 @@ def welch(df: DataFrame, fft: Fft, average: str = "mean", **options) -> DataFram
         return bins.groupBy("id", "k").agg(F.avg("power").alias("px")).select("id", "k", frequency, "px")
     if average != "median":
         raise ValueError("average must be mean or median")
-    odd = F.sequence(F.lit(1), F.floor((F.col("n") - 1) / 2))
-    bias = 1 + F.when(F.col("n") > 2, F.aggregate(odd, F.lit(0.0), lambda s, i: s + 1 / (2 * i + 1) - 1 / (2 * i))).otherwise(0.0)
-    return bins.groupBy("id", "k").agg(F.median("power").alias("px"), F.count("*").alias("n")).select("id", "k", frequency, (F.col("px") / bias).alias("px"))
+    return bins.groupBy("id", "k").agg(F.median("power").alias("px"), F.count("*").alias("n")).select("id", "k", frequency, (F.col("px") / median_bias_of(F.col("n"))).alias("px"))
 
 
-def _ltas(x: np.ndarray, fft: Fft, bins: int) -> np.ndarray:
+def ltas_array(x: np.ndarray, fft: Fft, bins: int) -> np.ndarray:
     if fft.n_slices(len(x)) <= bins:
         return np.abs(stft_array(x, fft)) ** 2
     cuts = len(x) * np.arange(bins + 1) // bins
-    parts = [_ltas(x[a:b], fft, bins) for a, b in zip(cuts[:-1], cuts[1:])]
+    parts = [ltas_array(x[a:b], fft, bins) for a, b in zip(cuts[:-1], cuts[1:])]
     return np.array([p.mean(axis=0) if len(p) else np.zeros(len(fft.frequencies)) for p in parts])
 
 
@@ -197,7 +211,7 @@ def ltas(df: DataFrame, fft: Fft, bins: int = 1920, id_col: str = "id", column:
     whole = Fft(fft.win, fft.m, fft.fs, fft.mfft, fft.scale_to)
 
     def kernel(x):
-        yield from enumerate(_ltas(x, whole, bins))
+        yield from enumerate(ltas_array(x, whole, bins))
 
     return map_rows(df, kernel, POWER_SCHEMA, id_col, column)
 

@@ -490,4 +490,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from . import dataset_queries  # noqa: E402, F401  registers its queries
+from . import dataset_queries, long_queries  # noqa: E402, F401  they register their queries

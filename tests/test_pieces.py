@@ -127,6 +127,19 @@ def test_windows_in_pieces_equal_whole_windows(spark, files, rate, chunk):
     assert all(len(wanted[k]) == len(found[k]) and np.allclose(wanted[k], found[k], atol=1e-12) for k in wanted)
 
 
+@pytest.mark.parametrize("rate", [64.0, 50.0])
+def test_tables_in_pieces_equal_whole_windows(spark, rate):
+    rows = [(1, k, int(a * SECOND), int(z * SECOND), float(r), whole(k, int((z - a) * r)).tolist()) for k, a, z, r in [(1, 0, 2, 64), (2, 2, 3, 64), (3, 4, 6, 32), (4, 6, 6.5, 64)]]
+    own = spark.createDataFrame(rows, "key int, id long, begin_us long, end_us long, rate double, x array<double>")
+    windows = spark.createDataFrame([(1, 1, 0, 8 * SECOND), (1, 2, SECOND // 4, 5 * SECOND), (1, 3, 30 * SECOND, 31 * SECOND)], "key int, id long, begin_us long, end_us long")
+    chain = signals.Chain(rate=rate)
+    wanted = {(r["id"], r["channel"]): r["x"] for r in signals.signals_of_tables(windows, own, chain, ["key"], 2 * SECOND).collect()}
+    for chunk in (9, 1_000):
+        found = together(pieces.pieces_of_tables(windows, own, chain, ["key"], 2 * SECOND, chunk=chunk))
+        assert wanted.keys() == found.keys()
+        assert all(len(wanted[k]) == len(found[k]) and np.allclose(wanted[k], found[k], atol=1e-12) for k in wanted)
+
+
 def test_whole_chain_in_pieces(spark, files):
     """One window over all recordings, resampled, filtered, normalised and calibrated."""
     windows = spark.createDataFrame([(1, 1, 0, 12 * SECOND)], "key int, id long, begin_us long, end_us long")

@@ -63,6 +63,24 @@ def test_interval_join_counts_each_pair_once_and_keeps_borders_out(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_interval_join_of_mixed_durations(spark):
+    """One interval of a year among seconds: the rows it takes follow the levels, not the seconds."""
+    rng = random.Random(6)
+    second, year = 1_000_000, 365 * timeline.DAY_US
+    rows = [(0, year), (5 * second, 5 * second), (7, year // 3)] + [(b := rng.randrange(0, year), b + rng.choice([0, 1, second, 90 * second, 4_000 * second, timeline.DAY_US])) for _ in range(300)]
+    own = frame(spark, rows)
+    bucketed = timeline._buckets(own, own, second, "x").groupBy("id").count()
+    assert bucketed.agg({"count": "max"}).first()[0] <= 3 * 26
+    want = sorted((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if a[0] < b[1] and a[1] > b[0])
+    for width in (second, 3_600 * second):
+        got = timeline.interval_join(own, own, ["station"], width)
+        assert sorted(map(tuple, got.select("l_id", "r_id").collect())) == want
+        assert sorted(got.columns) == sorted(f"{s}_{c}" for s in "lr" for c in own.columns)
+    hit = {i for i, _ in want}
+    assert {r["id"] for r in timeline.interval_join(own, own, ["station"], second, "left_semi").collect()} == hit
+    assert {r["id"] for r in timeline.interval_join(own, own, ["station"], second, "left_anti").collect()} == set(range(len(rows))) - hit
+
+
 def test_gaps_and_islands(spark):
     own = frame(spark, [(0, 10), (10, 20), (30, 40)])
     assert [tuple(r) for r in timeline.fill_gaps(own, "station").select("begin_us", "end_us").collect()] == [(20, 30)]

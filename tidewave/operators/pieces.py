@@ -46,14 +46,11 @@ def _piece_batch(rows: list[tuple]):
 
 
 def _streams(items: DataFrame, rate: float) -> DataFrame:
-    """Items of files with the stream they belong to, in frames: consecutive items of one rate are one. Adds ``at`` and ``until`` (the stream's
-    frames in the window), ``offset`` and ``n`` (the item's frames in the stream), ``first`` (of its file), ``total`` (of the stream)."""
-    first = F.floor((F.col("begin_us") - F.col("file_us")) * F.col("rate") / 1_000_000)
-    stop = F.least(F.bround((F.col("end_us") - F.col("file_us")) * F.col("rate") / 1_000_000).cast("long"), F.col("frames"))
-    own = items.where(F.col("file").isNotNull()).withColumn("first", first).withColumn("n", F.greatest(stop - first, F.lit(0)))
+    """Items of files (with ``first`` and ``n``, frames of the file) and the stream they belong to: consecutive items of one rate are one. Adds
+    ``at`` and ``until`` (the stream's frames in the window), ``offset`` (of the item in the stream) and ``total`` (frames of the stream)."""
     order = W.partitionBy("id").orderBy("begin_us")
     joined = (F.lag("end_us").over(order) == F.col("begin_us")) & (F.lag("rate").over(order) == F.col("rate"))
-    own = own.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("begin_us")))
+    own = items.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), None).otherwise(F.col("begin_us")))
     own = own.withColumn("stream_us", F.last("_new", ignorenulls=True).over(order))
     stream = W.partitionBy("id", "stream_us")
     own = own.withColumn("offset", F.coalesce(F.sum("n").over(stream.orderBy("begin_us").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(stream))
@@ -65,33 +62,37 @@ def _streams(items: DataFrame, rate: float) -> DataFrame:
     return own.withColumn("until", F.min(until).over(stream)).drop("_new", "whole")
 
 
-def pieces_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: list[str], width_us: int, chunk: int = CHUNK) -> DataFrame:
-    """The samples of each window in pieces of ``chunk`` frames, as ``render`` gives them before it filters: channels picked, resampled, gaps as zeros.
+def _with_frames(items: DataFrame, origin: str, frames: Column) -> DataFrame:
+    """Items of files with their first frame (floor) and number of frames (up to the last, half to even)."""
+    first = F.floor((F.col("begin_us") - F.col(origin)) * F.col("rate") / 1_000_000)
+    stop = F.least(F.bround((F.col("end_us") - F.col(origin)) * F.col("rate") / 1_000_000).cast("long"), frames)
+    return items.where(F.col("file").isNotNull()).withColumn("first", first).withColumn("n", F.greatest(stop - first, F.lit(0)))
 
-    Each piece is read by seeking, where it is made: the frames of its stretch and those around it that resampling looks at, over the
-    borders of files. Only what describes files and pieces is shuffled. ``files``: the keys, id, begin_us, end_us (overlap-free), path, rate, frames.
-    """
-    rate = chain.rate or _one_rate(files)
-    items = window_items(windows, files, keys, width_us)
-    known = files.select(*keys, F.col("id").alias("file"), "path", F.col("rate").cast("double").alias("rate"), "frames")
-    own = _streams(items.join(known, [*keys, "file"], "left"), rate)
+
+FIELDS = ["at", "offset", "n", "first", "total", "until", "rate"]
+
+
+def _in_chunks(windows: DataFrame, own: DataFrame, rate: float, payload: str, samples: Callable, width: Callable, chunk: int) -> DataFrame:
+    """Pieces of ``chunk`` frames of each window from the items ``own`` of its streams. ``samples(row, p, q)`` gives frames [p, q) of the item in its
+    stream, by channels; ``width(any payload of the window, or None)`` the number of channels."""
     # what an item's frames reach to in the result, and a frame more for rounding
     pace = F.col("rate") / rate
     half = F.when(F.col("rate") == rate, 0).otherwise(F.ceil(16 / F.least(F.lit(1.0), rate / F.col("rate"))) + 1)
     low = F.greatest(F.col("at") + F.floor((F.col("offset") - half) / pace) - 1, F.col("at"))
     high = F.least(F.col("at") + F.ceil((F.col("offset") + F.col("n") + half) / pace) + 1, F.col("until"))
-    fields = ["at", "offset", "n", "first", "total", "until", "path", "rate"]
-    spans = own.select("id", low.alias("begin_us"), high.alias("end_us"), F.struct(*fields).alias("item")).where("end_us > begin_us")
+    spans = own.select("id", low.alias("begin_us"), high.alias("end_us"), *FIELDS, payload).where("end_us > begin_us")
     whole = F.bround((F.col("end_us") - F.col("begin_us")) * rate / 1_000_000).cast("long")
     grid = windows.select("id", whole.alias("whole")).where("whole > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / chunk))))
     grid = grid.select("id", (F.col("k") * chunk).alias("begin_us"), F.least((F.col("k") + 1) * chunk, F.col("whole")).alias("end_us"))
-    met = interval_join(grid, spans, ["id"], chunk).groupBy(F.col("l_id").alias("id"), F.col("l_begin_us").alias("begin_us")).agg(F.sort_array(F.collect_list("r_item")).alias("items"))
-    paths = own.groupBy("id").agg(F.min("path").alias("any_path"))
-    ready = grid.join(met, ["id", "begin_us"], "left").join(paths, "id", "left")
-
-    def rendered(begin: int, end: int, rows: list[dict], any_path: str | None) -> np.ndarray:
-        width = len(chain.channels) if chain.channels else backends.info(any_path).channels if any_path else 1
-        out = np.zeros((end - begin, width))
+    met = interval_join(grid, spans, ["id"], chunk).select(F.col("l_id").alias("id"), F.col("l_begin_us").alias("begin_us"), F.col("l_end_us").alias("end_us"), *[F.col(f"r_{c}").alias(c) for c in FIELDS], F.col(f"r_{payload}").alias(payload))
+    # each piece itself is a row before those of its items, with some payload of its window
+    kind = own.schema[payload].dataType
+    any_payload = own.groupBy("id").agg(F.min(payload).alias(payload)) if payload == "path" else own.select("id", F.lit(None).cast(kind).alias(payload)).distinct()
+    marks = grid.join(any_payload, "id", "left").select("id", "begin_us", "end_us", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in FIELDS], payload)
+    ready = marks.unionByName(met).repartition("id", "begin_us").sortWithinPartitions("id", "begin_us", F.col("at").asc_nulls_first(), "offset")
+
+    def rendered(begin: int, end: int, rows: list[dict], channels: int) -> np.ndarray:
+        out = np.zeros((end - begin, channels))
         for at in sorted({r["at"] for r in rows}):
             stream = [r for r in rows if r["at"] == at]
             start, stop = max(begin, at), min(end, stream[0]["until"])
@@ -101,25 +102,76 @@ def pieces_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: li
             reach = signal.StreamResampler(origin, rate).half if origin != rate else 0
             a = max(0, int((start - at) * (origin / rate)) - reach)
             z = min(total, int((stop - at) * (origin / rate)) + reach + 2)
-            x = np.zeros((max(0, z - a), width))
+            x = np.zeros((max(0, z - a), channels))
             for r in stream:
                 p, q = max(a, r["offset"]), min(z, r["offset"] + r["n"])
                 if p < q:
-                    own_frames = chain.pick(backends.read(r["path"], r["first"] + p - r["offset"], r["first"] + q - r["offset"]))
-                    if own_frames.shape[1] != width:
+                    frames = samples(r, p, q)
+                    if frames.shape[1] != channels:
                         raise ValueError("files of several numbers of channels need a choice of channels")
-                    x[p - a : q - a] = own_frames
-            for c in range(width):
+                    x[p - a : q - a] = frames
+            for c in range(channels):
                 out[start - begin : stop - begin, c] = x[start - at - a : stop - at - a, c] if origin == rate else signal.resample_stretch(x[:, c], a, origin, rate, start - at, stop - at)
         return out
 
     def run(batches):
+        piece, rows = None, []
+
+        def made():
+            x = rendered(piece["begin_us"], piece["end_us"], rows, width(piece[payload]))
+            return _piece_batch([(piece["id"], piece["begin_us"], c, x[:, c]) for c in range(x.shape[1])])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                x = rendered(row["begin_us"], row["end_us"], row["items"] or [], row["any_path"])
-                yield _piece_batch([(row["id"], row["begin_us"], c, x[:, c]) for c in range(x.shape[1])])
+            columns = [batch.column(c).to_pylist() if c != "x" else arrays_of(batch.column(c)) for c in batch.schema.names]
+            for row in (dict(zip(batch.schema.names, values)) for values in zip(*columns)):
+                if row["at"] is not None:
+                    rows.append(row)
+                    continue
+                if piece:
+                    yield made()
+                piece, rows = row, []
+        if piece:
+            yield made()
+
+    return ready.mapInArrow(backends.travelling(run), PIECES)
+
+
+def pieces_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: list[str], width_us: int, chunk: int = CHUNK) -> DataFrame:
+    """The samples of each window in pieces of ``chunk`` frames, as ``render`` gives them before it filters: channels picked, resampled, gaps as zeros.
+
+    Each piece is read by seeking, where it is made: the frames of its stretch and those around it that resampling looks at, over the
+    borders of files. Only what describes files and pieces is shuffled. ``files``: the keys, id, begin_us, end_us (overlap-free), path, rate, frames.
+    """
+    rate = chain.rate or _one_rate(files)
+    known = files.select(*keys, F.col("id").alias("file"), "path", F.col("rate").cast("double").alias("rate"), "frames")
+    items = window_items(windows, files, keys, width_us).join(known, [*keys, "file"], "left")
+    own = _streams(_with_frames(items, "file_us", F.col("frames")), rate)
+
+    def samples(r: dict, p: int, q: int) -> np.ndarray:
+        return chain.pick(backends.read(r["path"], r["first"] + p - r["offset"], r["first"] + q - r["offset"]))
+
+    def width(path: str | None) -> int:
+        return len(chain.channels) if chain.channels else backends.info(path).channels if path else 1
+
+    return _in_chunks(windows, own, rate, "path", samples, width, chunk)
+
+
+def pieces_of_tables(windows: DataFrame, recordings: DataFrame, chain: Chain, keys: list[str], width_us: int, spans: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The same from a table of recordings of one channel, as ``signals_of_tables`` takes it. Recordings are cut before they are dealt, so
+    that a task holds stretches of them only."""
+    rate = chain.rate or _one_rate(recordings)
+    known = recordings.select(*keys, F.col("id").alias("file"), F.col("begin_us").alias("whole_us"), F.col("rate").cast("double").alias("rate"), F.size("x").cast("long").alias("frames"))
+    items = window_items(windows, recordings if spans is None else spans, keys, width_us).join(known, [*keys, "file"])
+    placed_items = _streams(_with_frames(items, "whole_us", F.col("frames")), rate).select(*keys, "file", "id", *FIELDS)
+    parts = placed_items.join(recordings.select(*keys, F.col("id").alias("file"), "x"), [*keys, "file"]).where("n > 0")
+    parts = parts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))))
+    size = F.least(F.lit(chunk), F.col("n") - F.col("_k") * chunk)
+    cut = parts.withColumn("x", F.slice("x", (F.col("first") + F.col("_k") * chunk + 1).cast("int"), size.cast("int"))).withColumn("offset", F.col("offset") + F.col("_k") * chunk).withColumn("n", size)
+
+    def samples(r: dict, p: int, q: int) -> np.ndarray:
+        return chain.pick(r["x"][p - r["offset"] : q - r["offset"]][:, None])
 
-    return ready.repartition("id", "begin_us").mapInArrow(backends.travelling(run), PIECES)
+    return _in_chunks(windows, cut, rate, "x", samples, lambda _: len(chain.channels) if chain.channels else 1, chunk)
 
 
 def _one_rate(files: DataFrame) -> float:
@@ -246,9 +298,12 @@ def chain_pieces(pieces: DataFrame, chain: Chain) -> DataFrame:
     return normalize_pieces(pieces, chain.normalization, chain.instrument.pressure_per_unit if chain.instrument else 1.0)
 
 
-def signals_in_pieces(windows: DataFrame, files: DataFrame, chain: Chain, keys: list[str], width_us: int, chunk: int = CHUNK) -> DataFrame:
-    """What ``signals_of_files`` gives, in pieces: windows of any length through the whole chain."""
-    pieces = pieces_of_files(windows, files, chain, keys, width_us, chunk)
+def signals_in_pieces(windows: DataFrame, files: DataFrame, chain: Chain, keys: list[str], width_us: int, chunk: int = CHUNK, spans: DataFrame | None = None) -> DataFrame:
+    """What ``signals_of_files`` gives, or of a table with samples ``signals_of_tables``, in pieces: windows of any length through the whole chain."""
+    if "path" in files.columns:
+        pieces = pieces_of_files(windows, files, chain, keys, width_us, chunk)
+    else:
+        pieces = pieces_of_tables(windows, files, chain, keys, width_us, spans, chunk)
     steps = bool(chain.sections) + (chain.normalization != signal.RAW)
     # several passes read the pieces again; written once, they are resampled once
     return chain_pieces(written(pieces, "pieces") if steps else pieces, chain)

@@ -17,34 +17,52 @@ def overlaps(a_begin: Column, a_end: Column, b_begin: Column, b_end: Column) ->
     return (a_begin < b_end) & (a_end > b_begin)
 
 
-def _buckets(df: DataFrame, width_us: int, name: str) -> DataFrame:
-    first = F.floor(F.col("begin_us") / width_us)
-    last = F.greatest(first, F.floor((F.col("end_us") - 1) / width_us))
-    return df.withColumn(f"{name}_first", first).withColumn("bucket", F.explode(F.sequence(first, last)))
+def _levels(df: DataFrame, width_us: int) -> DataFrame:
+    """Adds ``_level``, the least one whose buckets (``width_us`` times a power of two) are as long as the interval."""
+    span = F.col("end_us") - F.col("begin_us")
+    return df.withColumn("_level", F.when(span > width_us, F.ceil(F.log2(span / width_us))).otherwise(0).cast("int"))
+
+
+def _buckets(df: DataFrame, other: DataFrame, width_us: int, side: str) -> DataFrame:
+    """Rows of ``df`` by the buckets in which they may meet rows of ``other``: at their own level, and at the longer ones that occur there. An interval
+    lies in two buckets of a level at most (three, if rounding put it a level too low)."""
+    # at most as many rows as a duration has bits
+    present = F.broadcast(_levels(other, width_us).select(F.col("_level").alias("_at")).distinct())
+    own = _levels(df, width_us)
+    own = own.withColumn("_other", F.lit(False)).withColumn("_at", F.col("_level")).unionByName(own.withColumn("_other", F.lit(True)).join(present, F.col("_level") < F.col("_at")))
+    size = F.expr("shiftleft(1L, _at)") * F.lit(width_us)
+    first = F.floor(F.col("begin_us") / size)
+    last = F.greatest(first, F.floor((F.col("end_us") - 1) / size))
+    return own.withColumn(f"_first_{side}", first).withColumn("_bucket", F.explode(F.sequence(first, last))).withColumnsRenamed({"_other": f"_longer_{side}"}).drop("_level")
+
+
+def _meet() -> Column:
+    """Rows of a level and bucket, one of which has this level itself."""
+    return (F.col("x._at") == F.col("y._at")) & (F.col("x._bucket") == F.col("y._bucket")) & ~(F.col("x._longer_x") & F.col("y._longer_y"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width_us: int, how: str = "inner") -> DataFrame:
     """Pairs of overlapping intervals with equal ``keys``; columns of the sides get the prefixes l_ and r_.
 
-    Both sides are dealt into buckets of ``width_us`` (about the 95th percentile of the durations), so
-    the join is an equi-join that Spark can hash, sort or split by skew; a pair that shares
-    several buckets counts in the later of the two first ones. ``how``: inner, left_semi or left_anti.
+    Each interval lies in buckets of about its own length, from ``width_us`` (about the 95th percentile of the durations) upwards by
+    powers of two, and the shorter of a pair is looked up in the longer one's; so a long interval costs a few rows, not one for each short
+    bucket, and the join is an equi-join that Spark can hash, sort or split by skew. A pair that shares
+    two buckets counts in the later of the two first ones. ``how``: inner, left_semi or left_anti.
     The semi and anti forms need a column ``id`` on the left, which with the keys names its rows.
     """
-    lhs = _buckets(left.select([F.col(c).alias(c) for c in left.columns]), width_us, "l")
-    rhs = _buckets(right, width_us, "r")
-    lhs = lhs.select([F.col(c).alias(c if c == "bucket" else c if c == "l_first" else f"l_{c}") for c in lhs.columns])
-    rhs = rhs.select([F.col(c).alias(c if c in ("bucket", "r_first") else f"r_{c}") for c in rhs.columns])
-    same = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]
-    on = F.col("x.bucket") == F.col("y.bucket")
-    for s in same:
-        on = on & s
+    own = ("_at", "_bucket")
+    lhs, rhs = _buckets(left, right, width_us, "x"), _buckets(right, left, width_us, "y")
+    lhs = lhs.select([F.col(c).alias(c if c in (*own, "_first_x", "_longer_x") else f"l_{c}") for c in lhs.columns]).alias("x")
+    rhs = rhs.select([F.col(c).alias(c if c in (*own, "_first_y", "_longer_y") else f"r_{c}") for c in rhs.columns]).alias("y")
+    on = _meet()
+    for k in keys:
+        on = on & (F.col(f"l_{k}") == F.col(f"r_{k}"))
     on = on & overlaps(F.col("l_begin_us"), F.col("l_end_us"), F.col("r_begin_us"), F.col("r_end_us"))
     if how == "inner":
-        on = on & (F.col("x.bucket") == F.greatest("l_first", "r_first"))
-        return lhs.alias("x").join(rhs.alias("y"), on).drop("bucket", "l_first", "r_first")
+        on = on & (F.col("x._bucket") == F.greatest("_first_x", "_first_y"))
+        return lhs.join(rhs, on).drop(*own, "_first_x", "_first_y", "_longer_x", "_longer_y")
     names = [*keys, *([] if "id" in keys else ["id"])]
-    hit = lhs.alias("x").join(rhs.alias("y"), on, "left_semi").select(*[F.col(f"l_{c}").alias(c) for c in names]).distinct()
+    hit = lhs.join(rhs, on, "left_semi").select(*[F.col(f"l_{c}").alias(c) for c in names]).distinct()
     return left.join(hit, names, how)
 
 
@@ -122,9 +140,9 @@ def populated(windows: DataFrame, items: DataFrame, keys: list[str], width_us: i
     aggregation puts the buckets of a window together.
     """
     names = [*keys, "begin_us", "end_us"]
-    lhs = _buckets(windows.select(names), width_us, "l").alias("x")
-    rhs = _buckets(items.select(names), width_us, "r").alias("y")
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.bucket") == F.greatest("l_first", "r_first"))
+    lhs = _buckets(windows.select(names), items.select(names), width_us, "x").alias("x")
+    rhs = _buckets(items.select(names), windows.select(names), width_us, "y").alias("y")
+    on = _meet() & (F.col("x._bucket") == F.greatest("_first_x", "_first_y"))
     for k in keys:
         on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
     on = on & overlaps(F.col("x.begin_us"), F.col("x.end_us"), F.col("y.begin_us"), F.col("y.end_us"))

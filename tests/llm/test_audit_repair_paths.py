@@ -6,6 +6,7 @@ import itertools
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -226,22 +227,18 @@ def test_near_dedup_finds_links_at_the_threshold(spark):
         assert collections.Counter(map(tuple, found)) == _components(rows)
 
 
-def test_large_groups_are_linked_in_blocks(spark):
-    """A group beyond a block: links that no pivot has are found by the members outside the largest component."""
+@pytest.mark.parametrize("disjoint", [False, True])
+def test_large_groups_are_linked_in_blocks(spark, disjoint):
+    """A group beyond a block: links that no pivot has are found by the members outside the first pivot's component."""
     block, m = 8, 120
-    values = [k if k < 100 else 1000 + 10 * k for k in range(m)]
-    values[110] = values[109] + 1  # hangs on one other alone
-    frame = spark.createDataFrame([(5, k, m, v) for k, v in enumerate(values)], "key long, node long, m long, value long")
-
-    def compare(rows):
-        a, b = rows.alias("a"), rows.alias("b")
-        met = a.join(b, ["key", "i", "j"]).where((F.abs(F.col("a.value") - F.col("b.value")) <= 1) & (F.col("a.node") > F.col("b.node")))
-        return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
-    roots = {r["node"]: r["root"] for r in near_dedup.linked_within(frame, "key", block, ["value"], compare).collect()}
-    wanted = [min(j for j in range(m) if j == k or (k < 100 and j < 100)) for k in range(m)]
-    wanted[110] = 109
-    assert [roots.get(k, k) for k in range(m)] == wanted
+    sets = [[*range(100), 1000 + k] for k in range(100)] + [[10_000 * k + j for j in range(50)] for k in range(100, m)]
+    sets[110] = [*sets[109][:-1], 7]  # hangs on one other alone
+    rows = [(5, k, m, np.array(sorted(x), dtype=np.uint64).tobytes()) for k, x in enumerate(sets)] + [(6, 500 + k, 2, np.array([1, 2], dtype=np.uint64).tobytes()) for k in range(2)]
+    frame = spark.createDataFrame(rows, "key long, node long, m long, shingles binary")
+    found = near_dedup.linked_within(frame, block, near_dedup._forests(near_dedup.ChosenPathParameters(), "shingles"), "shingles", disjoint)
+    roots = {r["node"]: r["root"] for r in found.collect()}
+    wanted = {k: 0 for k in range(100)} | {k: k for k in range(100, m)} | {110: 109, 500: 500, 501: 500}
+    assert {k: roots.get(k, k) for k in wanted} == wanted
 
 
 def test_trees_reach_the_target():

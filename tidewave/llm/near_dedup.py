@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import ceil, log
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ._components import connected_components
 from ._shared import drop_materialised, materialise, table
 from ._text import WordHashes, steps
-from .jaccard_join import BROADCAST_ROWS, BUCKET_BLOCK, SET_BLOCK, ForestParameters, _alike, _verify, shingles, signatures
+from .jaccard_join import BROADCAST_ROWS, BUCKET_BLOCK, SET_BLOCK, ForestParameters, _forest, _groups, _shared_counts, shingles, signatures
 
 SLOTS = 256
 #: Members of a large group that stand in each of its blocks, about.
@@ -77,8 +78,6 @@ class AsciiWords(WordHashes):
     """Words parted by ASCII white space, with A-Z lower-cased and no other character changed."""
 
     def of(self, texts: list[str]):
-        import numpy as np
-
         words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         flat = np.fromiter((self[w] for ws in words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
@@ -87,7 +86,6 @@ class AsciiWords(WordHashes):
 
 def _sign(p: ChosenPathParameters):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         hashes = AsciiWords()
@@ -151,54 +149,94 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
     return reduce(DataFrame.unionByName, ends).distinct()
 
 
-def _dealt(frame: DataFrame, key: str, carried: list[str], kernel, schema: str) -> DataFrame:
-    """Runs a comparison of all rows in each (key, i, j)."""
-    ready = frame.select(key, "i", "j", F.col("node").alias("own"), "node", *carried).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
-    return ready.mapInArrow(kernel, schema)
+def _forests(p: ChosenPathParameters, payload: str):
+    """(key, i, node, root) of the members of each (key, i, j): the root is the least node that links inside it reach. Of groups that lie in one place
+    only members with another root are told."""
+    least = int(np.ceil(p.compared.screen * SLOTS))
+
+    def roots_of_sketches(rows) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+
+    def linked(rows, a: int, b: int, sketches: np.ndarray | None) -> np.ndarray:
+        if sketches is not None:
+            own = sketches[a:b]
+            return _forest(lambda i, others: (own[others] == own[i]).sum(axis=1) >= least, b - a)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column(payload).slice(a, b - a).to_pylist()]
+        sizes, shared = np.array([len(x) for x in sets]), _shared_counts(sets)
+        link = shared >= p.threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+        return _forest(lambda i, others: link[i, others], b - a)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows, cuts in _groups(batches, 3):
+            nodes, whole = rows.column("node").to_numpy(), rows.column("whole").to_numpy()
+            root = np.arange(len(nodes))
+            sketches = roots_of_sketches(rows) if payload == "sketch" else None
+            ends = np.append(cuts[cuts < len(nodes)], len(nodes))
+            sizes = np.diff(ends)
+            if sketches is not None:
+                # pairs, most of all groups, at once
+                twos = ends[:-1][sizes == 2]
+                alike = (sketches[twos] == sketches[twos + 1]).sum(axis=1) >= least
+                root[twos[alike] + 1] = twos[alike]
+            for a, size in zip(ends[:-1].tolist(), sizes.tolist()):
+                if size > 2 or size == 2 and sketches is None:
+                    root[a : a + size] = a + linked(rows, a, a + size, sketches)
+            told = np.flatnonzero(~whole | (root != np.arange(len(nodes))))
+            key, i = (rows.column(k).to_numpy()[told] for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i, pa.int32()), pa.array(nodes[told]), pa.array(nodes[root[told]])], names=["key", "i", "node", "root"])
+
+    return run
 
 
-def linked_within(frame: DataFrame, key: str, block: int, carried: list[str], compare) -> DataFrame:
-    """(``node``, ``root``) of the members (``node``) of groups (``key``, of ``m`` members) that ``compare`` links to others of their group, by
-    a chain of links or at once; the root is the least node that links reach.
+def linked_within(frame: DataFrame, block: int, kernel, payload: str, disjoint: bool) -> DataFrame:
+    """(``node``, ``root``) of the members (``node``) of groups (``key``, of ``m`` members) that links inside their groups join to others; the root
+    is the least node that links reach. ``kernel``: as ``_forests``. ``disjoint``: no node is in two groups.
 
-    A group of up to ``block`` members is compared in one place. A larger one is dealt to blocks, each with the group's pivots; then
-    the members outside the group's largest component so far, if any, meet all its blocks. A group whose
+    A group of up to ``block`` members is compared in one place. A larger one is dealt to blocks, each with the group's pivots; those joined to
+    the first pivot are one component, and the members outside it, if any, meet all blocks of the group. A group whose
     members are alike thus moves a number of rows in proportion to its members.
     """
     n = F.ceil(F.col("m") / block).cast("int")
     big = F.col("m") > block
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     pivot = big & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.ceil(F.col("m") / PIVOTS)) == 0)
-    first = frame.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own)))).withColumn("j", F.col("i"))
-    parts = materialise(connected_components(compare(first)), "linked")
-    if frame.where(big).isEmpty():
-        return parts
-    known = frame.where(big).join(parts, "node", "left").withColumn("_comp", F.coalesce("root", "node")).drop("root")
-    known = materialise(known.select(key, "node", "m", "_comp"), "known")
-    most = known.groupBy(key, "_comp", "m").agg(F.count("*").alias("n")).groupBy(key, "m").agg(F.max(F.struct("n", "_comp")).alias("most"))
-    open_groups = most.where(F.col("most.n") < F.col("m")).select(key, F.col("most._comp").alias("largest"), F.ceil((F.col("m") - F.col("most.n")) / block).cast("int").alias("left_blocks"))
-    pending = known.join(open_groups, key)
-    if pending.isEmpty():
-        return parts
-    all_rows = pending.select(key, "node", own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"))
-    left = pending.where(F.col("_comp") != F.col("largest")).withColumn("i", F.pmod(F.xxhash64("node", F.lit("left")), F.col("left_blocks")).cast("int"))
-    left_rows = left.select(key, "node", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"), "i")
-    # one that stands on both sides of a place comes there once
-    pairs = all_rows.unionByName(left_rows).distinct()
-    carried_rows = frame.where(big).select(key, "node", *carried)
-    return materialise(connected_components(_links(parts).unionByName(compare(pairs.join(carried_rows, [key, "node"])))), "linked")
-
 
-def _links(found: DataFrame) -> DataFrame:
-    return found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    def compared(rows: DataFrame) -> DataFrame:
+        ready = rows.select("key", "i", "j", "whole", "node", payload).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        return ready.mapInArrow(kernel, "key long, i int, node long, root long")
+
+    first = frame.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))))
+    found = materialise(compared(first.withColumn("j", F.lit(0)).withColumn("whole", ~big)), "found")
+    edges = found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    large = materialise(frame.where(big).select("key", "node", "m", pivot.alias("pivot")), "large")
+    if large.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root")) if disjoint else connected_components(edges)
+    groups = large.groupBy("key", "m").agg(F.min(F.when(F.col("pivot"), F.col("node"))).alias("pivot"))
+    blocks = found.join(groups.select("key", "pivot"), "key")
+    main = blocks.where("node = pivot").select("key", "i", F.col("root").alias("main"))
+    inside = blocks.join(main, ["key", "i"], "left").groupBy("key", "node").agg(F.max(F.coalesce(F.col("root") == F.col("main"), F.lit(False))).alias("inside"))
+    left = materialise(inside.where(~F.col("inside")).select("key", "node"), "left")
+    counted = left.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("left_blocks")).join(groups.select("key", "m"), "key")
+    all_rows = large.select("key", "node").join(counted, "key").select("key", "node", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), own.alias("j"))
+    left_rows = left.join(counted, "key").select("key", "node", F.pmod(F.xxhash64("node", F.lit("left")), F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    # one that stands on both sides of a place comes there once
+    pairs = all_rows.unionByName(left_rows).distinct().withColumn("whole", F.lit(True)).join(frame.where(big).select("key", "node", payload), ["key", "node"])
+    more = compared(pairs).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if not disjoint:
+        return connected_components(edges.unionByName(more))
+    # a group in one place is known already
+    placed = found.join(groups.select("key"), "key", "left_anti").select("node", "root")
+    rest = found.where("node <> root").join(groups.select("key"), "key", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return placed.unionByName(connected_components(rest.unionByName(more)))
 
 
 def _candidates(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
-    """(``node``, ``part``, ``m``): groups of classes whose sketches, step by step, may be linked."""
-    ends = tree_nodes(kinds, p).join(kinds.select("node", "sketch"), "node")
-    compare = lambda rows: _dealt(rows, "group", ["sketch"], _alike(p.compared), "u long, v long")
-    parts = linked_within(ends, "group", BUCKET_BLOCK, ["sketch"], compare)
-    return parts.join(parts.groupBy("root").agg(F.count("*").alias("m")), "root").select("node", F.col("root").alias("part"), "m")
+    """(``node``, ``key``, ``m``): groups of classes whose sketches, step by step, may be linked."""
+    ends = tree_nodes(kinds, p).join(kinds.select("node", "sketch"), "node").withColumnRenamed("group", "key")
+    parts = materialise(linked_within(ends, BUCKET_BLOCK, _forests(p, "sketch"), "sketch", disjoint=False), "parts")
+    return parts.join(parts.groupBy("root").agg(F.count("*").alias("m")), "root").select("node", F.col("root").alias("key"), "m")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, p: ChosenPathParameters, id_col: str, text_col: str) -> DataFrame:
@@ -217,7 +255,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, p: ChosenPathParameters, id_c
     rows = docs.select(_place(id_col).alias("place"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = rows.join(F.broadcast(named) if few else named, ["place", "text_hash"], "left_semi").select("place", "text")
     sets = found.mapInArrow(to_sets, "set_key binary, shingles binary").groupBy("set_key").agg(F.min("shingles").alias("shingles"))
-    return materialise(wanted.join(sets, "set_key").select("node", "part", "m", F.lit(1).cast("long").alias("copies"), "shingles"), "sets")
+    return materialise(wanted.join(sets, "set_key").select("node", "key", "m", "shingles"), "sets")
 
 
 def near_duplicates(docs: DataFrame, p: ChosenPathParameters = ChosenPathParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +271,9 @@ def near_duplicates(docs: DataFrame, p: ChosenPathParameters = ChosenPathParamet
     members, kinds = classes(docs, p, id_col, text_col)
     wanted = materialise(_candidates(kinds, p).join(kinds.select("node", "set_key", "first"), "node"), "wanted")
     sets = _with_sets(docs, wanted, p, id_col, text_col)
-    compare = lambda rows: _links(_dealt(rows, "part", ["copies", "shingles"], _verify(p.compared), "node long, near long, classes long, root long"))
-    roots = linked_within(sets, "part", SET_BLOCK, ["copies", "shingles"], compare)
+    roots = linked_within(sets, SET_BLOCK, _forests(p, "shingles"), "shingles", disjoint=True)
+    # the least node of a component is among its members as well
+    roots = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "roots")
     linked = roots.join(kinds.select("node", "set_key", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     reached = linked.join(least, "root").select("set_key", F.struct("least").alias("reach"))

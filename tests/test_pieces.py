@@ -162,3 +162,33 @@ def test_nothing_in_pieces(spark):
     fft = spectral.Fft(tuple(spectral.hamming(16)), 8, RATE)
     for frame in (pieces.filter_pieces(none, SECTIONS), pieces.normalize_pieces(none, signal.ZSCORE), pieces.stft_pieces(none, fft), pieces.welch_pieces(none, fft), pieces.ltas_pieces(none, fft)):
         assert frame.count() == 0
+
+
+@pytest.mark.parametrize("bins", [None, 6])
+def test_project_over_all_recordings(spark, tmp_path, bins):
+    """Mode whole keeps samples in pieces; what it gives is what one array gives, and its audio is a source of its own."""
+    from tidewave.plans.project import Output, Project, Transform
+
+    rows = [(1, k, int(a * SECOND), int(z * SECOND), whole(k, int((z - a) * RATE)).tolist()) for k, a, z in [(1, 0, 20), (2, 20, 31), (3, 33, 40)]]
+    x = np.concatenate([whole(1, 20 * 64), whole(2, 11 * 64), np.zeros(2 * 64), whole(3, 7 * 64)])
+    x = signal.normalize_array(signal.filter_array(x, signal.butterworth_sections(2, 8.0, "lowpass", RATE)), signal.ZSCORE)
+    project = Project(spark, f"file://{tmp_path}/p")
+    project.build(spark.createDataFrame(rows, "key long, id long, begin_us long, end_us long, x array<double>"))
+    fft = {"win": spectral.hamming(32).tolist(), "hop": 32 if bins else 16, "fs": RATE}
+    kinds = Output.AUDIO | Output.SPECTRUM | Output.WELCH
+    project.run(Transform("all", kinds, mode="whole", normalization=signal.ZSCORE, butterworth={"order": 2, "cut": 8.0, "kind": "lowpass"}, fft=fft, nb_ltas_time_bins=bins))
+    audio = project.load("all_audio")
+    assert np.allclose(next(iter(together(audio).values())), x, atol=1e-9) and {r["rate"] for r in audio.select("rate").distinct().collect()} == {RATE}
+    spec = spectral.Fft(tuple(fft["win"]), fft["hop"], RATE)
+    wanted = spectral.ltas_array(x, spec, bins) if bins else np.abs(spectral.stft_array(x, spec)) ** 2
+    found = sorted((r["time_us"], r["power"]) for r in project.load("all_spectrum").collect())
+    assert np.allclose([r[1] for r in found], wanted, rtol=1e-7, atol=1e-12) and found[0][0] == 0
+    px = {r["k"]: r["px"] for r in project.load("all_welch").collect()}
+    one = spark.createDataFrame([(1, x.tolist())], "id long, x array<double>")
+    assert np.allclose([px[k] for k in sorted(px)], [r["px"] for r in spectral.welch(one, spec).orderBy("k").collect()], rtol=1e-7)
+    source = project.recordings("all_audio")
+    assert (min(r["begin_us"] for r in source.collect()), max(r["end_us"] for r in source.collect())) == (0, 40 * SECOND)
+    project.run(Transform("cut", Output.AUDIO, mode="timedelta_total", duration_us=10 * SECOND), source="all_audio")
+    begins = {r["id"]: r["begin_us"] for r in project.load("cut_windows").collect()}
+    cut_up = {begins[r["id"]]: r["x"] for r in project.load("cut_audio").collect()}
+    assert np.allclose(np.concatenate([cut_up[b] for b in sorted(cut_up)]), x, atol=1e-9)

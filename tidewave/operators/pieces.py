@@ -142,7 +142,7 @@ def pieces_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: li
     Each piece is read by seeking, where it is made: the frames of its stretch and those around it that resampling looks at, over the
     borders of files. Only what describes files and pieces is shuffled. ``files``: the keys, id, begin_us, end_us (overlap-free), path, rate, frames.
     """
-    rate = chain.rate or _one_rate(files)
+    rate = chain.rate or one_rate(files)
     known = files.select(*keys, F.col("id").alias("file"), "path", F.col("rate").cast("double").alias("rate"), "frames")
     items = window_items(windows, files, keys, width_us).join(known, [*keys, "file"], "left")
     own = _streams(_with_frames(items, "file_us", F.col("frames")), rate)
@@ -159,7 +159,7 @@ def pieces_of_files(windows: DataFrame, files: DataFrame, chain: Chain, keys: li
 def pieces_of_tables(windows: DataFrame, recordings: DataFrame, chain: Chain, keys: list[str], width_us: int, spans: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """The same from a table of recordings of one channel, as ``signals_of_tables`` takes it. Recordings are cut before they are dealt, so
     that a task holds stretches of them only."""
-    rate = chain.rate or _one_rate(recordings)
+    rate = chain.rate or one_rate(recordings)
     known = recordings.select(*keys, F.col("id").alias("file"), F.col("begin_us").alias("whole_us"), F.col("rate").cast("double").alias("rate"), F.size("x").cast("long").alias("frames"))
     items = window_items(windows, recordings if spans is None else spans, keys, width_us).join(known, [*keys, "file"])
     placed_items = _streams(_with_frames(items, "whole_us", F.col("frames")), rate).select(*keys, "file", "id", *FIELDS)
@@ -174,7 +174,7 @@ def pieces_of_tables(windows: DataFrame, recordings: DataFrame, chain: Chain, ke
     return _in_chunks(windows, cut, rate, "x", samples, lambda _: len(chain.channels) if chain.channels else 1, chunk)
 
 
-def _one_rate(files: DataFrame) -> float:
+def one_rate(files: DataFrame) -> float:
     rates = [r["rate"] for r in files.select("rate").distinct().limit(2).collect()]
     if len(rates) > 1:
         raise ValueError("files of several rates need a rate")

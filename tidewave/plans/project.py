@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal, spectral
 from ..functions.text import within
-from ..operators import datasets, segments
+from ..operators import datasets, pieces, segments
 from ..operators.signals import Chain, signals_of_files, signals_of_tables
 from ..sources import spectra, wav
 from .describe import spectrum_of
@@ -104,27 +104,46 @@ def windows_of(own: DataFrame, t: Transform) -> DataFrame:
     return windows.withColumn("id", F.xxhash64("key", "begin_us", "end_us"))
 
 
-def signals_of(own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
-    """(id, channel, rate, x): the samples of each window, joined from the recordings without their overlaps through the
-    read chain; what none covers is 0. ``own``: key, id, begin_us, end_us, and x (samples) or path, rate and frames."""
-    chain = t.chain()
+def _sources_of(own: DataFrame, windows: DataFrame, t: Transform) -> tuple[DataFrame, DataFrame, int]:
+    """Recordings with their rate, their stretches without overlaps (of files, with path, rate and frames), and a width for joins with windows."""
     derived = F.round((F.col("frames") if "path" in own.columns else F.size("x")) * 1_000_000 / (F.col("end_us") - F.col("begin_us")), 6)
     own = own.where(F.col("end_us") > F.col("begin_us")).withColumn("rate", F.coalesce(F.col("rate").cast("double"), derived) if "rate" in own.columns else derived)
-    if chain.rate is None:
+    if t.chain().rate is None:
         datasets.require_one(own, "rate")
-    kept = windows if t.mode == "files" else segments.windows_files(own.select("key", "id", "begin_us", "end_us"), "key")
+    spans = windows if t.mode == "files" else segments.windows_files(own.select("key", "id", "begin_us", "end_us"), "key")
+    # of one window over all, the recordings are what the join's buckets should fit
     width = own.agg(F.coalesce(F.max(F.col("end_us") - F.col("begin_us")), F.lit(1))).first()[0] if t.mode in ("files", "whole") else t.duration_us
     if "path" in own.columns:
-        spans = kept.select("key", "id", "begin_us", "end_us").join(own.select("key", "id", F.col("begin_us").alias("whole_us"), "path", "rate", "frames"), ["key", "id"])
-        return signals_of_files(windows, spans, chain, ["key"], width)
-    return signals_of_tables(windows, own, chain, ["key"], width, kept)
+        spans = spans.select("key", "id", "begin_us", "end_us").join(own.select("key", "id", F.col("begin_us").alias("whole_us"), "path", "rate", "frames"), ["key", "id"])
+    return own, spans, width
+
+
+def signals_of(own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
+    """(id, channel, rate, x): the samples of each window, joined from the recordings without their overlaps through the
+    read chain; what none covers is 0. ``own``: key, id, begin_us, end_us, and x (samples) or path, rate and frames."""
+    own, spans, width = _sources_of(own, windows, t)
+    if "path" in own.columns:
+        return signals_of_files(windows, spans, t.chain(), ["key"], width)
+    return signals_of_tables(windows, own, t.chain(), ["key"], width, spans)
+
+
+def pieces_of(own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
+    """The same in pieces (id, start, channel, rate, x), for windows that no task shall hold."""
+    own, spans, width = _sources_of(own, windows, t)
+    chain = t.chain()
+    chain = chain if chain.rate else replace(chain, rate=pieces.one_rate(own))
+    files = spans if "path" in own.columns else own
+    found = pieces.signals_in_pieces(windows, files, chain, ["key"], width, spans=spans)
+    return found.select("id", "start", "channel", F.lit(chain.rate).alias("rate"), "x")
 
 
 def outputs_of(own: DataFrame, t: Transform) -> dict[str, DataFrame]:
-    """Lazy frames by kind of output; nothing is read but the sampling rates and the longest duration."""
+    """Lazy frames by kind of output; nothing is read but the sampling rates and the longest duration. In mode whole the samples stay in
+    pieces, which a filter or normalisation reads more than once and so writes."""
     windows = windows_of(own, t)
     out = {"windows": windows}
-    signals = signals_of(own, windows, t)
+    long = t.mode == "whole"
+    signals = pieces_of(own, windows, t) if long else signals_of(own, windows, t)
     if t.outputs & Output.AUDIO:
         out["audio"] = signals
     if t.outputs & SPECTRAL:
@@ -132,12 +151,28 @@ def outputs_of(own: DataFrame, t: Transform) -> dict[str, DataFrame]:
         bounds = windows.select("id", "begin_us", "end_us")
         if t.outputs & (Output.SPECTRUM | Output.SPECTROGRAM):
             kind, fft, bins = spectrum_of({"fft": t.fft, "nb_ltas_time_bins": t.nb_ltas_time_bins})
-            out["spectrum"] = spectra.with_axes(spectral.ltas(single, fft, bins) if kind == "ltas" else spectral.stft_power(single, fft), bounds)
+            if long:
+                power = (pieces.ltas_pieces(single, fft, bins) if kind == "ltas" else pieces.stft_power_pieces(single, fft)).drop("channel")
+            else:
+                power = spectral.ltas(single, fft, bins) if kind == "ltas" else spectral.stft_power(single, fft)
+            out["spectrum"] = spectra.with_axes(power, bounds)
         if t.outputs & Output.WELCH:
-            out["welch"] = spectral.welch(single, t.spec(), detrend=t.detrend).join(bounds, "id")
+            px = pieces.welch_pieces(single, t.spec(), detrend=t.detrend).drop("channel") if long else spectral.welch(single, t.spec(), detrend=t.detrend)
+            out["welch"] = px.join(bounds, "id")
     return out
 
 
+def in_time(audio: DataFrame, windows: DataFrame) -> DataFrame:
+    """An audio output with the bounds of its windows; each piece of a window counts as one of its own."""
+    rest = windows.select("key", "id", "begin_us", "end_us")
+    if "start" not in audio.columns:
+        return audio.join(rest, "id")
+    at = lambda frames: (F.col("whole_us") + F.bround(frames * 1_000_000 / F.col("rate"))).cast("long")
+    own = audio.join(rest.withColumnRenamed("begin_us", "whole_us").drop("end_us"), "id")
+    bounds = own.withColumn("begin_us", at(F.col("start"))).withColumn("end_us", at(F.col("start") + F.size("x")))
+    return bounds.withColumn("id", F.xxhash64("id", "start")).drop("start", "whole_us")
+
+
 class Project:
     """``spark``, a folder, and the frame of recordings (key, id, begin_us, end_us, x, rate)."""
 
@@ -244,7 +279,7 @@ class Project:
         if entry["kind"] != "audio":
             raise ValueError(f"{name!r} holds no samples")
         windows = self.spark.read.parquet(self._within(f"{entry['transform']}_windows"))
-        return own.where("channel = 0").select("id", "rate", "x").join(windows.select("key", "id", "begin_us", "end_us"), "id")
+        return in_time(own.where("channel = 0"), windows).select("id", "rate", "x", "key", "begin_us", "end_us")
 
     def run(self, t: Transform, source: str = "original", partitions: int | None = None) -> list[str]:
         """Writes the outputs; a name that exists is refused before anything is written. A spectrum is computed once for
@@ -284,8 +319,9 @@ class Project:
     def export_audio(self, name: str, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
         """Writes [first, last) of an audio output, by time, as WAV files named by their begins; returns what was written."""
         windows = self.spark.read.parquet(self._within(f"{self.catalogue()['outputs'][name]['transform']}_windows"))
-        own = datasets.take(windows.select("id", "begin_us"), ["begin_us", "id"], first, last)
-        return wav.write(self.load(name).join(own, "id"), folder)
+        samples = in_time(self.load(name), windows)
+        own = datasets.take(samples.select("id", "begin_us").distinct(), ["begin_us", "id"], first, last)
+        return wav.write(samples.select("id", "channel", "rate", "x").join(own, "id"), folder)
 
     def outputs(self, transform: str | None = None) -> list[str]:
         return [n for n, v in sorted(self.catalogue()["outputs"].items()) if transform in (None, v["transform"])]

@@ -13,9 +13,8 @@ from ..functions.spectral import Fft
 def with_axes(power: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds the window's begin_us and end_us and the slice's ``time_us`` to rows (id, p, ...): slice i of n
     of a window begins at i n-ths of its duration. ``windows``: id, begin_us, end_us."""
-    each = W.partitionBy("id")
-    counted = power.withColumn("_first", F.min("p").over(each)).withColumn("_n", F.count("*").over(each))
-    own = counted.join(windows.select("id", "begin_us", "end_us"), "id")
+    sizes = power.groupBy("id").agg(F.min("p").alias("_first"), F.count("*").alias("_n"))
+    own = power.join(sizes.join(windows.select("id", "begin_us", "end_us"), "id"), "id")
     time = F.col("begin_us") + F.floor((F.col("p") - F.col("_first")) * (F.col("end_us") - F.col("begin_us")) / F.col("_n"))
     return own.withColumn("time_us", time.cast("long")).drop("_first", "_n")
 

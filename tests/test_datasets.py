@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 import numpy as np
 import pytest
@@ -335,20 +336,88 @@ def test_project_from_copied_files(spark, folder, tmp_path):
     assert project.outputs() == ["original"]
 
 
-def test_catalogue_is_locked_and_merged(spark, tmp_path):
+def test_catalogue_merges(spark, tmp_path):
     project = Project(spark, f"file://{tmp_path}/p")
+    assert project.catalogue() == {"version": 0, "outputs": {}}
     project.update({"a": {"transform": None, "kind": "x"}})
     project.update({"a": {"transform": None, "kind": "y"}, "b": {"transform": None, "kind": "z"}})
     assert {k: v["kind"] for k, v in project.catalogue()["outputs"].items()} == {"a": "x", "b": "z"}
-    with project.locked():
-        with pytest.raises(TimeoutError):
-            with project.locked(wait_s=0.3):
-                pass
-    with pytest.raises(RuntimeError):
-        with project.locked():
-            raise RuntimeError
     project.update({}, ("a",))
-    assert project.outputs() == ["b"]
+    assert project.outputs() == ["b"] and project.catalogue()["version"] == 3
+
+
+def test_writers_at_once(spark, tmp_path, monkeypatch):
+    """A writer that finds its version taken merges with what the other one stored."""
+    one, other = (Project(spark, f"file://{tmp_path}/p") for _ in range(2))
+    create, rivals = one._create, [{"x": {"transform": "x", "kind": "k"}}, {"y": {"transform": "y", "kind": "k"}}]
+
+    def late(path, text):
+        if rivals:
+            other.update(rivals.pop())
+        return create(path, text)
+
+    monkeypatch.setattr(one, "_create", late)
+    one.update({"mine": {"transform": "z", "kind": "k"}})
+    assert set(one.catalogue()["outputs"]) == {"x", "y", "mine"} and one.catalogue()["version"] == 3
+    assert not one._create(one._version(3), "{}") and other.catalogue()["version"] == 3
+
+
+class Killed(Exception):
+    pass
+
+
+def killed(*_, **__):
+    raise Killed
+
+
+def small_project(spark, folder):
+    project = Project(spark, folder)
+    rows = [(1, k, k * SECOND, (k + 1) * SECOND, [float(k)] * 8) for k in range(8)]
+    project.build(spark.createDataFrame(rows, "key long, id long, begin_us long, end_us long, x array<double>"))
+    return project
+
+
+def test_a_writer_that_breaks_off(spark, tmp_path, monkeypatch):
+    """Whatever step it breaks at, readers see the state before or after, and the same call works again."""
+    project = small_project(spark, f"file://{tmp_path}/p")
+    t = Transform("t", Output.AUDIO, mode="timedelta_total", duration_us=2 * SECOND)
+    with pytest.raises(ValueError):
+        small_project(spark, project.folder)
+    for step in ("_new_folder", "commit", "_create"):
+        with monkeypatch.context() as broken:
+            broken.setattr(project, step, killed)
+            with pytest.raises(Killed):
+                project.run(t)
+        assert Project(spark, project.folder).outputs() == ["original"]
+    assert sorted(project.run(t)) == ["t_audio", "t_windows"] and project.load("t_audio").count() == 4
+    assert len(project.sweep()) >= 4 and project.load("t_audio").count() == 4 and project.sweep() == []
+    project.rename("t", "u")
+    assert project.outputs("u") == ["u_audio", "u_windows"] and project.load("u_audio").count() == 4
+    with monkeypatch.context() as broken:
+        broken.setattr(project, "_fs", lambda path, fs=project._fs: killed() if "tables" in path else fs(path))
+        with pytest.raises(Killed):
+            project.delete("u")
+    assert project.outputs() == ["original"]
+    project.reset()
+    assert [n for n in os.listdir(tmp_path / "p" / "tables") if not n.startswith(("original", "."))] == []
+
+
+def test_runs_share_an_output(spark, tmp_path):
+    project = small_project(spark, f"file://{tmp_path}/p")
+    t = Transform("t", Output.AUDIO, mode="timedelta_total", duration_us=2 * SECOND)
+    project.run(t, first=2)
+    other = Project(spark, project.folder)
+    assert other.load("t_windows").count() == 2
+    with pytest.raises(ValueError, match="already there"):
+        other.run(t, first=1, last=3)
+    with pytest.raises(ValueError, match="another transform"):
+        other.run(Transform("t", Output.AUDIO, mode="timedelta_total", duration_us=SECOND), last=2)
+    other.run(t, last=2)
+    with pytest.raises(ValueError):
+        other.run(t)
+    project.run(Transform("whole", Output.AUDIO, mode="timedelta_total", duration_us=2 * SECOND))
+    both = [sorted((r["id"], r["channel"], r["x"]) for r in project.load(n).collect()) for n in ("t_audio", "whole_audio")]
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_transform_rules():

@@ -1,15 +1,20 @@
 """Named transforms of a set of recordings, materialised as tables in one folder.
 
-A project is a folder with a catalogue (JSON) and one Parquet table per output. Preparing a
+A project is a folder with a catalogue and one Parquet table per output. Preparing a
 transform returns lazy frames; running it writes them. All paths go through Spark's file systems. The recordings are a table of
 samples, or of files that are read by seeking where a window asks for them.
+
+The catalogue is a log of numbered versions (JSON), each of which is created whole or not at all; a writer that finds its number taken merges again with
+what is there now. Tables lie in folders of their own that only the catalogue names, and are written before it names them and deleted
+after it has ceased to. So a writer that breaks off anywhere leaves the state before or after, no lock, and at most folders that
+nothing names, which ``sweep`` deletes.
 """
 
 from __future__ import annotations
 
 import json
-import time
-from contextlib import contextmanager
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from enum import IntFlag
 from functools import reduce
@@ -137,10 +142,12 @@ def pieces_of(own: DataFrame, windows: DataFrame, t: Transform) -> DataFrame:
     return found.select("id", "start", "channel", F.lit(chain.rate).alias("rate"), "x")
 
 
-def outputs_of(own: DataFrame, t: Transform) -> dict[str, DataFrame]:
+def outputs_of(own: DataFrame, t: Transform, share: list | None = None) -> dict[str, DataFrame]:
     """Lazy frames by kind of output; nothing is read but the sampling rates and the longest duration. In mode whole the samples stay in
-    pieces, which a filter or normalisation reads more than once and so writes."""
+    pieces, which a filter or normalisation reads more than once and so writes. ``share``: first and last (exclusive) of the windows, by begin."""
     windows = windows_of(own, t)
+    if share:
+        windows = datasets.take(windows, ["begin_us", "key", "id"], *share).select(*windows.columns)
     out = {"windows": windows}
     long = t.mode == "whole"
     signals = pieces_of(own, windows, t) if long else signals_of(own, windows, t)
@@ -190,57 +197,81 @@ class Project:
         within(self.folder, name)
         return f"{self.folder}/{name}"
 
-    def catalogue(self) -> dict:
-        fs, path = self._fs(f"{self.folder}/project.json")
-        if not fs.exists(path):
-            return {"outputs": {}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/project.json", wholetext=True).collect()))
+    def _versions(self) -> list[int]:
+        fs, path = self._fs(f"{self.folder}/catalogue")
+        names = [str(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
 
-    def _save(self, catalogue: dict) -> None:
-        """Written beside and renamed over the old one in one step, so that a reader sees either, whatever breaks."""
-        jvm = self.spark.sparkContext._jvm
-        fs, temporary = self._fs(f"{self.folder}/.project.json.tmp")
-        _, final = self._fs(f"{self.folder}/project.json")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(catalogue, indent=4, sort_keys=True).encode()))
+    def _version(self, number: int) -> str:
+        return f"{self.folder}/catalogue/{number:012d}.json"
+
+    def catalogue(self) -> dict:
+        """The latest version. It is never changed, so that it is read whole."""
+        versions = self._versions()
+        if not versions:
+            return {"version": 0, "outputs": {}}
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(self._version(versions[-1]), wholetext=True).collect()))
+
+    def _create(self, path: str, text: str) -> bool:
+        """Creates a file in one step, by moving it into its place; false where another one is there."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs, beside = self._fs(f"{self.folder}/catalogue/.{uuid.uuid4().hex}.tmp")
+        _, final = self._fs(path)
+        out = fs.create(beside, True)
+        out.write(bytearray(text.encode()))
         out.close()
         rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        own = fs.makeQualified(temporary)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(own, fs.makeQualified(final), how)
-
-    @contextmanager
-    def locked(self, wait_s: float = 30.0):
-        """Holds the catalogue against other writers; the lock goes when the block ends, however it ends."""
-        fs, path = self._fs(f"{self.folder}/.lock")
-        until = time.monotonic() + wait_s
-        while True:
-            try:
-                fs.create(path, False).close()
-                break
-            except Exception as e:
-                if not fs.exists(path) and "FileAlreadyExists" not in str(e):
-                    raise
-                if time.monotonic() > until:
-                    raise TimeoutError(f"{self.folder} is locked by another writer") from e
-                time.sleep(0.2)
+        never = self.spark.sparkContext._gateway.new_array(rename, 0)
+        source, goal = fs.makeQualified(beside), fs.makeQualified(final)
         try:
-            yield
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), conf).rename(source, goal, never)
+            return True
+        except Exception:
+            if not fs.exists(final):
+                raise
+            return False
         finally:
-            fs.delete(path, False)
+            fs.delete(beside, False)
 
-    def update(self, entries: dict, gone: tuple[str, ...] = ()) -> None:
-        """Merges entries into the stored catalogue under the lock; entries that are stored already stay as they are."""
-        with self.locked():
+    def commit(self, change: Callable[[dict], dict], tries: int = 100) -> dict:
+        """Stores ``change(outputs)`` as the next version. Where another writer was first, it is applied to what that one stored, so it may run
+        several times; what it raises ends the commit."""
+        for _ in range(tries):
             held = self.catalogue()
-            outputs = {k: v for k, v in held["outputs"].items() if k not in gone}
-            self._save(held | {"outputs": entries | outputs})
+            stored = {"version": held["version"] + 1, "outputs": change(dict(held["outputs"]))}
+            if self._create(self._version(stored["version"]), json.dumps(stored, indent=4, sort_keys=True)):
+                return stored
+        raise TimeoutError(f"other writers were first {tries} times")
+
+    def update(self, entries: dict, gone: tuple[str, ...] = ()) -> None:
+        """Merges entries into the catalogue; entries that are stored already stay as they are."""
+        self.commit(lambda outputs: entries | {k: v for k, v in outputs.items() if k not in gone})
+
+    def _new_folder(self, name: str) -> str:
+        self._within(name)
+        return f"tables/{name}-{uuid.uuid4().hex}"
+
+    def sweep(self) -> list[str]:
+        """Deletes the folders of tables that no version names any more, and versions before the latest; to be run while nothing is written."""
+        named = {p["folder"] for v in self.catalogue()["outputs"].values() for p in v["parts"]}
+        fs, path = self._fs(f"{self.folder}/tables")
+        gone = [f"tables/{f.getPath().getName()}" for f in fs.listStatus(path)] if fs.exists(path) else []
+        gone = [g for g in gone if g not in named] + [f"catalogue/{n:012d}.json" for n in self._versions()[:-1]]
+        for g in gone:
+            fs.delete(self._fs(f"{self.folder}/{g}")[1], True)
+        return gone
 
     def build(self, recordings: DataFrame) -> None:
         """From a table (key, id, begin_us, end_us, x, rate), or of files (path, rate, frames in place of x)."""
-        recordings.write.mode("errorifexists").parquet(self._within("original"))
-        self.update({"original": {"transform": None, "kind": "recordings"}})
+        folder = self._new_folder("original")
+        recordings.write.parquet(f"{self.folder}/{folder}")
+
+        def add(outputs: dict) -> dict:
+            if "original" in outputs:
+                raise ValueError("the project is built already")
+            return outputs | {"original": {"transform": None, "kind": "recordings", "parts": [{"folder": folder}]}}
+
+        self.commit(add)
 
     def build_from_folder(self, folder: str, templates: list[str] | None, **options) -> DataFrame:
         """Scans a folder, stores what describes its files (not their samples), and returns the files that were rejected."""
@@ -273,36 +304,55 @@ class Project:
         entry = self.catalogue()["outputs"].get(name)
         if entry is None:
             raise KeyError(name)
-        own = self.spark.read.parquet(self._within(name))
+        own = self.load(name)
         if entry["kind"] == "recordings":
             return own
         if entry["kind"] != "audio":
             raise ValueError(f"{name!r} holds no samples")
-        windows = self.spark.read.parquet(self._within(f"{entry['transform']}_windows"))
+        windows = self.load(f"{entry['transform']}_windows")
         return in_time(own.where("channel = 0"), windows).select("id", "rate", "x", "key", "begin_us", "end_us")
 
-    def run(self, t: Transform, source: str = "original", partitions: int | None = None) -> list[str]:
-        """Writes the outputs; a name that exists is refused before anything is written. A spectrum is computed once for
-        itself and its spectrogram. ``partitions``: files of an output."""
-        held = self.catalogue()
-        frames = self.prepare(t, source)
+    def run(self, t: Transform, source: str = "original", partitions: int | None = None, first: int | None = None, last: int | None = None) -> list[str]:
+        """Writes the outputs. A spectrum is computed once for itself and its spectrogram. ``partitions``: files of an output.
+
+        With ``first`` and ``last`` it makes the windows [first, last) of the transform only, by begin, as one of several runs that
+        share its outputs, at once or one after the other. A run whose windows are there already, or whose transform isn't that of the others, is
+        refused: before anything is written, or at its commit.
+        """
+        share = None if first is None and last is None else [first or 0, last]
+        frames = outputs_of(self.recordings(source), t, share)
         kinds = [k for k in frames if k != "spectrum" or t.outputs & Output.SPECTRUM] + (["spectrogram"] if t.outputs & Output.SPECTROGRAM else [])
         names = {kind: f"{t.name}_{kind}" for kind in kinds}
-        taken = [n for n in names.values() if n in held["outputs"]]
-        if taken:
-            raise ValueError(f"already there: {taken}")
+        described = json.loads(json.dumps({k: (int(v) if isinstance(v, Output) else v) for k, v in asdict(t).items()}))
+        folders: dict[str, str] = {}
+
+        def meets(a: list | None, b: list | None) -> bool:
+            return a is None or b is None or ((a[1] is None or b[0] < a[1]) and (b[1] is None or a[0] < b[1]))
+
+        def add(outputs: dict) -> dict:
+            for kind, name in names.items():
+                entry = outputs.get(name, {"transform": t.name, "kind": kind, "spec": described, "parts": []})
+                if any(meets(p.get("share"), share) for p in entry["parts"]):
+                    raise ValueError(f"already there: {name}")
+                if entry["spec"] != described:
+                    raise ValueError(f"{name} is of another transform")
+                outputs[name] = entry | {"parts": entry["parts"] + ([{"folder": folders[kind], "share": share}] if kind in folders else [])}
+            return outputs
+
+        add(dict(self.catalogue()["outputs"]))
 
         def write(frame: DataFrame, kind: str) -> None:
-            (frame.repartition(partitions) if partitions else frame).write.mode("errorifexists").parquet(self._within(names[kind]))
+            folder = self._new_folder(names[kind])
+            (frame.repartition(partitions) if partitions else frame).write.parquet(f"{self.folder}/{folder}")
+            folders[kind] = folder
 
         for kind, frame in frames.items():
             if kind in names:
                 write(frame, kind)
         if "spectrogram" in names:
-            own = self.spark.read.parquet(self._within(names["spectrum"])) if "spectrum" in names else frames["spectrum"]
+            own = self.spark.read.parquet(f"{self.folder}/{folders['spectrum']}") if "spectrum" in folders else frames["spectrum"]
             write(spectra.decibel_grid(own, t.db_ref, bool(t.instrument)), "spectrogram")
-        described = {k: (int(v) if isinstance(v, Output) else v) for k, v in asdict(t).items()}
-        self.update({n: {"transform": t.name, "kind": kind, "spec": described} for kind, n in names.items()})
+        self.commit(add)
         return list(names.values())
 
     def transform(self, name: str) -> Transform:
@@ -318,7 +368,7 @@ class Project:
 
     def export_audio(self, name: str, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
         """Writes [first, last) of an audio output, by time, as WAV files named by their begins; returns what was written."""
-        windows = self.spark.read.parquet(self._within(f"{self.catalogue()['outputs'][name]['transform']}_windows"))
+        windows = self.load(f"{self.catalogue()['outputs'][name]['transform']}_windows")
         samples = in_time(self.load(name), windows)
         own = datasets.take(samples.select("id", "begin_us").distinct(), ["begin_us", "id"], first, last)
         return wav.write(samples.select("id", "channel", "rate", "x").join(own, "id"), folder)
@@ -330,37 +380,48 @@ class Project:
         return {v["transform"] for v in self.catalogue()["outputs"].values() if v["transform"]}
 
     def load(self, name: str) -> DataFrame:
-        if name not in self.catalogue()["outputs"]:
+        """An output as far as it has been made."""
+        entry = self.catalogue()["outputs"].get(name)
+        if entry is None:
             raise KeyError(name)
-        return self.spark.read.parquet(self._within(name))
+        return self.spark.read.parquet(*[f"{self.folder}/{p['folder']}" for p in entry["parts"]])
 
-    def delete(self, transform: str) -> None:
-        gone = self.outputs(transform)
-        for n in gone:
-            fs, path = self._fs(self._within(n))
+    def _forget(self, chosen: Callable[[dict], bool]) -> None:
+        """Takes entries out of the catalogue, and then deletes their tables."""
+        folders: list[str] = []
+
+        def change(outputs: dict) -> dict:
+            gone = [n for n, v in outputs.items() if chosen(v)]
+            folders[:] = [p["folder"] for n in gone for p in outputs[n]["parts"]]
+            return {n: v for n, v in outputs.items() if n not in gone}
+
+        self.commit(change)
+        for folder in folders:
+            fs, path = self._fs(f"{self.folder}/{folder}")
             fs.delete(path, True)
-        self.update({}, tuple(gone))
+
+    def delete(self, transform: str) -> None:
+        self._forget(lambda entry: entry["transform"] == transform)
 
     def rename(self, old: str, new: str) -> None:
-        held = self.catalogue()["outputs"]
-        if new in self.transforms():
-            raise ValueError(f"already there: {new}")
-        entries = {}
-        for n in self.outputs(old):
-            target = f"{new}_{held[n]['kind']}"
-            fs, source = self._fs(self._within(n))
-            fs.rename(source, self._fs(self._within(target))[1])
-            entries[target] = held[n] | {"transform": new}
-        self.update(entries, tuple(self.outputs(old)))
+        """Changes the catalogue only; tables stay where they are."""
+        self._within(f"{new}_windows")
+
+        def change(outputs: dict) -> dict:
+            if any(v["transform"] == new for v in outputs.values()):
+                raise ValueError(f"already there: {new}")
+            return {(f"{new}_{v['kind']}" if v["transform"] == old else n): (v | {"transform": new} if v["transform"] == old else v) for n, v in outputs.items()}
+
+        self.commit(change)
 
     def reset(self) -> None:
-        """Deletes every output but the recordings; a folder with files that aren't the project's is left alone."""
+        """Deletes every output but the recordings, and what broken runs have left; a folder with files that aren't the project's is left alone."""
         fs, path = self._fs(self.folder)
-        strange = [n for n in (str(f.getPath().getName()) for f in fs.listStatus(path)) if n not in self.outputs() and n not in ("project.json", "files") and not n.startswith(".")]
+        strange = [n for n in (str(f.getPath().getName()) for f in fs.listStatus(path)) if n not in ("catalogue", "tables", "files") and not n.startswith(".")]
         if strange:
             raise ValueError(f"not the project's: {strange}")
-        for t in self.transforms():
-            self.delete(t)
+        self._forget(lambda entry: entry["transform"] is not None)
+        self.sweep()
 
 
 def flags(*names: str) -> Output:

@@ -43,7 +43,7 @@ class ChosenPathParameters:
     words: int = 2
     threshold: float = 0.8
     branches: int = 2
-    first_levels: int = 2
+    first_levels: int = 3
     small: int = 8
     few: int = 200_000
     target_recall: float = 0.99999
@@ -129,12 +129,14 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
     for _ in range(p.first_levels - 1):
         at = grown(at)
     ends: list[DataFrame] = []
+    levels: list[DataFrame] = []
     for level in range(p.first_levels, DEEPEST + 1):
         children = materialise(grown(at).drop("sketch"), f"level{level}")
         marks = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in range(2)]
         full = children.groupBy("path").agg(F.count("*").alias("m"), F.xxhash64(F.count("*"), *marks).alias("group")).where("m > 1")
         met = materialise(children.join(full, "path"), f"met{level}")
         drop_materialised(children)
+        levels.append(met)
         # most small nodes hold classes that met by chance, so those of a small node only are compared
         small, stays = (F.col("m") <= p.small) & (F.col("above") <= p.small), F.col("m") >= F.ceil(p.alike * F.col("above"))
         end = F.coalesce(small | stays, F.lit(False)) if level < DEEPEST else F.lit(True)
@@ -146,7 +148,10 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
             ends.append(rest.select("group", "node", "m"))
             break
         at = rest.select("node", "path", F.col("m").alias("above")).join(sketches, "node")
-    return reduce(DataFrame.unionByName, ends).distinct()
+    out = materialise(reduce(DataFrame.unionByName, ends).distinct(), "ends")
+    for met in levels:
+        drop_materialised(met)
+    return out
 
 
 def _forests(p: ChosenPathParameters, payload: str):

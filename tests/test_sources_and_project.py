@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewave.functions import spectral
 from tidewave.operators import detections
 from tidewave.plans.project import Output, Project, Transform
-from tidewave.sources import wav
+from tidewave.sources import spectra, wav
 from tidewave.streaming import windows
 
 
@@ -70,6 +70,39 @@ def test_project(spark, tmp_path):
         Transform("x", Output.WELCH)
 
 
+def test_files_with_one_header_are_one_scan(spark, tmp_path):
+    (tmp_path / "many files").mkdir()
+    for k in range(120):
+        vote = "anna" if k % 2 else "ben"
+        (tmp_path / "many files" / f"{k}.csv").write_text(f"annotation_id,{vote}\n{k},true\n{k + 1000},\n")
+    (tmp_path / "many files" / "empty.csv").write_text("")
+    raw = detections.read_csv(spark, sorted(str(p) for p in (tmp_path / "many files").iterdir()))
+    assert raw._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2 and raw.count() == 240
+    votes = {r["annotation_id"]: (r["anna"], r["ben"]) for r in raw.collect()}
+    assert votes["5"] == ("true", None) and votes["4"] == (None, "true") and votes["1004"] == (None, None)
+
+
+def test_stored_spectra_open_only_what_a_slice_needs(spark, tmp_path):
+    second, folder = 1_000_000, f"{tmp_path}/spectra"
+    rows = [(1, p, p * second, [float(p), 1.0]) for p in range(600)]
+    spectra.store(spark.createDataFrame(rows[:300], "id long, p int, time_us long, power array<double>"), folder, 60 * second)
+    spectra.store(spark.createDataFrame(rows[300:], "id long, p int, time_us long, power array<double>"), folder, 60 * second)
+    everything = spectra.stored(spark, folder)
+    cut = spectra.time_slice(everything, 130 * second, 250 * second)
+    assert sorted(r["p"] for r in cut.collect()) == list(range(130, 250)) and cut.columns == ["id", "p", "time_us", "power"]
+
+    # the scan's own filters on folders are what decides which files are opened
+    opened = cut.select(F.input_file_name().alias("f")).distinct().count()
+    assert opened < everything.select(F.input_file_name().alias("f")).distinct().count() / 2
+    plan = cut._jdf.queryExecution().toString()
+    folders = plan[plan.rindex("PartitionFilters: ") :].split("]")[0]
+    assert "from_us" in folders and "stretch_us" in folders
+    assert "GreaterThanOrEqual(time_us,130000000)" in plan and "LessThan(time_us,250000000)" in plan
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError, match="no stored spectra"):
+        spectra.stored(spark, f"{tmp_path}/other")
+
+
 def test_project_outputs_are_per_window(spark, tmp_path):
     """Windows are cut, joined and zero-filled; recordings overlap (1, 2), leave a gap (2, 3) and a window without any."""
     second = 1_000_000

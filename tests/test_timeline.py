@@ -87,6 +87,20 @@ def test_gaps_and_islands(spark):
     assert timeline.coverage_islands(own, "station").count() == 3
 
 
+def test_nearest_looks_both_ways(spark):
+    rng = random.Random(7)
+    right = [(k, rng.randrange(2_000), rng.choice([None, *range(50)])) for k in (1, 2) for _ in range(60)] + [(3, 5, None)]
+    left = [(k, rng.randrange(-100, 2_200), i) for i, k in enumerate([1, 2, 3, 4] * 60)]
+    a = spark.createDataFrame(left, "station long, at_us long, id long")
+    b = spark.createDataFrame(right, "station long, at_us long, value long")
+    for width in (50, 10**6):
+        found = {r["id"]: (r["found_us"], r["value"]) for r in timeline.nearest(a, b, "station", "value", width).collect()}
+        assert len(found) == len(left)
+        for k, at, i in left:
+            own = [(abs(t - at), t, -v) for s, t, v in right if s == k and v is not None]
+            assert found[i] == ((min(own)[1], -min(own)[2]) if own else (None, None))
+
+
 def test_windows(spark):
     own = frame(spark, [(0, 50)])
     got = segments.windows_total(own.select("station", "begin_us", "end_us"), 20).select("begin_us", "end_us").collect()

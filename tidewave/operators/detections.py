@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +20,23 @@ KINDS = {c: kind for kind, names in (("string", TEXT), ("double", NUMBERS), ("in
 KNOWN = tuple(KINDS)
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files by their first line."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in first.orderBy("path").collect():  # as many rows as paths were given
+        found.setdefault(r["header"], []).append(unquote(r["path"]))
+    return found
+
+
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files as text columns, united by name; columns that a file lacks are null."""
-    frames = [spark.read.option("header", True).csv(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    """All files as text columns, united by name; columns that a file lacks are null. Files with one header are one scan, however many they are; empty
+    files count as none."""
+    frames = [spark.read.option("header", True).csv(own) for own in headers(spark, paths).values()]
+    if not frames:
+        raise ValueError("no file has a header")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def level(text: Column) -> Column:

@@ -21,15 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewave_scratch"
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own in the shared one; deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/tidewave-{tag}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later steps see the same rows; deleted when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewave-{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def placed(df: DataFrame, order: list[Column | str]) -> DataFrame:

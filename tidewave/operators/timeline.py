@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import written
+
 DAY_US = 86_400_000_000
 
 
@@ -166,3 +168,25 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, value: str, width
     order = W.partitionBy(key, "_bucket").orderBy("at_us", "side", value).rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = every.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("side = 1").join(carried, [key, "_bucket"])
     return seen.select(key, "id", "at_us", F.coalesce(value, "_carry").alias(value))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, value: str, width_us: int = DAY_US) -> DataFrame:
+    """For each left row (id, at_us) the ``value`` and ``found_us`` of the right row (at_us) of the key that is nearest in time; the earlier one of two as
+    near, and of several at one time the one with the largest value.
+
+    A union that is written once; last values from before and first ones from behind in one pass inside stretches of time, and carried
+    from stretch to stretch both ways, so that a key with very many rows is spread over its stretches.
+    """
+    a = left.select(key, F.col("at_us"), F.col("id"), F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side"))
+    b = right.where(F.col(value).isNotNull()).groupBy(key, "at_us").agg(F.max(value).alias(value)).select(key, "at_us", F.lit(None).cast(left.schema["id"].dataType).alias("id"), value, F.lit(0).alias("side"))
+    every = written(a.unionByName(b).withColumn("_bucket", F.floor(F.col("at_us") / width_us)), "nearest")
+    point = F.when(F.col("side") == 0, F.struct("at_us", value))
+    ends = every.groupBy(key, "_bucket").agg(F.max(point).alias("_last"), F.min(point).alias("_first"))
+    stretches = W.partitionBy(key).orderBy("_bucket")
+    carried = ends.select(key, "_bucket", F.last("_last", ignorenulls=True).over(stretches.rowsBetween(W.unboundedPreceding, -1)).alias("_from"), F.first("_first", ignorenulls=True).over(stretches.rowsBetween(1, W.unboundedFollowing)).alias("_to"))
+    order = W.partitionBy(key, "_bucket").orderBy("at_us", "side")
+    around = every.withColumn("_p", F.last(point, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_n", F.first(point, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    both = around.where("side = 1").join(carried, [key, "_bucket"]).withColumn("_p", F.coalesce("_p", "_from")).withColumn("_n", F.coalesce("_n", "_to"))
+    before, behind = F.col("at_us") - F.col("_p.at_us"), F.col("_n.at_us") - F.col("at_us")
+    chosen = F.when(F.col("_n").isNull() | (before <= behind), F.col("_p")).otherwise(F.col("_n"))
+    return both.withColumn("_c", chosen).select(key, "id", "at_us", F.col(f"_c.{value}").alias(value), F.col("_c.at_us").alias("found_us"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import signal, spectral, text
-from ..operators import datasets, segments, signals, timeline
+from ..operators import datasets, ranges, segments, signals, timeline
 from ..operators import detections as det
 from ..sources import spectra
 from ..streaming import windows as live
@@ -165,6 +165,15 @@ def spectrum_time_slice(spark, sf_dir):
     return spectral.long_form(cut).select("id", "p", "time_us", "k", F.round("power", 6).alias("power"))
 
 
+@query(f"WITH {stft_sql(16, 8, *FFT16.slices(64))} SELECT id, p, id * 1000000 + p * 1000000 // 9 AS time_us, k, round(power, 6) AS power FROM power WHERE id * 1000000 + p * 1000000 // 9 >= 5250000 AND id * 1000000 + p * 1000000 // 9 < 20500000")
+def stored_time_slice(spark, sf_dir):
+    """The same of a stored spectrum: of all its stretches the scan opens those of the slice."""
+    folder = ranges.new_folder(spark, "spectra")
+    spectra.store(_spectra(spark, sf_dir), folder, 4 * SECOND)
+    cut = spectra.time_slice(spectra.stored(spark, folder), 5_250_000, 20_500_000)
+    return spectral.long_form(cut.select("id", "p", "time_us", "power")).select("id", "p", "time_us", "k", F.round("power", 6).alias("power"))
+
+
 @query(f"WITH {stft_sql(16, 8, *FFT16.slices(64))} SELECT id, p, k, round(10 * log10(power + 5e-324) - 20 * log10(2.0), 4) AS db, 'SPL_parameter' AS reference FROM power WHERE k > 0")
 def spectrogram_db(spark, sf_dir):
     grid = spectra.decibel_grid(spectral.stft_power(views.waveforms(spark, sf_dir), FFT16), 2.0)

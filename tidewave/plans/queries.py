@@ -86,6 +86,18 @@ def asof_previous_recording(spark, sf_dir):
     return timeline.asof_backward(left, right, "station", "recording_id")
 
 
+@query(with_views("""r AS (SELECT user_id AS station, epoch_us(ts) AS t, max(event_id) AS id FROM events WHERE event_type <> 'error' GROUP BY ALL),
+p AS (SELECT d.station, d.id, d.begin_us, r.id AS rid, r.t FROM det d ASOF LEFT JOIN r ON d.station = r.station AND d.begin_us >= r.t),
+n AS (SELECT d.id, r.id AS rid, r.t FROM det d ASOF LEFT JOIN r ON d.station = r.station AND d.begin_us < r.t),
+b AS (SELECT p.station, p.id, p.begin_us AS at_us, coalesce(n.t IS NULL OR p.begin_us - p.t <= n.t - p.begin_us, false) AS earlier, p.rid AS a, p.t AS s, n.rid AS b, n.t AS e FROM p JOIN n ON p.id = n.id)
+SELECT station, id, at_us, CASE WHEN earlier THEN a ELSE b END AS event_id, CASE WHEN earlier THEN s ELSE e END AS found_us FROM b""", "det"))
+def nearest_other_event(spark, sf_dir):
+    """Of each error the nearest event of another kind at its station."""
+    left = views.detections(spark, sf_dir).select("station", "id", F.col("begin_us").alias("at_us"))
+    right = views.events(spark, sf_dir).where("event_type <> 'error'").select(F.col("user_id").alias("station"), F.col("ts_us").alias("at_us"), "event_id")
+    return timeline.nearest(left, right, "station", "event_id")
+
+
 @query("SELECT event_id AS id, arg_min(i, (abs(i * 7.5 - value), i))::INTEGER AS nearest FROM events, range(0, 80) t(i) GROUP BY event_id")
 def nearest_frequency(spark, sf_dir):
     grid = [7.5 * i for i in range(80)]

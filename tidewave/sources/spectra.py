@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,9 +23,34 @@ def frequencies(fft: Fft) -> Column:
     return F.array(*[F.lit(float(f)) for f in fft.frequencies])
 
 
+#: What a folder of one stretch of a stored spectrum holds, by default.
+STRETCH_US = 3_600_000_000
+
+
+def store(spectra: DataFrame, folder: str, stretch_us: int = STRETCH_US) -> None:
+    """Writes rows with ``time_us`` by stretches of time, each a folder, sorted by time inside its files: a slice then opens the folders of
+    its stretches, and in these the row groups of its times. A stretch with very many rows is several files."""
+    if stretch_us < 1:
+        raise ValueError("a stretch must be positive")
+    ranged = spectra.withColumns({"stretch_us": F.lit(stretch_us).cast("long"), "from_us": F.floor(F.col("time_us") / stretch_us) * stretch_us}).repartitionByRange("from_us", "time_us")
+    ranged.sortWithinPartitions("from_us", "time_us").write.mode("append").partitionBy("stretch_us", "from_us").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Spectra that ``store`` has written, however many sets of them: rows of slices, with what they hold (powers, or complex values)."""
+    found = spark.read.parquet(folder)
+    if not {"time_us", "stretch_us", "from_us"} <= set(found.columns) or not ({"power"} <= set(found.columns) or {"re", "im"} <= set(found.columns)):
+        raise ValueError(f"{folder!r} holds no stored spectra")
+    return found
+
+
 def time_slice(spectra: DataFrame, begin_us: int, end_us: int) -> DataFrame:
-    """The slices that begin at or after ``begin_us`` and before ``end_us``; both bounds reach the Parquet scan."""
-    return spectra.where((F.col("time_us") >= begin_us) & (F.col("time_us") < end_us))
+    """The slices that begin at or after ``begin_us`` and before ``end_us``; both bounds reach the Parquet scan. Of stored spectra only the stretches that
+    may hold them are opened."""
+    cut = spectra.where((F.col("time_us") >= begin_us) & (F.col("time_us") < end_us))
+    if {"stretch_us", "from_us"} <= set(spectra.columns):
+        cut = cut.where((F.col("from_us") < end_us) & (F.col("from_us") + F.col("stretch_us") > begin_us)).drop("stretch_us", "from_us")
+    return cut
 
 
 def time_resolution(begin_us: Column, end_us: Column, slices: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import signal, spectral, text, timestamps
-from tidewave.operators import datasets, detections, ranges, segments, signals, timeline
+from tidewave.operators import datasets, detections, ranges, signals, timeline
 from tidewave.plans import describe, export
 from tidewave.plans.project import Output, Project, Transform
 from tidewave.sources import backends, datasource, spectra, wav

@@ -22,7 +22,7 @@ from ..functions.signal import arrays_of, lists_of
 from ..functions.spectral import Fft
 from ..sources import backends
 from .ranges import placed, written
-from .signals import Chain, bround, window_items
+from .signals import Chain, window_items
 from .timeline import interval_join
 
 PIECES = "id long, start long, channel int, x array<double>"

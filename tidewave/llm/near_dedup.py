@@ -123,7 +123,7 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
         """The children of each row's node that its tokens name."""
         slot = F.pmod(F.xxhash64("path", "branch"), F.lit(SLOTS)).cast("int")
         both = at.withColumn("branch", F.explode(F.array(*[F.lit(k) for k in range(p.branches)]))).withColumn("slot", slot)
-        return both.withColumn("path", F.xxhash64("path", "branch", F.expr("substring(sketch, slot + 1, 1)"))).drop("branch", "slot")
+        return both.withColumn("parent", F.col("path")).withColumn("path", F.xxhash64("path", "branch", F.expr("substring(sketch, slot + 1, 1)"))).drop("branch", "slot")
 
     at = sketches.withColumn("path", F.explode(F.array(*[F.lit(k).cast("long") for k in range(p.trees)]))).withColumn("above", F.lit(None).cast("long"))
     for _ in range(p.first_levels - 1):
@@ -137,9 +137,13 @@ def tree_nodes(kinds: DataFrame, p: ChosenPathParameters) -> DataFrame:
         met = materialise(children.join(full, "path"), f"met{level}")
         drop_materialised(children)
         levels.append(met)
+        if levels[:-1]:
+            # a node that a child does not thin out is compared itself, once, in place of its children
+            alike = met.where(F.col("m") >= F.ceil(p.alike * F.col("above"))).select("parent").distinct()
+            ends.append(rest.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi").select("group", "node", "m"))
+            met = met.join(alike, "parent", "left_anti")
         # most small nodes hold classes that met by chance, so those of a small node only are compared
-        small, stays = (F.col("m") <= p.small) & (F.col("above") <= p.small), F.col("m") >= F.ceil(p.alike * F.col("above"))
-        end = F.coalesce(small | stays, F.lit(False)) if level < DEEPEST else F.lit(True)
+        end = F.coalesce((F.col("m") <= p.small) & (F.col("above") <= p.small), F.lit(False)) if level < DEEPEST else F.lit(True)
         ends.append(met.where(end).select("group", "node", "m"))
         rest = met.where(~end)
         left = rest.count()

@@ -1,6 +1,7 @@
 """Folds spread over blocks, against the folds themselves."""
 
 import random
+from itertools import islice
 from statistics import median
 
 import numpy as np
@@ -77,6 +78,30 @@ def test_blocks_of_overlaps_equal_the_fold():
         assert sorted(trimmed) == greedy([(b, e, k) for k, (b, e) in enumerate(rows)])
 
 
+def test_blocks_with_records_of_no_length_equal_the_fold():
+    rng = random.Random(6)
+    for trial in range(300):
+        rows = [(b := rng.randrange(120), b + rng.choice([0, 0, 1, 7, rng.randrange(40)])) for _ in range(rng.randrange(2, 60))]
+        rows = sorted(rows, key=lambda r: (r[0], -r[1]))
+        records, reach = [], -1
+        for k, (b, e) in enumerate(rows):
+            if e > reach or b >= reach:
+                records.append((b, e, k))
+            reach = max(reach, e)
+        found, handed = [], None
+        parts = cut(rng, len(records), rng.randrange(1, 6)) if len(records) > 1 else [(0, len(records))]
+        for a, z in parts:
+            arrays = [np.array(c, dtype=np.int64) for c in zip(*records[a:z])]
+            border = {"before_us": records[a - 1][1] if a else None, "after_us": records[z][0] if z < len(records) else None, "handed": handed}
+            chosen = list(islice(chains._chosen(border, *arrays), z - a + 1))  # a walk that goes back would never end
+            assert len(chosen) <= z - a
+            found += chosen
+            lows, values = zip(*chains._overlap_steps(border, *arrays))
+            handed = chains._handed_end(handed, list(lows), list(values), border)
+        trimmed = [(i, b, min(e, nxt)) for (b, e, i), nxt in zip(found, [f[0] for f in found[1:]] + [10**9])]
+        assert sorted(trimmed) == greedy([(b, e, k) for k, (b, e) in enumerate(rows)])
+
+
 def test_blocks_of_files_equal_the_fold():
     rng = random.Random(3)
     for trial in range(400):
@@ -148,3 +173,11 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert timeline.remove_overlaps(none, "station").count() == 0 == chains.anchored_chunks(none, "station", 10, 10).count()
     assert timeline.remove_overlaps(none, "station").columns == ["station", "id", "begin_us", "end_us"]
+
+
+def test_intervals_of_no_length_and_without_an_end(ranged):
+    rows = [("a", 1, 0, 10), ("a", 2, 10, 10), ("a", 3, 10, 10), ("a", 4, 12, 12), ("a", 5, 12, 20), ("a", 6, 15, 15), ("a", 7, 18, 25), ("a", 8, 30, 30)]
+    rows += [("b", 1, 0, None), ("b", 2, 5, 9), ("b", 3, 7, None), ("b", 4, 9, None), ("b", 5, 11, 12)]
+    kept = timeline.remove_overlaps(ranged.createDataFrame(rows, SCHEMA), "station")
+    assert sorted(tuple(r) for r in kept.where("station = 'a'").select("id", "begin_us", "end_us").collect()) == greedy([(b, e, i) for s, i, b, e in rows if s == "a"])
+    assert {tuple(r) for r in kept.where("station = 'b'").select("id", "begin_us", "end_us").collect()} == {(1, 0, None), (2, 5, 9), (4, 9, None), (5, 11, 12)}

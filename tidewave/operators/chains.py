@@ -21,6 +21,8 @@ from .ranges import placed, written
 
 #: What a block hands on where nothing in it matters.
 SAME = None
+#: Stands for an end that is null: before all others.
+NO_END = -(2**63)
 
 
 class Steps:
@@ -151,11 +153,12 @@ def _sorted(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
 
 
 def _targets(begins: np.ndarray, ends: np.ndarray, after: int | None) -> np.ndarray:
-    """Each record's successor: the last one that begins before it ends, or, where that is itself, the next one. -1 where the
-    block can't say: the successor lies behind it."""
+    """Each record's successor: the last one that begins before it ends, or, where that is none behind it, the next one (a record of no
+    length does not begin before it ends, so that the last one lies before it). -1 where the block can't say: the successor lies behind it."""
     n = len(begins)
+    at = np.arange(n)
     last = np.searchsorted(begins, ends, side="left") - 1
-    to = np.where(last == np.arange(n), last + 1, last)
+    to = np.where(last > at, last, at + 1)
     to[(to >= n) | (after is not None and ends > (after or 0))] = -1
     return to
 
@@ -197,21 +200,24 @@ def furthest_chain(df: DataFrame, key: str) -> DataFrame:
     """(key, id, begin_us, end_us) of the intervals that stay where intervals overlap: from the first one of a run on, always the one
     that reaches furthest of those that begin before the one in hand ends, which is cut where that one begins.
 
-    Only records can be chosen: intervals that end after all that come before them (by begin, longer first, id). Their begins and
-    ends both rise, so that the furthest-reaching one is the last that begins in time.
+    Only records can be chosen: intervals that end after all that come before them (by begin, longer first, id), or that none before
+    reaches into, which also holds for those of no length where another one ends. Of records that overlap, begins and ends both rise, so that
+    the furthest-reaching one is the last that begins in time. An interval whose end is null overlaps nothing behind it.
     """
-    held = _sorted(df, key, ["begin_us", F.desc("end_us"), "id"])
+    ended = df.withColumn("end_us", F.coalesce(F.col("end_us"), F.lit(NO_END)))
+    held = _sorted(ended, key, ["begin_us", F.desc("end_us"), "id"])
     parts = W.partitionBy("_key").orderBy("_part")
     carry = held.groupBy("_key", "_part").agg(F.max("end_us").alias("_most")).select("_key", "_part", F.max("_most").over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
     inside = W.partitionBy("_key", "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     reach = F.greatest(F.max("end_us").over(inside), F.col("_carry"))
-    records = written(held.join(carry, ["_key", "_part"]).withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("end_us") > F.col("_reach"))).drop("_carry", "_reach"), "records")
+    records = written(held.join(carry, ["_key", "_part"]).withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("end_us") > F.col("_reach")) | (F.col("begin_us") >= F.col("_reach"))).drop("_carry", "_reach"), "records")
     ends = records.groupBy("_key", "_part").agg(F.min("begin_us").alias("_first"), F.max("end_us").alias("_last"))
     borders = written(ends.select("_key", "_part", F.lead("_first").over(parts).alias("after_us"), F.lag("_last").over(parts).alias("before_us")), "borders")
     steps = _over_blocks(records, borders, _overlap_steps, "low long, value long")
     handed = _walk(steps, borders, _handed_end)
     chosen = written(_over_blocks(records, borders.join(handed, ["_key", "_part"]), _chosen, "begin_us long, end_us long, id long"), "chosen")
-    return _with_following(chosen, "begin_us").select(F.col("_key").alias(key), "id", "begin_us", F.least("end_us", "following").alias("end_us"))
+    end = F.when(F.col("end_us") > NO_END, F.least("end_us", "following"))
+    return _with_following(chosen, "begin_us").select(F.col("_key").alias(key), "id", "begin_us", end.alias("end_us"))
 
 
 # --- chunks anchored at files ------------------------------------------------------------------

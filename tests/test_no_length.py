@@ -5,7 +5,7 @@ import pytest
 from oracle import same, tables
 from tidewave.plans import queries as q
 
-NAMES = ["remove_overlaps", "drop_empty_segments"]
+NAMES = ["remove_overlaps", "drop_empty_segments", "fill_gaps"]
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ import pytest
 from oracle import same, tables
 from tidewave.plans import queries as q
 
-NAMES = ["remove_overlaps", "drop_empty_segments", "fill_gaps"]
+NAMES = ["remove_overlaps", "drop_empty_segments", "fill_gaps", "kept_per_station"]
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ import pytest
 from oracle import same, tables
 from tidewave.plans import queries as q
 
-NAMES = ["remove_overlaps", "drop_empty_segments", "fill_gaps", "kept_per_station", "populated_ratio", "remove_empty_sides", "segments_files"]
+NAMES = ["remove_overlaps", "drop_empty_segments", "fill_gaps", "kept_per_station", "populated_ratio", "remove_empty_sides", "segments_files", "window_items"]
 
 
 @pytest.fixture(scope="module")

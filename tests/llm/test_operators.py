@@ -146,6 +146,16 @@ def test_best_fit_keeps_every_limit(score):
     assert used <= 1.03 * lengths.sum() / 100 + 5
 
 
+def test_chunks_are_looked_up_in_small_steps(monkeypatch):
+    texts = [f"Word{k} word{k % 7}, and {'x' * (k % 50)}\n<|x|> {k}!" for k in range(200)] + [""]
+    ids = packing.WordIds(packing.tokenizer_path())
+    whole, sizes, some = [ids([t])[0] for t in texts], [], packing.WordIds._some
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", 500)
+    monkeypatch.setattr(packing.WordIds, "_some", lambda self, part: sizes.append(len(part)) or some(self, part))
+    ids.forget()
+    assert ids(texts) == whole and sum(sizes) == len(texts) and max(sizes) < 50 and ids([]) == []
+
+
 def test_packing_round_trip(odd, odd_documents):
     limits = packing.PackingLimits(tokens=64, attention=64.0**2, documents=64)
     rows = packing.pack_documents(odd, packing.tokenizer_path(), limits).toPandas()

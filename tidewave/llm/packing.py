@@ -28,6 +28,8 @@ from ._text import steps
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 CACHE_WORDS = 500_000
+#: Characters whose chunks are looked up at once: few enough for the processor's caches, enough to fill lines of new words.
+CHARS_AT_ONCE = 300_000
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,16 @@ class WordIds:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = size = 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= CHARS_AT_ONCE or i == len(texts):
+                out += self._some(texts[at:i])
+                at, size = i, 0
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         flat = list(chain.from_iterable(chunks))
         ids = list(map(self.chunks.get, flat))

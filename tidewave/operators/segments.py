@@ -37,6 +37,36 @@ def total_bounds(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"))
 
 
+#: Windows that one row stands for while items are brought to a grid.
+STRETCH = 64
+
+
+def populated_total(bounds: DataFrame, items: DataFrame, key: str, duration_us: int, overlap: float = 0.0) -> DataFrame:
+    """The windows of ``windows_total`` with the duration that overlap-free items cover in them, their number and the covered share.
+
+    An item's windows follow from its bounds, so that items are dealt out and windows are not: the grid comes in stretches of windows, a
+    row each, which get the sums of their windows and are laid out last.
+    """
+    hop = hop_us(duration_us, overlap)
+    grid = bounds.select(key, F.col("begin_us").alias("_lo"), F.ceil((F.col("end_us") - F.col("begin_us")) / hop).alias("_n")).where("_n > 0")
+    own = items.where("begin_us IS NOT NULL AND end_us IS NOT NULL").select(key, "begin_us", "end_us").join(grid, key)
+    low = F.greatest(F.floor((F.col("begin_us") - F.col("_lo") - duration_us) / hop) + 1, F.lit(0))
+    high = F.least(F.ceil((F.col("end_us") - F.col("_lo")) / hop), F.col("_n")) - 1
+    met = own.withColumns({"_low": low, "_high": high}).where("_high >= _low").withColumn("window", F.explode(F.sequence("_low", "_high")))
+    begin = F.col("_lo") + F.col("window") * hop
+    share = F.least("end_us", begin + duration_us) - F.greatest("begin_us", begin)
+    dealt = met.select(key, F.floor(F.col("window") / STRETCH).alias("_stretch"), "window", share.alias("_us")).repartition(key, "_stretch")
+    sums = dealt.groupBy(key, "_stretch", "window").agg(F.sum("_us").alias("us"), F.count("*").alias("n"))
+    # at most as many entries as a stretch has windows
+    held = sums.groupBy(key, "_stretch").agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("us", "n")))).alias("_sums"))
+    stretches = grid.withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / STRETCH))))
+    first = F.col("_stretch") * STRETCH
+    laid = stretches.join(held, [key, "_stretch"], "left").withColumn("window", F.explode(F.sequence(first, F.least(first + STRETCH, F.col("_n")) - 1)))
+    sums, zero = F.col("_sums")[F.col("window")], F.lit(0).cast("long")
+    each = laid.select(key, "window", begin.alias("begin_us"), (begin + duration_us).alias("end_us"), F.coalesce(sums["us"], zero).alias("populated_us"), F.coalesce(sums["n"], zero).alias("n_items"))
+    return each.withColumn("ratio", F.round(F.col("populated_us") / duration_us, 6))
+
+
 def windows_files(df: DataFrame, key: str) -> DataFrame:
     """One window per file, overlaps removed."""
     return furthest_chain(df, key)

@@ -181,8 +181,7 @@ SELECT station, begin_us, end_us, populated_us, n_items, round(populated_us / (e
 
 def _populated(spark, sf_dir):
     own = views.recordings(spark, sf_dir)
-    windows = segments.windows_total(segments.total_bounds(own, "station"), HOUR)
-    return timeline.populated(windows, timeline.remove_overlaps(own, "station"), ["station"], JOIN_WIDTH)
+    return segments.populated_total(segments.total_bounds(own, "station"), timeline.remove_overlaps(own, "station"), "station", HOUR).drop("window")
 
 
 @query(with_views(POPULATED, "rec", recursive=True))

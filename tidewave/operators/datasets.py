@@ -62,11 +62,17 @@ def take(df: DataFrame, order: list[str], first: int = 0, last: int | None = Non
     return kept if last is None else kept.where(F.col("place") < last)
 
 
-def drop_empty(df: DataFrame, ratio: Column, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed): rows whose populated ``ratio`` is above the threshold, and the others."""
+def filled(ratio: Column, threshold: float = 0.0) -> Column:
+    """Whether the populated ``ratio`` is above the threshold; never null."""
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie in [0, 1]")
-    return df.where(ratio > threshold), df.where(F.coalesce(ratio <= threshold, F.lit(True)))
+    return F.coalesce(ratio > threshold, F.lit(False))
+
+
+def drop_empty(df: DataFrame, ratio: Column, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): rows whose populated ``ratio`` is above the threshold, and the others."""
+    kept = filled(ratio, threshold)
+    return df.where(kept), df.where(~kept)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -44,9 +44,8 @@ def single_window(spark, sf_dir):
 @query(with_views(queries.POPULATED.rpartition("SELECT station, begin_us")[0] + "SELECT station, count(CASE WHEN populated_us * 4 > end_us - begin_us THEN 1 END) AS kept, count(CASE WHEN populated_us * 4 <= end_us - begin_us THEN 1 END) AS removed FROM p GROUP BY station", "rec", recursive=True))
 def remove_empty_sides(spark, sf_dir):
     full = queries._populated(spark, sf_dir)
-    kept, removed = datasets.drop_empty(full, F.col("populated_us") / (F.col("end_us") - F.col("begin_us")), 0.25)
-    both = kept.select("station", F.lit(1).alias("k")).unionByName(removed.select("station", F.lit(0).alias("k")))
-    return both.groupBy("station").agg(F.sum("k").alias("kept"), (F.count("*") - F.sum("k")).alias("removed"))
+    kept = datasets.filled(F.col("populated_us") / (F.col("end_us") - F.col("begin_us")), 0.25)
+    return full.groupBy("station").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"))
 
 
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, p AS piece, p * 512 AS start, least(p * 512 + 512, CAST(floor(value * 10) AS BIGINT)) AS \"end\" FROM events, range(0, 20) t(p) WHERE p * 512 < CAST(floor(value * 10) AS BIGINT)")

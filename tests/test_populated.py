@@ -39,3 +39,28 @@ def test_filled_is_never_null(spark):
     rows = spark.createDataFrame([(0.3,), (0.25,), (None,)], "ratio double")
     kept, removed = datasets.drop_empty(rows, rows.ratio, 0.25)
     assert (kept.count(), removed.count()) == (1, 2)
+
+
+@pytest.mark.parametrize("duration", [10, 37, 2000])
+def test_items_total(spark, duration):
+    bounds = spark.createDataFrame(BOUNDS, "station string, begin_us long, end_us long")
+    items = spark.createDataFrame([(*x, k) for k, x in enumerate([*ITEMS, ("c", -9, 3), ("c", 30, 60), ("c", 95, 99)])], "station string, begin_us long, end_us long, id long")
+    known, wanted = [x for x in items.collect() if None not in tuple(x)], []
+    for station, low, high in BOUNDS:
+        for w in range(math.ceil((high - low) / duration)):
+            begin, end = low + w * duration, low + (w + 1) * duration
+            reached = begin
+            for _, b, e, k in sorted(x for x in known if x.station == station and x.begin_us < end and x.end_us > begin):
+                wanted += [(station, begin, reached, b, None)] * (b > reached) + [(station, begin, max(b, begin), min(e, end), k)]
+                reached = min(e, end)
+            wanted += [(station, begin, reached, end, None)] * (reached < end)
+    got = segments.items_total(bounds, items, "station", duration)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted))
+
+
+def test_windows_of_items_are_not_dealt_out(spark):
+    """60 copies of the events of sf0.1 have 10 million windows of six hours; only items and one mark of a grid may pass an exchange."""
+    bounds = spark.createDataFrame([("a", 0, 1_000_000)], "station string, begin_us long, end_us long")
+    items = spark.createDataFrame([("a", 3, 17, 1)], "station string, begin_us long, end_us long, id long")
+    plan = segments.items_total(bounds, items, "station", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(") < min(plan.index(x) for x in ("Join", "Window"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ranges import numbered, running_sum_before
 from .chains import anchored_chunks, furthest_chain
+from .timeline import next_after
 
 
 def hop_us(duration_us: int, overlap: float = 0.0) -> int:
@@ -67,6 +68,31 @@ def populated_total(bounds: DataFrame, items: DataFrame, key: str, duration_us:
     return each.withColumn("ratio", F.round(F.col("populated_us") / duration_us, 6))
 
 
+def items_total(bounds: DataFrame, items: DataFrame, key: str, duration_us: int) -> DataFrame:
+    """(key, window_begin_us, begin_us, end_us, file) of what the tumbling windows of ``windows_total`` hold: overlap-free items (by their id as
+    ``file``) and the gaps around them (``file`` is null), cut at the borders of windows; a window without items is one gap.
+
+    A gap reaches from an item, or the begin of the grid, to the next item, or the end of the grid; the windows of items and gaps follow from their
+    bounds, so that items are dealt out and windows are not. Items of no length on a border lie in no window.
+    """
+    spans = bounds.select(key, F.col("begin_us").alias("_lo"), F.ceil((F.col("end_us") - F.col("begin_us")) / duration_us).alias("_n")).where("_n > 0")
+    grid = spans.select(key, "_lo", (F.col("_lo") + F.col("_n") * duration_us).alias("_hi"))
+    window = lambda at: F.expr(f"({at} - _lo) div {duration_us}L")
+    cut = items.select(key, "begin_us", "end_us", F.col("id").alias("file")).join(grid, key).where("end_us > _lo AND begin_us < _hi")
+    cut = cut.withColumn("begin_us", F.greatest("begin_us", "_lo")).withColumn("end_us", F.least("end_us", "_hi"))
+    own = cut.where(window("end_us - 1") >= window("begin_us")).withColumn("_own", F.lit(True))
+    # the begin of a grid is a mark of no length before its items; a key that is null has no items
+    marks = grid.select(key, F.col("_lo").alias("begin_us"), F.col("_lo").alias("end_us"), F.lit(None).cast(own.schema["file"].dataType).alias("file"), "_lo", "_hi", F.lit(False).alias("_own"))
+    known = next_after(own.unionByName(marks.where(F.col(key).isNotNull())), key, "begin_us", "_next")
+    every = known.unionByName(marks.where(F.col(key).isNull()).withColumn("_next", F.lit(None).cast("long"))).withColumn("_next", F.coalesce("_next", "_hi"))
+    nothing = F.lit(None).cast(own.schema["file"].dataType)
+    gap = F.when(F.col("_next") > F.col("end_us"), F.struct(F.col("end_us").alias("b"), F.col("_next").alias("e"), nothing.alias("file")))
+    item = F.when(F.col("_own"), F.struct(F.col("begin_us").alias("b"), F.col("end_us").alias("e"), F.col("file").alias("file")))
+    pieces = every.select(key, "_lo", F.explode(F.array_compact(F.array(gap, item))).alias("_i")).select(key, "_lo", "_i.*")
+    laid = pieces.withColumn("_window", F.explode(F.sequence(window("b"), window("e - 1")))).withColumn("window_begin_us", F.col("_lo") + F.col("_window") * duration_us)
+    return laid.select(key, "window_begin_us", F.greatest("b", "window_begin_us").alias("begin_us"), F.least("e", F.col("window_begin_us") + duration_us).alias("end_us"), "file")
+
+
 def windows_files(df: DataFrame, key: str) -> DataFrame:
     """One window per file, overlaps removed."""
     return furthest_chain(df, key)

@@ -10,7 +10,7 @@ from ..operators import detections as det
 from ..sources import spectra
 from ..streaming import windows as live
 from . import project, queries, views
-from .queries import BOUNDS, FFT16, HOUR, JOIN_WIDTH, KEPT, SECTIONS, WELCH_SQL, grid_sql, kept_sql, query, stft_sql
+from .queries import BOUNDS, FFT16, HOUR, KEPT, SECTIONS, WELCH_SQL, grid_sql, kept_sql, query, stft_sql
 from .views import with_views
 
 SECOND = 1_000_000
@@ -19,12 +19,6 @@ SECOND = 1_000_000
 # --- windows and their items ---------------------------------------------------------------------
 
 
-def _six_hours(spark, sf_dir):
-    own = views.recordings(spark, sf_dir)
-    windows = segments.windows_total(segments.total_bounds(own, "station"), 6 * HOUR)
-    return windows.withColumn("id", F.xxhash64("station", "begin_us")), timeline.remove_overlaps(own, "station")
-
-
 @query(with_views(BOUNDS + grid_sql(6 * HOUR, 6 * HOUR) + ", " + KEPT + """,
 it AS (SELECT w.station, w.begin_us AS wb, greatest(w.begin_us, k.begin_us) AS b, least(w.end_us, k.end_us) AS e, k.id AS file FROM win w JOIN kept k ON w.station = k.station AND w.begin_us < k.end_us AND w.end_us > k.begin_us),
 lg AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY station, wb ORDER BY b, file), wb) AS prev FROM it),
@@ -32,8 +26,8 @@ tail AS (SELECT w.station, w.begin_us AS wb, coalesce(m.me, w.begin_us) AS b, w.
 SELECT station, wb AS window_begin_us, b AS begin_us, e AS end_us, file FROM it
 UNION ALL SELECT station, wb, prev, b, NULL FROM lg WHERE b > prev UNION ALL SELECT station, wb, b, e, NULL FROM tail WHERE b < e""", "rec", recursive=True))
 def window_items(spark, sf_dir):
-    windows, kept = _six_hours(spark, sf_dir)
-    return signals.window_items(windows, kept, ["station"], JOIN_WIDTH).select("station", "window_begin_us", "begin_us", "end_us", "file")
+    own = views.recordings(spark, sf_dir)
+    return segments.items_total(segments.total_bounds(own, "station"), timeline.remove_overlaps(own, "station"), "station", 6 * HOUR)
 
 
 @query(with_views(BOUNDS + "x AS (SELECT 1) SELECT station, 0::BIGINT AS \"window\", lo AS begin_us, hi AS end_us FROM b", "rec"))
